@@ -6,18 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, pieces, toxicity, url_filter
+from . import chat, exact_dedup, language_id, mixing, pieces, topk_search, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": language_id.op1_language_id,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_source_mixing": mixing.op3_source_mixing,
+        "op4_chat_format": chat.op4_chat_format,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op7_topk_search": topk_search.op7_topk_search,
         "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op5_url_filter": url_filter.ORACLE_SQL}
+    return {
+        "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op3_source_mixing": mixing.ORACLE_SQL,
+        "op4_chat_format": chat.ORACLE_SQL,
+        "op5_url_filter": url_filter.ORACLE_SQL,
+        "op7_topk_search": topk_search.ORACLE_SQL,
+    }
