@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, language_id, mixing, pieces, topk_search, toxicity, url_filter
+from . import chat, exact_dedup, language_id, mixing, near_dedup, pieces, suffix_dedup, topk_search, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,7 +16,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_source_mixing": mixing.op3_source_mixing,
         "op4_chat_format": chat.op4_chat_format,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op6_ngram_jaccard": near_dedup.op6_ngram_jaccard,
         "op7_topk_search": topk_search.op7_topk_search,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_toxicity": toxicity.op10_toxicity,
     }
