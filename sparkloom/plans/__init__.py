@@ -1 +1,4 @@
-"""Spark-native curation and evaluation analytics."""
+"""Queries: operators bound to the driver's tables. Importing this package registers them all."""
+
+from . import scoring  # noqa: F401
+from .registry import ORACLES, QUERIES, Tables, query  # noqa: F401
