@@ -95,9 +95,9 @@ def agg_by_array_position(t: Tables) -> DataFrame:
     return rows.groupBy("position", "category").agg(*counts())
 
 
-@query("agg_rollup_2level", R + f"SELECT type, shard, {COUNTS} FROM m GROUP BY type, shard UNION ALL SELECT type, NULL, {COUNTS} FROM m GROUP BY type")
+@query("agg_rollup_2level", R + f"SELECT type, CAST(shard AS VARCHAR) AS shard, {COUNTS} FROM m GROUP BY type, shard UNION ALL SELECT type, NULL, {COUNTS} FROM m GROUP BY type")
 def agg_rollup_2level(t: Tables) -> DataFrame:
-    return merged(t).rollup("type", "shard").agg(*counts(), F.grouping_id().alias("level")).where("level < 3").drop("level")
+    return merged(t).withColumn("shard", F.col("shard").cast("string")).rollup("type", "shard").agg(*counts(), F.grouping_id().alias("level")).where("level < 3").drop("level")
 
 
 @query("agg_prefix_category", R + f"SELECT CASE WHEN starts_with(type, 'si') THEN 'si' WHEN starts_with(type, 'c') THEN 'c' ELSE type END AS category, {COUNTS} FROM m GROUP BY 1")
