@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .shingles import HASHES, minhashes, mix, shingle_sets
-from .storage import cut, slices
+from .storage import cut, discard, slices
 
 THRESHOLD = Fraction(4, 5)
 ROWS = 4  #: MinHash values of a band
@@ -119,16 +119,17 @@ def _bounds(table: pa.Table, group: str) -> list[int]:
     return [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist(), table.num_rows]
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The root of each of n places under the links (a, b)."""
-    root = np.arange(n)
+def _roots(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each place the smallest node that the links (a, b) between places connect it with; equal nodes are one."""
+    names, place = np.unique(node, return_inverse=True)
+    a, b, root = place[a], place[b], np.arange(len(names))
     while True:
         new = root.copy()
         np.minimum.at(new, a, root[b])
         np.minimum.at(new, b, root[a])
         new = new[new]
         if (new == root).all():
-            return root
+            return names[root][place]
         root = new
 
 
@@ -158,9 +159,9 @@ def _linked(threshold: Fraction, tolerance: float):
                         edges.append((x[stay], y[stay]))
                     a, b, n = [], [], 0
             x, y = (np.concatenate([e[k] for e in edges]) if edges else np.zeros(0, np.int64) for k in (0, 1))
-            root = _forest(len(node), x, y)
-            child = np.flatnonzero(node[root] != node)
-            yield pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[root[child]])], ["a", "b"])
+            root = _roots(node, x, y)
+            links = np.unique(np.stack((node, root))[:, root != node], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in links], ["a", "b"])
 
     return run
 
@@ -204,7 +205,7 @@ def _verified(threshold: Fraction):
                     links[first + left] += linked @ copies[first + right]
                     links[first + right] += linked.T @ copies[first + left]
                 a, b = np.nonzero(linked)
-                root[first:last] = node[first:last][_forest(last - first, left[a], right[b])]
+                root[first:last] = _roots(node[first:last], left[a], right[b])
             some = links > 0
             yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (node, links, root)], ["node", "links", "root"])
 
@@ -249,6 +250,7 @@ def near_classes(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: fl
     joined = nodes.select("node", "first_id", "copies").join(links, "node", "left").join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
     named = joined.groupBy("class").agg(F.min("first_id").alias("class_id"))
     info = cut(joined.join(named, "class").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    discard(nodes, shared, grouped, sizes, verified, classes)
     return rows.select("doc_id", "node").join(info, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
