@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import cut, slices
+from .storage import cut, discard, slices
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_315_423_911, 1_640_531_527)
@@ -115,12 +115,14 @@ def _chunks(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFra
 
 def _differing(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
     """The doc_id, print and n_bytes of the members that aren't equal to their leader."""
-    chunks = cut(_chunks(docs, members, key, text), "chunks")
+    chunks = cut(_chunks(docs, members, key, text), "chunks")  # made once, read from both sides
     shares = F.ceil(F.col("n_docs") / GROUP_SLICE).cast("long")
     leaders = chunks.where(F.col("doc_id") == F.col("leader")).select("leader", "chunk_no", F.col("chunk").alias("leading"), F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"))
     others = chunks.where(F.col("doc_id") != F.col("leader")).withColumn("share", F.pmod(F.xxhash64("doc_id"), shares))
     bad = others.join(leaders, ["leader", "chunk_no", "share"], "left").where(~F.col("chunk").eqNullSafe(F.col("leading"))).select("doc_id", "leader").distinct()
-    return members.join(bad, ["doc_id", "leader"], "left_semi").select("doc_id", "print", "n_bytes", "text_sha256", "n_rows")
+    found = cut(members.join(bad, ["doc_id", "leader"], "left_semi").select("doc_id", "print", "n_bytes", "text_sha256", "n_rows"), "differing")
+    discard(chunks)
+    return found
 
 
 def exact_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,7 +132,7 @@ def exact_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     while True:
         groups = cut(left.groupBy("print", "n_bytes").agg(F.min("doc_id").alias("leader"), F.sum("n_rows").alias("group_size"), F.count("*").alias("n_docs")), "groups")
         members = left.join(groups.where("n_docs > 1"), ["print", "n_bytes"])
-        bad = cut(_differing(docs, members, key, text), "differing")
+        bad = _differing(docs, members, key, text)
         again = not bad.isEmpty()
         if again:
             left = left.join(bad.select("doc_id", "print", "n_bytes"), ["doc_id", "print", "n_bytes"], "left_anti")
