@@ -5,6 +5,7 @@ Paths are Hadoop paths throughout, so a store that only Spark reads works as wel
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -14,8 +15,8 @@ from pyspark.sql.types import StructType
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or below the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder below spark.checkpoint.dir; one of this machine only where that is unset, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
     return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
