@@ -17,14 +17,21 @@ def _words(text: str | None) -> list[str]:
     return re.findall(r"\w+", (text or "").lower())
 
 
+def common_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence; a whole row of its table is the bits of one integer."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << i
+    full = row = (1 << len(b)) - 1
+    for w in a:
+        hit = row & places.get(w, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(b) - row.bit_count()
+
+
 def rouge_l(candidate: list[str], reference: list[str]) -> float:
-    """F1 of the longest common subsequence, in one row of memory."""
-    row = [0] * (len(reference) + 1)
-    for a in candidate:
-        left = 0
-        for j, b in enumerate(reference, 1):
-            left, row[j] = row[j], left + 1 if a == b else max(row[j], row[j - 1])
-    common = row[-1]
+    """F1 of the longest common subsequence."""
+    common = common_length(candidate, reference)
     return 2 * common / (len(candidate) + len(reference)) if common else 0.0
 
 

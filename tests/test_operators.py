@@ -1,6 +1,7 @@
 """Golden cases and invariants of operators that queries can't show."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,17 @@ def test_text_metrics():
     assert M.bleu(a[:3], a, 1) == pytest.approx(math.exp(1 - 2))
 
 
+def test_common_length():
+    r = random.Random(1)
+    for _ in range(200):
+        a, b = ([r.choice("abc") for _ in range(r.randint(0, 12))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert M.common_length(a, b) == table[-1][-1]
+
+
 def test_retries():
     calls = []
 
