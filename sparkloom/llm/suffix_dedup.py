@@ -1,7 +1,7 @@
 """Suffix-array dedup: removes every byte that a string of LENGTH bytes covers which also starts anywhere else.
 
 A suffix array of the whole corpus would be one task's work, so texts are first cut into places that can match. Every text is sampled at anchors:
-of each window of LENGTH bytes, the 32-byte gram with the least hash (the last of equals). Equal windows have equal anchors, so a
+of each window of LENGTH bytes, the 64-byte gram with the least hash (the last of equals). Equal windows have equal anchors, so a
 repeated window has an anchor whose gram occurs twice. For each such occurrence a context holds all windows with that anchor.
 Equal contexts are counted by a grouping; the different ones of an anchor form a group. A group of at most GROUP contexts is one
 small text, made of its contexts' parts with windows whose hashes repeat, and the suffix array of it, built by grouping suffixes on Lyndon prefixes, shows
@@ -18,7 +18,7 @@ removed, as a text can't be looked up without an id.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
+from hashlib import md5, sha256
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shingles import mix
-from .storage import cut, slices
+from .storage import cut, discard, slices
 from .suffix_sort import suffix_array
 
 LENGTH = 200
-GRAM = 32
+GRAM = 64
 GROUP = 512  #: contexts of a group that are sorted at once
 SPLIT = 4  #: ranges that a larger group's windows fall into
 _CHUNK = 1 << 18
@@ -123,88 +123,117 @@ def _held(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _contexts(held: DataFrame) -> DataFrame:
-    """text_id, copies, start (of the context), lead (from the anchor to it), key and context of every hit."""
+    """text_id, copies, start (of the context), lead (from the anchor to it), key, id and context of every hit.
+
+    The id is a hash of context and lead. A task hands on the bytes of equal contexts once in a while only; elsewhere the context is null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            for i in range(batch.num_rows):
-                raw, hits = batch.column("raw")[i].as_py(), batch.column("hits")[i].as_py()
-                starts = [x["first"] for x in hits]
-                texts = [raw[x["first"] : x["last"] + LENGTH] for x in hits]
-                n = len(hits)
-                columns = [pa.array([batch.column("text_id")[i].as_py()] * n, pa.int64()), pa.array([batch.column("copies")[i].as_py()] * n, pa.int64()), pa.array(starts, pa.int32()), pa.array([s - x["place"] for s, x in zip(starts, hits)], pa.int32()), pa.array([x["gram"] for x in hits], pa.int64()), pa.array(texts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["text_id", "copies", "start", "lead", "key", "context"])
-
-    return held.select("text_id", "copies", "raw", "hits").mapInArrow(run, "text_id long, copies long, start int, lead int, key long, context binary")
-
-
-def repeated_windows(contexts: list[bytes], counts: list[int]) -> list[np.ndarray]:
-    """For each of different contexts that occur so many times, which of its windows also start elsewhere in them."""
+            rows = []
+            for text_id, copies, raw, hits in zip(*(batch.column(c).to_pylist() for c in ("text_id", "copies", "raw", "hits"))):
+                for x in hits:
+                    first, lead = x["first"], x["first"] - x["place"]
+                    context = raw[first : x["last"] + LENGTH]
+                    name = md5(context + lead.to_bytes(2, "big", signed=True)).digest()
+                    known = name in seen
+                    seen.add(name)
+                    rows.append((text_id, copies, first, lead, x["gram"], name.hex(), None if known else context))
+                if len(seen) > 200_000:
+                    seen.clear()
+            kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["text_id", "copies", "start", "lead", "key", "id", "context"])
+
+    return held.select("text_id", "copies", "raw", "hits").mapInArrow(run, "text_id long, copies long, start int, lead int, key long, id string, context binary")
+
+
+def repeated_windows(group: list[int], contexts: list[bytes], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of contexts also start elsewhere in their group, context by context, and how many windows each has.
+
+    group: numbers the groups, whose different contexts stand together; counts: how often each context occurs.
+    """
     sizes = np.array([len(c) for c in contexts])
     h = _hashes(np.frombuffer(b"".join(contexts), np.uint8), (128, 64, 8))
-    first = np.cumsum(sizes) - sizes
     windows = np.maximum(sizes - LENGTH + 1, 0)
-    at = np.repeat(first - np.cumsum(windows) + windows, windows) + np.arange(int(windows.sum()))
-    _, place, count = np.unique(h[at], return_inverse=True, return_counts=True)
-    may = (count[place] > 1) | np.repeat(np.array(counts) > 1, windows)
-    parts: dict[bytes, list[tuple[int, int]]] = {}
-    low = 0
-    for k, n in enumerate(windows.tolist()):
-        own = may[low : low + n].astype(np.int8)
-        low += n
-        edge = np.flatnonzero(np.diff(own, prepend=0, append=0))
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            parts.setdefault(contexts[k][a : b + LENGTH - 1], []).append((k, a))
-    out = [np.full(n, c > 1) for n, c in zip(windows.tolist(), counts)]
-    text = b"\xff".join(parts)  # no byte of UTF-8
+    first = np.cumsum(windows) - windows
+    owner = np.repeat(np.arange(len(contexts)), windows)
+    at = (np.cumsum(sizes) - sizes - first)[owner] + np.arange(len(owner))
+    _, place, count = np.unique(h[at] ^ mix(np.array(group, np.uint64) + np.uint64(1))[owner], return_inverse=True, return_counts=True)
+    out = (np.array(counts) > 1)[owner]
+    may = (count[place] > 1) | out
+    edge = np.flatnonzero(np.concatenate(([True], (may[1:] != may[:-1]) | (owner[1:] != owner[:-1]), [True]))) if len(may) else np.zeros(1, int)
+    parts: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
+    for a, b, k in zip(edge[:-1].tolist(), edge[1:].tolist(), owner[edge[:-1]].tolist()):
+        if may[a]:
+            low = a - int(first[k])
+            parts.setdefault(group[k], {}).setdefault(contexts[k][low : low + b - a + LENGTH - 1], []).append((a, counts[k]))
+    for own in parts.values():
+        found = _repeats(list(own)) if len(own) > 1 else None
+        start = 0
+        for part, where in own.items():
+            n = len(part) - LENGTH + 1
+            for a, c in where:
+                if len(where) > 1 or c > 1:
+                    out[a : a + n] = True
+                elif found is not None:
+                    out[a : a + n] |= found[start : start + n]
+            start += len(part) + 1
+    return out, windows
+
+
+def _repeats(parts: list[bytes]) -> np.ndarray:
+    """Where in the parts, joined by a byte that UTF-8 never has, a window starts that also starts elsewhere in them."""
+    text = b"\xff".join(parts)
     found = np.zeros(len(text) + 1, bool)
-    if len(parts) > 1:
-        order = suffix_array(text)
-        before, last = b"", -1
-        for i in order:
-            own = text[i : i + LENGTH]
-            if own == before and len(own) == LENGTH and b"\xff" not in own:
-                found[last] = found[i] = True
-            before, last = own, i
-    start = 0
-    for part, where in parts.items():
-        n = len(part) - LENGTH + 1
-        for k, a in where:
-            out[k][a : a + n] |= found[start : start + n] | (len(where) > 1)
-        start += len(part) + 1
-    return out
+    before, last = b"", -1
+    for i in suffix_array(text):
+        own = text[i : i + LENGTH]
+        if own == before and len(own) == LENGTH and b"\xff" not in own:
+            found[last] = found[i] = True
+        before, last = own, i
+    return found
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (key, id, context, count) sorted by key, the runs of repeated windows of each context that occurs once."""
-    key, ids, contexts, counts = None, [], [], []
+    keys, ids, contexts, counts, group, held = [], [], [], [], [], 0
 
     def done() -> pa.RecordBatch:
-        rows = []
-        for i, c, own in zip(ids, counts, repeated_windows(contexts, counts)):
-            edge = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0))
-            if c == 1 and len(edge):
-                rows.append((i, edge[::2].tolist(), (edge[1::2] - 1).tolist()))
-        return pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], ["key", "id", "froms", "tos"])
+        out, windows = repeated_windows(group, contexts, counts)
+        owner = np.repeat(np.arange(len(windows)), windows)
+        own = out & (np.array(counts) == 1)[owner]
+        edge = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (owner[1:] != owner[:-1]), [True])))
+        a, b = edge[:-1], edge[1:]
+        a, b = a[own[a]], b[own[a]]
+        k, first = owner[a], np.cumsum(windows) - windows
+        with_any, n = np.unique(k, return_counts=True)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (a - first[k], b - 1 - first[k])]
+        return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in with_any], pa.int64()), pa.array([ids[i] for i in with_any], pa.string()), *lists], ["key", "id", "froms", "tos"])
 
     for batch in batches:
         for k, i, c, n in zip(*(batch.column(x).to_pylist() for x in ("key", "id", "context", "count"))):
-            if k != key:
-                if ids:
-                    yield done()
-                key, ids, contexts, counts = k, [], [], []
-            ids.append(i), contexts.append(c), counts.append(n)
-    if ids:
+            if keys and k != keys[-1] and held > 1 << 20:
+                yield done()
+                keys, ids, contexts, counts, group, held = [], [], [], [], [], 0
+            group.append(group[-1] + (k != keys[-1]) if keys else 0)
+            keys.append(k), ids.append(i), contexts.append(c), counts.append(n)
+            held += len(c)
+    if keys:
         yield done()
 
 
-def _resolved(rows: DataFrame, width: int, least: int) -> DataFrame:
+def _resolved(rows: DataFrame, width: int, least: int, made: list[DataFrame]) -> DataFrame:
     """key, id, froms and tos of each context with repeated windows, of rows (key, id, context, lead, count), all of them different.
 
     lead: number of the context's first window, where those of a key are numbered alike from least to least + width - 1.
+    made: gets the tables that the result is read from.
     """
     rows = cut(rows, "contexts")
+    made.append(rows)
     sizes = cut(rows.groupBy("key").agg(F.count("*").alias("members")), "groups")
+    made.append(sizes)
     whole = rows.where("count > 1").select("key", "id", F.array(F.lit(0)).alias("froms"), F.array((F.length("context") - LENGTH).cast("int")).alias("tos"))
     small = rows.join(sizes.where(F.col("members").between(2, GROUP)), "key").select("key", "id", "context", "count")
     found = small.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_sorted_groups, "key long, id string, froms array<int>, tos array<int>")
@@ -224,34 +253,39 @@ def _resolved(rows: DataFrame, width: int, least: int) -> DataFrame:
         own_low.alias("new_lead"), (own_low - F.col("lead")).cast("int").alias("shift"), "count",
     ).withColumn("new_id", F.md5(F.concat("new", F.col("new_lead").cast("string").cast("binary"))))
     parts = cut(parts, "parts")
+    made.append(parts)
     fewer = parts.groupBy(F.col("new_key").alias("key"), F.col("new_id").alias("id")).agg(F.first("new").alias("context"), F.first("new_lead").cast("int").alias("lead"), F.sum("count").alias("count"))
     # Ranges of a key begin at different numbers, but all contexts of one key at the same: a range's number is part of the key.
-    deeper = _resolved_ranges(fewer, step)
+    deeper = _resolved_ranges(fewer, step, made)
     back = parts.select("key", "id", "shift", F.col("new_key"), F.col("new_id")).join(deeper.select(F.col("key").alias("new_key"), F.col("id").alias("new_id"), "froms", "tos"), ["new_key", "new_id"])
     moved = lambda c: F.transform(c, lambda x: x + F.col("shift"))
     return out.unionByName(back.select("key", "id", moved("froms").alias("froms"), moved("tos").alias("tos")))
 
 
-def _resolved_ranges(rows: DataFrame, width: int) -> DataFrame:
+def _resolved_ranges(rows: DataFrame, width: int, made: list[DataFrame]) -> DataFrame:
     """_resolved for rows whose keys' ranges begin at different numbers: they are numbered anew from 0 by the key's smallest."""
     first = rows.groupBy("key").agg(F.min("lead").alias("least"))
-    return _resolved(rows.join(first, "key").select("key", "id", "context", (F.col("lead") - F.col("least")).alias("lead"), "count"), width, 0)
+    return _resolved(rows.join(first, "key").select("key", "id", "context", (F.col("lead") - F.col("least")).alias("lead"), "count"), width, 0, made)
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     scan = cut(_scan(docs, key, text), "scan")
-    texts = cut(scan.groupBy("text_id", "text_sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), *(F.first(c).alias(c) for c in _ANCHOR)), "texts")
-    grams = texts.select("text_id", F.explode(F.arrays_zip(*_ANCHOR)).alias("x")).select("text_id", "x.*")
-    repeated = cut(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
-    hits = grams.join(repeated, "gram", "left_semi").groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct(*_ANCHOR))).alias("hits"))
+    texts = cut(scan.groupBy("text_id", "text_sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "texts")
+    grams = scan.select("text_id", F.explode(F.arrays_zip(*_ANCHOR)).alias("x")).select("text_id", "x.*")
+    where = F.xxhash64("text_id", "place")  # copies of a text say the same
+    repeated = cut(grams.groupBy("gram").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").select("gram"), "grams")
+    hits = grams.join(repeated, "gram", "left_semi").groupBy("text_id").agg(F.array_sort(F.collect_set(F.struct(*_ANCHOR))).alias("hits"))
     check = F.conv(F.substring("text_sha256", 1, 15), 16, 10).cast("long")
+    hits = cut(hits, "hits")
     held = cut(_held(docs, texts.select("text_id", "doc_id", "copies", check.alias("check")).join(hits, "text_id"), key, text), "held")
-    at = cut(_contexts(held).withColumn("id", F.md5(F.concat("context", F.col("lead").cast("string").cast("binary")))), "places")
-    different = at.groupBy("key", "id").agg(F.first("context").alias("context"), F.first("lead").alias("lead"), F.sum(F.least("copies", F.lit(2))).alias("count"))
+    at = cut(_contexts(held), "places")
+    different = at.groupBy("key", "id").agg(F.first("context", ignorenulls=True).alias("context"), F.first("lead").alias("lead"), F.sum(F.least("copies", F.lit(2))).alias("count"))
     reach = LENGTH - GRAM
-    found = _resolved(different, reach + 1, -reach)
-    spans = at.where("copies = 1").select("text_id", "key", "id", "start").join(cut(found, "windows"), ["key", "id"])
+    made = [repeated, hits]
+    found = cut(_resolved(different, reach + 1, -reach, made), "windows")
+    discard(*made)
+    spans = at.where("copies = 1").select("text_id", "key", "id", "start").join(found, ["key", "id"])
     spans = spans.groupBy("text_id").agg(F.flatten(F.collect_list(F.transform(F.arrays_zip("froms", "tos"), lambda x: F.struct((F.col("start") + x["froms"]).alias("a"), (F.col("start") + x["tos"] + LENGTH).alias("b"))))).alias("spans"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,6 +303,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     stripped = held.select("text_id", "raw").join(spans, "text_id").mapInArrow(strip, "text_id long, n_removed long, n_spans long, kept_sha256 string")
     info = cut(texts.select("text_id", "copies").join(stripped, "text_id", "left"), "removed")
+    discard(held, at, found, texts)
     every = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return scan.select("doc_id", "text_id", "n_bytes", "text_sha256").join(info, "text_id").select(
