@@ -3,7 +3,7 @@
 Components become floor(256 * x), x as double; a score is an integer inner product. Rows are dealt into blocks of about
 CANDIDATES, and each block is indexed by itself: a dimension's postings are sorted by impact and cut into segments of one
 quantised impact each. For a query, the segments of all its dimensions are processed by the most that they can add to a score,
-descending, some at a time; a candidate's partial score is bounded above and below by what its unseen dimensions may still add. Processing
+descending, some at a time. A candidate's score is at least what it has so far with the rest at its least, and at most that and the sum of what unprocessed segments may still add. Processing
 stops only when at most POSSIBLE candidates can still reach the query's k best: a score is proven out of reach when
 its upper bound is below the k-th best of the lower bounds and of some exact scores known from the start. The possible members are then scored
 exactly. So every block gives its exact top k, and the blocks' lists are merged.
@@ -25,9 +25,9 @@ SCALE = 256
 CANDIDATES = 8_192  #: rows of a block, about
 QUERIES = 512  #: queries of a block, about
 LEVELS = 8  #: quantised impacts of a dimension
-ROUND = 64  #: segments processed between two looks at the bounds
+ROUND = 128  #: segments processed between two looks at the bounds
 POSSIBLE = 64  #: few enough to score exactly
-KNOWN = 128  #: candidates scored exactly at the start
+KNOWN = 1_024  #: candidates scored exactly at the start
 
 
 class Index:
@@ -47,6 +47,7 @@ class Index:
         self.last = np.concatenate([c[1:] for c in cuts]) if d else np.zeros(0, int)
         self.high, self.low = self.value[self.dim, self.first], self.value[self.dim, self.last - 1]
         self.most, self.least = high, low
+        self.over, self.under = self.value - low[:, None], self.value - high[:, None]  # what a posting adds to its dimension's least
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best."""
@@ -68,22 +69,17 @@ class Index:
         floor = np.minimum(query * self.most, query * self.least)
         known = np.flatnonzero(~own)[:: max(1, n // KNOWN)]
         reach = np.partition(self.vectors[known] @ query, -k)[-k] if len(known) >= k else -np.inf
-        partial, unseen = np.zeros(n), np.ones((n, d), np.float64)
+        below = np.full(n, floor.sum())
         for at in range(0, len(order), ROUND):
-            now = order[at : at + ROUND]
-            where = [self.post[j, a:b] for j, a, b in zip(self.dim[now], self.first[now], self.last[now])]
-            worth = [self.value[j, a:b] * query[j] for j, a, b in zip(self.dim[now], self.first[now], self.last[now])]
-            partial += np.bincount(np.concatenate(where), np.concatenate(worth), n)
-            for j, w in zip(self.dim[now], where):
-                unseen[w, j] = 0.0
+            segments = [(j, a, b) for j, a, b in zip(*(x[order[at : at + ROUND]].tolist() for x in (self.dim, self.first, self.last)))]
+            where = np.concatenate([self.post[j, a:b] for j, a, b in segments])
+            gain = np.concatenate([(self.over if query[j] > 0 else self.under)[j, a:b] * query[j] for j, a, b in segments])
+            below += np.bincount(where, gain, n)  # a seen part counts as it is, an unseen one at its least
             rest = order[at + ROUND :]
-            ceiling = np.full(d, -np.inf)
+            ceiling = floor.copy()
             np.maximum.at(ceiling, self.dim[rest], upper[rest])
-            ceiling[np.isinf(ceiling)] = 0.0  # all of that dimension is seen
-            below = partial + unseen @ floor
-            below[own] = -np.inf
-            reach = max(reach, np.partition(below, -k)[-k])
-            can = (partial + unseen @ ceiling >= reach) & ~own
+            reach = max(reach, np.partition(np.where(own, -np.inf, below), -k)[-k])
+            can = (below + (ceiling - floor).sum() >= reach) & ~own
             if can.sum() <= POSSIBLE or not len(rest):
                 break
         return np.flatnonzero(can)
