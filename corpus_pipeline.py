@@ -18,8 +18,8 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of equal texts."""
-    return exact_dedup.drop_copies(docs)
+    """The document with the smallest doc_id of each group of equal texts, or one without a doc_id where none has any."""
+    return exact_dedup.keep_documents(docs)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

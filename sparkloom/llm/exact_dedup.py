@@ -97,7 +97,7 @@ def _scan(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _chunks(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
     """The normalised texts of members, a row for each chunk. An empty text has one empty chunk."""
-    kind = docs.schema[key].dataType.simpleString()
+    kind, leader = docs.schema[key].dataType.simpleString(), members.schema["leader"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,15 +110,15 @@ def _chunks(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFra
 
     wanted = members.select("doc_id", "print", "n_bytes", "leader", "n_docs")
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).join(wanted.hint("shuffle_hash"), "doc_id")
-    return rows.mapInArrow(run, f"doc_id {kind}, leader {kind}, n_docs long, chunk_no long, chunk binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, leader {leader}, n_docs long, chunk_no long, chunk binary")
 
 
 def _differing(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
     """The doc_id, print and n_bytes of the members that aren't equal to their leader."""
     chunks = cut(_chunks(docs, members, key, text), "chunks")  # made once, read from both sides
     shares = F.ceil(F.col("n_docs") / GROUP_SLICE).cast("long")
-    leaders = chunks.where(F.col("doc_id") == F.col("leader")).select("leader", "chunk_no", F.col("chunk").alias("leading"), F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"))
-    others = chunks.where(F.col("doc_id") != F.col("leader")).withColumn("share", F.pmod(F.xxhash64("doc_id"), shares))
+    leaders = chunks.where(F.col("doc_id") == F.col("leader.doc_id")).select("leader", "chunk_no", F.col("chunk").alias("leading"), F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"))
+    others = chunks.where(F.col("doc_id") != F.col("leader.doc_id")).withColumn("share", F.pmod(F.xxhash64("doc_id"), shares))
     bad = others.join(leaders, ["leader", "chunk_no", "share"], "left").where(~F.col("chunk").eqNullSafe(F.col("leading"))).select("doc_id", "leader").distinct()
     found = cut(members.join(bad, ["doc_id", "leader"], "left_semi").select("doc_id", "print", "n_bytes", "text_sha256", "n_rows"), "differing")
     discard(chunks)
@@ -131,7 +131,7 @@ def exact_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     done = None
     while True:
         groups = cut(left.groupBy("print", "n_bytes").agg(F.min("doc_id").alias("leader"), F.sum("n_rows").alias("group_size"), F.count("*").alias("n_docs")), "groups")
-        members = left.join(groups.where("n_docs > 1"), ["print", "n_bytes"])
+        members = left.join(groups.where("n_docs > 1"), ["print", "n_bytes"]).withColumn("leader", F.struct(F.col("leader").alias("doc_id"), "print", "n_bytes"))  # an id can lead several groups
         bad = _differing(docs, members, key, text)
         again = not bad.isEmpty()
         if again:
@@ -152,6 +152,17 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     return docs.join(stays, "doc_id", "left_semi").withColumn("__one", one).where("__one = 1").select(*docs.columns)
 
 
+def keep_documents(docs: DataFrame) -> DataFrame:
+    """One row of each document that stays, with the columns of docs. A document is a doc_id, null or not, and a normalised text."""
+    normal = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    mark = lambda sha: F.concat(sha, F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("null")))
+    stays = exact_classes(docs).where("kept").select(mark(F.col("text_sha256")).alias("__mark"))
+    rows = docs.withColumn("__mark", mark(F.sha2(normal.cast("binary"), 256))).join(stays.hint("shuffle_hash"), "__mark", "left_semi")
+    order = [c for c in docs.columns if c not in ("doc_id", "text")] + ["text"]
+    one = F.row_number().over(Window.partitionBy("__mark").orderBy(*order))
+    return rows.withColumn("__one", one).where("__one = 1").select(*docs.columns)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import cut
@@ -33,9 +33,9 @@ DOCS = 4_096  #: documents put in order together, about
 _BITS = 40  #: of a van der Corput point; also the most slots
 
 
-def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", also: Sequence[Column] = ()) -> DataFrame:
     words = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words.cast("long").alias("size"), F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|mix")).cast("binary")).alias("h"))
+    return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words.cast("long").alias("size"), F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|mix")).cast("binary")).alias("h"), *also)
 
 
 def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -77,14 +77,19 @@ def _slots(sources: DataFrame, block: int) -> DataFrame:
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, block: int = BLOCK, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, size, source_size, target and taken (words, repeats counted) of every document."""
-    sized = cut(sizes(docs, key, text, source), "sizes")
+    return _mix(docs, weights, most, block, key, text, source)
+
+
+def _mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, block: int = BLOCK, key: str = "doc_id", text: str = "text", source: str = "source", also: dict[str, Column] = {}) -> DataFrame:  # noqa: B006
+    """The mix, with the columns also (by name), which order rows of one doc_id and size."""
+    sized = cut(sizes(docs, key, text, source, [c.alias(name) for name, c in also.items()]), "sizes")
     sources = cut(targets(sized, weights, most), "sources")
     bits = min(28, max(1, sized.count() // DOCS).bit_length())
     bucket = F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), 32 - bits)
-    placed = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "h", "number", "source_size", "target", "quota", bucket.alias("bucket"))
+    placed = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "h", "number", "source_size", "target", "quota", bucket.alias("bucket"), *also)
     sums = placed.groupBy("number", "bucket").agg(F.sum("size").alias("words"))
     earlier = sums.select("number", "bucket", F.coalesce(F.sum("words").over(Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
-    order = Window.partitionBy("number", "bucket").orderBy("h", "doc_id", "size")
+    order = Window.partitionBy("number", "bucket").orderBy("h", "doc_id", "size", *also)
     inside = placed.select("*", F.row_number().over(order).alias("n"), F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("to"))
     streamed = inside.join(earlier, ["number", "bucket"]).withColumn("first", F.col("earlier") + F.col("to") - F.col("size"))
     rounds = F.greatest(F.ceil(F.col("quota") / F.greatest("source_size", F.lit(1))), F.lit(1))
@@ -95,15 +100,33 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, blo
     slots = _slots(sources, block).withColumn("filled", F.lit(1))
     low, high = F.greatest("start", F.col("rank") * block), F.least(F.col("start") + F.col("size"), (F.col("rank") + 1) * block, "quota")
     taken = parts.join(slots, ["number", "rank"], "left").withColumn("taken", F.when(F.col("filled").isNotNull(), F.greatest(high - low, F.lit(0))).otherwise(0))
-    whole = taken.groupBy("number", "bucket", "n").agg(*(F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")), F.sum("taken").alias("taken"))
-    return whole.select("doc_id", "size", "source_size", "target", "taken")
+    whole = taken.groupBy("number", "bucket", "n").agg(*(F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target", *also)), F.sum("taken").alias("taken"))
+    return whole.select("doc_id", "size", "source_size", "target", "taken", *also)
+
+
+def _mark() -> Column:
+    """A hash of doc_id, source and text, each of which can be null."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
+    of = lambda c: F.sha2(F.col(c).cast("string").cast("binary"), 256)
+    return F.sha2(F.concat(part(of("doc_id")), part(of("source")), part(of("text"))).cast("binary"), 256)
 
 
 def repeat_documents(docs: DataFrame) -> DataFrame:
-    """The mix as rows: each document as often as its taken words come to, rounded, with the columns of docs."""
+    """The mix as rows: each document as often as its taken words come to, rounded, with the columns of docs.
+
+    Rows meet their numbers by doc_id (also a null one), source and text. Rows equal in these take theirs in the order of the other columns.
+    """
     times = F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2))
-    copies = mix(docs).where("size > 0").groupBy("doc_id").agg(F.max(times).alias("__times")).where("__times > 0")
-    return docs.join(copies, "doc_id").withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
+    counted = _mix(docs, also={"__mark": _mark()}).where("size > 0").groupBy("__mark").agg(F.sort_array(F.collect_list(times), asc=False).alias("__all"))
+    counted = cut(counted, "copies")
+    marked = docs.withColumn("__mark", _mark())
+    rows = marked.join(counted.where("size(__all) = 1 AND __all[0] > 0").hint("shuffle_hash"), "__mark").withColumn("__times", F.element_at("__all", 1))
+    repeated = counted.where("size(__all) > 1")
+    if not repeated.isEmpty():  # texts are put in order only where rows repeat
+        rest = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+        nth = F.row_number().over(Window.partitionBy("__mark").orderBy(*rest, "doc_id"))
+        rows = rows.unionByName(marked.join(repeated.hint("shuffle_hash"), "__mark").withColumn("__times", F.element_at("__all", nth)).where("__times > 0"))
+    return rows.withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

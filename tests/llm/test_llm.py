@@ -475,3 +475,58 @@ def test_pipeline_stages(spark):
             assert 0 < len(rows) <= before
             before = len(rows)
     assert len(rows) == docs.count() and {"doc_id", "n_tokens", "ids_sha256"} <= set(after.columns)
+
+
+def odd_ids(spark):
+    """Ids that are null, repeated with one text, and repeated with several; ids 1, 2 and 3 share their texts crosswise."""
+    a, b, c, d = (prose(30, 300 + k) for k in range(4))
+    texts = [(1, a), (1, b), (2, a), (3, b.replace(" ", "  ")), (4, c), (4, c), (4, c + " more"), (None, d), (None, d), (None, a), (None, "lost " + d), (5, "lost too " + d), (5, None)]
+    rows = [(i, t, "en", s, n) for n, (i, t) in enumerate(texts) for s in [None if n % 3 == 0 else f"s{n % 3}"]]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+
+
+def test_pipeline_removes_copies_of_odd_ids(spark, odd):
+    import corpus_pipeline
+
+    for docs in (odd_ids(spark), odd):
+        rows = [(r.doc_id, " ".join(("|" + (r.text or "") + "|").split())) for r in docs.collect()]
+        least = {t: min((i for i, x in rows if x == t and i is not None), default=None) for _, t in rows}
+        got = [(r.doc_id, " ".join(("|" + (r.text or "") + "|").split())) for r in corpus_pipeline.remove_copies(spark, docs, SF).collect()]
+        assert Counter(got) == Counter((i, t) for t, i in least.items())
+
+
+def test_pipeline_mixes_odd_ids(spark):
+    import corpus_pipeline
+
+    docs = odd_ids(spark)
+    rows = [(r.doc_id, r.source, len((r.text or "").split()), r.text) for r in docs.collect()]
+    sizes = Counter()
+    for _, s, n, _ in rows:
+        sizes[s] += n
+    target = brute_targets(sizes)
+    want = Counter()
+    for s in sizes:
+        own = sorted((r for r in rows if r[1] == s), key=lambda r: (sha_order(r[0]), r[0] is not None, r[0] or 0, r[2]))
+        ties = Counter((r[0], r[2]) for r in own if r[2])
+        assert max(ties.values()) == 1
+        quota, at = int(target[s]), 0
+        for i, _, n, text in own:
+            if n:
+                taken = n * (quota // sizes[s]) + max(0, min(n, quota % sizes[s] - at))
+                want[i, s, text] += (2 * taken + n) // (2 * n)
+            at += n
+    got = Counter((r.doc_id, r.source, r.text) for r in corpus_pipeline.mix_sources(spark, docs, SF).collect())
+    assert got == +want and any(i is None for i, _, _ in got)
+
+
+def sha_order(doc_id):
+    from hashlib import md5
+
+    return md5(f"{'' if doc_id is None else doc_id}|mix".encode()).hexdigest()
+
+
+def test_mix_takes_each_repeated_row(spark):
+    docs = spark.createDataFrame([(1, prose(9, 400), "a", n) for n in range(3)] + [(None, prose(8, 401), "b", 0)], "doc_id long, text string, source string, n int")
+    taken = sorted(((2 * r.taken + r.size) // (2 * r.size) for r in mixing.mix(docs).collect() if r.doc_id == 1), reverse=True)
+    got = Counter(r.n for r in mixing.repeat_documents(docs).collect() if r.doc_id == 1)
+    assert [got[n] for n in range(3)] == taken
