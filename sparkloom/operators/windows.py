@@ -36,9 +36,11 @@ def running_total(rows: DataFrame, bucket: Column, order: Order, value: Column,
 
 
 def base26(n: Column) -> Column:
-    """0 is a, 25 is z, 26 is aa, up to zz."""
-    letter = lambda x: F.char(x.cast("int") + 97)
-    return F.when(n < 26, letter(n)).otherwise(F.concat(letter(F.floor(n / 26) - 1), letter(n % 26)))
+    """0 is a, 25 is z, 26 is aa, 702 is aaa, and so on; a long has at most fourteen letters."""
+    state = lambda k, s: F.struct(k.alias("k"), s.alias("s"))
+    letter = lambda k: F.char((k % 26).cast("int") + 97)
+    step = lambda x, _: F.when(x["k"] < 0, x).otherwise(state(F.call_function("div", x["k"], F.lit(26)).cast("long") - 1, F.concat(letter(x["k"]), x["s"])))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), state(n.cast("long"), F.lit("")), step, lambda x: x["s"])
 
 
 def suffix_duplicates(rows: DataFrame, key: str, order: Order, out: str = "new_id") -> DataFrame:

@@ -350,7 +350,7 @@ BASE26 = "CASE WHEN {0} < 26 THEN chr(CAST(97 + {0} AS INTEGER)) ELSE chr(CAST(9
 
 @query("win_dup_suffix", f"WITH n AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events WHERE event_id < 30000) SELECT event_id, CASE WHEN n = 1 THEN CAST(user_id AS VARCHAR) ELSE user_id || '_' || {BASE26.format('k')} END AS new_id FROM n")
 def win_dup_suffix(t: Tables) -> DataFrame:
-    return W.suffix_duplicates(t.events.where("event_id < 30000"), "user_id", ["event_id"]).select("event_id", "new_id")
+    return W.suffix_duplicates(t.events, "user_id", ["event_id"]).select("event_id", "new_id")
 
 
 @query("fn_base26", f"SELECT p_partkey, {BASE26.format('(p_partkey % 702)')} AS name FROM part")
@@ -358,6 +358,12 @@ def fn_base26(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", W.base26(F.col("p_partkey") % 702).alias("name"))
 
 
+@query("fn_base26_whole")
+def fn_base26_whole(t: Tables) -> DataFrame:
+    """The names of keys as they are; the twin of fn_base26 wraps them at zz."""
+    return t.part.select("p_partkey", W.base26(F.col("p_partkey")).alias("name"))
+
+
 @query("win_sequential_id", "SELECT o_orderkey, o_orderpriority || '_' || lpad(CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS VARCHAR), 6, '0') AS id FROM orders")
 def win_sequential_id(t: Tables) -> DataFrame:
     """Running ids of each type. Numbers run in buckets of keys first, so a type's rows needn't meet in one task."""

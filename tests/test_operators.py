@@ -12,7 +12,8 @@ from sparkloom.functions import text as T
 from sparkloom.operators import external as E
 from sparkloom.operators import sampling as S
 from sparkloom.operators.packing import pack
-from sparkloom.operators.windows import running_total
+from sparkloom.operators.windows import base26, running_total, suffix_duplicates
+from sparkloom.plans import QUERIES
 
 GOLDEN = [
     ("<answer> b </answer>", "B"), ("**Final Answer: C**", "C"), ("Answer: because it is left", "B"), ("I pick (D)", "D"), ("\\boxed{A}", "A"),
@@ -92,3 +93,28 @@ def test_retries():
 
     assert E.with_retries(fails, "x", tries=3, wait=0) == (None, "OSError: no") and len(calls) == 3
     assert E.with_retries(lambda p: "True", "x") == ("True", None)
+
+
+def letters(k):
+    s = ""
+    while k >= 0:
+        k, s = k // 26 - 1, chr(97 + k % 26) + s
+    return s
+
+
+def test_base26_any_length(spark):
+    some = [*range(20_000), 26**5, 2**53 + 1, 2**63 - 1]
+    rows = spark.createDataFrame([(k,) for k in some], "k long").select("k", base26(F.col("k")).alias("s")).collect()
+    assert all(r.s == letters(r.k) for r in rows)
+    assert [r.s for r in spark.sql("SELECT CAST(NULL AS LONG) AS k").select(base26(F.col("k")).alias("s")).collect()] == [None]
+
+
+def test_dup_suffix_hot_key(spark, tmp_path):
+    spark.range(29_990, 40_000).select(F.col("id").alias("event_id"), F.lit(7).alias("user_id")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.new_id for r in QUERIES["win_dup_suffix"](spark, str(tmp_path)).collect()}
+    assert got == {i: "7_" + letters(i - 29_990) for i in range(29_990, 40_000)}
+
+
+def test_base26_whole_keys(spark, tmp_path):
+    spark.range(2_000).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    assert all(r.name == letters(r.p_partkey) for r in QUERIES["fn_base26_whole"](spark, str(tmp_path)).collect())
