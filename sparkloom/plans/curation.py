@@ -21,7 +21,7 @@ MD5 = "md5('42|' || CAST({} AS VARCHAR))"
 
 @query("filter_nonempty_question", "SELECT doc_id FROM documents WHERE trim(substr(coalesce(text, ''), 1, 5)) <> ''")
 def filter_nonempty_question(t: Tables) -> DataFrame:
-    return t.documents.where(F.trim(F.substring(F.coalesce("text", F.lit("")), 1, 5)) != "").select("doc_id")
+    return t.documents.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("doc_id")
 
 
 @query("filter_blacklist", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")

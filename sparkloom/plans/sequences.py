@@ -5,7 +5,7 @@ Stand-ins: conversations for chats, lines of an order for segments of a sequence
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.packing import pack_greedy
@@ -19,7 +19,17 @@ e AS (SELECT conv_id, turn, role, unnest(parts) AS part, generate_subscripts(par
 SELECT conv_id, turn, CAST(2 * (i - 1) AS INTEGER) AS pos, 'text' AS kind, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS loss FROM e WHERE trim(part) <> '' UNION ALL SELECT conv_id, turn, CAST(2 * (i - 1) - 1 AS INTEGER), 'image', 0 FROM e WHERE i > 1""")
 def arr_chat_elements(t: Tables) -> DataFrame:
     """Turns cut at their image marks (here: ` de `): images and texts in turn, loss on the assistant's texts only."""
-    parts = F.split(F.substring("text", 1, 120), " de ")
+    return _elements(t, F.substring("text", 1, 120))
+
+
+@query("arr_chat_elements_whole")
+def arr_chat_elements_whole(t: Tables) -> DataFrame:
+    """The elements of whole turns; the twin of arr_chat_elements ends at 120 characters."""
+    return _elements(t, F.col("text"))
+
+
+def _elements(t: Tables, text: Column) -> DataFrame:
+    parts = F.split(text, " de ")
     rows = t.conversations.where("role <> 'system'").select("conv_id", "turn", "role", F.posexplode(parts).alias("i", "part"))
     loss = F.when(F.col("role") == "assistant", 1).otherwise(0)
     two = F.array(F.when(F.trim("part") != "", F.struct((F.col("i") * 2).alias("pos"), F.lit("text").alias("kind"), loss.alias("loss"))), F.when(F.col("i") > 0, F.struct((F.col("i") * 2 - 1).alias("pos"), F.lit("image").alias("kind"), F.lit(0).alias("loss"))))

@@ -131,7 +131,16 @@ def fn_parse_pm_id(t: Tables) -> DataFrame:
 @query("fn_question_tail", "SELECT conv_id, turn, substr(text, length(text) - 19) AS tail FROM (SELECT conv_id, turn, substr(text, 1, 100) AS text FROM conversations)")
 def fn_question_tail(t: Tables) -> DataFrame:
     """The text behind the last image mark (here put before the last twenty characters)."""
-    s = F.substring("text", 1, 100)
+    return _tails(t, F.substring("text", 1, 100))
+
+
+@query("fn_question_tail_whole")
+def fn_question_tail_whole(t: Tables) -> DataFrame:
+    """The tails of whole turns; the twin of fn_question_tail ends at 100 characters."""
+    return _tails(t, F.col("text"))
+
+
+def _tails(t: Tables, s: Column) -> DataFrame:
     cut = F.greatest(F.length(s) - 20, F.lit(0))
     marked = F.concat(F.lit("<image>"), F.substr(s, F.lit(1), cut), F.lit("<image>"), F.substr(s, cut + 1))
     return t.conversations.select("conv_id", "turn", F.substring_index(marked, "<image>", -1).alias("tail"))
@@ -181,7 +190,17 @@ STOP = ["the", "and", "that", "with"]
 
 @query("fn_tokens", "WITH w AS (SELECT doc_id, unnest(string_split(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', ' ', 'g'), ' ')) AS w FROM documents), k AS (SELECT doc_id, CASE WHEN length(w) > 4 AND ends_with(w, 's') THEN substr(w, 1, length(w) - 1) ELSE w END AS w FROM w WHERE length(w) > 2 AND w NOT IN ('the', 'and', 'that', 'with')) SELECT doc_id, count(DISTINCT w) AS n FROM k GROUP BY doc_id")
 def fn_tokens(t: Tables) -> DataFrame:
-    tokens = T.tokens(F.substring("text", 1, 200), STOP)
+    return _token_counts(t, F.substring("text", 1, 200))
+
+
+@query("fn_tokens_whole")
+def fn_tokens_whole(t: Tables) -> DataFrame:
+    """The tokens of whole documents; the twin of fn_tokens ends at 200 characters."""
+    return _token_counts(t, F.col("text"))
+
+
+def _token_counts(t: Tables, text: Column) -> DataFrame:
+    tokens = T.tokens(text, STOP)
     return t.documents.select("doc_id", F.size(tokens).cast("long").alias("n")).where("n > 0")
 
 

@@ -118,3 +118,18 @@ def test_dup_suffix_hot_key(spark, tmp_path):
 def test_base26_whole_keys(spark, tmp_path):
     spark.range(2_000).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
     assert all(r.name == letters(r.p_partkey) for r in QUERIES["fn_base26_whole"](spark, str(tmp_path)).collect())
+
+
+def test_texts_are_read_whole(spark, tmp_path):
+    words = "alpha beta gammas delta the epsilon cats zeta eta theta".split()
+    turn = " de ".join(f"{w} {k}" for k, w in enumerate(words * 4)) + " the very end of a turn"
+    spark.createDataFrame([(1, 0, "assistant", turn), (1, 1, "user", "short")], "conv_id int, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    text = " ".join(w + str(k) for k, w in enumerate(words * 9))
+    spark.createDataFrame([(1, "     " + text), (2, "      "), (3, None)], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert [r.doc_id for r in rows("filter_nonempty_question")] == [1]
+    assert {r.turn: r.tail for r in rows("fn_question_tail_whole")} == {0: turn[-20:], 1: "short"}
+    assert [(r.doc_id, r.n) for r in rows("fn_tokens_whole")] == [(1, 90)]
+    parts = turn.split(" de ")
+    want = [(2 * i, "text", 1) for i in range(len(parts))] + [(2 * i - 1, "image", 0) for i in range(1, len(parts))]
+    assert sorted((r.pos, r.kind, r.loss) for r in rows("arr_chat_elements_whole") if r.turn == 0) == sorted(want)
