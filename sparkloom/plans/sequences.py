@@ -122,8 +122,8 @@ def arr_mask_apply(t: Tables) -> DataFrame:
 GRID = "WITH g AS (SELECT p_partkey, p_size % 6 + 1 AS h, p_size % 5 + 2 AS w FROM part WHERE p_partkey % 10 = 0), c AS (SELECT p_partkey, h, w, i, unnest(generate_series(0, w - 1)) AS j FROM (SELECT p_partkey, h, w, unnest(generate_series(0, h - 1)) AS i FROM g))"
 
 
-def _grid(t: Tables) -> DataFrame:
-    g = t.part.where("p_partkey % 10 = 0").select("p_partkey", (F.col("p_size") % 6 + 1).alias("h"), (F.col("p_size") % 5 + 2).alias("w"))
+def _grid(t: Tables, where: str = "p_partkey % 10 = 0") -> DataFrame:
+    g = t.part.where(where).select("p_partkey", (F.col("p_size") % 6 + 1).alias("h"), (F.col("p_size") % 5 + 2).alias("w"))
     g = g.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
     return g.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
 
@@ -148,6 +148,25 @@ def arr_grid_rescale(t: Tables) -> DataFrame:
     return _grid(t).select("p_partkey", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), to("i", "h").alias("to_i"), to("j", "w").alias("to_j"))
 
 
+@query("arr_grid_rescale_whole")
+def arr_grid_rescale_whole(t: Tables) -> DataFrame:
+    """Every cell of a grid of four by four whose centre lies in each cell, or the nearest one if there is none; the twin of arr_grid_rescale knows the nearest one only."""
+    return rescale(_grid(t, "true"), 4, 4).select("p_partkey", "i", "j", "to_i", "to_j")
+
+
+def rescale(cells: DataFrame, rows: int, columns: int) -> DataFrame:
+    """The cells (i, j of a grid of h by w) with the cells to_i, to_j of a grid of rows by columns whose centres lie inside."""
+    long = lambda x: F.col(x).cast("long")
+    first = lambda x, n, m: F.ceil((x * 2 * m - n) / (n * 2))  # noqa: E731  # (k + 0.5) / m >= x / n
+    whole = lambda low, high: F.filter(F.sequence(F.lit(0).cast("long"), F.lit(max(rows, columns) - 1).cast("long")), lambda k: (k >= low) & (k < high))
+    inside = lambda x, n, m: whole(first(long(x), long(n), m), first(long(x) + 1, long(n), m))
+    nearest = lambda x, n, m: F.array(F.floor((long(x) * 2 + 1) * m / (long(n) * 2)))
+    found = cells.select("*", inside("i", "h", rows).alias("__i"), inside("j", "w", columns).alias("__j"))
+    none = (F.size("__i") == 0) | (F.size("__j") == 0)
+    to = found.withColumn("to_i", F.explode(F.when(none, nearest("i", "h", rows)).otherwise(F.col("__i")))).withColumn("to_j", F.explode(F.when(none, nearest("j", "w", columns)).otherwise(F.col("__j"))))
+    return to.drop("__i", "__j").withColumns({"i": long("i"), "j": long("j")})
+
+
 LONG = "WITH l AS (SELECT l_suppkey, l_linenumber, l_returnflag AS g, round(sum(l_discount), 6) AS m FROM lineitem GROUP BY 1, 2, 3)"
 
 

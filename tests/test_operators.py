@@ -133,3 +133,19 @@ def test_texts_are_read_whole(spark, tmp_path):
     parts = turn.split(" de ")
     want = [(2 * i, "text", 1) for i in range(len(parts))] + [(2 * i - 1, "image", 0) for i in range(1, len(parts))]
     assert sorted((r.pos, r.kind, r.loss) for r in rows("arr_chat_elements_whole") if r.turn == 0) == sorted(want)
+
+
+def test_grid_rescale_whole(spark, tmp_path):
+    spark.range(60).select(F.col("id").alias("p_partkey"), F.col("id").cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    want = set()
+    for p in range(60):
+        h, w = p % 6 + 1, p % 5 + 2
+        for i in range(h):
+            for j in range(w):
+                rs = [r for r in range(4) if i / h <= (r + 0.5) / 4 < (i + 1) / h]
+                cs = [c for c in range(4) if j / w <= (c + 0.5) / 4 < (j + 1) / w]
+                if not rs or not cs:
+                    rs, cs = [int((2 * i + 1) * 4 / (2 * h))], [int((2 * j + 1) * 4 / (2 * w))]
+                want |= {(p, i, j, r, c) for r in rs for c in cs}
+    got = [tuple(r) for r in QUERIES["arr_grid_rescale_whole"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
