@@ -69,6 +69,19 @@ def psnr(a: Column, b: Column) -> Column:
     return F.when(error == 0, F.lit(float("inf"))).otherwise(F.lit(10.0) * F.log10(F.lit(1.0) / F.when(error == 0, 1.0).otherwise(error)))
 
 
+def ssim(a: Column, b: Column) -> Column:
+    """Structural similarity of two arrays of 0 to 1, from means, variances and covariance over the whole arrays."""
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, y: acc + y) / F.size(x)
+    both = lambda x, u, y, v: mean(F.zip_with(x, y, lambda p, q: (p - u) * (q - v)))
+    c1, c2 = 0.01**2, 0.03**2
+
+    def value(m: Column) -> Column:
+        u, v = m["u"], m["v"]
+        return (u * v * 2 + c1) * (both(a, u, b, v) * 2 + c2) / ((u * u + v * v + c1) * (both(a, u, a, u) + both(b, v, b, v) + c2))
+
+    return F.get(F.transform(F.array(F.struct(mean(a).alias("u"), mean(b).alias("v"))), value), F.lit(0))  # means are computed once
+
+
 def loss_weight(n: Column, kind: str) -> Column:
     return {"square": F.lit(1.0) / F.sqrt(n), "token": F.lit(1.0) + n * 0, "sample": F.lit(1.0) / n}[kind]
 

@@ -287,9 +287,19 @@ def fn_cosine(t: Tables) -> DataFrame:
 
 @query("fn_psnr_ssim", "WITH v AS (SELECT vec_id, i, CAST(x AS DOUBLE) AS x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)), e AS (SELECT a.vec_id, avg((a.x - b.x) * (a.x - b.x)) AS mse FROM v a JOIN v b ON a.i = b.i AND b.vec_id = a.vec_id + 1 GROUP BY a.vec_id) SELECT vec_id, round(10 * log10(1 / mse), 6) AS psnr FROM e WHERE mse > 0")
 def fn_psnr_ssim(t: Tables) -> DataFrame:
+    return _neighbours(t).select("vec_id", F.round(G.psnr(F.col("a"), F.col("b")), 6).alias("psnr")).where("psnr < double('infinity')")
+
+
+@query("fn_psnr_ssim_whole")
+def fn_psnr_ssim_whole(t: Tables) -> DataFrame:
+    """PSNR (infinite if equal) and SSIM of all pairs; the twin of fn_psnr_ssim has no SSIM and no equal pairs."""
+    psnr, equal = G.psnr(F.col("a"), F.col("b")), F.lit(float("inf"))
+    return _neighbours(t).select("vec_id", F.when(psnr == equal, psnr).otherwise(F.round(psnr, 6)).alias("psnr"), F.round(G.ssim(F.col("a"), F.col("b")), 6).alias("ssim"))
+
+
+def _neighbours(t: Tables) -> DataFrame:
     v = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
-    both = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
-    return both.select("vec_id", F.round(G.psnr(F.col("a"), F.col("b")), 6).alias("psnr")).where("psnr < double('infinity')")
+    return v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
 
 
 @query("fn_text_metrics", None)

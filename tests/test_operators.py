@@ -149,3 +149,19 @@ def test_grid_rescale_whole(spark, tmp_path):
                 want |= {(p, i, j, r, c) for r in rs for c in cs}
     got = [tuple(r) for r in QUERIES["arr_grid_rescale_whole"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_psnr_ssim_whole(spark, tmp_path):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    v = [r.random(16), r.random(16), r.random(16)]
+    v += [v[2], np.zeros(16), np.zeros(16)]
+    spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {x.vec_id: (x.psnr, x.ssim) for x in QUERIES["fn_psnr_ssim_whole"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4]
+    for k, (a, b) in enumerate(zip(v, v[1:])):
+        mse = ((a - b) ** 2).mean()
+        cov = ((a - a.mean()) * (b - b.mean())).mean()
+        ssim = (2 * a.mean() * b.mean() + 1e-4) * (2 * cov + 9e-4) / ((a.mean() ** 2 + b.mean() ** 2 + 1e-4) * (a.var() + b.var() + 9e-4))
+        assert got[k] == (pytest.approx(10 * math.log10(1 / mse), abs=1e-5) if mse else math.inf, pytest.approx(ssim, abs=1e-5))
