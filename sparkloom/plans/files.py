@@ -199,7 +199,17 @@ def sink_markdown_pivot(t: Tables) -> DataFrame:
 @query("sink_images_export", "SELECT vec_id, CAST(i AS INTEGER) AS i, vec_id || '_' || i || '.png' AS name FROM embeddings, (SELECT unnest(generate_series(0, 2)) AS i) WHERE vec_id < 20")
 def sink_images_export(t: Tables) -> DataFrame:
     """A file name for each image of a list, by row and position."""
-    rows = t.embeddings.where("vec_id < 20").select("vec_id", F.posexplode(F.slice("embedding", 1, 3)).alias("i", "image"))
+    return _image_names(t.embeddings.where("vec_id < 20"))
+
+
+@query("sink_images_export_whole")
+def sink_images_export_whole(t: Tables) -> DataFrame:
+    """A file name for each image of every row; the twin of sink_images_export has the first twenty."""
+    return _image_names(t.embeddings)
+
+
+def _image_names(lists: DataFrame) -> DataFrame:
+    rows = lists.select("vec_id", F.posexplode(F.slice("embedding", 1, 3)).alias("i", "image"))
     return rows.select("vec_id", "i", F.concat(F.col("vec_id").cast("string"), F.lit("_"), F.col("i").cast("string"), F.lit(".png")).alias("name"))
 
 

@@ -14,7 +14,17 @@ from .registry import Tables, query
 
 @query("st_infinite_epochs", "SELECT event_id, CAST(e AS INTEGER) AS epoch, e * 1000000 + event_id AS cursor FROM events, (SELECT unnest(generate_series(0, 1)) AS e) WHERE event_id < 500")
 def st_infinite_epochs(t: Tables) -> DataFrame:
-    rows = t.events.where("event_id < 500").select("event_id")
+    return _epochs(t.events.where("event_id < 500"))
+
+
+@query("st_infinite_epochs_whole")
+def st_infinite_epochs_whole(t: Tables) -> DataFrame:
+    """Epochs of all events; the twin of st_infinite_epochs has the first 500."""
+    return _epochs(t.events)
+
+
+def _epochs(events: DataFrame) -> DataFrame:
+    rows = events.select("event_id")
     return R.epochs(rows, 2, F.col("epoch") * 1000000 + F.col("event_id"))
 
 
@@ -25,8 +35,20 @@ def _landed(t: Tables, where: str, path: str) -> None:
 @query("st_cursor_resume", "SELECT event_id, user_id FROM events WHERE event_id < 3000")
 def st_cursor_resume(t: Tables) -> DataFrame:
     """A file stream is drained twice; the second time it reads only what has come since."""
+    return _resumed(t, "event_id < 2000", "event_id >= 2000 AND event_id < 3000")
+
+
+@query("st_cursor_resume_whole")
+def st_cursor_resume_whole(t: Tables) -> DataFrame:
+    """The same of all events, split in the middle of their ids; the twin of st_cursor_resume ends at 3000."""
+    low, high = t.events.agg(F.min("event_id"), F.max("event_id")).first()
+    middle = ((low or 0) + (high or 0)) // 2
+    return _resumed(t, f"event_id < {middle}", f"event_id >= {middle} OR event_id IS NULL")
+
+
+def _resumed(t: Tables, *landings: str) -> DataFrame:
     base = work_folder(t.spark)
-    for where in ("event_id < 2000", "event_id >= 2000 AND event_id < 3000"):
+    for where in landings:
         _landed(t, where, f"{base}/in")
         stream = R.file_stream(t.spark, f"{base}/in", "event_id long, user_id long, event_type string, value double")
         R.drain(stream.select("event_id", "user_id"), f"{base}/out", f"{base}/checkpoint")

@@ -91,9 +91,9 @@ TOKENS = """WITH s AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l
 k AS (SELECT o, s, f, unnest(generate_series(1, n)) AS j FROM s)"""
 
 
-def _tokens(t: Tables) -> DataFrame:
+def _tokens(t: Tables, where: str = "l_orderkey % 20 = 0") -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    s = t.lineitem.where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("o"), F.row_number().over(w).alias("s"), (F.col("l_quantity").cast("long") % 3 + 1).alias("n"), F.col("l_returnflag").alias("f"))
+    s = t.lineitem.where(where).select(F.col("l_orderkey").alias("o"), F.row_number().over(w).alias("s"), (F.col("l_quantity").cast("long") % 3 + 1).alias("n"), F.col("l_returnflag").alias("f"))
     return s.select("o", "s", "f", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("j"))
 
 
@@ -103,7 +103,17 @@ VISIBLE = "a.o = b.o AND ((b.s = a.s AND (a.f <> 'A' OR b.j <= a.j)) OR (b.s < a
 @query("arr_attn_mask", TOKENS + f" SELECT a.o, count(*) AS n_pairs FROM k a JOIN k b ON {VISIBLE} GROUP BY a.o")
 def arr_attn_mask(t: Tables) -> DataFrame:
     """Which tokens of a sequence see which, as pairs: causal or full inside of a split; earlier splits are seen unless they are noise."""
-    return _visible(_tokens(t)).groupBy("o").agg(F.count("*").alias("n_pairs"))
+    return _mask(_tokens(t))
+
+
+@query("arr_attn_mask_whole")
+def arr_attn_mask_whole(t: Tables) -> DataFrame:
+    """The mask of every order; the twin of arr_attn_mask has every twentieth key."""
+    return _mask(_tokens(t, "true"))
+
+
+def _mask(k: DataFrame) -> DataFrame:
+    return _visible(k).groupBy("o").agg(F.count("*").alias("n_pairs"))
 
 
 def _visible(k: DataFrame) -> DataFrame:
@@ -115,8 +125,18 @@ def _visible(k: DataFrame) -> DataFrame:
 @query("arr_mask_apply", TOKENS + f" SELECT a.o, count(*) AS n_pairs FROM k a JOIN k b ON {VISIBLE} AND NOT (a.s >= 4 AND b.s <= 2 AND b.j = 2 AND NOT b.f = 'N') GROUP BY a.o")
 def arr_mask_apply(t: Tables) -> DataFrame:
     """The same relation where reflecting splits (from the fourth) don't see dropped tokens of the views (the second of splits 1 and 2), unless the bridge (full splits) shows them again."""
+    return _masked(_tokens(t))
+
+
+@query("arr_mask_apply_whole")
+def arr_mask_apply_whole(t: Tables) -> DataFrame:
+    """The same of every order; the twin of arr_mask_apply has every twentieth key."""
+    return _masked(_tokens(t, "true"))
+
+
+def _masked(k: DataFrame) -> DataFrame:
     hidden = (F.col("as") >= 4) & (F.col("bs") <= 2) & (F.col("bj") == 2) & (F.col("bf") != "N")
-    return _visible(_tokens(t)).where(~hidden).groupBy("o").agg(F.count("*").alias("n_pairs"))
+    return _visible(k).where(~hidden).groupBy("o").agg(F.count("*").alias("n_pairs"))
 
 
 GRID = "WITH g AS (SELECT p_partkey, p_size % 6 + 1 AS h, p_size % 5 + 2 AS w FROM part WHERE p_partkey % 10 = 0), c AS (SELECT p_partkey, h, w, i, unnest(generate_series(0, w - 1)) AS j FROM (SELECT p_partkey, h, w, unnest(generate_series(0, h - 1)) AS i FROM g))"
@@ -131,14 +151,34 @@ def _grid(t: Tables, where: str = "p_partkey % 10 = 0") -> DataFrame:
 @query("arr_position_ids", GRID + " SELECT p_partkey, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(i * 70 + j AS BIGINT) AS id FROM c")
 def arr_position_ids(t: Tables) -> DataFrame:
     """Row-major ids of a grid of patches with the stride of the longest side allowed."""
-    return _grid(t).select("p_partkey", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.col("i") * 70 + F.col("j")).cast("long").alias("id"))
+    return _positions(_grid(t))
+
+
+@query("arr_position_ids_whole")
+def arr_position_ids_whole(t: Tables) -> DataFrame:
+    """The ids of every grid; the twin of arr_position_ids has every tenth part."""
+    return _positions(_grid(t, "true"))
+
+
+def _positions(cells: DataFrame) -> DataFrame:
+    return cells.select("p_partkey", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.col("i") * 70 + F.col("j")).cast("long").alias("id"))
 
 
 @query("arr_region_pick", GRID + " SELECT p_partkey, count(*) AS n FROM c WHERE i < ceil(h * sqrt(0.5::DOUBLE)) AND j < ceil(w * sqrt(0.5::DOUBLE)) GROUP BY p_partkey")
 def arr_region_pick(t: Tables) -> DataFrame:
     """The cells of a contiguous rectangle of about half of a grid."""
+    return _region(_grid(t))
+
+
+@query("arr_region_pick_whole")
+def arr_region_pick_whole(t: Tables) -> DataFrame:
+    """The region of every grid; the twin of arr_region_pick has every tenth part."""
+    return _region(_grid(t, "true"))
+
+
+def _region(cells: DataFrame) -> DataFrame:
     side = F.sqrt(F.lit(0.5))
-    return _grid(t).where((F.col("i") < F.ceil(F.col("h") * side)) & (F.col("j") < F.ceil(F.col("w") * side))).groupBy("p_partkey").agg(F.count("*").alias("n"))
+    return cells.where((F.col("i") < F.ceil(F.col("h") * side)) & (F.col("j") < F.ceil(F.col("w") * side))).groupBy("p_partkey").agg(F.count("*").alias("n"))
 
 
 @query("arr_grid_rescale", GRID + " SELECT p_partkey, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(floor((i + 0.5::DOUBLE) / h * 4) AS BIGINT) AS to_i, CAST(floor((j + 0.5::DOUBLE) / w * 4) AS BIGINT) AS to_j FROM c")
@@ -225,7 +265,16 @@ p AS (SELECT l_orderkey, unnest(generate_series(x, y - 1)) AS pos FROM w WHERE x
 SELECT p.l_orderkey, CAST(p.pos AS BIGINT) AS pos, coalesce(label, 'UNKNOWN') AS label FROM p LEFT JOIN d ON d.l_orderkey = p.l_orderkey AND d.pos = p.pos""")
 def arr_gap_positions(t: Tables) -> DataFrame:
     """Positions that no span covers, with their labels."""
-    s = spans(t).where("l_orderkey % 50 = 0")
+    return _gap_positions(spans(t).where("l_orderkey % 50 = 0"))
+
+
+@query("arr_gap_positions_whole")
+def arr_gap_positions_whole(t: Tables) -> DataFrame:
+    """The positions of every order; the twin of arr_gap_positions has every fiftieth key."""
+    return _gap_positions(spans(t))
+
+
+def _gap_positions(s: DataFrame) -> DataFrame:
     positions = gaps(s, ["l_orderkey"], "a", "b", "total").select("l_orderkey", F.explode(F.sequence(F.col("gap_start"), F.col("gap_end") - 1)).alias("pos"))
     labels = s.select("l_orderkey", (F.col("a") - 1).alias("pos"), F.lit("start").alias("label")).distinct()
     return positions.join(labels, ["l_orderkey", "pos"], "left").select("l_orderkey", "pos", F.coalesce("label", F.lit("UNKNOWN")).alias("label"))
