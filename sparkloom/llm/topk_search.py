@@ -1,124 +1,206 @@
 """Exact top-k search over integer vectors with an impact-ordered, score-at-a-time index.
 
-Components become floor(256 * x), x as double; a score is an integer inner product. Rows are dealt into blocks of about
-CANDIDATES, and each block is indexed by itself: a dimension's postings are sorted by impact and cut into segments of one
-quantised impact each. For a query, the segments of all its dimensions are processed by the most that they can add to a score,
-descending, some at a time. A candidate's score is at least what it has so far with the rest at its least, and at most that and the sum of what unprocessed segments may still add. Processing
-stops only when at most POSSIBLE candidates can still reach the query's k best: a score is proven out of reach when
-its upper bound is below the k-th best of the lower bounds and of some exact scores known from the start. The possible members are then scored
-exactly. So every block gives its exact top k, and the blocks' lists are merged.
+Components become floor(256 * x), x as double; a score is an integer inner product. Rows are dealt into blocks of bounded size, and the index of
+a block is built once and written. A posting is a row's component in one dimension and its impact the component's magnitude, quantised to
+LEVELS impacts that about equally many postings have. The postings of one dimension and impact are a segment; zeros have none.
 
-Queries are blocked as well. Each block of queries meets each block of candidates in one task of bounded size; no side is broadcast.
+A query processes segments by descending impact; those of one impact, over all dimensions and for many queries, are one matrix product. A row's
+score then differs from what it has so far by at most the query's norm times the norm of the row's unprocessed part, which the index
+holds for each impact. A row is proven out when its upper bound is below the k-th best exact score of rows that lead so far. As soon
+as the rows not proven out are so few that scoring them costs less than another impact, the query stops, and these possible members are
+scored exactly. So each block gives its exact top k, and the blocks' lists are merged.
+
+Each share of the queries meets each block's index in one task; a task holds one index and one share, both of bounded size, and no side is broadcast.
+Vectors without any structure to prune by are thus compared in work that grows with rows times queries; what moves is the index once for each
+QUERIES queries and the queries once for each block.
 
 Vectors that are null or hold null or non-finite components, and rows with a null id, take no part. Vectors of unequal lengths are
-compared as if zeros followed the shorter one. Ties go to the smaller id. A repeated candidate row counts as often as it stands; a repeated query counts once.
+compared as if zeros followed the shorter one. Ties go to the smaller id. A repeated candidate row counts as often as it stands; a repeated
+query counts once. Numbers too large for floating point are compared as integers; of a score beyond 64 bits the column shows the closest
+long, and scores beyond 2**124 rank alike. Only the id and the vector are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SCALE = 256
-CANDIDATES = 8_192  #: rows of a block, about
-QUERIES = 512  #: queries of a block, about
-LEVELS = 8  #: quantised impacts of a dimension
-ROUND = 128  #: segments processed between two looks at the bounds
-POSSIBLE = 64  #: few enough to score exactly
-KNOWN = 1_024  #: candidates scored exactly at the start
-
+from .storage import cut
 
-class Index:
-    """The impact-ordered index of one block: vectors are rows of integers, as float64 (exact up to 2**53)."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        n, d = self.vectors.shape
-        self.post = np.argsort(-self.vectors, axis=0, kind="stable").T.copy()
-        self.value = np.take_along_axis(self.vectors.T, self.post, axis=1)
-        low, high = (self.value[:, -1], self.value[:, 0]) if n else (np.zeros(d), np.zeros(d))
-        level = np.floor((self.value - low[:, None]) * LEVELS / np.maximum(high - low + 1, 1)[:, None])
-        cuts = [np.concatenate(([0], np.flatnonzero(np.diff(x)) + 1, [n])) for x in level]
-        self.dim = np.concatenate([np.full(len(c) - 1, j) for j, c in enumerate(cuts)]) if d else np.zeros(0, int)
-        self.first = np.concatenate([c[:-1] for c in cuts]) if d else np.zeros(0, int)
-        self.last = np.concatenate([c[1:] for c in cuts]) if d else np.zeros(0, int)
-        self.high, self.low = self.value[self.dim, self.first], self.value[self.dim, self.last - 1]
-        self.most, self.least = high, low
-        self.over, self.under = self.value - low[:, None], self.value - high[:, None]  # what a posting adds to its dimension's least
-
-    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best."""
-        n = len(self.ids)
-        own = self.ids == query_id
-        if n - own.sum() > max(POSSIBLE, KNOWN):
-            possible = self._possible(query, own, k)
-        else:
-            possible = np.flatnonzero(~own)
-        scores = self.vectors[possible] @ query
-        best = np.lexsort((self.ids[possible], -scores))[:k]
-        return self.ids[possible][best], scores[best]
-
-    def _possible(self, query: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-        n, d = self.vectors.shape
-        q = query[self.dim]
-        upper = np.maximum(q * self.high, q * self.low)
-        order = np.argsort(-upper, kind="stable")
-        floor = np.minimum(query * self.most, query * self.least)
-        known = np.flatnonzero(~own)[:: max(1, n // KNOWN)]
-        reach = np.partition(self.vectors[known] @ query, -k)[-k] if len(known) >= k else -np.inf
-        below = np.full(n, floor.sum())
-        for at in range(0, len(order), ROUND):
-            segments = [(j, a, b) for j, a, b in zip(*(x[order[at : at + ROUND]].tolist() for x in (self.dim, self.first, self.last)))]
-            where = np.concatenate([self.post[j, a:b] for j, a, b in segments])
-            gain = np.concatenate([(self.over if query[j] > 0 else self.under)[j, a:b] * query[j] for j, a, b in segments])
-            below += np.bincount(where, gain, n)  # a seen part counts as it is, an unseen one at its least
-            rest = order[at + ROUND :]
-            ceiling = floor.copy()
-            np.maximum.at(ceiling, self.dim[rest], upper[rest])
-            reach = max(reach, np.partition(np.where(own, -np.inf, below), -k)[-k])
-            can = (below + (ceiling - floor).sum() >= reach) & ~own
-            if can.sum() <= POSSIBLE or not len(rest):
-                break
-        return np.flatnonzero(can)
+SCALE = 256
+ELEMENTS = 1 << 22  #: components of a block, about
+QUERIES = 8_192  #: queries of a share, at most about
+TOGETHER = 64  #: queries of a share processed at once
+LEVELS = 8  #: quantised impacts
+FEW = 16  #: a query stops when at most one row in FEW is possible
+LEADERS = 256  #: groups of rows whose best are looked at for the k-th best score
+_LARGE = 2.0**45  #: components from here on aren't whole numbers of 53 bits when scaled
+_HALF = 62  #: bits of a score's lower part
 
 
-def _whole(vector: str) -> Column:
-    return F.col(vector).isNotNull() & F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+def _units(x: float) -> int:
+    """floor(SCALE * x) of any finite double."""
+    return math.floor(x * SCALE) if abs(x) < 2.0**900 else int(x) * SCALE
 
 
-def _matrix(table: pa.Table, width: int) -> np.ndarray:
-    lists = table.column("vector").combine_chunks()
+class Index:
+    """The impact-ordered index of one block: vectors are rows of whole numbers."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, kind: type = np.float64) -> None:
+        n, d = vectors.shape
+        groups = max(1, min(LEADERS, n))
+        self.ids, self.n, self.size = ids, n, -(-n // groups) * groups if n else 0  # rows of zeros fill the last group
+        self.groups = groups
+        self.vectors = vectors.astype(kind)
+        impact = np.abs(self.vectors)
+        some = impact[impact > 0]
+        edges = np.quantile(some, np.arange(1, LEVELS) / LEVELS) if len(some) else np.zeros(LEVELS - 1)
+        level = LEVELS - 1 - np.searchsorted(edges, impact, "right")  # the highest impact is level 0
+        self.slabs, self.segments, self.unseen = [], [], []
+        left = (self.vectors.astype(np.float64) ** 2).sum(axis=1)
+        for k in range(LEVELS):
+            at = (level == k) & (impact > 0)
+            slab = np.zeros((d, self.size), kind)
+            slab[:, :n] = np.where(at, self.vectors, 0).T
+            left = np.maximum(left - (slab[:, :n].astype(np.float64) ** 2).sum(axis=0), 0)
+            norms = np.zeros(self.size, kind)
+            norms[:n] = np.sqrt(left) * (1 + 1e-5)
+            self.slabs.append(slab), self.segments.append(int(at.any(axis=0).sum())), self.unseen.append(norms)
+        self.unseen[-1][:] = 0
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Ids and scores of the k best of each query, and how many segments it has processed."""
+        queries = queries.astype(self.vectors.dtype)
+        found, processed = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries), np.zeros(len(queries), np.int64)
+        norm = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1)).astype(queries.dtype)
+        seen = np.zeros((len(queries), self.size), queries.dtype)
+        seen[:, self.n :] = -np.inf
+        for b, at in enumerate(map(self._own, query_ids.tolist())):
+            seen[b, at] = -np.inf
+        live = np.arange(len(queries)) if self.n else np.zeros(0, np.int64)
+        for level in range(LEVELS):
+            if self.segments[level]:
+                seen += queries[live] @ self.slabs[level]
+            processed[live] += self.segments[level]
+            reach = self._reach(seen, queries[live], k)
+            slack = norm[live][:, None] * self.unseen[level]
+            slack += seen
+            possible = slack >= reach[:, None]
+            few = (np.count_nonzero(possible, axis=1) * FEW <= self.n) | (level + 1 == LEVELS)
+            for b in np.flatnonzero(few).tolist():
+                at = np.flatnonzero(possible[b, : self.n] & np.isfinite(seen[b, : self.n]))
+                scores = (self.vectors[at] @ queries[live[b]]).astype(np.int64)
+                best = np.lexsort((self.ids[at], -scores))[:k]
+                found[live[b]] = self.ids[at][best], scores[best]
+            live, seen = live[~few], seen[~few]
+            if not len(live):
+                break
+        return found, processed
+
+    def _own(self, query_id: int) -> slice:
+        return slice(*np.searchsorted(self.ids, (query_id, query_id + 1)))
+
+    def _reach(self, seen: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+        """The k-th best exact score of some rows that lead: a score that the k-th best of all reaches as well."""
+        parts = seen.reshape(len(seen), self.groups, -1)
+        best = parts.max(axis=2)
+        m = min(self.groups, 2 * k + 8)
+        if m < k:
+            return np.full(len(seen), -np.inf, seen.dtype)
+        lead = np.argpartition(best, self.groups - m, axis=1)[:, self.groups - m :]
+        rows = np.arange(len(seen))[:, None]
+        at = lead * parts.shape[2] + parts[rows, lead].argmax(axis=2)
+        exact = np.einsum("bmd,bd->bm", self.vectors[np.minimum(at, self.n - 1)], queries)
+        exact[~np.isfinite(seen[rows, at])] = -np.inf
+        return np.partition(exact, m - k, axis=1)[:, m - k]
+
+
+def _matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Rows of doubles, with zeros behind the shorter ones."""
+    lists = lists.combine_chunks()
     n = np.diff(lists.offsets.to_numpy())
     values = lists.flatten().to_numpy(zero_copy_only=False)
     out = np.zeros((len(n), width))
-    rows = np.repeat(np.arange(len(n)), n)
-    out[rows, np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)] = np.floor(SCALE * values)
+    out[np.repeat(np.arange(len(n)), n), np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)] = values
     return out
 
 
-def _best(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
+def _build(rows: pa.Table) -> pa.Table:
+    """One row with the block's ids in order and its vectors: whole numbers as small as they go, or raw doubles if some are large."""
+    width = int(max(np.diff(rows.column("vector").combine_chunks().offsets.to_numpy()), default=0))
+    ids, raw, copies = rows.column("id").to_numpy(), _matrix(rows.column("vector"), width), rows.column("copies").to_numpy()
+    order = np.repeat(np.argsort(ids, kind="stable"), copies[np.argsort(ids, kind="stable")])
+    most = np.abs(raw).max(initial=0)
+    kind = "<f8"
+    if most < _LARGE:
+        raw = np.floor(SCALE * raw)
+        kind = next(c for c, limit in (("<i2", 2**15), ("<i4", 2**31), ("<i8", 2**63)) if SCALE * most + 1 < limit)
+    return pa.table({"block": rows.column("block")[:1], "width": pa.array([width], pa.int32()), "kind": [kind], "ids": pa.array([ids[order].tobytes()], pa.binary()), "vectors": pa.array([raw[order].astype(kind).tobytes()], pa.binary())})
+
+
+def _exact(ids: np.ndarray, vectors: list[list[int]], query_id: int, query: list[int], k: int) -> list[tuple[int, int]]:
+    scores = [(-sum(a * b for a, b in zip(v, query)), i) for v, i in zip(vectors, ids.tolist()) if i != query_id]
+    return [(i, -s) for s, i in sorted(scores)[:k]]
+
+
+def _best(asked: pa.Table, index: pa.Table, k: int) -> pa.Table:
     out: list[tuple[int, int, int]] = []
-    if queries.num_rows and rows.num_rows:
-        width = max(int(max(np.diff(t.column("vector").combine_chunks().offsets.to_numpy()), default=0)) for t in (queries, rows))
-        index = Index(rows.column("id").to_numpy(), _matrix(rows, width))
-        for query_id, query in zip(queries.column("id").to_pylist(), _matrix(queries, width)):
-            out += [(query_id, i, int(s)) for i, s in zip(*(x.tolist() for x in index.search(query_id, query, k)))]
-    return pa.table([pa.array(x, pa.int64()) for x in (zip(*out) if out else ((), (), ()))], ["query_id", "vec_id", "score"])
+    if asked.num_rows and index.num_rows:
+        width, kind = index.column("width")[0].as_py(), index.column("kind")[0].as_py()
+        ids = np.frombuffer(index.column("ids")[0].as_py(), np.int64)
+        vectors = np.frombuffer(index.column("vectors")[0].as_py(), kind).reshape(len(ids), width)
+        width = max(width, int(max(np.diff(asked.column("vector").combine_chunks().offsets.to_numpy()), default=0)))
+        query_ids, raw = asked.column("id").to_numpy(), _matrix(asked.column("vector"), width)
+        vectors = np.pad(vectors, ((0, 0), (0, width - vectors.shape[1])))
+        most = math.inf
+        if kind != "<f8" and np.abs(raw).max(initial=0) < _LARGE:
+            queries = np.floor(SCALE * raw)
+            longest = lambda x: float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)).max(initial=0))
+            most = longest(vectors) * longest(queries)  # no part of a score is beyond
+        if most < 2.0**52:
+            built = Index(ids, vectors, np.float32 if most < 2.0**23 else np.float64)
+            for at in range(0, len(queries), TOGETHER):
+                own = slice(at, at + TOGETHER)
+                for query_id, (found, scores) in zip(query_ids[own].tolist(), built.search(query_ids[own], queries[own], k)[0]):
+                    out += [(query_id, i, s) for i, s in zip(found.tolist(), scores.tolist())]
+        else:
+            whole = [[_units(x) if kind == "<f8" else int(x) for x in v] for v in vectors.tolist()]
+            for query_id, query in zip(query_ids.tolist(), raw.tolist()):
+                out += [(query_id, i, s) for i, s in _exact(ids, whole, query_id, list(map(_units, query)), k)]
+    low = (1 << _HALF) - 1
+    clip = lambda s: max(-(1 << 63), min((1 << 63) - 1, s >> _HALF))
+    columns = [[r[0] for r in out], [r[1] for r in out], [clip(r[2]) for r in out], [r[2] & low for r in out]]
+    return pa.table([pa.array(x, pa.int64()) for x in columns], ["query_id", "vec_id", "high", "low"])
+
+
+def _whole(vector: str) -> Column:
+    return F.col(vector).isNotNull() & F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows of vectors for each row of queries, but not its own."""
     rows, asked = (df.where(_whole(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")) for df in (vectors, queries))
     asked = asked.distinct()
-    n_rows, n_asked = (max(1, -(-df.count() // size)) for df, size in ((rows, CANDIDATES), (asked, QUERIES)))
-    deal = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("id", "vector"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn(own, F.col(own).cast("int"))
-    left, right = deal(asked, "asked", n_asked, "block", n_rows), deal(rows, "block", n_rows, "asked", n_asked)
-    found = left.groupBy("asked", "block").cogroup(right.groupBy("asked", "block")).applyInArrow(lambda a, b: _best(a, b, k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    blocks = max(1, -(-n * max(1, width) // ELEMENTS))
+    n_asked = asked.count()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    shares = max(1, -(-n_asked // QUERIES), min(-(-cores // blocks), -(-n_asked // TOGETHER)))
+    deal = lambda n: F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    once = rows.groupBy("id", "vector").agg(F.least(F.count("*"), F.lit(k)).alias("copies")).withColumn("block", deal(blocks))
+    index = cut(once.groupBy("block").applyInArrow(_build, "block int, width int, kind string, ids binary, vectors binary"), "index")
+    left = asked.withColumn("share", deal(shares)).withColumn("block", every(blocks)).groupBy("block", "share")
+    right = index.withColumn("share", every(shares)).groupBy("block", "share")
+    found = left.cogroup(right).applyInArrow(lambda a, b: _best(a, b, k), "query_id long, vec_id long, high long, low long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id"))
+    high = F.col("high")
+    score = F.when(high > 1, F.lit((1 << 63) - 1)).when(high < -2, F.lit(-(1 << 63))).otherwise(F.shiftleft(high, _HALF).bitwiseOR(F.col("low")))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

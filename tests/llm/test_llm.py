@@ -329,6 +329,63 @@ def test_search_odd(spark):
     assert topk_search.search(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_search_of_extreme_numbers(spark):
+    import math
+    from fractions import Fraction
+
+    values = [0.0, 1.0, -1.0, 0.1, 1e18, -1e18, 3e300, 5e-324, 1.7e308, 2.0**45, 123456.789]
+    r = random.Random(8)
+    rows = [(i, [r.choice(values), r.choice(values)]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    units = {i: [math.floor(Fraction(x) * 256) for x in v] for i, v in rows}
+    capped = lambda s: max(-(1 << 124), min(1 << 124, s))
+    got = defaultdict(list)
+    for x in topk_search.search(frame, frame.where("vec_id % 7 = 0"), k=4).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.vec_id, x.score))
+    for q in range(0, 60, 7):
+        scores = {i: sum(a * b for a, b in zip(units[i], units[q])) for i in units if i != q}
+        best = [s for _, s in sorted(((i, s) for i, s in scores.items()), key=lambda x: (-x[1], x[0]))[:4]]
+        assert [min((1 << 63) - 1, max(-(1 << 63), s)) for s in best] == [s for _, s in got[q]]
+        assert all(min((1 << 63) - 1, max(-(1 << 63), scores[i])) == s for i, s in got[q])
+        assert [i for i, _ in got[q]] == [i for i, _ in sorted(scores.items(), key=lambda x: (-capped(x[1]), x[0]))[:4]] or max(map(abs, scores.values())) >= 1 << 124
+
+
+@pytest.mark.parametrize("elements", [1 << 22, 40_000])
+def test_search_thousands_through_the_index(spark, monkeypatch, elements):
+    """Clustered rows, one vector shared by very many of them, ties and own rows, in one block and in several."""
+    monkeypatch.setattr(topk_search, "ELEMENTS", elements)
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 16))
+    v = centres[r.integers(0, 40, 5_500)] + 0.2 * r.normal(size=(5_500, 16))
+    v[r.random(5_500) < 0.3] = v[7]
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for q, rank, i, s in topk_search.search(frame, frame.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        got[q].append((i, s))
+    units = np.floor(256 * v).astype(np.int64)
+    for q in range(0, 5_500, 100):
+        scores = units @ units[q]
+        scores[q] = -(10**9)
+        assert got[q] == [(int(i), int(scores[i])) for i in np.lexsort((np.arange(5_500), -scores))[:5]]
+
+
+def test_search_stops_on_proof():
+    r = np.random.default_rng(4)
+    clustered = r.normal(size=(100, 64))[r.integers(0, 100, 6_000)] + 0.1 * r.normal(size=(6_000, 64))
+    for v, most in ((clustered, 0.3), (r.normal(size=(6_000, 64)), 0.8)):
+        v = np.floor(256 * v / np.linalg.norm(v, axis=1, keepdims=True))
+        ids = np.arange(6_000)
+        index = topk_search.Index(ids, v, np.float32)
+        found, processed = index.search(ids[:64], v[:64], 5)
+        assert 0 < processed.mean() < most * sum(index.segments) and processed.max() < sum(index.segments)
+        for q, (best, scores) in enumerate(found):
+            want = (v @ v[q]).astype(int)
+            want[q] = -(10**9)
+            order = np.lexsort((ids, -want))[:5]
+            assert best.tolist() == order.tolist() and scores.tolist() == want[order].tolist()
+
+
 # ---- suffix dedup
 
 
