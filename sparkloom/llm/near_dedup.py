@@ -12,7 +12,9 @@ verified links. Nothing is broadcast or collected. The work inside of one group
 of its size, as does the number of links that it counts; copies cost nothing.
 
 A text of fewer than five words has one shingle of all of them. Documents without words, also those with a null text, are never linked. Repeated rows are copies, and
-each gets its row of the result. With a null doc_id a row is part of its class but never names it.
+each gets its row of the result. With a null doc_id a row is linked like any other but never names a class that has an id; texts are looked up by a
+128-bit hash of id and text, and what is found is checked by the hash of its set. Several texts of one id are several documents. Only the id and
+the text are read, so other columns may have any name. A very long text is worked on by itself, as one set of hashes.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import components
 from .shingles import HASHES, minhashes, mix, shingle_sets
-from .storage import cut, discard, slices
+from .storage import cut, discard, row_mark, slices
 
 THRESHOLD = Fraction(4, 5)
 ROWS = 4  #: MinHash values of a band
@@ -66,16 +68,13 @@ def surviving(signatures: np.ndarray, a: np.ndarray, b: np.ndarray, needed: tupl
     return left
 
 
-def set_hash(s: np.ndarray) -> tuple[int, int]:
-    return int(s.sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(s)).astype(np.int64))
-
-
-def _node(a: int, b: int, n: int) -> int:
-    return int(mix(np.array([a], np.int64).view(np.uint64) ^ mix(np.array([b], np.int64).view(np.uint64) + np.uint64(n))).view(np.int64)[0])
+def set_hash(s: np.ndarray) -> bytes:
+    """16 bytes: the sum of the hashes, and the xor of them, mixed."""
+    return s.sum(dtype=np.uint64).tobytes() + np.bitwise_xor.reduce(mix(s)).tobytes()
 
 
 def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, node (null without shingles), n_shingles and signature of every row."""
+    """doc_id, row (a hash of id and text), print (of the set, null without shingles), n_shingles and signature of every row."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,10 +83,12 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 sets = shingle_sets(part.column("text").to_pylist())
                 some = [s for s in sets if len(s)]
                 values = iter(minhashes(some)) if some else iter(())
-                rows = [(_node(*set_hash(s), len(s)), next(values).tobytes()) if len(s) else (None, None) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "node", "n_shingles", "signature"])
+                rows = [(set_hash(s), next(values).tobytes()) if len(s) else (None, None) for s in sets]
+                columns = pa.array([r[0] for r in rows], pa.binary()), pa.array(list(map(len, sets)), pa.int64()), pa.array([r[1] for r in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), *columns], ["doc_id", "row", "print", "n_shingles", "signature"])
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, node long, n_shingles long, signature binary")
+    rows = docs.select(F.col(key).alias("doc_id"), row_mark(key, text).alias("row"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, row binary, print binary, n_shingles long, signature binary")
 
 
 def _blocks(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
@@ -213,26 +214,28 @@ def _verified(threshold: Fraction):
 
 
 def _with_shingles(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows of wanted (node, doc_id, ...) with the shingles of their documents."""
-    kinds = wanted.drop("doc_id").schema
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).join(wanted.hint("shuffle_hash"), "doc_id").select(*kinds.names, "text")
+    """The rows of wanted (row, print, ...) without these two, but with the shingles of their texts."""
+    kinds = wanted.drop("row", "print").schema
+    rows = docs.select(row_mark(key, text).alias("row"), F.col(text).cast("string").alias("text")).join(wanted.hint("shuffle_hash"), "row").select(*kinds.names, "print", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text").to_pylist())
-                own = [len(s) > 0 and _node(*set_hash(s), len(s)) == n for s, n in zip(sets, part.column("node").to_pylist())]
-                out = pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([s.tobytes() for s in sets], pa.binary())], [*kinds.names, "shingles"])
+                own = [set_hash(s) == p for s, p in zip(sets, part.column("print").to_pylist())]
+                out = pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array([s.tobytes() for s in sets], pa.binary())], [*kinds.names, "shingles"])
                 yield out.filter(pa.array(own, pa.bool_()))
 
     found = rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds) + ", shingles binary")
     return found
 
 
-def near_classes(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class) and n_links (other documents at the threshold or above) of every row."""
+def _classes(docs: DataFrame, threshold: Fraction, tolerance: float, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The sketch of every row, and of each set (print, n_shingles) its class_id, the row that stays for the class, and n_links."""
     rows = cut(sketch(docs, key, text), "sketch")
-    nodes = cut(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "row")).alias("first")
+    sets = rows.where("print IS NOT NULL").groupBy("print", "n_shingles").agg(first, F.count("*").alias("copies"), F.first("signature").alias("signature"))
+    nodes = cut(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")  # a number of its own for each set, once the table is written
     n_bands = HASHES // ROWS
     band = lambda b: F.xxhash64(b, F.expr("signature").substr(b * (4 * ROWS) + 1, F.lit(4 * ROWS)))
     bands = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), band)).alias("key"))
@@ -241,23 +244,40 @@ def near_classes(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: fl
     edges = _blocks(hits, "key", F.ceil(F.col("size") / BLOCK)).select("key", "i", "j", "block", "node", "signature").mapInArrow(_linked(threshold, tolerance), "a long, b long")
     grouped = components(edges.distinct())
     sizes = cut(grouped.join(nodes.select("node", "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles_all")), "sizes")
-    wanted = grouped.join(sizes, "component").join(nodes.select("node", F.col("first_id").alias("doc_id"), "copies"), "node")
+    wanted = grouped.join(sizes, "component").join(nodes.select("node", F.col("first.row").alias("row"), "print", "copies"), "node")
     members = _with_shingles(docs, wanted, key, text).dropDuplicates(["node"])
     blocks = F.greatest(F.ceil(F.col("size") / VERIFIED), F.ceil(F.col("shingles_all") / SHINGLES))
     verified = cut(_blocks(members, "component", blocks).select("component", "i", "j", "block", "node", "copies", "shingles").mapInArrow(_verified(threshold), "node long, links long, root long"), "verified")
     classes = components(verified.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = nodes.select("node", "first_id", "copies").join(links, "node", "left").join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    named = joined.groupBy("class").agg(F.min("first_id").alias("class_id"))
-    info = cut(joined.join(named, "class").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    joined = nodes.select("node", "print", "n_shingles", "first", "copies").join(links, "node", "left").join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    named = joined.groupBy("class").agg(F.min("first").alias("stays"))
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long")
+    info = cut(joined.join(named, "class").select("print", "n_shingles", F.col("stays.doc_id").alias("class_id"), F.col("stays.row").alias("stays"), n_links.alias("n_links")), "classes")
     discard(nodes, shared, grouped, sizes, verified, classes)
-    return rows.select("doc_id", "node").join(info, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows, info
+
+
+def near_classes(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its class) and n_links (other documents at the threshold or above) of every row."""
+    rows, info = _classes(docs, threshold, tolerance, key, text)
+    found = rows.select("doc_id", "print", "n_shingles").join(info.drop("stays"), ["print", "n_shingles"], "left")
+    return found.select("doc_id", F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id names their class, and those without one."""
-    stays = near_classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of docs for each class, that of its smallest doc_id (a null one only where no row of the class has any), and all rows without words."""
+    rows, info = _classes(docs, THRESHOLD, TOLERANCE, "doc_id", "text")
+    stay = info.select(F.col("stays").alias("row")).distinct()
+    repeated = cut(rows.where("print IS NOT NULL").groupBy("row").agg(F.count("*").alias("n")).where("n > 1").join(stay, "row", "left_semi").select(F.col("row").alias("__row")), "repeated")
+    wordless = rows.where("print IS NULL").select("row").distinct()
+    marked = docs.withColumn("__row", row_mark("doc_id", "text"))
+    kept = marked.join(stay.unionByName(wordless).select(F.col("row").alias("__row")).hint("shuffle_hash"), "__row", "left_semi")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    one = F.row_number().over(Window.partitionBy("__row").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text"))))
+    several = kept.join(repeated.hint("shuffle_hash"), "__row", "left_semi").withColumn("__one", one).where("__one = 1")
+    return kept.join(repeated.hint("shuffle_hash"), "__row", "left_anti").select(*docs.columns).unionByName(several.select(*docs.columns))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

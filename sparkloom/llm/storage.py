@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-
-
-_OWN: dict[str, str] = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of this machine only where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a folder of this machine will do only if the driver is the only executor."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        app = spark.sparkContext.applicationId
-        folder = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="sparkloom-")
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"/tmp/sparkloom-{spark.sparkContext.applicationId}"
+
+
+def row_mark(*columns: str | Column) -> Column:
+    """16 bytes of a hash of columns each of which can be null: what names a row where its id can't."""
+    text = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string").cast("binary")
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.sha2(text(c), 256)), F.lit("null"))
+    return F.unhex(F.substring(F.sha2(F.concat(*map(part, columns)).cast("binary"), 256), 1, 32))
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

@@ -11,8 +11,9 @@ have in common, again and again, until groups are small or a range is a single w
 window is left out.
 
 Texts that occur repeatedly as a whole are wholly covered; one of each takes part for the rest. Matches are judged on the input as
-UTF-8 and never cross texts. A null text is empty; texts shorter than LENGTH keep all. A repeated row is a copy. Of rows with a null doc_id only whole copies are
-removed, as a text can't be looked up without an id.
+UTF-8 and never cross texts. A null text is empty; texts shorter than LENGTH keep all. A repeated row is a copy. Texts are known by 128 bits of their
+SHA-256, so a null doc_id, or one id with several texts, changes nothing. Only the id and the text are read, so other columns may have any name. A very long
+text is scanned in pieces.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shingles import mix
-from .storage import cut, discard, slices
+from .storage import cut, discard, row_mark, slices
 from .suffix_sort import suffix_array
 
 LENGTH = 200
@@ -87,10 +88,6 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _text_id(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "big", signed=True)
-
-
 _ANCHOR = ("place", "first", "last", "gram")
 
 
@@ -108,18 +105,16 @@ def _scan(docs: DataFrame, key: str, text: str) -> DataFrame:
                 own = [x - np.repeat(ends - sizes, np.diff(offsets)) for x in (place, *windows)]
                 digests = [sha256(t).digest() for t in raw]
                 lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), x) for x in (*(pa.array(x, pa.int32()) for x in own), pa.array(h, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([_text_id(d) for d in digests], pa.int64()), pa.array([d.hex() for d in digests], pa.string()), pa.array(sizes), *lists], ["doc_id", "text_id", "text_sha256", "n_bytes", *_ANCHOR])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array([d[:16] for d in digests], pa.binary()), pa.array([d.hex() for d in digests], pa.string()), pa.array(sizes), *lists], ["doc_id", "row", "text_id", "text_sha256", "n_bytes", *_ANCHOR])
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, text_id long, text_sha256 string, n_bytes long, place array<int>, first array<int>, last array<int>, gram array<long>")
+    rows = docs.select(F.col(key).alias("doc_id"), row_mark(key, text).alias("row"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, row binary, text_id binary, text_sha256 string, n_bytes long, place array<int>, first array<int>, last array<int>, gram array<long>")
 
 
 def _held(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """The bytes of the texts in wanted (doc_id, text_id, copies, hits)."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).join(wanted.hint("shuffle_hash"), "doc_id")
-    raw = F.coalesce("text", F.lit("")).cast("binary")
-    same = F.conv(F.substring(F.sha2(raw, 256), 1, 15), 16, 10).cast("long") == F.col("check")
-    return rows.where(same).select("doc_id", "text_id", "copies", "hits", raw.alias("raw")).dropDuplicates(["text_id"])
+    """The bytes of the texts in wanted (row, text_id, copies, hits)."""
+    rows = docs.select(row_mark(key, text).alias("row"), F.col(text).cast("string").alias("text")).join(wanted.hint("shuffle_hash"), "row")
+    return rows.select("text_id", "copies", "hits", F.coalesce("text", F.lit("")).cast("binary").alias("raw")).dropDuplicates(["text_id"])
 
 
 def _contexts(held: DataFrame) -> DataFrame:
@@ -142,10 +137,10 @@ def _contexts(held: DataFrame) -> DataFrame:
                     rows.append((text_id, copies, first, lead, x["gram"], name.hex(), None if known else context))
                 if len(seen) > 200_000:
                     seen.clear()
-            kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary()
+            kinds = pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary()
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["text_id", "copies", "start", "lead", "key", "id", "context"])
 
-    return held.select("text_id", "copies", "raw", "hits").mapInArrow(run, "text_id long, copies long, start int, lead int, key long, id string, context binary")
+    return held.select("text_id", "copies", "raw", "hits").mapInArrow(run, "text_id binary, copies long, start int, lead int, key long, id string, context binary")
 
 
 def repeated_windows(group: list[int], contexts: list[bytes], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -271,14 +266,13 @@ def _resolved_ranges(rows: DataFrame, width: int, made: list[DataFrame]) -> Data
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     scan = cut(_scan(docs, key, text), "scan")
-    texts = cut(scan.groupBy("text_id", "text_sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "texts")
+    texts = cut(scan.groupBy("text_id").agg(F.min("row").alias("row"), F.count("*").alias("copies")), "texts")
     grams = scan.select("text_id", F.explode(F.arrays_zip(*_ANCHOR)).alias("x")).select("text_id", "x.*")
     where = F.xxhash64("text_id", "place")  # copies of a text say the same
     repeated = cut(grams.groupBy("gram").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").select("gram"), "grams")
     hits = grams.join(repeated, "gram", "left_semi").groupBy("text_id").agg(F.array_sort(F.collect_set(F.struct(*_ANCHOR))).alias("hits"))
-    check = F.conv(F.substring("text_sha256", 1, 15), 16, 10).cast("long")
     hits = cut(hits, "hits")
-    held = cut(_held(docs, texts.select("text_id", "doc_id", "copies", check.alias("check")).join(hits, "text_id"), key, text), "held")
+    held = cut(_held(docs, texts.join(hits, "text_id"), key, text), "held")
     at = cut(_contexts(held), "places")
     different = at.groupBy("key", "id").agg(F.first("context", ignorenulls=True).alias("context"), F.first("lead").alias("lead"), F.sum(F.least("copies", F.lit(2))).alias("count"))
     reach = LENGTH - GRAM
@@ -299,9 +293,9 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 np.add.at(cover, spans.field("b").to_numpy(), -1)
                 gone = np.cumsum(cover[:-1]) > 0
                 rows.append((batch.column("text_id")[i].as_py(), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) > 0).sum()), sha256(raw[~gone].tobytes()).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["text_id", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.string()))], ["text_id", "n_removed", "n_spans", "kept_sha256"])
 
-    stripped = held.select("text_id", "raw").join(spans, "text_id").mapInArrow(strip, "text_id long, n_removed long, n_spans long, kept_sha256 string")
+    stripped = held.select("text_id", "raw").join(spans, "text_id").mapInArrow(strip, "text_id binary, n_removed long, n_spans long, kept_sha256 string")
     info = cut(texts.select("text_id", "copies").join(stripped, "text_id", "left"), "removed")
     discard(held, at, found, texts)
     every = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)

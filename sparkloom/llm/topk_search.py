@@ -37,6 +37,7 @@ QUERIES = 8_192  #: queries of a share, at most about
 TOGETHER = 64  #: queries of a share processed at once
 LEVELS = 8  #: quantised impacts
 FEW = 16  #: a query stops when at most one row in FEW is possible
+SEEN = 1 << 16  #: components of a block that its impacts are cut by, about
 LEADERS = 256  #: groups of rows whose best are looked at for the k-th best score
 _LARGE = 2.0**45  #: components from here on aren't whole numbers of 53 bits when scaled
 _HALF = 62  #: bits of a score's lower part
@@ -57,20 +58,21 @@ class Index:
         self.groups = groups
         self.vectors = vectors.astype(kind)
         impact = np.abs(self.vectors)
-        some = impact[impact > 0]
+        some = impact.ravel()[:: max(1, impact.size // SEEN)]
+        some = some[some > 0]  # where impacts are cut only matters for speed, so a sample will do
         edges = np.quantile(some, np.arange(1, LEVELS) / LEVELS) if len(some) else np.zeros(LEVELS - 1)
-        level = LEVELS - 1 - np.searchsorted(edges, impact, "right")  # the highest impact is level 0
+        level = np.where(impact > 0, LEVELS - 1 - np.searchsorted(edges.astype(kind), impact, "right"), LEVELS).astype(np.int8).T.copy()
+        turned = np.zeros((d, self.size), kind)
+        turned[:, :n] = self.vectors.T
         self.slabs, self.segments, self.unseen = [], [], []
-        left = (self.vectors.astype(np.float64) ** 2).sum(axis=1)
-        for k in range(LEVELS):
-            at = (level == k) & (impact > 0)
-            slab = np.zeros((d, self.size), kind)
-            slab[:, :n] = np.where(at, self.vectors, 0).T
-            left = np.maximum(left - (slab[:, :n].astype(np.float64) ** 2).sum(axis=0), 0)
-            norms = np.zeros(self.size, kind)
-            norms[:n] = np.sqrt(left) * (1 + 1e-5)
-            self.slabs.append(slab), self.segments.append(int(at.any(axis=0).sum())), self.unseen.append(norms)
-        self.unseen[-1][:] = 0
+        for k in range(LEVELS):  # the highest impact is level 0
+            slab = turned.copy()
+            slab[:, :n][level != k] = 0
+            self.slabs.append(slab), self.segments.append(int((level == k).any(axis=1).sum()))
+        left = np.zeros(self.size)
+        for slab in reversed(self.slabs):
+            self.unseen.insert(0, (np.sqrt(left) * (1 + 1e-5)).astype(kind))
+            left += np.einsum("dn,dn->n", slab, slab, dtype=np.float64)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
         """Ids and scores of the k best of each query, and how many segments it has processed."""
@@ -89,7 +91,7 @@ class Index:
             reach = self._reach(seen, queries[live], k)
             slack = norm[live][:, None] * self.unseen[level]
             slack += seen
-            possible = slack >= reach[:, None]
+            possible = slack >= reach[:, None] - 1  # what rounding can take from a bound is less
             few = (np.count_nonzero(possible, axis=1) * FEW <= self.n) | (level + 1 == LEVELS)
             for b in np.flatnonzero(few).tolist():
                 at = np.flatnonzero(possible[b, : self.n] & np.isfinite(seen[b, : self.n]))

@@ -279,8 +279,53 @@ def test_near_odd(odd, empty):
     got = Counter(map(tuple, near_dedup.near_classes(odd).collect()))
     assert got == brute_near(odd.collect())
     assert near_dedup.near_classes(empty).count() == 0
-    kept = near_dedup.keep_one_each(odd)
-    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {c for _, c, _ in got}
+    check_kept(odd, near_dedup.keep_one_each(odd))
+    assert near_dedup.keep_one_each(empty).count() == 0
+
+
+def check_kept(docs, kept):
+    """One row for each class: of its smallest id, or without one where it has none; and every row without words."""
+    rows = docs.collect()
+    sets = shingles.shingle_sets([r.text for r in rows])
+    classes = near_components(rows, sets)
+    want = Counter()
+    for members in classes.values():
+        least = min((rows[i].doc_id for i in members if rows[i].doc_id is not None), default=None)
+        want.update([least] if len(sets[members[0]]) else [rows[i].doc_id for i in members])
+    got = kept.collect()
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in got) == want
+    texts = [t for members in classes.values() for t in {rows[i].text for i in members}]
+    assert {(r.doc_id, r.text) for r in got} <= {(r.doc_id, r.text) for r in rows} and len(texts) >= len(classes) - 1
+
+
+def near_components(rows, sets):
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                parent[find(a)] = find(b)
+    out = defaultdict(list)
+    for i in range(len(rows)):
+        out[find(i)].append(i)
+    return out
+
+
+def test_near_keeps_one_of_lost_and_repeated_ids(spark):
+    """An id with texts of two classes, a class without any id, and rows that repeat."""
+    a, b, c = (prose(60, 500 + k) for k in range(3))
+    rows = [(1, a), (1, b), (0, b + " end"), (None, c), (None, c + " end"), (2, a + " end"), (2, a + " end"), (5, a), (5, "x y"), (5, "x y"), (6, None), (6, "?")]
+    docs = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    assert Counter(map(tuple, near_dedup.near_classes(docs).collect())) == brute_near(docs.collect())
+    kept = near_dedup.keep_one_each(docs)
+    check_kept(docs, kept)
+    assert sorted((r.doc_id, r.text) for r in kept.collect() if r.text == "x y") == [(5, "x y")]
 
 
 def test_posterior_pruning_keeps_the_threshold():
@@ -427,15 +472,21 @@ def test_removals_brute(spark, monkeypatch, group):
 
 
 def test_removals_odd(odd, empty):
-    rows = odd.where("doc_id IS NOT NULL")
-    assert sorted(map(tuple, suffix_dedup.removals(rows).collect()), key=str) == brute_removals(rows.collect())
-    assert suffix_dedup.removals(odd).count() == odd.count()
+    assert sorted(map(tuple, suffix_dedup.removals(odd).collect()), key=str) == brute_removals(odd.collect())
     assert suffix_dedup.removals(empty).count() == 0
 
 
 # ---- pieces
 
 
+def test_removals_of_lost_and_repeated_ids(spark):
+    shared = prose(80, 40)
+    rows = [(None, prose(30, 41) + shared), (None, shared + prose(30, 42)), (3, prose(9, 43) + shared), (3, prose(50, 44)), (3, prose(50, 44)), (None, None), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, suffix_dedup.removals(docs).collect()), key=str)
+    assert got == brute_removals(docs.collect()) and sum(r[2] > 0 for r in got) == 5
+
+
 def test_pieces_like_the_library(spark, odd, empty):
     import sentencepiece
 
