@@ -174,12 +174,55 @@ def test_mix_repeats_nulls_and_nothing(spark, odd, empty):
     assert mixing.repeat_documents(odd).columns == odd.columns
 
 
-def test_schedule_is_even(spark):
-    sources = spark.createDataFrame([("a", 0, 1000, 600.0, 600), ("b", 1, 1000, 300.0, 300), ("c", 2, 1000, 100.0, 100)], "source string, number long, source_size long, target double, quota long")
-    got = Counter(r.number for r in mixing._slots(sources, 1).collect())
-    assert got == {0: 600, 1: 300, 2: 100}
-    ranks = [r.rank for r in mixing._slots(sources, 1).where("number = 1").collect()]
-    assert sorted(ranks) == list(range(300))
+@pytest.mark.parametrize("quotas", [(600, 300, 100), (5_000, 17, 1_200, 3, 999), (1,), (700, 700)])
+def test_every_prefix_of_the_schedule_is_even(spark, quotas):
+    """Any number of first slots has each source's share to within log2(n) + 2; sources one behind the other would be off by hundreds."""
+    sources = spark.createDataFrame(list(enumerate(quotas)), "number long, quota long")
+    got = sorted((r.slot, r.number, r.rank) for r in mixing.schedule(sources, 1).collect())
+    assert len({s for s, _, _ in got}) == len(got) and Counter(n for _, n, _ in got) == Counter(dict(enumerate(quotas)))
+    for k, quota in enumerate(quotas):
+        assert [r for _, n, r in got if n == k] == list(range(quota))  # in the order of slots
+    had, total = [0] * len(quotas), sum(quotas)
+    for n, (_, k, _) in enumerate(got, 1):
+        had[k] += 1
+        for h, quota in zip(had, quotas):
+            assert abs(h - n * quota / total) <= np.log2(n) + 2
+
+
+def test_mix_says_where_documents_stand(spark):
+    """first_slot and n_blocks against the schedule, block by block in plain Python; the rows of the mix follow it."""
+    r = random.Random(9)
+    rows = [(i, prose(r.randint(0, 90), 600 + i), "abcd"[min(3, int(r.random() ** 2 * 6))]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = {x.doc_id: x for x in mixing.mix(docs, block=64).collect()}
+    size, source = {i: len(t.split()) for i, t, _ in rows}, {i: s for i, _, s in rows}
+    sizes = Counter()
+    for i in size:
+        sizes[source[i]] += size[i]
+    names = sorted(sizes)
+    quota = {s: int(t) for s, t in brute_targets(sizes).items()}
+    slots = {(x.number, x.rank): x.slot for x in mixing.schedule(spark.createDataFrame([(k, quota[s]) for k, s in enumerate(names)], "number long, quota long"), 64).collect()}
+    for k, s in enumerate(names):
+        stream = [i for i in sorted((i for i in size if source[i] == s), key=lambda i: (sha_order(i), i)) for _ in range(size[i])]
+        words = (stream * 4)[: quota[s]]
+        where = defaultdict(list)
+        for at in range(0, len(words), 64):
+            for part in {(i, p // len(stream)) for p, i in enumerate(words[at : at + 64], at)}:
+                where[part[0]].append(slots[k, at // 64])
+        for i in set(stream):
+            assert (got[i].first_slot, got[i].n_blocks) == (min(where[i], default=-1), len(where[i])), (i, s)
+    order = [x.doc_id for x in mixing.repeat_documents(docs).collect()]
+    assert Counter(order) == Counter({i: n for i, x in got.items() if x.size and (n := (2 * x.taken + x.size) // (2 * x.size))})
+
+
+def test_mix_rows_follow_the_schedule(spark, monkeypatch):
+    """Any stretch of the mixed rows is near the weights."""
+    monkeypatch.setattr(mixing._mix, "__defaults__", (mixing.WEIGHTS, mixing.MOST, 40, "doc_id", "text", "source", {}))
+    docs = spark.createDataFrame([(i, prose(20, i), "abc"[i % 3]) for i in range(900)], "doc_id long, text string, source string").repartition(4)
+    mixed = [x.source for x in mixing.repeat_documents(docs).collect()]
+    for at in range(0, len(mixed) - 160, 80):
+        part = Counter(mixed[at : at + 160])
+        assert all(abs(part[s] / 160 - w / 8) < 0.15 for s, w in zip("abc", (5, 2, 1)))
 
 
 # ---- chat
