@@ -145,13 +145,6 @@ def exact_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         left = bad
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """One row of each document that stays, with the columns of docs."""
-    stays = exact_classes(docs).where("kept").select("doc_id")
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return docs.join(stays, "doc_id", "left_semi").withColumn("__one", one).where("__one = 1").select(*docs.columns)
-
-
 def keep_documents(docs: DataFrame) -> DataFrame:
     """One row of each document that stays, with the columns of docs. A document is a doc_id, null or not, and a normalised text."""
     normal = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")

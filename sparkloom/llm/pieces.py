@@ -2,13 +2,16 @@
 
 The normaliser follows the model's own compiled character map: at each place the longest key in the map's double-array trie is
 replaced by its value, else one character stays. Beside every normalised byte it records the source byte it came from, so pieces, which
-tile the normalised text, project to spans of the original bytes. An empty map leaves all but spaces as they are, which numpy does at once.
+tile the normalised text, project to spans of the original bytes: every text is normalised, and every piece's end is read off that record. An
+empty map leaves all but spaces as they are, which numpy does at once.
 
 Ids are those of the sentencepiece library. Where the model's pieces can't reach across a space or a line feed (checked on the vocabulary), the
 ids of a text are those of its words one after another; words are encoded once by the library and kept in a bounded memory of
-each worker. Texts that hold U+2581 or U+0000 and models of other kinds are handed to the library whole.
+each worker (WORDS words, KEPT bytes of them, and none longer than LONGEST). Texts that hold U+2581 or U+0000 or a longer word and models of other kinds are
+handed to the library whole. A model without byte fallback is an error, as its unknown pieces have no length of their own.
 
-A null text counts as empty and has no ids. Texts are read whole; repeated rows give repeated rows.
+A null text counts as empty and has no ids. Texts are read whole, and a very long one is worked on by itself; repeated rows give repeated rows. Kept columns
+named ids, ends or decoded are replaced by the operator's own.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from .storage import slices
 SPACE = "▁"
 _MARK = SPACE.encode()
 WORDS = 300_000  #: words that a worker remembers
+KEPT = 1 << 25  #: bytes of them
+LONGEST = 1 << 12  #: characters of a word that is remembered
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -87,9 +92,10 @@ class Normaliser:
             data = np.frombuffer(raw, np.uint8)
             if not len(data):
                 return b"", np.zeros(1, np.int64)
-            at = np.repeat(np.arange(len(data)), np.where(data == 32, len(_MARK), 1))
             prefix = _MARK if self.dummy_prefix else b""
-            return prefix + raw.replace(b" ", _MARK), np.concatenate((np.zeros(len(prefix), np.int64), at, [len(data)]))
+            kind = np.int32 if len(data) < 1 << 31 else np.int64
+            at = np.repeat(np.arange(len(data), dtype=kind), np.where(data == 32, np.uint8(len(_MARK)), np.uint8(1)))
+            return prefix + raw.replace(b" ", _MARK), np.concatenate((np.zeros(len(prefix), kind), at, np.array([len(data)], kind)))
         parts, at = [], 0
         while at < len(raw):
             got = self._longest(raw, at)
@@ -136,7 +142,6 @@ class Codec:
             raise ValueError("only models with byte fallback are supported")
         kinds = [dict(_fields(v)).get(3, 1) for k, v in fields if k == 1]
         self.normalised = np.array([1 if b else len(p.encode()) for p, b in zip(pieces, is_byte)])
-        self.plain = np.array([1 if b else len(p.replace(SPACE, " ").encode()) for p, b in zip(pieces, is_byte)])
         self.by_word = (
             not self.normaliser.units and not self.normaliser.trim and self.normaliser.escape and self.normaliser.dummy_prefix
             and not any(k == 4 for k in kinds)
@@ -147,6 +152,7 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
+        self.held = 0
         self.slot: dict[str, int] = {}
         self.tail: dict[str, list[int]] = {}
         self.ids, self.at, self.texts = array("i"), array("q", [0]), []
@@ -156,6 +162,7 @@ class Codec:
         tails = dict.fromkeys(p for w in words if "\n" in w for p in w.split("\n")[1:] if p and p not in self.tail)
         for p, ids in zip(tails, self.library.encode(["\n" + p for p in tails], num_threads=1)):
             self.tail[p] = ids[2:]
+            self.held += 4 * len(p)
         heads = [w.partition("\n")[0] for w in words]
         found = self.library.encode(heads, num_threads=1)
         all_ids = []
@@ -169,13 +176,19 @@ class Codec:
             all_ids.append(ids)
         for w, ids, text in zip(words, all_ids, self.library.decode(all_ids)):
             self.slot[w] = len(self.texts)
+            self.held += 4 * len(w)
             self.texts.append(" " + text)
             self.ids.extend(ids)
             self.at.append(len(self.ids))
 
+    def _ends(self, text: str, ids: np.ndarray) -> np.ndarray:
+        """The byte of the text behind each piece: pieces tile the normalised text, whose bytes know their source."""
+        source = self.normaliser(text.encode("utf-8", "replace"))[1]
+        return source[np.minimum(np.cumsum(self.normalised[ids]), len(source) - 1)]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """All ids, the byte of its text at which each piece ends (the next one starts there), where each text ends among them, and the decoded texts."""
-        if len(self.slot) > WORDS or len(self.tail) > WORDS:
+        if len(self.slot) > WORDS or len(self.tail) > WORDS or self.held > KEPT:
             self._forget()
         plan: list[list[str] | None] = []
         new: dict[str, None] = {}
@@ -189,6 +202,9 @@ class Codec:
                 words = text.split(" ")
                 if "" in words:
                     words = list(_joined(words))
+                if len(max(words, key=len)) > LONGEST:
+                    plan.append(None)
+                    continue
                 plan.append(words)
                 new.update((w, None) for w in words if w not in slot)
         if new:
@@ -198,8 +214,7 @@ class Codec:
         for text, words in zip(texts, plan):
             if words is None:
                 own = np.array(self.library.encode(text), np.int32)
-                source = self.normaliser(text.encode("utf-8", "replace"))[1]
-                ends.append(source[np.minimum(np.cumsum(self.normalised[own]), len(source) - 1)])
+                ends.append(self._ends(text, own))
                 decoded.append(self.library.decode(own.tolist()))
             elif not words:
                 own = np.zeros(0, np.int32)
@@ -209,7 +224,7 @@ class Codec:
                 slots = np.fromiter(map(slot.__getitem__, words), np.int64, len(words))
                 first, n = at[slots], at[slots + 1] - at[slots]
                 own = pool[np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-                ends.append(np.cumsum(self.plain[own]) - 1)  # the first space has no source
+                ends.append(self._ends(text, own))
                 decoded.append("".join(map(self.texts.__getitem__, slots.tolist()))[1:])
             ids.append(own)
         del pool, at  # else the memory they look at can't grow
@@ -238,6 +253,7 @@ def codec(path: str) -> Codec:
 
 def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep, and of each text ids, ends (the byte behind each piece; a piece starts where the one before ends) and decoded."""
+    keep = tuple(c for c in keep if c not in ("ids", "ends", "decoded"))
     rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,13 +268,14 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
 
 
 def digests(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Length and hash of the ids, hash of the decoded text and how many bytes the pieces span, for each row of encode()."""
+    """Length and hash of the ids, hash of the decoded text, how many bytes the pieces span and a hash of their ends, for each row of encode()."""
     return encoded.select(
         *keep,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"),
+        F.xxhash64("ends").alias("spans_hash"),
     )
 
 

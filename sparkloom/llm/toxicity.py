@@ -6,17 +6,23 @@ Here the chain is low quality, then toxic: what looks like junk is weighed befor
 
 Features are the prefixes of 4 to 8 bytes and the whole words of up to 12 bytes (words as in shingles), each once a text, and four
 ratios of the text. Of the features that MIN_TEXTS sampled texts have, the SELECTED most telling ones for each category are kept by their
-full 64-bit hash, so a rare word never counts for another. Training reads a bounded sample: of the labelled ids the SAMPLE first in
-hash order, in one task. Every text is then judged whole, row by row without a shuffle.
+full 64-bit hash, so a rare word never counts for another. A model that predicts a fold out of it selects its features without that fold as well, and equal
+texts are in one fold. A text is toxic from a probability on that is chosen where out-of-fold predictions part toxic texts best from clean ones, so labels
+that training doesn't see have no part in it.
 
-A null or empty text has no words and is never toxic. If no label exists, nothing is. Of an id labelled repeatedly the highest labels count; rows with a
-null label or id teach nothing. Repeated rows give repeated rows.
+Training reads a bounded sample: of the labelled ids the SAMPLE first in hash order. Features are extracted and counted in parallel; only the
+selected ones, a bounded number for each text, come together in one task for each model. Every text is then judged whole, row by row without a shuffle.
+
+A null or empty text has no words and is never toxic. If no label exists, nothing is. Of an id labelled repeatedly the highest labels count, of an id with
+several texts the first in code-point order teaches; rows with a null label or id teach nothing. Repeated rows give repeated rows. A very long text is
+judged by itself, in memory of about 60 times its length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,13 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shingles import lower_bytes, mix, words_of
-from .storage import slices
+from .storage import cut, discard, slices
 
 SAMPLE = 8_000  #: labelled texts to learn from
 SELECTED = 512  #: features of each category
 MIN_TEXTS = 4  #: sampled texts that a feature needs
 FOLDS = 5
-THRESHOLD = 0.25  #: of the last category; held out, clean texts stay below 0.2 and all but 1 in 500 toxic ones reach it
+PARTS = 32  #: partitions of the sample
+THRESHOLDS = 0.1, 0.9  #: between which a text begins to be toxic
+CLEAN = 20  #: how much a clean text called toxic weighs, as a share of the clean ones, beside a toxic one missed
 CATEGORIES = ("low_quality", "toxic")
 _PREFIXES, _WHOLE, _RATIOS = range(4, 9), 12, 4
 _STEP = np.uint64(0x100000001B3)
@@ -67,6 +75,7 @@ class Chain:
     categories: list[str] = field(default_factory=list)
     chosen: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  #: sorted hashes of the features
     weights: list[np.ndarray] = field(default_factory=list)  #: of the features, the ratios, earlier log odds and 1, by category
+    threshold: float = 0.5  #: of the last category
 
     def __post_init__(self) -> None:
         self.seen = np.zeros(1 << 20, bool)  # a quick look before the search in chosen
@@ -117,64 +126,121 @@ def _fit(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, n: int, y: np.nd
     return w
 
 
-def learn(texts: list[str | None], labels: np.ndarray, categories: tuple[str, ...] = CATEGORIES) -> Chain:
-    """labels: text by category, 0 or 1."""
-    if not len(texts):
-        return Chain()
-    hashes, owners = [], []
-    for at in range(0, len(texts), 200):
-        h, o, _ = features(texts[at : at + 200])
-        order = np.lexsort((h, o))
-        h, o = h[order], o[order]
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])))[: len(h)]
-        hashes.append(h[new]), owners.append(o[new] + at)
-    h, o = np.concatenate(hashes), np.concatenate(owners)
-    names, inverse, df = np.unique(h, return_inverse=True, return_counts=True)
-    chosen: set[int] = set()
-    for c in range(len(categories)):
-        y = labels[:, c]
-        pos, base = np.bincount(inverse, y[o], len(names)), y.mean()
-        z = (pos - df * base) / np.sqrt(df * max(base * (1 - base), 1e-9))
-        z[df < MIN_TEXTS] = 0
-        best = np.lexsort((names, -np.abs(z)))[:SELECTED]
-        chosen.update(names[best[np.abs(z[best]) > 3]].tolist())
-    chain = Chain(list(categories), np.array(sorted(chosen), np.uint64))
-    parts = [chain.matrix(texts[at : at + 200]) for at in range(0, len(texts), 200)]
-    rows = np.concatenate([r + 200 * k for k, (r, _, _) in enumerate(parts)])
-    cols, dense = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-    n, fold = len(chain.chosen), np.arange(len(texts)) % FOLDS
-    for c in range(len(categories)):
-        y = labels[:, c].astype(float)
-        chain.weights.append(_fit(rows, cols, dense, n, y, np.ones(len(texts))))
-        if c + 1 < len(categories):
-            unseen = np.zeros(len(texts))
-            for f in range(FOLDS):
-                w = _fit(rows, cols, dense, n, y, (fold != f).astype(float))
-                unseen[fold == f] = _sigmoid(_logits(w, rows, cols, dense, n))[fold == f]
-            dense = np.hstack((dense, _log_odds(unseen[:, None])))
-    return chain
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """Where out-of-fold probabilities p part texts with y = 1 from others at the least cost, in the middle of the gap."""
+    if not 0 < y.sum() < len(y):
+        return 0.5
+    order = np.argsort(p, kind="stable")
+    p, y = p[order], y[order]
+    missed = np.concatenate(([0], np.cumsum(y))) / y.sum()  # when the first n are below
+    wrong = 1 - np.concatenate(([0], np.cumsum(1 - y))) / (1 - y).sum()
+    cost = missed + CLEAN * wrong
+    cost[1:-1][p[1:] == p[:-1]] = np.inf  # equal probabilities can't be parted
+    n = int(np.argmin(cost))
+    low, high = (p[n - 1] if n else 0.0), (p[n] if n < len(p) else 1.0)
+    return float(np.clip((low + high) / 2, *THRESHOLDS))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Chain:
-    """Learn the chain from docs' texts and the columns quality and toxic of labels, in one task on a bounded sample."""
+def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, sample: int) -> DataFrame:
+    """at (a number that orders texts), fold, text and the categories of at most sample labelled ids."""
     known = labels.select(F.col(key).alias("id"), (F.col("quality") == 0).cast("int").alias("low_quality"), (F.col("toxic") == 1).cast("int").alias("toxic")).dropna()
     order = F.xxhash64(F.col("id").cast("string"), F.lit("toxicity"))
     known = known.groupBy("id").agg(F.max("low_quality").alias("low_quality"), F.max("toxic").alias("toxic")).orderBy(order, "id").limit(sample)
-    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(known), "id").select("text", *CATEGORIES, order.alias("at"))
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "id")
+    once = rows.groupBy("id").agg(F.min("text").alias("text"), *(F.max(c).alias(c) for c in CATEGORIES))
+    return once.repartition(PARTS, "id").select(order.alias("at"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), "text", *CATEGORIES)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "text"], kind="stable")
-        chain = learn(pdf["text"].tolist(), pdf[list(CATEGORIES)].to_numpy(float))
-        return pd.DataFrame({"chosen": [chain.chosen.tobytes()], "weights": [[w.tolist() for w in chain.weights]]})
 
-    got = rows.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "chosen binary, weights array<array<double>>").collect()
-    if not got:
-        return Chain()
-    return Chain(list(CATEGORIES), np.frombuffer(bytes(got[0]["chosen"]), np.uint64), [np.array(w) for w in got[0]["weights"]])
+def _counted(rows: DataFrame) -> DataFrame:
+    """hash, and for each fold how many texts have the feature (n) and how many of them are of each category (its name)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, owners, _ = features(part.column("text").to_pylist())
+                order = np.lexsort((owners, hashes))
+                hashes, owners = hashes[order], owners[order]
+                new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])))[: len(hashes)]
+                hashes, owners = hashes[new], owners[new]
+                fold = part.column("fold").to_numpy(zero_copy_only=False)[owners].astype(np.int64)
+                names, place = np.unique(hashes, return_inverse=True)
+                flat = np.bincount(place * FOLDS + fold, minlength=len(names) * FOLDS)
+                of = [np.bincount(place * FOLDS + fold, part.column(c).to_numpy(zero_copy_only=False)[owners], len(names) * FOLDS).astype(np.int64) for c in CATEGORIES]
+                at = np.flatnonzero(flat)
+                yield pa.RecordBatch.from_arrays([pa.array(names[at // FOLDS].view(np.int64)), pa.array((at % FOLDS).astype(np.int32)), *(pa.array(x[at]) for x in (flat, *of))], ["hash", "fold", "n", *CATEGORIES])
+
+    counts = rows.mapInArrow(run, "hash long, fold int, n long, " + ", ".join(f"{c} long" for c in CATEGORIES))
+    of_fold = lambda c, f: F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(c))), F.lit(0)).alias(f"{c}_{f}")
+    return counts.groupBy("hash").agg(*(of_fold(c, f) for c in ("n", *CATEGORIES) for f in range(FOLDS)), F.sum("n").alias("all")).where(F.col("all") >= MIN_TEXTS)
+
+
+_EVERY = -1  #: in place of a fold: none is left out
+
+
+def _selected(counted: DataFrame, totals: list[dict[str, int]]) -> dict[tuple[str, int], np.ndarray]:
+    """The sorted hashes of the features of each category and each fold left out (or none). totals: of each fold how many texts it has (n), and of each category."""
+    best, views = [], [(c, f) for c in CATEGORIES for f in (_EVERY, *range(FOLDS))]
+    for k, (c, f) in enumerate(views):
+        folds = [g for g in range(FOLDS) if g != f]
+        n, y = (sum(totals[g][x] for g in folds) for x in ("n", c))
+        if not 0 < y < n:
+            continue
+        df, pos = (sum((F.col(f"{x}_{g}") for g in folds), F.lit(0)) for x in ("n", c))
+        z = F.abs(pos - df * (y / n)) / F.sqrt(F.greatest(df, F.lit(1)) * (y / n * (1 - y / n)))
+        told = counted.where(df >= MIN_TEXTS).select(F.lit(k).alias("view"), "hash", z.alias("z")).where("z > 3")
+        best.append(told.orderBy(F.desc("z"), "hash").limit(SELECTED).select("view", "hash"))
+    found = [tuple(r) for r in reduce(DataFrame.unionByName, best).collect()] if best else []  # at most SELECTED a view
+    return {v: np.unique(np.array([h for j, h in found if j == k], np.int64).view(np.uint64)) for k, v in enumerate(views)}
 
-def judge(docs: DataFrame, chain: Chain, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Chain:
+    """Learn the chain from docs' texts and the columns quality and toxic of labels, on a bounded sample."""
+    rows = cut(_sample(docs, labels, key, text, sample), "labelled")
+    sums = {r["fold"]: r.asDict() for r in rows.groupBy("fold").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in CATEGORIES)).collect()}
+    if not sums:
+        discard(rows)
+        return Chain()
+    counted = cut(_counted(rows), "counted")
+    selected = _selected(counted, [sums.get(f, dict.fromkeys(("n", *CATEGORIES), 0)) for f in range(FOLDS)])
+    every = Chain([], np.unique(np.concatenate(list(selected.values()))))
+    allowed = {v: np.isin(every.chosen, h) for v, h in selected.items()}
+
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                owner, cols, ratios = every.matrix(part.column("text").to_pylist())
+                offsets = np.searchsorted(owner, np.arange(part.num_rows + 1))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(cols, pa.int32())), pa.FixedSizeListArray.from_arrays(pa.array(ratios.ravel()), _RATIOS).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("at", "fold", *CATEGORIES)), *lists], ["at", "fold", *CATEGORIES, "cols", "ratios"])
+
+    matrix = cut(rows.mapInArrow(sparse, "at long, fold int, " + ", ".join(f"{c} int" for c in CATEGORIES) + ", cols array<int>, ratios array<double>"), "matrix")
+    odds: list[np.ndarray] = []
+    weights = []
+    for category in CATEGORIES:
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            held, pdf = int(pdf["held"].iloc[0]), pdf.sort_values(["at", "fold"], kind="stable")
+            cols = np.concatenate([np.asarray(x, np.int64) for x in pdf["cols"]])
+            owner = np.repeat(np.arange(len(pdf)), [len(x) for x in pdf["cols"]])
+            usable = allowed[category, held][cols]
+            owner, cols = owner[usable], cols[usable]
+            dense = np.hstack((np.array(pdf["ratios"].tolist()), *(x[:, None] for x in odds)))
+            fold, y = pdf["fold"].to_numpy(), pdf[category].to_numpy(float)
+            w = _fit(owner, cols, dense, len(every.chosen), y, (fold != held).astype(float))
+            return pd.DataFrame({"held": [held], "weights": [w.tolist()], "p": [np.where(fold == held, _sigmoid(_logits(w, owner, cols, dense, len(every.chosen))), 0).tolist()], "y": [y.tolist()]})
+
+        models = matrix.withColumn("held", F.explode(F.array(*map(F.lit, (_EVERY, *range(FOLDS)))))).repartition(FOLDS + 1, "held").groupBy("held").applyInPandas(fit, "held int, weights array<double>, p array<double>, y array<double>")
+        got = {r["held"]: r for r in models.collect()}  # one row a model, of bounded size
+        weights.append(np.array(got[_EVERY]["weights"]))
+        unseen, y = sum(np.array(got[f]["p"]) for f in range(FOLDS)), np.array(got[_EVERY]["y"])
+        odds.append(_log_odds(unseen))
+    discard(rows, counted, matrix)
+    return Chain(list(CATEGORIES), every.chosen, weights, best_threshold(unseen, y))
+
+
+def judge(docs: DataFrame, chain: Chain, text: str = "text", threshold: float | None = None) -> DataFrame:
     """All columns of docs, and a double p_<category> for each category and the boolean is_toxic; those names are replaced."""
+    threshold = chain.threshold if threshold is None else threshold
     new = [*(f"p_{c}" for c in CATEGORIES), "is_toxic"]
     docs = docs.drop(*new)
     shared = docs.sparkSession.sparkContext.broadcast(chain)

@@ -73,6 +73,70 @@ def test_language_ignores_slices():
     assert [len(p) for p in parts] == counts.tolist() and (np.concatenate(parts) == whole).all()
 
 
+def plain_ngrams(text):
+    """Buckets of the n-grams of a text, straight from the definition."""
+    import unicodedata
+
+    out = ""
+    for c in text.lower():
+        if unicodedata.category(c)[0] == "L":
+            out += c
+        elif not out.endswith(" "):
+            out += " "
+    if not out.strip():
+        return Counter()
+    out = (out if out.endswith(" ") else out + " ") + "   "
+    found = Counter()
+    for at in range(len(out) - 3):
+        h = 0
+        for size, c in enumerate(out[at : at + 4], 1):
+            h = ((h ^ ord(c)) * 0x01000193 + size) % (1 << 32)
+            x = ((h ^ (h >> 15)) * 0x85EBCA6B) % (1 << 32)
+            found[(x ^ (x >> 13)) % (1 << language_id.BITS)] += 1
+    return found
+
+
+TALES = ["Straße über 42 Häuser", "a", "  ab  cd", "x1y22z", "漢字 かな, abc", "It's a test.", "ends with space ", "ends with two  ", "İstanbul ŞÖÜ", "..!", "é", prose(300, 7), "abc " * 50]
+
+
+def test_language_against_plain_python(spark, monkeypatch):
+    """Counting and scoring, also in pieces of few characters and in steps of few terms, against plain Python; slices and lengths change nothing."""
+    r = random.Random(10)
+    rows = [(i, t, r.choice(["aa", "bb", "cc"])) for i, t in enumerate(TALES * 4)] + [(900, None, "aa"), (901, "text", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.train(docs)
+    counts = {x: Counter() for x in ("aa", "bb", "cc")}
+    for _, t, lang in rows:
+        if t and lang:
+            counts[lang] += plain_ngrams(t)
+    for k, lang in enumerate(model.languages):
+        own = np.array([counts[lang][b] for b in range(1 << language_id.BITS)]) + language_id.SMOOTHING
+        assert np.allclose(model.log_prob[:, k], np.log(own / own.sum()))
+    for piece, terms in ((1 << 18, 1 << 21), (3, 1 << 21), (1 << 18, 40), (7, 1)):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        monkeypatch.setattr(language_id, "TERMS", terms)
+        got, prob = language_id.score([*TALES, None, ""], model)
+        for t, lang, p in zip([*TALES, "", ""], got, prob):
+            grams = plain_ngrams(t)
+            if not grams:
+                assert lang == "und" and p == 0
+                continue
+            logits = model.log_prior + sum((n * model.log_prob[b] for b, n in grams.items()), np.zeros(3))
+            assert lang == model.languages[int(logits.argmax())]
+            assert p == pytest.approx(1 / np.exp(logits - logits.max()).sum())
+
+
+def test_language_bounds_and_names(spark, monkeypatch):
+    docs = spark.createDataFrame([(7, f"word {k % 3}", "ab"[k % 2]) for k in range(200)], "doc_id long, text string, lang string")
+    model = language_id.train(docs, per_language=10)  # one id for all rows: it is chosen for all or none
+    assert set(model.languages) == {"a", "b"}
+    got = language_id.predict(docs.withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit(1)), model, keep=("doc_id", "score", "lang_pred"))
+    assert got.columns == ["doc_id", "lang_pred", "score"] and got.count() == 200
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="more than 1"):
+        language_id.train(docs)
+
+
 # ---- exact dedup
 
 
@@ -99,9 +163,9 @@ def test_exact_odd(odd, empty):
     assert {(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got} == brute_copies(odd.collect())
     assert sum(r.kept for r in got) == len({r.text_sha256 for r in got})
     assert exact_dedup.exact_classes(empty).count() == 0
-    kept = exact_dedup.drop_copies(odd)
+    kept = exact_dedup.keep_documents(odd)
     assert kept.columns == odd.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.kept and r.doc_id is not None)
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.kept)
 
 
 def test_exact_survives_collisions(odd, monkeypatch):
@@ -551,11 +615,12 @@ def test_pieces_like_the_library(spark, odd, empty):
     assert pieces.encode(empty, path).count() == 0
 
 
-def test_bounded_memory_of_words(monkeypatch):
-    monkeypatch.setattr(pieces, "WORDS", 3)
+@pytest.mark.parametrize("limit, value", [("WORDS", 3), ("KEPT", 40), ("LONGEST", 4)])
+def test_bounded_memory_of_words(monkeypatch, limit, value):
+    monkeypatch.setattr(pieces, limit, value)
     own = pieces.Codec(pieces.model_path())
     for k in range(5):
-        texts = [prose(20, k), prose(5, k + 9)]
+        texts = [prose(20, k), prose(5, k + 9), "x" * 9_000 + " y"]
         ids, _, bounds, _ = own.encode(texts)
         assert [ids[a:b].tolist() for a, b in zip([0, *bounds], bounds)] == [own.library.encode(t) for t in texts]
 
@@ -607,6 +672,122 @@ def test_toxicity_odd(spark, odd, empty):
     assert toxicity.reject_toxic(odd, labels(spark)).columns == odd.columns
 
 
+def plain_features(text):
+    """Hashes of the features of a text, straight from the definition."""
+    import re
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % (1 << 64)
+        return x ^ (x >> 31)
+
+    out = set()
+    for word in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode()):
+        h = 0xCBF29CE484222325
+        for k, b in enumerate(word[:12], 1):
+            h = (h ^ b) * 0x100000001B3 % (1 << 64)
+            if k == len(word):
+                out.add(mix((h + 1) % (1 << 64)))
+            if 4 <= k <= 8:
+                out.add(mix((h + 2) % (1 << 64)))
+    return out
+
+
+def plain_chain(chain, text):
+    """Probabilities of a text by a chain, number by number."""
+    import math
+    import re
+
+    raw = (text or "").lower().encode()
+    words, n = re.findall(rb"[0-9a-z\x80-\xff]+", raw), max(len(raw), 1)
+    digits = sum(48 <= b < 58 for b in raw)
+    marks = sum(32 < b < 128 and not 48 <= b < 58 and not 97 <= b < 123 for b in raw)
+    dense = [math.log1p(len(words)) / 10, digits / n, marks / n, min(n / max(len(words), 1), 40) / 40]
+    own = plain_features(text)
+    at = [k for k, h in enumerate(chain.chosen.tolist()) if h in own]
+    out = []
+    for w in chain.weights:
+        x = sum(w[k] for k in at) + sum(a * b for a, b in zip(dense, w[len(chain.chosen) :])) + w[-1]
+        out.append(1 / (1 + math.exp(-max(-30, min(30, x)))))
+        p = min(1 - 1e-3, max(1e-3, out[-1]))
+        dense.append(math.log(p / (1 - p)))
+    return out
+
+
+def toxic_rows(n=600):
+    r = random.Random(6)
+    rows, known = [], []
+    for i in range(n):
+        words, bad, junk = prose(40, i).split(), i % 8 == 0, i % 5 == 0
+        if bad:
+            words[r.randrange(40)] = "nastyword"
+        if junk:
+            words[r.randrange(40)] = "12345 !!!! buynow"
+        rows.append((i, " ".join(words)))
+        known.append((i, int(not junk), int(bad)))
+    return rows, known
+
+
+def test_toxicity_against_plain_python(spark):
+    """Counts, selection and prediction against plain Python."""
+    rows, known = toxic_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labelled = labels(spark, known)
+    sample = toxicity._sample(docs, labelled, "doc_id", "text", 10_000).cache()
+    of = {r["text"]: r for r in sample.collect()}
+    counted = {r["hash"] % (1 << 64): r for r in toxicity._counted(sample).collect()}
+    df, pos = Counter(), Counter()
+    for r in of.values():
+        for h in plain_features(r["text"]):
+            df[h, r["fold"]] += 1
+            pos[h, r["fold"]] += r["toxic"]
+    every = Counter()
+    for (h, _), n in df.items():
+        every[h] += n
+    assert set(counted) == {h for h, n in every.items() if n >= toxicity.MIN_TEXTS}
+    assert all(counted[h][f"n_{f}"] == df[h, f] and counted[h][f"toxic_{f}"] == pos[h, f] for h in counted for f in range(toxicity.FOLDS))
+    totals = [{"n": sum(r["fold"] == f for r in of.values()), **{c: sum(r[c] for r in of.values() if r["fold"] == f) for c in toxicity.CATEGORIES}} for f in range(toxicity.FOLDS)]
+    selected = toxicity._selected(toxicity._counted(sample), totals)
+    for f in (-1, 2):
+        folds = [g for g in range(toxicity.FOLDS) if g != f]
+        n, y = sum(totals[g]["n"] for g in folds), sum(totals[g]["toxic"] for g in folds)
+        told = []
+        for h in counted:
+            d, p = sum(df[h, g] for g in folds), sum(pos[h, g] for g in folds)
+            if d >= toxicity.MIN_TEXTS and abs(p - d * y / n) / (d * y / n * (1 - y / n)) ** 0.5 > 3:
+                told.append(h)
+        assert len(told) < toxicity.SELECTED and selected["toxic", f].tolist() == sorted(told)
+    chain = toxicity.train(docs, labelled)
+    texts = [t for _, t in rows[:60]] + [None, "", "nastyword", "12345 !!!! buynow nastyword é"]
+    assert np.allclose(chain.predict(texts), [plain_chain(chain, t) for t in texts])
+    got = {x.doc_id: x.is_toxic for x in toxicity.judge(docs, chain).collect()}
+    assert sum(got[i] == bool(t) for i, _, t in known) >= 595
+
+
+def test_toxicity_threshold():
+    p, y = np.array([0.1, 0.2, 0.3, 0.7, 0.8]), np.array([0, 0, 0, 1, 1])
+    assert toxicity.best_threshold(p, y) == pytest.approx(0.5)
+    assert toxicity.best_threshold(p / 100, y) == 0.1 and toxicity.best_threshold(p, y * 0) == 0.5
+    cost = lambda t, p, y: (p[y == 1] < t).mean() + toxicity.CLEAN * (p[y == 0] >= t).mean()
+    r = np.random.default_rng(5)
+    for _ in range(50):
+        y = (r.random(80) < 0.2).astype(int)
+        p = np.round(np.clip(0.3 + 0.3 * y + 0.2 * r.normal(size=80), 0.11, 0.89), 2)
+        t = toxicity.best_threshold(p, y)
+        assert cost(t, p, y) == pytest.approx(min(cost(x, p, y) for x in np.arange(0.105, 0.9, 0.01)))
+
+
+def test_toxicity_of_hot_ids_and_folds(spark):
+    """One id for many rows teaches once; equal texts are in one fold."""
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(k, f"same {k % 3}") for k in range(2, 40)], "doc_id long, text string")
+    rows = toxicity._sample(docs, labels(spark, [(k, 1, k % 2) for k in range(40)]), "doc_id", "text", 100).collect()
+    assert len(rows) == 39
+    folds = defaultdict(set)
+    for r in rows:
+        folds[r["text"]].add(r["fold"])
+    assert all(len(f) == 1 for f in folds.values())
+
+
 # ---- pipeline
 
 
