@@ -10,44 +10,48 @@ from ..sources import files as S
 from .registry import Tables, query
 
 NATION = StructType().add("n_nationkey", "integer").add("n_name", "string").add("n_regionkey", "integer")
-ALL = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+ALL = "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders"
+
+
+def _orders(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice")
 
 
 @query("scan_json_list", ALL)
 def scan_json_list(t: Tables) -> DataFrame:
-    path = S.work_folder(t.spark)
-    t.nation.agg(F.to_json(F.collect_list(F.struct(*NATION.names))).alias("value")).write.text(path)
-    return S.json_list(t.spark, path, NATION).unionByName(S.json_list(t.spark, path + "/missing", NATION))
+    path, rows = S.work_folder(t.spark), _orders(t)
+    S.write_json_document(rows, path + "/list.json", "o_orderkey")
+    return S.json_list(t.spark, path + "/list.json", rows.schema).unionByName(S.json_list(t.spark, path + "/missing", rows.schema))
 
 
-@query("scan_json_results", "SELECT n_name, CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS pos FROM nation")
+@query("scan_json_results", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS pos FROM orders")
 def scan_json_results(t: Tables) -> DataFrame:
-    path = S.work_folder(t.spark)
-    t.nation.agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(*NATION.names))).alias("results"))).alias("value")).write.text(path)
-    return S.json_results(t.spark, path, NATION).select("n_name", "pos")
+    path, rows = S.work_folder(t.spark) + "/results.json", _orders(t)
+    S.write_json_document(rows, path, "o_orderkey", '{"results": [', "]}")
+    return S.json_results(t.spark, path, rows.schema).select("o_orderkey", "pos")
 
 
 @query("scan_jsonl", ALL)
 def scan_jsonl(t: Tables) -> DataFrame:
     path = S.work_folder(t.spark)
-    t.nation.write.json(path)
-    return S.json_lines(t.spark, path, NATION)
+    _orders(t).write.json(path)
+    return S.json_lines(t.spark, path, _orders(t).schema)
 
 
 @query("scan_jsonl_tolerant", ALL)
 def scan_jsonl_tolerant(t: Tables) -> DataFrame:
     """Lines that aren't JSON are left out."""
-    path = S.work_folder(t.spark)
-    good = t.nation.select(F.to_json(F.struct(*NATION.names)).alias("value"))
+    path, rows = S.work_folder(t.spark), _orders(t)
+    good = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
     good.unionByName(t.region.select(F.concat(F.lit("{broken "), "r_name").alias("value"))).write.text(path)
-    return S.json_lines(t.spark, path, NATION, tolerant=True)
+    return S.json_lines(t.spark, path, rows.schema, tolerant=True)
 
 
-@query("scan_csv", "SELECT n_nationkey, nullif(n_name, 'NATION_3') AS n_name, n_regionkey FROM nation")
+@query("scan_csv", "SELECT o_orderkey, nullif(o_orderpriority, '5-LOW') AS o_orderpriority, o_totalprice FROM orders")
 def scan_csv(t: Tables) -> DataFrame:
-    path = S.work_folder(t.spark)
-    t.nation.withColumn("n_name", F.nullif(F.col("n_name"), F.lit("NATION_3"))).write.csv(path, header=True)
-    return S.csv_rows(t.spark, path, NATION)
+    path, rows = S.work_folder(t.spark), _orders(t)
+    rows.withColumn("o_orderpriority", F.nullif(F.col("o_orderpriority"), F.lit("5-LOW"))).write.csv(path, header=True)
+    return S.csv_rows(t.spark, path, rows.schema)
 
 
 @query("scan_parquet_full", "SELECT * FROM supplier")
@@ -61,10 +65,15 @@ def scan_parquet_columns(t: Tables) -> DataFrame:
     return t.lineitem.where("l_tax > 0.05").select("l_orderkey", "l_tax")
 
 
-@query("scan_parquet_rowgroup", "SELECT count(*) AS n FROM lineitem WHERE l_orderkey >= 100")
+@query("scan_parquet_rowgroup", "SELECT o_orderkey FROM orders WHERE o_orderkey > (SELECT quantile_disc(o_orderkey, 0.4) FROM orders)")
 def scan_parquet_rowgroup(t: Tables) -> DataFrame:
-    """Rows from a cursor on; row groups are Spark's splits, and those below the cursor are skipped by their statistics."""
-    return t.lineitem.where("l_orderkey >= 100").agg(F.count("*").alias("n"))
+    """The rows behind a cursor inside a row group: orders stand sorted in files of row groups, and reading goes on behind the row of one key (two fifths from the first)."""
+    path, rows = S.work_folder(t.spark), t.orders.select("o_orderkey")
+    S.write_chunks(rows.orderBy("o_orderkey"), path, 50, 20)
+    read = t.spark.read.schema(rows.schema).parquet(path)
+    key = t.orders.agg(F.percentile_approx("o_orderkey", 0.4, 1_000_000)).first()[0]
+    file, row = read.where(F.col("o_orderkey") == key).select("_metadata.file_name", "_metadata.row_index").first()
+    return S.rows_after(read, file, row)
 
 
 def _shards(t: Tables) -> str:
@@ -138,82 +147,110 @@ def scan_layout_probe(t: Tables) -> DataFrame:
     return t.spark.read.option("recursiveFileLookup", "true").text(path).agg(F.lit(layout).alias("layout"), F.count("*").alias("n"))
 
 
-@query("scan_hdfs_or_local", "SELECT r_name, CAST(k AS INTEGER) AS k FROM region, (SELECT unnest(generate_series(0, 2)) AS k)")
+@query("scan_hdfs_or_local", "SELECT r_name, CAST(k AS INTEGER) AS k FROM region, (SELECT unnest(generate_series(0, 11)) AS k) WHERE k % 5 = r_regionkey")
 def scan_hdfs_or_local(t: Tables) -> DataFrame:
-    """A list of files cycled up to a number of readings (here: three of one)."""
-    return t.region.select("r_name", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    """The files of a folder on any file system, listed and cycled up to a number of readings (here: twelve of five files), and the rows of each reading."""
+    path = S.work_folder(t.spark)
+    t.region.select("r_name", "r_regionkey").repartition(1).write.partitionBy("r_regionkey").parquet(path)
+    readings = S.cycled(S.list_files(t.spark, path, ".parquet"), 12)
+    turns = t.spark.createDataFrame(list(enumerate(f.rpartition("/")[2] + "|" + f.split("r_regionkey=")[1][0] for f in readings)), "k int, file string")
+    rows = t.spark.read.schema("r_name string, r_regionkey int").parquet(path)
+    return rows.select("r_name", F.concat_ws("|", "_metadata.file_name", "r_regionkey").alias("file")).join(turns, "file").select("r_name", "k")
 
 
-@query("sink_parquet_chunks", "SELECT sum(num_rows)::BIGINT AS n, true AS bounded FROM (SELECT count(*) AS num_rows FROM customer)")
+@query("sink_parquet_chunks", "SELECT sum(num_rows)::BIGINT AS n, true AS bounded, true AS groups FROM (SELECT count(*) AS num_rows FROM customer)")
 def sink_parquet_chunks(t: Tables) -> DataFrame:
-    manifest = S.write_chunks(t.customer, S.work_folder(t.spark), 100)
-    return manifest.agg(F.sum("num_rows").alias("n"), (F.max("num_rows") <= 100).alias("bounded"))
+    """Files of ten row groups of ten rows at most, and what their manifest says."""
+    manifest = S.write_chunks(t.customer, S.work_folder(t.spark), 10, 10)
+    return manifest.agg(F.sum("num_rows").alias("n"), (F.max("num_rows") <= 100).alias("bounded"), F.bool_and((F.col("num_row_groups") - 1) * 10 < F.col("num_rows")).alias("groups"))
 
 
-@query("sink_jsonl", "SELECT n_nationkey, n_name FROM nation")
+@query("sink_jsonl", ALL)
 def sink_jsonl(t: Tables) -> DataFrame:
-    path = S.work_folder(t.spark)
-    t.nation.select("n_nationkey", "n_name").write.json(path)
-    return t.spark.read.schema("n_nationkey int, n_name string").json(path)
+    path, rows = S.work_folder(t.spark), _orders(t)
+    rows.write.json(path)
+    return t.spark.read.schema(rows.schema).json(path)
 
 
-@query("sink_json_document", "SELECT count(*) AS total, 25 AS results FROM nation")
+@query("sink_json_document", "SELECT count(*) AS total, count(*) AS results, sum(o_orderkey)::BIGINT AS keys FROM orders")
 def sink_json_document(t: Tables) -> DataFrame:
-    """Metrics and rows in one JSON document."""
-    path = S.work_folder(t.spark)
-    rows = F.collect_list(F.struct(*NATION.names))
-    t.nation.agg(F.to_json(F.struct(F.struct(F.count("*").alias("total")).alias("metrics"), rows.alias("results"))).alias("value")).write.text(path)
-    got = t.spark.read.json(path, schema=f"metrics struct<total: bigint>, results array<{NATION.simpleString()}>", multiLine=True)
-    return got.select("metrics.total", F.size("results").alias("results"))
+    """Metrics and rows in one JSON document, read back."""
+    path, rows = S.work_folder(t.spark) + "/document.json", _orders(t)
+    S.write_json_document(rows, path, "o_orderkey", f'{{"metrics": {{"total": {rows.count()}}}, "results": [', "]}")
+    got = t.spark.read.json(path, schema=f"metrics struct<total: bigint>, results array<{rows.schema.simpleString()}>", multiLine=True)
+    return got.select("metrics.total", F.size("results").cast("long").alias("results"), F.aggregate("results", F.lit(0).cast("long"), lambda a, r: a + r["o_orderkey"]).alias("keys"))
 
 
-@query("sink_csv", "SELECT n_nationkey, n_name FROM nation")
+@query("sink_csv", ALL)
 def sink_csv(t: Tables) -> DataFrame:
-    path = S.work_folder(t.spark)
-    t.nation.select("n_nationkey", "n_name").write.csv(path, header=True)
-    return S.csv_rows(t.spark, path, StructType().add("n_nationkey", "integer").add("n_name", "string"))
+    path, rows = S.work_folder(t.spark), _orders(t)
+    rows.write.csv(path, header=True)
+    return S.csv_rows(t.spark, path, rows.schema)
 
 
-@query("sink_partitioned_status", "SELECT n_regionkey AS category, CASE WHEN n_nationkey % 3 = 0 THEN 'failed' ELSE 'ok' END AS status, count(*) AS n FROM nation GROUP BY 1, 2")
+@query("sink_partitioned_status", "SELECT o_orderpriority AS category, CASE WHEN o_totalprice < 1000 THEN 'failed' ELSE 'ok' END AS status, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1, 2")
 def sink_partitioned_status(t: Tables) -> DataFrame:
     path = S.work_folder(t.spark)
-    rows = t.nation.select("n_name", F.lit(1).alias("_note"), F.col("n_regionkey").alias("category"), F.when(F.col("n_nationkey") % 3 == 0, "failed").otherwise("ok").alias("status"))
+    rows = t.orders.select("o_orderkey", F.lit(1).alias("_note"), F.col("o_orderpriority").alias("category"), F.when(F.col("o_totalprice") < 1000, "failed").otherwise("ok").alias("status"))
     S.write_by_status(rows, path, "category", "status")
-    return t.spark.read.schema("n_name string, category int, status string").json(path).groupBy("category", "status").agg(F.count("*").alias("n"))
+    return t.spark.read.schema("o_orderkey long, category string, status string").json(path).groupBy("category", "status").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
 @query("sink_atomic", ALL)
 def sink_atomic(t: Tables) -> DataFrame:
-    path = S.work_folder(t.spark)
-    S.write_atomic(t.nation.limit(1), path)
-    S.write_atomic(t.nation, path)
-    return t.spark.read.schema(NATION).parquet(path)
+    """A table is written and replaced; a write that fails after that changes nothing."""
+    path, rows = S.work_folder(t.spark), _orders(t)
+    S.write_atomic(rows.where("o_orderpriority IS NULL"), path)
+    S.write_atomic(rows, path)
+    try:
+        S.write_atomic(rows.withColumn("o_totalprice", F.raise_error(F.lit("fails on purpose"))), path)
+    except Exception:  # whatever the engine raises
+        return t.spark.read.schema(rows.schema).parquet(path)
+    raise AssertionError("the write should have failed")
+
+
+_CELL = lambda c: f"coalesce(CAST(max(CASE WHEN c = '{c}' THEN p END) // 100 AS VARCHAR) || '.' || lpad(CAST(max(CASE WHEN c = '{c}' THEN p END) % 100 AS VARCHAR), 2, '0') || '% (' || max(CASE WHEN c = '{c}' THEN k END) || '/' || max(CASE WHEN c = '{c}' THEN n END) || ')', '—')"
 
 
-@query("sink_markdown_pivot", "SELECT 2 + count(*) AS lines FROM region")
+@query("sink_markdown_pivot", f"""WITH e AS (SELECT unnest([event_type, '**overall**']) AS r, CASE WHEN value < 30 THEN 'low' WHEN value < 90 THEN 'mid' ELSE 'high' END AS c, CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END AS ok FROM events),
+g AS (SELECT r, c, sum(ok)::BIGINT AS k, count(*) AS n, CAST(round(sum(ok) * 10000 / count(*)) AS BIGINT) AS p FROM e GROUP BY 1, 2),
+w AS (SELECT r, {", ".join(f"{_CELL(c)} AS {c}" for c in ("low", "mid", "high"))} FROM g GROUP BY r)
+SELECT 0 AS line, '| type | low | mid | high |' AS text UNION ALL SELECT 1, '| --- | --- | --- | --- |' UNION ALL
+SELECT CAST(row_number() OVER (ORDER BY r = '**overall**', r) + 1 AS INTEGER), '| ' || r || ' | ' || low || ' | ' || mid || ' | ' || high || ' |' FROM w""")
 def sink_markdown_pivot(t: Tables) -> DataFrame:
-    text = S.markdown(t.region.orderBy("r_regionkey"))
-    return t.spark.range(1).select(F.lit(len(text.split("\n"))).cast("long").alias("lines"))
+    """A report of accuracies, types by bands of value (a user's number divisible by three counts as right), with a row for all of them, as Markdown, line by line."""
+    band = F.when(F.col("value") < 30, "low").when(F.col("value") < 90, "mid").otherwise("high")
+    rows = t.events.select(F.col("event_type").alias("type"), band.alias("band"), (F.col("user_id") % 3 == 0).cast("int").alias("ok"))
+    text = S.markdown(S.accuracy_report(rows, "type", "band", ["low", "mid", "high"], "ok"))
+    return t.spark.createDataFrame(list(enumerate(text.split("\n"))), "line int, text string")
 
 
-@query("sink_images_export", "SELECT vec_id, CAST(i AS INTEGER) AS i, vec_id || '_' || i || '.png' AS name FROM embeddings, (SELECT unnest(generate_series(0, 2)) AS i) WHERE vec_id < 20")
-def sink_images_export(t: Tables) -> DataFrame:
-    """A file name for each image of a list, by row and position."""
-    return _image_names(t.embeddings.where("vec_id < 20"))
+_PIXELS = "unhex(string_agg(printf('%02X', CAST(trunc(abs(CAST(x AS DOUBLE)) * 255) AS INTEGER) & 255), '' ORDER BY pos))"
 
 
-@query("sink_images_export_whole")
-def sink_images_export_whole(t: Tables) -> DataFrame:
-    """A file name for each image of every row; the twin of sink_images_export has the first twenty."""
-    return _image_names(t.embeddings)
+@query("sink_images_export", f"SELECT vec_id || '_' || i || '.pgm' AS name, CAST(11 + count(*) AS BIGINT) AS length, md5(encode('P5 8 4 255' || chr(10)) || {_PIXELS}) AS digest FROM (SELECT *, pos // 32 AS i FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)) GROUP BY vec_id, i")
+def sink_images_export(t: Tables) -> DataFrame:
+    """Each image of every row's list (here: the halves of a vector as grey pictures) becomes a file named by row and position; the files are read back."""
+    path = S.work_folder(t.spark)
+    S.export_images(_pictures(t), "vec_id", "images", path, ".pgm").write.format("noop").mode("overwrite").save()
+    files = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.pgm").load(path)
+    return files.select(F.substring_index("path", "/", -1).alias("name"), "length", F.md5("content").alias("digest"))
 
 
-def _image_names(lists: DataFrame) -> DataFrame:
-    rows = lists.select("vec_id", F.posexplode(F.slice("embedding", 1, 3)).alias("i", "image"))
-    return rows.select("vec_id", "i", F.concat(F.col("vec_id").cast("string"), F.lit("_"), F.col("i").cast("string"), F.lit(".png")).alias("name"))
+def _pictures(t: Tables) -> DataFrame:
+    """vec_id and two pictures of eight by four grey pixels, as encoded files."""
+    byte = lambda x: F.lpad(F.hex((F.abs(x.cast("double")) * 255).cast("int").bitwiseAND(255)), 2, "0")
+    head = F.lit("P5 8 4 255\n").cast("binary")
+    halves = F.transform(F.array(F.lit(1), F.lit(33)), lambda a: F.concat(head, F.unhex(F.array_join(F.transform(F.slice("embedding", a, F.lit(32)), byte), ""))))
+    return t.embeddings.select("vec_id", halves.alias("images"))
 
 
-@query("sink_tar", "SELECT DISTINCT p_brand AS path, p_brand = 'Brand#7' AS missing FROM part")
+@query("sink_tar", "SELECT vec_id || '_' || i || '.pgm' AS path, i = 2 AS missing, CASE WHEN i < 2 THEN 43::BIGINT ELSE -1 END AS size FROM embeddings, (SELECT unnest(generate_series(0, 2)) AS i)")
 def sink_tar(t: Tables) -> DataFrame:
-    """The distinct paths that an archive would hold, with what is missing."""
-    return t.part.select(F.col("p_brand").alias("path")).distinct().withColumn("missing", F.col("path") == "Brand#7")
+    """The distinct paths that rows name (here: three for each vector, of which only two exist), archived in four parts and read back; what is missing is listed."""
+    path = S.work_folder(t.spark)
+    S.export_images(_pictures(t), "vec_id", "images", path + "/images", ".pgm").write.format("noop").mode("overwrite").save()
+    named = t.embeddings.select("vec_id", F.explode(F.array(*map(F.lit, (0, 1, 2, 1)))).alias("i")).select(F.concat(F.col("vec_id").cast("string"), F.lit("_"), F.col("i").cast("string"), F.lit(".pgm")).alias("path"))
+    S.archive(named, path + "/images", path + "/archives", 4).write.parquet(path + "/listed")
+    listed = t.spark.read.schema("path string, missing boolean").parquet(path + "/listed")
+    return listed.join(S.archived(t.spark, path + "/archives"), "path", "left").select("path", "missing", F.coalesce("size", F.lit(-1)).alias("size"))

@@ -5,21 +5,52 @@ Paths are Hadoop paths throughout, so a store that only Spark reads works as wel
 
 from __future__ import annotations
 
+import io
+import os
+import tarfile
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; one of this machine only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new folder below spark.checkpoint.dir. Where that is unset, a folder of this machine will do only if the driver is the only executor."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path as its object."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def list_files(spark: SparkSession, path: str, suffix: str = "") -> list[str]:
+    """The files below a folder, whatever its file system, sorted by path."""
+    fs, p = _hadoop(spark, path)
+    found, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        name = files.next().getPath()
+        if name.getName().endswith(suffix) and not name.getName().startswith(("_", ".")):
+            found.append(name.toString())
+    return sorted(found)
+
+
+def cycled(files: Sequence[str], n: int) -> list[str]:
+    """n readings: the files in order, from the first again after the last; fewer than n files are cut, none give none."""
+    return [files[k % len(files)] for k in range(n)] if files else []
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
@@ -65,10 +96,17 @@ def tree(spark: SparkSession, root: str, names: Sequence[str], marker: str) -> D
     return files.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), *(F.try_element_at(parts, F.lit(-2 - k)).alias(n) for k, n in enumerate(names)))
 
 
-def write_chunks(rows: DataFrame, path: str, rows_per_file: int) -> DataFrame:
-    """Parquet files of at most so many rows, and their manifest: file and num_rows."""
-    rows.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
-    return rows.sparkSession.read.parquet(path).select(F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.count("*").alias("num_rows"))
+def write_chunks(rows: DataFrame, path: str, rows_per_group: int, groups_per_file: int) -> DataFrame:
+    """Parquet files of at most so many row groups of at most so many rows, and their manifest: file, num_row_groups and num_rows. Both limits are the writer's, so rows aren't moved."""
+    rows.write.option("maxRecordsPerFile", rows_per_group * groups_per_file).option("parquet.block.row.count.limit", rows_per_group).parquet(path)
+    counted = rows.sparkSession.read.schema(rows.schema).parquet(path).select(F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.count("*").alias("num_rows"))
+    return counted.select("file", F.ceil(F.col("num_rows") / rows_per_group).alias("num_row_groups"), "num_rows")
+
+
+def rows_after(rows: DataFrame, file: str, row: int) -> DataFrame:
+    """The rows of a Parquet table behind a cursor, a file's name and the number of a row in it; files go by name. Row groups before it are skipped within a task."""
+    name, at = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    return rows.where((name > file) | ((name == file) & (at > row)))
 
 
 def write_by_status(rows: DataFrame, path: str, category: str, status: str) -> None:
@@ -77,12 +115,154 @@ def write_by_status(rows: DataFrame, path: str, category: str, status: str) -> N
     rows.drop(*helpers).write.partitionBy(category, status).mode("append").json(path)
 
 
-def markdown(rows: DataFrame) -> str:
-    """A small table as Markdown."""
-    lines = [rows.columns, ["---"] * len(rows.columns), *([str(v) for v in r] for r in rows.collect())]
+def markdown(rows: DataFrame, most: int = 1_000) -> str:
+    """A small table as Markdown; one of more than most rows is an error."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    lines = [rows.columns, ["---"] * len(rows.columns), *([str(v) for v in r] for r in got)]
     return "\n".join("| " + " | ".join(x) + " |" for x in lines)
 
 
+def accuracy_report(rows: DataFrame, row: str, column: str, columns: Sequence[str], correct: str) -> DataFrame:
+    """Of each row value, and overall, a cell for each of the columns: accuracy in percent (correct/all); an empty cell is a dash."""
+    both = rows.select(F.explode(F.array(F.col(row).cast("string"), F.lit("**overall**"))).alias(row), F.col(column).cast("string").alias("__c"), F.col(correct).cast("long").alias("__k"))
+    counts = both.groupBy(row).pivot("__c", list(columns)).agg(F.count(F.lit(1)).alias("n"), F.sum("__k").alias("k"))
+
+    def cell(c: str) -> Column:
+        n, k = F.col(f"{c}_n"), F.col(f"{c}_k")
+        points = F.round(k * 10_000 / n).cast("long")
+        text = F.concat((F.floor(points / 100)).cast("string"), F.lit("."), F.lpad((points % 100).cast("string"), 2, "0"), F.lit("% ("), k.cast("string"), F.lit("/"), n.cast("string"), F.lit(")"))
+        return F.when(n > 0, text).otherwise("—").alias(c)
+
+    return counts.select(row, *map(cell, columns)).orderBy(F.col(row) == "**overall**", row)
+
+
 def write_atomic(rows: DataFrame, path: str) -> None:
-    """Replace a table at once: the commit protocol makes files visible only when the job has succeeded."""
-    rows.write.mode("overwrite").parquet(path)
+    """Replace a table: the new one is written beside it and takes its name when it is complete, so a job that fails leaves the old one.
+
+    The old table is moved aside first and deleted last. A folder's name can't pass from one to the other in a single step; should the driver die between the two
+    renames, the old table is whole under its name with `.old` behind, and the next call puts it back.
+    """
+    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old"
+    fs, target = _hadoop(rows.sparkSession, path)
+    aside, fresh = (_hadoop(rows.sparkSession, x)[1] for x in (old, new))
+    if fs.exists(aside):
+        if fs.exists(target):
+            fs.delete(aside, True)
+        else:
+            fs.rename(aside, target)
+    try:
+        rows.write.parquet(new)
+    except BaseException:
+        fs.delete(fresh, True)
+        raise
+    if fs.exists(target) and not fs.rename(target, aside):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(fresh, target):
+        raise OSError(f"{new} can't take its place")
+    fs.delete(aside, True)
+
+
+def write_json_document(rows: DataFrame, path: str, key: str, head: str = "[", tail: str = "]") -> None:
+    """All rows as one JSON document: the head, the rows as objects in the order of a unique key with commas between, the tail.
+
+    Rows are rendered and sorted in parallel; the driver only strings the parts' bytes together, whatever their size.
+    """
+    spark, parts = rows.sparkSession, f"{path}.parts-{uuid.uuid4().hex}"
+    first = rows.agg(F.min(key)).first()[0]
+    comma = F.when(F.col(key) == first, "").otherwise(",")
+    rows.select(F.col(key).alias("__k"), F.concat(comma, F.to_json(F.struct(*rows.columns))).alias("value")).orderBy("__k").select("value").write.text(parts)
+    fs, target = _hadoop(spark, path)
+    copy = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(head.encode()))
+        for part in list_files(spark, parts):
+            source = fs.open(_hadoop(spark, part)[1])
+            copy(source, out, spark.sparkContext._jsc.hadoopConfiguration(), False)
+            source.close()
+        out.write(bytearray(tail.encode()))
+    finally:
+        out.close()
+    fs.delete(_hadoop(spark, parts)[1], True)
+
+
+def _local(path: str) -> str:
+    """A path that Python can open; the folder must be mounted on all machines."""
+    if "://" in path or (":" in path and not path.startswith("file:")):
+        raise ValueError(f"{path} isn't a folder of a mounted file system")
+    return path.removeprefix("file:")
+
+
+def _replace(path: str, write: Callable[[str], None]) -> None:
+    """Write a file under another name and rename it, so a task that runs twice leaves one whole file."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    own = f"{path}.{uuid.uuid4().hex}"
+    write(own)
+    os.replace(own, path)
+
+
+def export_images(rows: DataFrame, key: str, images: str, folder: str, suffix: str) -> DataFrame:
+    """Write each image (bytes) of the rows' lists to a file named <key>_<position><suffix>, in parallel; key, i and name of each."""
+    root = _local(folder)
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = []
+            for k, i, data in zip(*(batch.column(c).to_pylist() for c in (key, "i", "image"))):
+                names.append(f"{k}_{i}{suffix}")
+                _replace(f"{root}/{names[-1]}", lambda p, d=data: _write(p, d))
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("i"), pa.array(names, pa.string())], [key, "i", "name"])
+
+    return rows.select(key, F.posexplode(images).alias("i", "image")).where("image IS NOT NULL").mapInArrow(run, f"`{key}` {kind}, i int, name string")
+
+
+def _write(path: str, data: bytes) -> None:
+    with open(path, "wb") as f:
+        f.write(data)
+
+
+def archive(paths: DataFrame, root: str, folder: str, archives: int = 1) -> DataFrame:
+    """Put the files below root that paths (column path, relative) name, each once, into so many tar archives; path and missing of each.
+
+    A file goes into the archive of its path's hash, and each archive is written by one task, file by file.
+    """
+    target = _local(folder)
+    spark = paths.sparkSession
+    names = paths.select("path").where("path IS NOT NULL").distinct()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.substring_index("path", root.removeprefix("file:").rstrip("/") + "/", -1).alias("path"), "content")
+    found = names.join(files, "path", "left").withColumn("shard", F.pmod(F.xxhash64("path"), F.lit(archives)).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[int, tuple[str, tarfile.TarFile]] = {}
+        os.makedirs(target, exist_ok=True)
+        for batch in batches:
+            for path, data, shard in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "shard"))):
+                if shard not in open_:
+                    own = f"{target}/part-{shard:05}.tar.{uuid.uuid4().hex}"
+                    open_[shard] = own, tarfile.open(own, "w")
+                if data is not None:
+                    info = tarfile.TarInfo(path)
+                    info.size = len(data)
+                    open_[shard][1].addfile(info, io.BytesIO(data))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pc.is_null(batch.column("content"))], ["path", "missing"])
+        for shard, (own, tar) in open_.items():
+            tar.close()
+            os.replace(own, f"{target}/part-{shard:05}.tar")
+
+    return found.repartition(archives, "shard").sortWithinPartitions("shard", "path").mapInArrow(run, "path string, missing boolean")
+
+
+def archived(spark: SparkSession, folder: str) -> DataFrame:
+    """path and size of every file in the tar archives of a folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("content").to_pylist():
+                with tarfile.open(fileobj=io.BytesIO(data)) as tar:
+                    members = tar.getmembers()
+                yield pa.RecordBatch.from_arrays([pa.array([m.name for m in members], pa.string()), pa.array([m.size for m in members], pa.int64())], ["path", "size"])
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(folder).select("content").mapInArrow(run, "path string, size long")
