@@ -134,21 +134,21 @@ def letter(index: Column) -> Column:
     return F.char(F.lit(65) + index.cast("int"))
 
 
-def source_from_path(path: Column) -> Column:
-    # The parts of a path that tell its source, first match first.
-    parts = {"infinigen/spatial/": "v5", "outputs_rendered/": "v4", "spatial_collab_dataset/scenes/": "ankur"}
+def source_from_path(path: Column, parts: dict[str, str]) -> Column:
+    """The source of the first of the parts that a path has, else unknown."""
     return F.coalesce(*(F.when(path.contains(part), name) for part, name in parts.items()), F.lit("unknown"))
 
 
-def prefixed_id(sample: Column, path: Column) -> Column:
+def prefixed_id(sample: Column, path: Column, parts: dict[str, str]) -> Column:
     """The id with its source in front, unless it has one or the source is unknown."""
-    source = source_from_path(path)
-    has = sample.startswith("v4_") | sample.startswith("v5_") | sample.startswith("ankur_")
+    source = source_from_path(path, parts)
+    has = F.lit(False)
+    for name in parts.values():
+        has |= sample.startswith(name + "_")
     return F.when((sample == "") | has | (source == "unknown"), sample).otherwise(F.concat(source, F.lit("_"), sample))
 
 
 def tokens(text: Column, stop: list[str]) -> Column:
-    """Distinct lower-case words of over two letters or digits without stop words; words of over four lose a closing s."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) > 2)
-    words = F.transform(words, lambda w: F.when((F.length(w) > 4) & w.endswith("s"), w.substr(F.lit(1), F.length(w) - 1)).otherwise(w))
-    return F.array_distinct(F.filter(words, lambda w: ~w.isin(stop)))
+    """Distinct lower-case words of over two letters or digits of any script, without stop words; of what is left, words of over four lose a closing s."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) > 2) & ~w.isin(stop))
+    return F.array_distinct(F.transform(words, lambda w: F.when((F.length(w) > 4) & w.endswith("s"), w.substr(F.lit(1), F.length(w) - 1)).otherwise(w)))

@@ -6,8 +6,10 @@ import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 Row = dict[str, Any]
 
@@ -31,16 +33,17 @@ class Registry:
 
 
 def parallel_map(rows: DataFrame, f: Callable[[Row], Row | None], schema: str) -> DataFrame:
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    """f of every row as a dict, in Arrow batches, so nulls stay None and whole numbers whole; rows for which it gives None are dropped."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pd.DataFrame([x for x in map(f, pdf.to_dict("records")) if x is not None], columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([x for x in map(f, batch.to_pylist()) if x is not None], kinds)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def with_retries(call: Callable[[str], str], prompt: str, tries: int = 3, wait: float = 1.0, longest: float = 10.0) -> tuple[str | None, str | None]:
+def with_retries(call: Callable[[str], str], prompt: str, tries: int = 3, wait: float = 1.0, longest: float = 10.0, sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, str | None]:
     """What a call returns, or its last error; before each retry the wait doubles up to the longest."""
     error = None
     for k in range(tries):
@@ -49,7 +52,7 @@ def with_retries(call: Callable[[str], str], prompt: str, tries: int = 3, wait:
         except Exception as e:  # whatever a client raises is a failed try
             error = f"{type(e).__name__}: {e}"
             if k + 1 < tries:
-                time.sleep(min(wait * 2**k, longest))
+                sleep(min(wait * 2**k, longest))
     return None, error
 
 

@@ -58,11 +58,23 @@ def nearest_ancestor(paths: DataFrame, key: str, path: str, homes: DataFrame) ->
 
 
 def prefix_match(rows: DataFrame) -> DataFrame:
-    """For rows (id, q, ord) the best other row of the same id whose q is a prefix of this one's or reverse: a, b (their ord) and exact (0 if equal)."""
-    a, b = (rows.select("id", F.col("q").alias(f"q{n}"), F.col("ord").alias(n)) for n in "ab")
-    both = a.join(b, "id").where("a <> b AND (startswith(qa, qb) OR startswith(qb, qa))").withColumn("exact", F.when(F.col("qa") == F.col("qb"), 0).otherwise(1))
-    best = Window.partitionBy("a").orderBy("exact", "b")
-    return both.withColumn("n", F.row_number().over(best)).where("n = 1").select("a", "b", "exact")
+    """For rows (id, q, ord) the best other row of the same id whose q is a prefix of this one's or reverse: a, b (their ord) and exact (0 if equal).
+
+    Equal questions come first, then the smallest ord. Each distinct question is exploded into its proper prefixes and meets the others by equality, and only the
+    smallest ord of a question travels, so a question that very many rows share is no more work than one.
+    """
+    nth = Window.partitionBy("id", "q").orderBy("ord")
+    two = rows.withColumn("n", F.row_number().over(nth)).where("n <= 2").groupBy("id", "q").agg(F.min("ord").alias("first"), F.max(F.when(F.col("n") == 2, F.col("ord"))).alias("second"))
+    prefixes = F.transform(F.sequence(F.lit(1), F.length("q") - 1), lambda n: F.substr(F.col("q"), F.lit(1), n))
+    split = two.where("length(q) > 1").select("id", F.col("q").alias("longer"), "first", F.explode(prefixes).alias("q"))
+    known = split.withColumnRenamed("first", "long_first").join(two.select("id", "q", "first"), ["id", "q"])
+    up = known.groupBy("id", F.col("longer").alias("q")).agg(F.min("first").alias("c"))
+    down = known.groupBy("id", "q").agg(F.min("long_first").alias("c"))
+    proper = up.unionByName(down).groupBy("id", "q").agg(F.min("c").alias("proper"))
+    found = rows.join(two, ["id", "q"]).join(proper, ["id", "q"], "left")
+    equal = F.when(F.col("ord") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    best = found.select(F.col("ord").alias("a"), F.coalesce(equal, "proper").alias("b"), F.when(equal.isNotNull(), 0).otherwise(1).alias("exact"))
+    return best.where("b IS NOT NULL")
 
 
 def contiguous_shards(rows: DataFrame, key: str, shards: int, bucket: int = 4096) -> DataFrame:

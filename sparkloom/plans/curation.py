@@ -19,7 +19,7 @@ MD5 = "md5('42|' || CAST({} AS VARCHAR))"
 # ---- filters and projections ------------------------------------------------------------------------------------------------
 
 
-@query("filter_nonempty_question", "SELECT doc_id FROM documents WHERE trim(substr(coalesce(text, ''), 1, 5)) <> ''")
+@query("filter_nonempty_question", "SELECT doc_id FROM documents WHERE trim(coalesce(text, '')) <> ''")
 def filter_nonempty_question(t: Tables) -> DataFrame:
     return t.documents.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("doc_id")
 
@@ -266,13 +266,13 @@ def join_path_ancestor(t: Tables) -> DataFrame:
     return J.nearest_ancestor(paths, "page_id", "path", homes)
 
 
-Q = "SELECT doc_id % 200 AS id, substr(text, 1, CAST(20 + doc_id % 3 AS INTEGER)) AS q, doc_id AS ord FROM documents"
+Q = "SELECT p_brand AS id, CAST(p_size AS VARCHAR) AS q, p_partkey AS ord FROM part"
 
 
 @query("join_prefix_theta", f"""WITH a AS ({Q}), j AS (SELECT a.ord AS a, b.ord AS b, row_number() OVER (PARTITION BY a.ord ORDER BY CASE WHEN a.q = b.q THEN 0 ELSE 1 END, b.ord) AS n FROM a JOIN a b ON a.id = b.id AND a.ord <> b.ord AND (starts_with(a.q, b.q) OR starts_with(b.q, a.q)))
 SELECT a, b FROM j WHERE n = 1""")
 def join_prefix_theta(t: Tables) -> DataFrame:
-    """Rows of one id where either question is a prefix of the other; the exact match first, then the earliest."""
+    """Rows of one id (here: parts of a brand) where either question (the size's digits) is a prefix of the other; the exact match first, then the earliest."""
     return J.prefix_match(_questions(t)).select("a", "b")
 
 
@@ -285,23 +285,27 @@ def join_match_class(t: Tables) -> DataFrame:
 
 
 def _questions(t: Tables) -> DataFrame:
-    return t.documents.select((F.col("doc_id") % 200).alias("id"), F.expr("substr(text, 1, cast(20 + doc_id % 3 AS int))").alias("q"), F.col("doc_id").alias("ord"))
+    return t.part.select(F.col("p_brand").alias("id"), F.col("p_size").cast("string").alias("q"), F.col("p_partkey").alias("ord"))
 
 
-@query("join_question_tiebreak", """WITH q AS (SELECT doc_id, substr(text, 1, 40) AS q, md5(text) AS h FROM documents), n AS (SELECT *, count(*) OVER (PARTITION BY q) AS k, count(*) OVER (PARTITION BY q, h) AS kh FROM q)
+@query("join_question_tiebreak", """WITH q AS (SELECT doc_id, coalesce(text, '') AS q, md5(coalesce(source, '') || '|' || coalesce(lang, '')) AS h FROM documents), n AS (SELECT *, count(*) OVER (PARTITION BY q) AS k, count(*) OVER (PARTITION BY q, h) AS kh FROM q)
 SELECT doc_id, CASE WHEN k = 1 THEN 'question' WHEN kh = 1 THEN 'image' ELSE 'ambiguous' END AS match FROM n""")
 def join_question_tiebreak(t: Tables) -> DataFrame:
-    """What identifies a row: its question alone, else with its content's hash, else nothing. Only ambiguous questions are hashed."""
-    by_q, by_h = Window.partitionBy("q"), Window.partitionBy("q", "h")
-    rows = t.documents.select("doc_id", F.substring("text", 1, 40).alias("q"), "text").withColumn("k", F.count("*").over(by_q))
-    rows = rows.select("doc_id", "q", "k", F.when(F.col("k") > 1, F.md5(F.col("text").cast("binary"))).alias("h")).withColumn("kh", F.count("*").over(by_h))
-    return rows.select("doc_id", F.when(F.col("k") == 1, "question").when(F.col("kh") == 1, "image").otherwise("ambiguous").alias("match"))
+    """What identifies a row: its question (here: the whole text) alone, else with its image's hash (here: source and language), else nothing. Questions travel as hashes, and
+    both counts are aggregated before rows meet them."""
+    image = F.concat(F.coalesce("source", F.lit("")), F.lit("|"), F.coalesce("lang", F.lit("")))
+    rows = t.documents.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("q"), F.md5(image.cast("binary")).alias("h"))
+    both = rows.groupBy("q", "h").agg(F.count("*").alias("kh"))
+    k = both.groupBy("q").agg(F.sum("kh").alias("k"))
+    counted = rows.join(both, ["q", "h"]).join(k, "q")
+    return counted.select("doc_id", F.when(F.col("k") == 1, "question").when(F.col("kh") == 1, "image").otherwise("ambiguous").alias("match"))
 
 
-@query("join_content_hash", "SELECT a.doc_id, b.doc_id AS other FROM documents a JOIN documents b ON md5(a.text) = md5(b.text) WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1")
+@query("join_content_hash", "SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS first_id, count(*) OVER (PARTITION BY md5(text)) AS n FROM documents WHERE text IS NOT NULL")
 def join_content_hash(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
-    return d.where("doc_id % 2 = 0").join(d.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "other"), "h").select("doc_id", "other")
+    """Rows of equal content by its hash: each with the first of its class and the class's size, not with every other row."""
+    d = t.documents.where("text IS NOT NULL").select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
+    return d.join(d.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "h").select("doc_id", "first_id", "n")
 
 
 @query("join_metadata_2key", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, n FROM lineitem l JOIN (SELECT l_returnflag AS f, l_linestatus AS s, l_linenumber AS k, count(*) AS n FROM lineitem GROUP BY 1, 2, 3) m ON m.f = l_returnflag AND m.s = l_linestatus AND m.k = l_linenumber WHERE l_quantity > 45")
@@ -345,22 +349,18 @@ def win_first_per_scene_hist(t: Tables) -> DataFrame:
     return W.first_per_key(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"]).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
-BASE26 = "CASE WHEN {0} < 26 THEN chr(CAST(97 + {0} AS INTEGER)) ELSE chr(CAST(97 + {0} // 26 - 1 AS INTEGER)) || chr(CAST(97 + {0} % 26 AS INTEGER)) END"
+_NTH = [sum(26**i for i in range(1, n)) for n in range(1, 7)]  # the first number that has n letters
+_LETTERS = lambda n: " || ".join(f"chr(CAST(97 + ({{0}} - {_NTH[n - 1]}) // {26**i} % 26 AS INTEGER))" for i in range(n - 1, -1, -1))
+BASE26 = "CASE " + " ".join(f"WHEN {{0}} < {_NTH[n]} THEN {_LETTERS(n)}" for n in range(1, 6)) + " END"
 
 
-@query("win_dup_suffix", f"WITH n AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events WHERE event_id < 30000) SELECT event_id, CASE WHEN n = 1 THEN CAST(user_id AS VARCHAR) ELSE user_id || '_' || {BASE26.format('k')} END AS new_id FROM n")
+@query("win_dup_suffix", f"WITH n AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events) SELECT event_id, CASE WHEN n = 1 THEN CAST(user_id AS VARCHAR) ELSE user_id || '_' || {BASE26.format('k')} END AS new_id FROM n")
 def win_dup_suffix(t: Tables) -> DataFrame:
     return W.suffix_duplicates(t.events, "user_id", ["event_id"]).select("event_id", "new_id")
 
 
-@query("fn_base26", f"SELECT p_partkey, {BASE26.format('(p_partkey % 702)')} AS name FROM part")
+@query("fn_base26", f"SELECT p_partkey, {BASE26.format('p_partkey')} AS name FROM part")
 def fn_base26(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", W.base26(F.col("p_partkey") % 702).alias("name"))
-
-
-@query("fn_base26_whole")
-def fn_base26_whole(t: Tables) -> DataFrame:
-    """The names of keys as they are; the twin of fn_base26 wraps them at zz."""
     return t.part.select("p_partkey", W.base26(F.col("p_partkey")).alias("name"))
 
 
@@ -521,11 +521,11 @@ def sample_hash_mod(t: Tables) -> DataFrame:
     return t.customer.where(S.sha256_mod(F.col("c_name"), 250) < 200).select("c_custkey")
 
 
-@query("sample_hash_assign", f"WITH p AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier WHERE s_suppkey < 10) SELECT c_custkey, s_suppkey FROM customer JOIN p ON i = {FOLD.format('c_name', 10)}")
+@query("sample_hash_assign", f"WITH p AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier), c AS (SELECT c_custkey, {FOLD.format('c_name', 'n')} AS i FROM (SELECT c_custkey, c_name, n FROM customer, (SELECT count(*) AS n FROM supplier))) SELECT c_custkey, s_suppkey FROM c JOIN p USING (i)")
 def sample_hash_assign(t: Tables) -> DataFrame:
-    """A member of a pool for each id by its hash."""
-    pool = t.supplier.where("s_suppkey < 10").select("s_suppkey", (F.row_number().over(Window.orderBy("s_suppkey")) - 1).cast("long").alias("i"))
-    return t.customer.withColumn("i", S.sha256_mod(F.col("c_name"), 10)).join(F.broadcast(pool), "i").select("c_custkey", "s_suppkey")
+    """A member of a pool (here: of all suppliers) for each id by its hash."""
+    pool = W.running_total(t.supplier.select("s_suppkey"), F.floor(F.col("s_suppkey") / 4096), ["s_suppkey"], F.lit(1), "i")
+    return t.customer.withColumn("i", S.sha256_mod(F.col("c_name"), t.supplier.count())).join(pool, "i").select("c_custkey", "s_suppkey")
 
 
 @query("sample_rotated_pick", f"SELECT c_custkey, concat_ws(',', " + ", ".join("['a', 'b', 'c', 'd', 'e'][CAST(1 + (" + FOLD.format("c_name", 5) + f" + {k}) % 5 AS INTEGER)]" for k in range(3)) + ") AS picked FROM customer")

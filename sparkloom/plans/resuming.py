@@ -12,43 +12,23 @@ from ..streaming import resume as R
 from .registry import Tables, query
 
 
-@query("st_infinite_epochs", "SELECT event_id, CAST(e AS INTEGER) AS epoch, e * 1000000 + event_id AS cursor FROM events, (SELECT unnest(generate_series(0, 1)) AS e) WHERE event_id < 500")
+@query("st_infinite_epochs", "SELECT event_id, CAST(e AS INTEGER) AS epoch, e * 1000000 + event_id AS cursor FROM events, (SELECT unnest(generate_series(0, 1)) AS e)")
 def st_infinite_epochs(t: Tables) -> DataFrame:
-    return _epochs(t.events.where("event_id < 500"))
-
-
-@query("st_infinite_epochs_whole")
-def st_infinite_epochs_whole(t: Tables) -> DataFrame:
-    """Epochs of all events; the twin of st_infinite_epochs has the first 500."""
-    return _epochs(t.events)
-
-
-def _epochs(events: DataFrame) -> DataFrame:
-    rows = events.select("event_id")
-    return R.epochs(rows, 2, F.col("epoch") * 1000000 + F.col("event_id"))
+    """Two epochs of all events, with a cursor in each."""
+    return R.epochs(t.events.select("event_id"), 2, F.col("epoch") * 1000000 + F.col("event_id"))
 
 
 def _landed(t: Tables, where: str, path: str) -> None:
     t.events.where(where).select("event_id", "user_id", "event_type", "value").coalesce(1).write.mode("append").parquet(path)
 
 
-@query("st_cursor_resume", "SELECT event_id, user_id FROM events WHERE event_id < 3000")
+@query("st_cursor_resume", "SELECT event_id, user_id FROM events")
 def st_cursor_resume(t: Tables) -> DataFrame:
-    """A file stream is drained twice; the second time it reads only what has come since."""
-    return _resumed(t, "event_id < 2000", "event_id >= 2000 AND event_id < 3000")
-
-
-@query("st_cursor_resume_whole")
-def st_cursor_resume_whole(t: Tables) -> DataFrame:
-    """The same of all events, split in the middle of their ids; the twin of st_cursor_resume ends at 3000."""
+    """A file stream is drained twice; the second time it reads only what has come since. Events land in two parts, split in the middle of their ids."""
     low, high = t.events.agg(F.min("event_id"), F.max("event_id")).first()
     middle = ((low or 0) + (high or 0)) // 2
-    return _resumed(t, f"event_id < {middle}", f"event_id >= {middle} OR event_id IS NULL")
-
-
-def _resumed(t: Tables, *landings: str) -> DataFrame:
     base = work_folder(t.spark)
-    for where in landings:
+    for where in (f"event_id < {middle}", f"event_id >= {middle} OR event_id IS NULL"):
         _landed(t, where, f"{base}/in")
         stream = R.file_stream(t.spark, f"{base}/in", "event_id long, user_id long, event_type string, value double")
         R.drain(stream.select("event_id", "user_id"), f"{base}/out", f"{base}/checkpoint")
@@ -143,10 +123,10 @@ def udf_prompt_dispatch(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.coalesce(*(F.when(F.col("p_type") == k, c) for k, c in builders.items()), name).alias("prompt"))
 
 
-@query("udf_parallel_map", "SELECT doc_id, length(text) AS n FROM documents WHERE doc_id % 7 <> 0")
+@query("udf_parallel_map", "SELECT doc_id, length(text) AS n FROM documents WHERE text <> ''")
 def udf_parallel_map(t: Tables) -> DataFrame:
     """A Python function over all rows, batch by batch; rows for which it gives None are dropped."""
-    return E.parallel_map(t.documents.select("doc_id", "text"), lambda r: None if r["doc_id"] % 7 == 0 else {"doc_id": r["doc_id"], "n": len(r["text"])}, "doc_id long, n long")
+    return E.parallel_map(t.documents.select("doc_id", "text"), lambda r: {"doc_id": r["doc_id"], "n": len(r["text"])} if r["text"] else None, "doc_id long, n long")
 
 
 def _judge(prompt: str) -> str:
@@ -168,10 +148,23 @@ def udf_retry_cascade(t: Tables) -> DataFrame:
     return E.parallel_map(t.part.select("p_partkey", "p_name", "p_type", "p_size"), E.cascade(ways, "p_partkey"), "p_partkey long, way string")
 
 
-@query("udf_backoff", "SELECT CAST(k AS INTEGER) AS attempt, least(pow(2, k), 10)::DOUBLE AS seconds FROM (SELECT unnest(generate_series(0, 5)) AS k)")
+def _waits(row: dict) -> dict:
+    waits: list[float] = []
+    fails = iter([True] * row["id"] + [False])
+
+    def call(prompt: str) -> str:
+        if next(fails):
+            raise ConnectionError(prompt)
+        return prompt
+
+    reply, _ = E.with_retries(call, "ready", tries=7, sleep=waits.append)
+    return {"failures": row["id"], "waited": sum(waits), "reply": reply}
+
+
+@query("udf_backoff", "SELECT k AS failures, coalesce((SELECT sum(least(pow(2, i), 10)) FROM (SELECT unnest(generate_series(0, 5)) AS i) WHERE i < k), 0)::DOUBLE AS waited, CASE WHEN k < 7 THEN 'ready' END AS reply FROM (SELECT unnest(generate_series(0, 7)) AS k)")
 def udf_backoff(t: Tables) -> DataFrame:
-    """Seconds to wait before each retry."""
-    return t.spark.range(6).select(F.col("id").cast("int").alias("attempt"), F.least(F.pow(F.lit(2.0), F.col("id")), F.lit(10.0)).alias("seconds"))
+    """A call that fails so many times, tried up to seven times: how many seconds it waits in all, and what it gives (the waits are noted, not slept)."""
+    return E.parallel_map(t.spark.range(8), _waits, "failures long, waited double, reply string")
 
 
 @query("udtf_questions", "SELECT c_custkey, kind, n FROM (SELECT c_custkey, 'counting' AS kind, c_nationkey AS n FROM customer UNION ALL SELECT c_custkey, 'distance', CAST(floor(c_acctbal) AS INTEGER) FROM customer WHERE c_acctbal > 0)")

@@ -5,6 +5,8 @@ Stand-ins: conversations for chats, lines of an order for segments of a sequence
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,22 +16,12 @@ from .curation import SPANS, spans
 from .registry import Tables, query
 
 
-@query("arr_chat_elements", """WITH c AS (SELECT conv_id, turn, role, string_split(substr(text, 1, 120), ' de ') AS parts FROM conversations WHERE role <> 'system'),
+@query("arr_chat_elements", """WITH c AS (SELECT conv_id, turn, role, string_split(text, ' de ') AS parts FROM conversations WHERE role <> 'system'),
 e AS (SELECT conv_id, turn, role, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM c)
 SELECT conv_id, turn, CAST(2 * (i - 1) AS INTEGER) AS pos, 'text' AS kind, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS loss FROM e WHERE trim(part) <> '' UNION ALL SELECT conv_id, turn, CAST(2 * (i - 1) - 1 AS INTEGER), 'image', 0 FROM e WHERE i > 1""")
 def arr_chat_elements(t: Tables) -> DataFrame:
     """Turns cut at their image marks (here: ` de `): images and texts in turn, loss on the assistant's texts only."""
-    return _elements(t, F.substring("text", 1, 120))
-
-
-@query("arr_chat_elements_whole")
-def arr_chat_elements_whole(t: Tables) -> DataFrame:
-    """The elements of whole turns; the twin of arr_chat_elements ends at 120 characters."""
-    return _elements(t, F.col("text"))
-
-
-def _elements(t: Tables, text: Column) -> DataFrame:
-    parts = F.split(text, " de ")
+    parts = F.split("text", " de ")
     rows = t.conversations.where("role <> 'system'").select("conv_id", "turn", "role", F.posexplode(parts).alias("i", "part"))
     loss = F.when(F.col("role") == "assistant", 1).otherwise(0)
     two = F.array(F.when(F.trim("part") != "", F.struct((F.col("i") * 2).alias("pos"), F.lit("text").alias("kind"), loss.alias("loss"))), F.when(F.col("i") > 0, F.struct((F.col("i") * 2 - 1).alias("pos"), F.lit("image").alias("kind"), F.lit(0).alias("loss"))))
@@ -73,9 +65,9 @@ def arr_role_tags(t: Tables) -> DataFrame:
 
 @query("arr_pack_greedy", None)
 def arr_pack_greedy(t: Tables) -> DataFrame:
-    """Documents packed by eight workers; every fifth is mandatory."""
-    rows = t.documents.select((F.col("doc_id") % 8).alias("worker"), "doc_id", F.col("n_chars").alias("tokens"), (F.col("doc_id") % 5 == 0).alias("mandatory"))
-    return pack_greedy(rows, "worker", "doc_id", "tokens", "mandatory")
+    """Documents packed into batches by workers of 512 ids each. Languages are the groups: English is drawn thrice as often, and every batch needs a French sample."""
+    rows = t.documents.select(F.floor(F.col("doc_id") / 512).alias("worker"), F.coalesce("lang", F.lit("und")).alias("group"), "doc_id", F.col("n_chars").cast("long").alias("tokens"))
+    return pack_greedy(rows, "worker", "group", "doc_id", "tokens", {"en": 3.0}, ("fr",))
 
 
 @query("arr_pack_layout", "SELECT l_orderkey, l_linenumber, CAST(sum(CAST(l_quantity AS BIGINT)) OVER w - CAST(l_quantity AS BIGINT) AS BIGINT) AS first, CAST(l_quantity AS BIGINT) AS length, CASE l_returnflag WHEN 'A' THEN 'causal' WHEN 'N' THEN 'full' ELSE 'noise' END AS mode FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING)")
@@ -87,14 +79,14 @@ def arr_pack_layout(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", (F.sum(n).over(w) - n).alias("first"), n.alias("length"), mode.alias("mode"))
 
 
-TOKENS = """WITH s AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS s, 1 + CAST(l_quantity AS BIGINT) % 3 AS n, l_returnflag AS f FROM lineitem WHERE l_orderkey % 20 = 0),
+TOKENS = """WITH s AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS s, 1 + CAST(l_quantity AS BIGINT) % 3 AS n, l_returnflag AS f FROM lineitem),
 k AS (SELECT o, s, f, unnest(generate_series(1, n)) AS j FROM s)"""
 
 
-def _tokens(t: Tables, where: str = "l_orderkey % 20 = 0") -> DataFrame:
+def _splits(t: Tables) -> DataFrame:
+    """Order o, number s, tokens n and kind f (A causal, N full, R noise) of each split (here: a line of an order)."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    s = t.lineitem.where(where).select(F.col("l_orderkey").alias("o"), F.row_number().over(w).alias("s"), (F.col("l_quantity").cast("long") % 3 + 1).alias("n"), F.col("l_returnflag").alias("f"))
-    return s.select("o", "s", "f", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("j"))
+    return t.lineitem.select(F.col("l_orderkey").alias("o"), F.row_number().over(w).alias("s"), (F.col("l_quantity").cast("long") % 3 + 1).alias("n"), F.col("l_returnflag").alias("f"))
 
 
 VISIBLE = "a.o = b.o AND ((b.s = a.s AND (a.f <> 'A' OR b.j <= a.j)) OR (b.s < a.s AND b.f <> 'R'))"
@@ -102,48 +94,31 @@ VISIBLE = "a.o = b.o AND ((b.s = a.s AND (a.f <> 'A' OR b.j <= a.j)) OR (b.s < a
 
 @query("arr_attn_mask", TOKENS + f" SELECT a.o, count(*) AS n_pairs FROM k a JOIN k b ON {VISIBLE} GROUP BY a.o")
 def arr_attn_mask(t: Tables) -> DataFrame:
-    """Which tokens of a sequence see which, as pairs: causal or full inside of a split; earlier splits are seen unless they are noise."""
-    return _mask(_tokens(t))
-
+    """How many pairs of tokens see one another: causal or full inside of a split; earlier splits are seen unless they are noise. Pairs are counted split by split, by formula."""
+    return _pairs(_splits(t)).groupBy("o").agg(F.sum("pairs").alias("n_pairs"))
 
-@query("arr_attn_mask_whole")
-def arr_attn_mask_whole(t: Tables) -> DataFrame:
-    """The mask of every order; the twin of arr_attn_mask has every twentieth key."""
-    return _mask(_tokens(t, "true"))
 
-
-def _mask(k: DataFrame) -> DataFrame:
-    return _visible(k).groupBy("o").agg(F.count("*").alias("n_pairs"))
-
-
-def _visible(k: DataFrame) -> DataFrame:
-    a, b = (k.select("o", *(F.col(c).alias(f"{x}{c}") for c in "sfj")) for x in "ab")
-    same = (F.col("bs") == F.col("as")) & ((F.col("af") != "A") | (F.col("bj") <= F.col("aj")))
-    return a.join(b, "o").where(same | ((F.col("bs") < F.col("as")) & (F.col("bf") != "R")))
+def _pairs(splits: DataFrame) -> DataFrame:
+    """The splits with pairs, the number of tokens that each split's tokens see."""
+    earlier = Window.partitionBy("o").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.coalesce(F.sum(F.when(F.col("f") != "R", F.col("n"))).over(earlier), F.lit(0))
+    own = F.when(F.col("f") == "A", F.shiftright(F.col("n") * (F.col("n") + 1), 1)).otherwise(F.col("n") * F.col("n"))
+    return splits.withColumn("pairs", F.col("n") * seen + own)
 
 
 @query("arr_mask_apply", TOKENS + f" SELECT a.o, count(*) AS n_pairs FROM k a JOIN k b ON {VISIBLE} AND NOT (a.s >= 4 AND b.s <= 2 AND b.j = 2 AND NOT b.f = 'N') GROUP BY a.o")
 def arr_mask_apply(t: Tables) -> DataFrame:
     """The same relation where reflecting splits (from the fourth) don't see dropped tokens of the views (the second of splits 1 and 2), unless the bridge (full splits) shows them again."""
-    return _masked(_tokens(t))
-
-
-@query("arr_mask_apply_whole")
-def arr_mask_apply_whole(t: Tables) -> DataFrame:
-    """The same of every order; the twin of arr_mask_apply has every twentieth key."""
-    return _masked(_tokens(t, "true"))
+    splits = _pairs(_splits(t))
+    dropped = F.count_if((F.col("s") <= 2) & (F.col("n") >= 2) & (F.col("f") == "A"))  # of noise nothing is seen anyway
+    return splits.groupBy("o").agg((F.sum("pairs") - F.coalesce(F.sum(F.when(F.col("s") >= 4, F.col("n"))), F.lit(0)) * dropped).alias("n_pairs"))
 
 
-def _masked(k: DataFrame) -> DataFrame:
-    hidden = (F.col("as") >= 4) & (F.col("bs") <= 2) & (F.col("bj") == 2) & (F.col("bf") != "N")
-    return _visible(k).where(~hidden).groupBy("o").agg(F.count("*").alias("n_pairs"))
+GRID = "WITH g AS (SELECT p_partkey, p_size % 6 + 1 AS h, p_size % 5 + 2 AS w FROM part), c AS (SELECT p_partkey, h, w, i, unnest(generate_series(0, w - 1)) AS j FROM (SELECT p_partkey, h, w, unnest(generate_series(0, h - 1)) AS i FROM g))"
 
 
-GRID = "WITH g AS (SELECT p_partkey, p_size % 6 + 1 AS h, p_size % 5 + 2 AS w FROM part WHERE p_partkey % 10 = 0), c AS (SELECT p_partkey, h, w, i, unnest(generate_series(0, w - 1)) AS j FROM (SELECT p_partkey, h, w, unnest(generate_series(0, h - 1)) AS i FROM g))"
-
-
-def _grid(t: Tables, where: str = "p_partkey % 10 = 0") -> DataFrame:
-    g = t.part.where(where).select("p_partkey", (F.col("p_size") % 6 + 1).alias("h"), (F.col("p_size") % 5 + 2).alias("w"))
+def _grid(t: Tables) -> DataFrame:
+    g = t.part.select("p_partkey", (F.col("p_size") % 6 + 1).alias("h"), (F.col("p_size") % 5 + 2).alias("w"))
     g = g.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
     return g.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
 
@@ -151,47 +126,26 @@ def _grid(t: Tables, where: str = "p_partkey % 10 = 0") -> DataFrame:
 @query("arr_position_ids", GRID + " SELECT p_partkey, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(i * 70 + j AS BIGINT) AS id FROM c")
 def arr_position_ids(t: Tables) -> DataFrame:
     """Row-major ids of a grid of patches with the stride of the longest side allowed."""
-    return _positions(_grid(t))
-
-
-@query("arr_position_ids_whole")
-def arr_position_ids_whole(t: Tables) -> DataFrame:
-    """The ids of every grid; the twin of arr_position_ids has every tenth part."""
-    return _positions(_grid(t, "true"))
-
-
-def _positions(cells: DataFrame) -> DataFrame:
-    return cells.select("p_partkey", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.col("i") * 70 + F.col("j")).cast("long").alias("id"))
+    return _grid(t).select("p_partkey", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.col("i") * 70 + F.col("j")).cast("long").alias("id"))
 
 
 @query("arr_region_pick", GRID + " SELECT p_partkey, count(*) AS n FROM c WHERE i < ceil(h * sqrt(0.5::DOUBLE)) AND j < ceil(w * sqrt(0.5::DOUBLE)) GROUP BY p_partkey")
 def arr_region_pick(t: Tables) -> DataFrame:
     """The cells of a contiguous rectangle of about half of a grid."""
-    return _region(_grid(t))
-
-
-@query("arr_region_pick_whole")
-def arr_region_pick_whole(t: Tables) -> DataFrame:
-    """The region of every grid; the twin of arr_region_pick has every tenth part."""
-    return _region(_grid(t, "true"))
-
-
-def _region(cells: DataFrame) -> DataFrame:
     side = F.sqrt(F.lit(0.5))
-    return cells.where((F.col("i") < F.ceil(F.col("h") * side)) & (F.col("j") < F.ceil(F.col("w") * side))).groupBy("p_partkey").agg(F.count("*").alias("n"))
+    return _grid(t).where((F.col("i") < F.ceil(F.col("h") * side)) & (F.col("j") < F.ceil(F.col("w") * side))).groupBy("p_partkey").agg(F.count("*").alias("n"))
 
 
-@query("arr_grid_rescale", GRID + " SELECT p_partkey, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(floor((i + 0.5::DOUBLE) / h * 4) AS BIGINT) AS to_i, CAST(floor((j + 0.5::DOUBLE) / w * 4) AS BIGINT) AS to_j FROM c")
-def arr_grid_rescale(t: Tables) -> DataFrame:
-    """The cell of a grid of four by four that holds the centre of each cell; arithmetic instead of a range join."""
-    to = lambda x, n: F.floor((F.col(x) + 0.5) / F.col(n) * 4)
-    return _grid(t).select("p_partkey", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), to("i", "h").alias("to_i"), to("j", "w").alias("to_j"))
+_INSIDE = "{0} * 8 <= (2 * {1}.k + 1) * {2} AND (2 * {1}.k + 1) * {2} < ({0} + 1) * 8"
+RESCALED = GRID + f""", k AS (SELECT unnest(generate_series(0, 3)) AS k), f AS (SELECT p_partkey, i, j, a.k AS to_i, b.k AS to_j FROM c JOIN k a ON {_INSIDE.format("i", "a", "h")} JOIN k b ON {_INSIDE.format("j", "b", "w")})
+SELECT p_partkey, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(to_i AS BIGINT) AS to_i, CAST(to_j AS BIGINT) AS to_j FROM f
+UNION ALL SELECT p_partkey, CAST(i AS BIGINT), CAST(j AS BIGINT), CAST((2 * i + 1) * 4 // (2 * h) AS BIGINT), CAST((2 * j + 1) * 4 // (2 * w) AS BIGINT) FROM c ANTI JOIN f USING (p_partkey, i, j)"""
 
 
-@query("arr_grid_rescale_whole")
-def arr_grid_rescale_whole(t: Tables) -> DataFrame:
-    """Every cell of a grid of four by four whose centre lies in each cell, or the nearest one if there is none; the twin of arr_grid_rescale knows the nearest one only."""
-    return rescale(_grid(t, "true"), 4, 4).select("p_partkey", "i", "j", "to_i", "to_j")
+@query("arr_grid_rescale", RESCALED)
+def arr_grid_rescale(t: Tables) -> DataFrame:
+    """Every cell of a grid of four by four whose centre lies in each cell, or the nearest one if there is none; arithmetic instead of a range join."""
+    return rescale(_grid(t), 4, 4).select("p_partkey", "i", "j", "to_i", "to_j")
 
 
 def rescale(cells: DataFrame, rows: int, columns: int) -> DataFrame:
@@ -261,28 +215,75 @@ def arr_delimiter_labels(t: Tables) -> DataFrame:
 
 
 @query("arr_gap_positions", f"""WITH s AS ({SPANS}), w AS (SELECT l_orderkey, coalesce(max(b) OVER (PARTITION BY l_orderkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x, a AS y FROM s UNION ALL SELECT l_orderkey, max(b), max(total) FROM s GROUP BY l_orderkey),
-p AS (SELECT l_orderkey, unnest(generate_series(x, y - 1)) AS pos FROM w WHERE x < y AND l_orderkey % 50 = 0), d AS (SELECT DISTINCT l_orderkey, a - 1 AS pos, 'start' AS label FROM s)
+p AS (SELECT l_orderkey, unnest(generate_series(x, y - 1)) AS pos FROM w WHERE x < y), d AS (SELECT DISTINCT l_orderkey, a - 1 AS pos, 'start' AS label FROM s)
 SELECT p.l_orderkey, CAST(p.pos AS BIGINT) AS pos, coalesce(label, 'UNKNOWN') AS label FROM p LEFT JOIN d ON d.l_orderkey = p.l_orderkey AND d.pos = p.pos""")
 def arr_gap_positions(t: Tables) -> DataFrame:
     """Positions that no span covers, with their labels."""
-    return _gap_positions(spans(t).where("l_orderkey % 50 = 0"))
-
-
-@query("arr_gap_positions_whole")
-def arr_gap_positions_whole(t: Tables) -> DataFrame:
-    """The positions of every order; the twin of arr_gap_positions has every fiftieth key."""
-    return _gap_positions(spans(t))
-
-
-def _gap_positions(s: DataFrame) -> DataFrame:
+    s = spans(t)
     positions = gaps(s, ["l_orderkey"], "a", "b", "total").select("l_orderkey", F.explode(F.sequence(F.col("gap_start"), F.col("gap_end") - 1)).alias("pos"))
     labels = s.select("l_orderkey", (F.col("a") - 1).alias("pos"), F.lit("start").alias("label")).distinct()
     return positions.join(labels, ["l_orderkey", "pos"], "left").select("l_orderkey", "pos", F.coalesce("label", F.lit("UNKNOWN")).alias("label"))
 
 
-@query("arr_complete_grid", LONG + ", g AS (SELECT s.l_suppkey, n.l_linenumber, f.g FROM (SELECT DISTINCT l_suppkey FROM l) s CROSS JOIN (SELECT DISTINCT l_linenumber FROM l) n CROSS JOIN (SELECT DISTINCT g FROM l) f) SELECT g.* FROM g LEFT JOIN l ON l.l_suppkey = g.l_suppkey AND l.l_linenumber = g.l_linenumber AND l.g = g.g WHERE l.g IS NULL ORDER BY 1, 2, 3 LIMIT 20")
+CELLS = "WITH l AS (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events), g AS (SELECT u.user_id, e.event_type, d.day FROM (SELECT DISTINCT user_id FROM l) u CROSS JOIN (SELECT DISTINCT event_type FROM l) e CROSS JOIN (SELECT DISTINCT day FROM l) d)"
+
+
+@query("arr_complete_grid", CELLS + " SELECT user_id, event_type, strftime(day, '%Y-%m-%d') AS day FROM g ANTI JOIN l USING (user_id, event_type, day) ORDER BY user_id, event_type, day LIMIT 20")
 def arr_complete_grid(t: Tables) -> DataFrame:
-    """The first twenty cells that a complete grid of three dimensions lacks."""
-    long = _long(t).select("l_suppkey", "l_linenumber", "g")
-    cells = long.groupBy("l_suppkey").agg(F.lit(1).alias("one")).select("l_suppkey", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("l_linenumber")).select("*", F.explode(F.array(F.lit("A"), F.lit("N"), F.lit("R"))).alias("g"))
-    return cells.join(long, ["l_suppkey", "l_linenumber", "g"], "left_anti").orderBy("l_suppkey", "l_linenumber", "g").limit(20)
+    """The first twenty cells that a complete grid of three dimensions (here: users, types, days of events) lacks."""
+    rows = t.events.select("user_id", "event_type", F.to_date("ts").alias("day"))
+    return missing_cells(rows, ["user_id", "event_type", "day"]).orderBy("user_id", "event_type", "day").limit(20).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+def missing_cells(rows: DataFrame, dims: list[str]) -> DataFrame:
+    """The combinations of the values that each dimension has which no row has. The first dimension may be large; the values of the others (checked: at most
+    10,000 combinations) are exploded beside it, so nothing is joined crosswise."""
+    others = []
+    for d in dims[1:]:
+        values = [r[0] for r in rows.select(d).distinct().limit(10_001).collect()]
+        others.append(sorted(v for v in values if v is not None))
+    if math.prod(map(len, others)) > 10_000:
+        raise ValueError(f"{dims[1:]} have more than 10,000 combinations")
+    cells = rows.select(dims[0]).distinct()
+    for d, values in zip(dims[1:], others):
+        cells = cells.withColumn(d, F.explode(F.array(*map(F.lit, values)).cast(f"array<{rows.schema[d].dataType.simpleString()}>")))
+    return cells.join(rows.select(*dims).distinct(), dims, "left_anti")
+
+
+PATCH = 4  #: pixels of a patch's side
+
+
+@query("arr_patchify", f"SELECT vec_id, CAST(pos // 8 // {PATCH} AS INTEGER) AS i, CAST(pos % 8 // {PATCH} AS INTEGER) AS j, CAST(pos // 8 % {PATCH} * {PATCH} + pos % 8 % {PATCH} AS INTEGER) AS k, x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)")
+def arr_patchify(t: Tables) -> DataFrame:
+    """An image (here: a vector as eight by eight pixels) as rows of patches: the patch's place and each of its pixels."""
+    patches = t.embeddings.select("vec_id", F.posexplode(patchify(F.col("embedding"), 1, 8, 8, PATCH)).alias("at", "patch"))
+    return patches.select("vec_id", F.expr(f"cast(at div {8 // PATCH} AS int)").alias("i"), (F.col("at") % (8 // PATCH)).alias("j"), F.posexplode("patch").alias("k", "x"))
+
+
+def patchify(image: Column, channels: int, height: int, width: int, side: int) -> Column:
+    """The patches of an image, row by row, each an array of its pixels row by row with the channels of a pixel side by side. The image stands channel by channel."""
+    rows, columns = height // side, width // side
+    whole = lambda a, b: F.floor(a / b).cast("int")
+    numbers = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+
+    def pixel(p: Column, k: Column) -> Column:
+        i, j = whole(p, columns) * side + whole(whole(k, channels), side), p % columns * side + whole(k, channels) % side
+        return F.get(image, (k % channels) * (height * width) + i * width + j)
+
+    return F.transform(numbers(rows * columns), lambda p: F.transform(numbers(side * side * channels), lambda k: pixel(p, k)))
+
+
+@query("arr_composite", "WITH v AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) SELECT vec_id, CAST(pos // 8 AS INTEGER) AS row, CAST(pos % 8 + 10 * side AS INTEGER) AS col, x FROM (SELECT vec_id, pos, x, 0 AS side FROM v UNION ALL SELECT vec_id - 1, pos, x, 1 FROM v WHERE vec_id - 1 IN (SELECT vec_id FROM v)) WHERE vec_id + 1 IN (SELECT vec_id FROM v)")
+def arr_composite(t: Tables) -> DataFrame:
+    """Two images side by side (here: a vector and the next one, as eight by eight pixels) with a gap of two columns, whose pixels are left out here."""
+    v = t.embeddings.select("vec_id", F.col("embedding").alias("a"))
+    both = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+    pixels = both.select("vec_id", F.posexplode(beside(F.col("a"), F.col("b"), 8, 8, 8, 2)).alias("at", "x"))
+    return pixels.where("x IS NOT NULL").select("vec_id", F.expr("cast(at div 18 AS int)").alias("row"), (F.col("at") % 18).alias("col"), "x")
+
+
+def beside(a: Column, b: Column, height: int, width_a: int, width_b: int, gap: int) -> Column:
+    """Two images of one height, row by row, side by side with a gap of nulls between."""
+    none = F.array_repeat(F.lit(None).cast("float"), gap)
+    row = lambda r: F.concat(F.slice(a, r * width_a + 1, F.lit(width_a)), none, F.slice(b, r * width_b + 1, F.lit(width_b)))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), row))

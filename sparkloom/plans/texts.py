@@ -128,19 +128,10 @@ def fn_parse_pm_id(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.try_element_at(parts, F.lit(-1)).try_cast("int").alias("idx"), F.get(parts, F.lit(1)).alias("src"))
 
 
-@query("fn_question_tail", "SELECT conv_id, turn, substr(text, length(text) - 19) AS tail FROM (SELECT conv_id, turn, substr(text, 1, 100) AS text FROM conversations)")
+@query("fn_question_tail", "SELECT conv_id, turn, right(text, 20) AS tail FROM conversations")
 def fn_question_tail(t: Tables) -> DataFrame:
     """The text behind the last image mark (here put before the last twenty characters)."""
-    return _tails(t, F.substring("text", 1, 100))
-
-
-@query("fn_question_tail_whole")
-def fn_question_tail_whole(t: Tables) -> DataFrame:
-    """The tails of whole turns; the twin of fn_question_tail ends at 100 characters."""
-    return _tails(t, F.col("text"))
-
-
-def _tails(t: Tables, s: Column) -> DataFrame:
+    s = F.col("text")
     cut = F.greatest(F.length(s) - 20, F.lit(0))
     marked = F.concat(F.lit("<image>"), F.substr(s, F.lit(1), cut), F.lit("<image>"), F.substr(s, cut + 1))
     return t.conversations.select("conv_id", "turn", F.substring_index(marked, "<image>", -1).alias("tail"))
@@ -158,10 +149,13 @@ def fn_render_options_inline(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.concat(F.lit("Options: "), F.array_join(parts, ", ")).alias("options"))
 
 
-@query("fn_source_from_path", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'v5' WHEN 1 THEN 'v4' WHEN 2 THEN 'ankur' ELSE 'unknown' END AS source, CASE p_partkey % 4 WHEN 0 THEN 'v5_' WHEN 1 THEN 'v4_' WHEN 2 THEN 'ankur_' ELSE '' END || p_name AS id FROM part")
+SOURCES = {"indoor/scenes/": "indoor", "outputs_rendered/": "rendered", "shared_dataset/": "shared"}  #: parts of a path that tell its source, first match first
+
+
+@query("fn_source_from_path", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'indoor' WHEN 1 THEN 'rendered' WHEN 2 THEN 'shared' ELSE 'unknown' END AS source, CASE p_partkey % 4 WHEN 0 THEN 'indoor_' WHEN 1 THEN 'rendered_' WHEN 2 THEN 'shared_' ELSE '' END || p_name AS id FROM part")
 def fn_source_from_path(t: Tables) -> DataFrame:
-    path = F.element_at(F.array(*map(F.lit, ("/d/infinigen/spatial/a", "/d/outputs_rendered/a", "/spatial_collab_dataset/scenes/a", "/other"))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return t.part.select("p_partkey", T.source_from_path(path).alias("source"), T.prefixed_id(F.col("p_name"), path).alias("id"))
+    path = F.element_at(F.array(*map(F.lit, ("/d/indoor/scenes/a", "/d/outputs_rendered/a", "/shared_dataset/a", "/other"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return t.part.select("p_partkey", T.source_from_path(path, SOURCES).alias("source"), T.prefixed_id(F.col("p_name"), path, SOURCES).alias("id"))
 
 
 @query("fn_path_segments", "SELECT p_partkey, p_type AS scene, p_brand AS room FROM part")
@@ -175,8 +169,8 @@ def fn_path_segments(t: Tables) -> DataFrame:
 @query("fn_strip_affixes", "SELECT p_partkey, p_name AS id, p_type AS category FROM part")
 def fn_strip_affixes(t: Tables) -> DataFrame:
     """Ids without a source in front and a duplicate's suffix behind; a category without its closing number."""
-    name, kind = F.concat(F.lit("v4_"), "p_name", F.lit("_b")), F.concat_ws("_", "p_type", (F.col("p_partkey") % 7).cast("string"))
-    return t.part.select("p_partkey", F.regexp_replace(F.regexp_replace(name, "^(v4|v5|ankur)_", ""), "_[a-z]{1,2}$", "").alias("id"), F.regexp_replace(kind, "_[0-9]+$", "").alias("category"))
+    name, kind = F.concat(F.lit("rendered_"), "p_name", F.lit("_b")), F.concat_ws("_", "p_type", (F.col("p_partkey") % 7).cast("string"))
+    return t.part.select("p_partkey", F.regexp_replace(F.regexp_replace(name, f"^({'|'.join(SOURCES.values())})_", ""), "_[a-z]{1,2}$", "").alias("id"), F.regexp_replace(kind, "_[0-9]+$", "").alias("category"))
 
 
 @query("fn_hash", "SELECT doc_id, md5(text) AS m, sha256(text) AS s FROM documents")
@@ -188,19 +182,9 @@ def fn_hash(t: Tables) -> DataFrame:
 STOP = ["the", "and", "that", "with"]
 
 
-@query("fn_tokens", "WITH w AS (SELECT doc_id, unnest(string_split(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', ' ', 'g'), ' ')) AS w FROM documents), k AS (SELECT doc_id, CASE WHEN length(w) > 4 AND ends_with(w, 's') THEN substr(w, 1, length(w) - 1) ELSE w END AS w FROM w WHERE length(w) > 2 AND w NOT IN ('the', 'and', 'that', 'with')) SELECT doc_id, count(DISTINCT w) AS n FROM k GROUP BY doc_id")
+@query("fn_tokens", "WITH w AS (SELECT doc_id, unnest(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ')) AS w FROM documents), k AS (SELECT doc_id, CASE WHEN length(w) > 4 AND ends_with(w, 's') THEN substr(w, 1, length(w) - 1) ELSE w END AS w FROM w WHERE length(w) > 2 AND w NOT IN ('the', 'and', 'that', 'with')) SELECT doc_id, count(DISTINCT w) AS n FROM k GROUP BY doc_id")
 def fn_tokens(t: Tables) -> DataFrame:
-    return _token_counts(t, F.substring("text", 1, 200))
-
-
-@query("fn_tokens_whole")
-def fn_tokens_whole(t: Tables) -> DataFrame:
-    """The tokens of whole documents; the twin of fn_tokens ends at 200 characters."""
-    return _token_counts(t, F.col("text"))
-
-
-def _token_counts(t: Tables, text: Column) -> DataFrame:
-    tokens = T.tokens(text, STOP)
+    tokens = T.tokens(F.col("text"), STOP)
     return t.documents.select("doc_id", F.size(tokens).cast("long").alias("n")).where("n > 0")
 
 
@@ -271,12 +255,12 @@ def fn_angle_cam(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.round(G.camera_angle(unit, point), 6).alias("angle"))
 
 
-@query("fn_rel_pose", f"WITH x AS (SELECT o_orderkey, CAST(o_orderkey % 360 AS DOUBLE) AS a FROM orders) SELECT o_orderkey, {ANGLE} AS other_from_pov, CASE WHEN cos(radians(a)) > 0.5 THEN 'same way' WHEN cos(radians(a)) < -0.5 THEN 'towards' ELSE 'sideways' END AS facing FROM x WHERE o_orderkey % 60 <> 0")
+@query("fn_rel_pose", f"WITH x AS (SELECT o_orderkey, o_orderkey % 360 + 0.25::DOUBLE AS a FROM orders) SELECT o_orderkey, {ANGLE} AS other_from_pov, CASE WHEN cos(radians(a)) > 0.5 THEN 'same way' WHEN cos(radians(a)) < -0.5 THEN 'towards' ELSE 'sideways' END AS facing FROM x")
 def fn_rel_pose(t: Tables) -> DataFrame:
     """Where another camera stands and how it faces, by the product of both directions; here it is turned by an order's key."""
-    a = (F.col("o_orderkey") % 360).cast("double")
+    a = F.col("o_orderkey") % 360 + 0.25
     d = G.dot(F.array(F.lit(0.0), F.lit(1.0)), F.array(F.sin(F.radians(a)), F.cos(F.radians(a))))
-    return t.orders.where("o_orderkey % 60 <> 0").select("o_orderkey", G.angle_bucket(a).alias("other_from_pov"), F.when(d > 0.5, "same way").when(d < -0.5, "towards").otherwise("sideways").alias("facing"))
+    return t.orders.select("o_orderkey", G.angle_bucket(a).alias("other_from_pov"), F.when(d > 0.5, "same way").when(d < -0.5, "towards").otherwise("sideways").alias("facing"))
 
 
 @query("fn_cosine", "WITH v AS (SELECT vec_id, i, CAST(x AS DOUBLE) AS x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)) SELECT a.vec_id, round(sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))), 6) AS cosine FROM v a JOIN v b ON a.i = b.i AND b.vec_id = a.vec_id + 1 GROUP BY a.vec_id")
@@ -285,14 +269,14 @@ def fn_cosine(t: Tables) -> DataFrame:
     return v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id").select("vec_id", F.round(G.cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
 
 
-@query("fn_psnr_ssim", "WITH v AS (SELECT vec_id, i, CAST(x AS DOUBLE) AS x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)), e AS (SELECT a.vec_id, avg((a.x - b.x) * (a.x - b.x)) AS mse FROM v a JOIN v b ON a.i = b.i AND b.vec_id = a.vec_id + 1 GROUP BY a.vec_id) SELECT vec_id, round(10 * log10(1 / mse), 6) AS psnr FROM e WHERE mse > 0")
-def fn_psnr_ssim(t: Tables) -> DataFrame:
-    return _neighbours(t).select("vec_id", F.round(G.psnr(F.col("a"), F.col("b")), 6).alias("psnr")).where("psnr < double('infinity')")
+SSIM = "(2 * ma * mb + 1e-4) * (2 * (ab - ma * mb) + 9e-4) / ((ma * ma + mb * mb + 1e-4) * (aa - ma * ma + bb - mb * mb + 9e-4))"
 
 
-@query("fn_psnr_ssim_whole")
-def fn_psnr_ssim_whole(t: Tables) -> DataFrame:
-    """PSNR (infinite if equal) and SSIM of all pairs; the twin of fn_psnr_ssim has no SSIM and no equal pairs."""
+@query("fn_psnr_ssim", f"""WITH v AS (SELECT vec_id, i, CAST(x AS DOUBLE) AS x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)),
+e AS (SELECT a.vec_id, avg((a.x - b.x) * (a.x - b.x)) AS mse, avg(a.x) AS ma, avg(b.x) AS mb, avg(a.x * a.x) AS aa, avg(b.x * b.x) AS bb, avg(a.x * b.x) AS ab FROM v a JOIN v b ON a.i = b.i AND b.vec_id = a.vec_id + 1 GROUP BY a.vec_id)
+SELECT vec_id, CASE WHEN mse = 0 THEN 'infinity'::DOUBLE ELSE round(10 * log10(1 / nullif(mse, 0)), 6) END AS psnr, round({SSIM}, 6) AS ssim FROM e""")
+def fn_psnr_ssim(t: Tables) -> DataFrame:
+    """PSNR (infinite if equal) and global SSIM of pairs of images (here: a vector and the next one)."""
     psnr, equal = G.psnr(F.col("a"), F.col("b")), F.lit(float("inf"))
     return _neighbours(t).select("vec_id", F.when(psnr == equal, psnr).otherwise(F.round(psnr, 6)).alias("psnr"), F.round(G.ssim(F.col("a"), F.col("b")), 6).alias("ssim"))
 
@@ -357,7 +341,7 @@ def fn_mention(t: Tables) -> DataFrame:
     return t.documents.groupBy("lang").agg(F.round(F.avg(hit), 6).alias("rate"))
 
 
-@query("fn_hash_pixels", None)
+@query("fn_hash_pixels", "SELECT vec_id, md5(unhex(string_agg(printf('%02X', CAST(trunc(abs(CAST(x AS DOUBLE)) * 255) AS INTEGER) & 255), '' ORDER BY i))) AS digest FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY vec_id")
 def fn_hash_pixels(t: Tables) -> DataFrame:
     """md5 of decoded pixels. Pixels are arrays of bytes here (vectors, scaled), as no image library is at hand; encoded images are decoded by a function the caller gives."""
-    return M.hash_pixels(t.embeddings.select("vec_id", F.transform("embedding", lambda x: (F.abs(x) * 255).cast("int")).alias("pixels")), "vec_id", "pixels")
+    return M.hash_pixels(t.embeddings.select("vec_id", F.transform("embedding", lambda x: (F.abs(x.cast("double")) * 255).cast("int")).alias("pixels")), "vec_id", "pixels")
