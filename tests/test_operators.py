@@ -1,8 +1,14 @@
 """Golden cases and invariants of operators that queries can't show."""
 
+import io
 import math
 import random
+import re
+import tarfile
+from collections import Counter
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,9 +17,13 @@ from sparkloom.functions import metrics as M
 from sparkloom.functions import text as T
 from sparkloom.operators import external as E
 from sparkloom.operators import sampling as S
-from sparkloom.operators.packing import pack
+from sparkloom.operators.packing import Limits, pack, pack_greedy
+from sparkloom.operators.joins import prefix_match
+from sparkloom.operators.routing import fit_heads, route_cv
 from sparkloom.operators.windows import base26, running_total, suffix_duplicates
 from sparkloom.plans import QUERIES
+from sparkloom.plans.sequences import beside, missing_cells, patchify
+from sparkloom.sources import files as S_
 
 GOLDEN = [
     ("<answer> b </answer>", "B"), ("**Final Answer: C**", "C"), ("Answer: because it is left", "B"), ("I pick (D)", "D"), ("\\boxed{A}", "A"),
@@ -54,23 +64,72 @@ def test_running_total(spark):
     assert all(r.before == r.id * (r.id - 1) // 2 for r in rows.collect())
 
 
-@pytest.mark.parametrize("n", [0, 1, 30, 200])
-def test_packing_bounds(n):
-    lengths = [(i * 7919) % 90 + 1 for i in range(n)]
-    out = pack(lengths, [i % 5 == 0 for i in range(n)], expected=100, most_sample=80, most_batch=120, most_held=4)
-    total = {}
-    for size, batch in zip(lengths, out):
-        if batch >= 0:
-            total[batch] = total.get(batch, 0) + size
-    assert all(t <= 120 for t in total.values())
-    assert all((b >= 0) == (s < 80 if i % 5 == 0 else s <= 80) for i, (s, b) in enumerate(zip(lengths, out)))
-
-
-def test_text_metrics():
-    a = "the cat sat on the mat".split()
-    assert M.rouge_l(a, a) == 1 and M.bleu(a, a, 4) == pytest.approx(1)
-    assert M.rouge_l(a, []) == 0 and M.bleu(["x"], a, 1) == 0
-    assert M.bleu(a[:3], a, 1) == pytest.approx(math.exp(1 - 2))
+@pytest.mark.parametrize("n", [0, 1, 30, 400])
+@pytest.mark.parametrize("limits", [Limits(100, 80, 120, 4, 30), Limits(60, 60, 60, 0, 0), Limits(100, 80, 120, 50, 100)])
+def test_packing(n, limits):
+    """Batches are bounded, each sample that isn't too long stands in just one, a mandatory group opens every batch while it lasts, and groups come by weight."""
+    r = random.Random(n)
+    lengths = {g: [r.randint(1, 90) for _ in range(n)] for g in "abc"}
+    out = pack(lengths, {"a": 3.0}, ("c",), limits, lambda k: random.Random(k).random())
+    total, first = {}, {}
+    for g, i, b in out:
+        total[b] = total.get(b, 0) + lengths[g][i]
+        first.setdefault(b, g)
+    assert all(t <= limits.most_batch for t in total.values()) and sorted(total) == list(range(len(total)))
+    fits = [(g, i) for g, x in lengths.items() for i, k in enumerate(x) if (k < limits.most_sample if g == "c" else k <= limits.most_sample)]
+    assert sorted((g, i) for g, i, _ in out) == sorted(fits)
+    later = {b: sum(g == "c" and c >= b for g, _, c in out) for b in total}
+    assert all(first[b] == "c" or later[b] <= limits.most_held + 2 for b in total)  # what is left has been drawn and waits
+    if n == 400 and limits.most_held == 4:
+        early = [g for g, _, _ in out[:200]]
+        assert early.count("a") > 1.8 * early.count("b") and total[0] >= limits.expected
+
+
+def test_packing_of_workers(spark):
+    rows = spark.createDataFrame([(k // 50, "xy"[k % 2], k, 30 + k % 7) for k in range(200)] + [(0, None, 999, 5)], "worker long, group string, id long, tokens long")
+    got = pack_greedy(rows, "worker", "group", "id", "tokens", {}, ("y",), Limits(100, 80, 120, 4, 30)).collect()
+    assert sorted(r.id for r in got) == list(range(200)) and {r.worker for r in got} == {0, 1, 2, 3}
+    assert pack_greedy(rows.limit(0), "worker", "group", "id", "tokens", {}, ()).count() == 0
+
+
+def plain_bleu(a, b, n):
+    if not a or not set(a) & set(b):
+        return 0.0
+    total = 0.0
+    for k in range(1, n + 1):
+        x, y = (Counter(tuple(s[i : i + k]) for i in range(len(s) - k + 1)) for s in (a, b))
+        total += math.log((sum((x & y).values()) or 0.1) / max(1, sum(x.values())))
+    return min(1.0, math.exp(1 - len(b) / len(a))) * math.exp(total / n)
+
+
+def plain_cider(pairs):
+    grams = lambda s, n: Counter(tuple(s[i : i + n]) for i in range(len(s) - n + 1))
+    df = Counter(g for _, b in pairs for n in range(1, 5) for g in grams(b, n))
+    df = Counter({g: sum(g in grams(b, len(g)) for _, b in pairs) for g in df})
+    out = []
+    for a, b in pairs:
+        score = 0.0
+        for n in range(1, 5):
+            x, y = ({g: k * (math.log(len(pairs)) - math.log(max(1, df[g]))) for g, k in grams(s, n).items()} for s in (a, b))
+            norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+            score += sum(min(v, y.get(g, 0)) * y.get(g, 0) for g, v in x.items()) / norm if norm else 0
+        delta = max(0, len(a) - 1) - max(0, len(b) - 1)
+        out.append(score * math.exp(-delta * delta / 72) / 4 * 10)
+    return out
+
+
+def test_text_metrics(spark):
+    r = random.Random(3)
+    texts = [(" ".join(r.choice("the cat sat on a mat dog éa".split()) for _ in range(r.randint(0, 9))), " ".join(r.choice("the cat sat on a mat dog éa".split()) for _ in range(r.randint(0, 9)))) for _ in range(40)]
+    texts += [("the cat sat on the mat", "the cat sat on the mat"), ("", "x"), ("x", ""), ("x y", "z"), ("The CAT, sat!", "the cat sat")]
+    rows = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)] + [(99, None, "x")], "k int, candidate string, reference string").repartition(3)
+    got = {x.k: x for x in M.text_metrics(rows, ["k"]).collect()}
+    assert len(got) == len(texts) + 1 and got[99].bleu_1 == got[99].cider == got[99].rouge_l == 0
+    words = [tuple(re.findall(r"\w+", s.lower()) for s in t) for t in texts] + [([], ["x"])]
+    for k, ((a, b), cider) in enumerate(zip(words, plain_cider(words))):
+        x = got[k if k < len(texts) else 99]
+        assert [x[f"bleu_{n}"] for n in range(1, 5)] == pytest.approx([plain_bleu(a, b, n) for n in range(1, 5)])
+        assert x.cider == pytest.approx(cider) and x.rouge_l == pytest.approx(M.rouge_l(a, b))
 
 
 def test_common_length():
@@ -117,7 +176,7 @@ def test_dup_suffix_hot_key(spark, tmp_path):
 
 def test_base26_whole_keys(spark, tmp_path):
     spark.range(2_000).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
-    assert all(r.name == letters(r.p_partkey) for r in QUERIES["fn_base26_whole"](spark, str(tmp_path)).collect())
+    assert all(r.name == letters(r.p_partkey) for r in QUERIES["fn_base26"](spark, str(tmp_path)).collect())
 
 
 def test_texts_are_read_whole(spark, tmp_path):
@@ -128,14 +187,14 @@ def test_texts_are_read_whole(spark, tmp_path):
     spark.createDataFrame([(1, "     " + text), (2, "      "), (3, None)], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
     assert [r.doc_id for r in rows("filter_nonempty_question")] == [1]
-    assert {r.turn: r.tail for r in rows("fn_question_tail_whole")} == {0: turn[-20:], 1: "short"}
-    assert [(r.doc_id, r.n) for r in rows("fn_tokens_whole")] == [(1, 90)]
+    assert {r.turn: r.tail for r in rows("fn_question_tail")} == {0: turn[-20:], 1: "short"}
+    assert [(r.doc_id, r.n) for r in rows("fn_tokens")] == [(1, 90)]
     parts = turn.split(" de ")
     want = [(2 * i, "text", 1) for i in range(len(parts))] + [(2 * i - 1, "image", 0) for i in range(1, len(parts))]
-    assert sorted((r.pos, r.kind, r.loss) for r in rows("arr_chat_elements_whole") if r.turn == 0) == sorted(want)
+    assert sorted((r.pos, r.kind, r.loss) for r in rows("arr_chat_elements") if r.turn == 0) == sorted(want)
 
 
-def test_grid_rescale_whole(spark, tmp_path):
+def test_grid_rescale(spark, tmp_path):
     spark.range(60).select(F.col("id").alias("p_partkey"), F.col("id").cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
     want = set()
     for p in range(60):
@@ -147,21 +206,153 @@ def test_grid_rescale_whole(spark, tmp_path):
                 if not rs or not cs:
                     rs, cs = [int((2 * i + 1) * 4 / (2 * h))], [int((2 * j + 1) * 4 / (2 * w))]
                 want |= {(p, i, j, r, c) for r in rs for c in cs}
-    got = [tuple(r) for r in QUERIES["arr_grid_rescale_whole"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in QUERIES["arr_grid_rescale"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want
 
 
-def test_psnr_ssim_whole(spark, tmp_path):
-    import numpy as np
-
+def test_psnr_ssim(spark, tmp_path):
     r = np.random.default_rng(1)
     v = [r.random(16), r.random(16), r.random(16)]
     v += [v[2], np.zeros(16), np.zeros(16)]
     spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {x.vec_id: (x.psnr, x.ssim) for x in QUERIES["fn_psnr_ssim_whole"](spark, str(tmp_path)).collect()}
+    got = {x.vec_id: (x.psnr, x.ssim) for x in QUERIES["fn_psnr_ssim"](spark, str(tmp_path)).collect()}
     assert sorted(got) == [0, 1, 2, 3, 4]
     for k, (a, b) in enumerate(zip(v, v[1:])):
         mse = ((a - b) ** 2).mean()
         cov = ((a - a.mean()) * (b - b.mean())).mean()
         ssim = (2 * a.mean() * b.mean() + 1e-4) * (2 * cov + 9e-4) / ((a.mean() ** 2 + b.mean() ** 2 + 1e-4) * (a.var() + b.var() + 9e-4))
         assert got[k] == (pytest.approx(10 * math.log10(1 / mse), abs=1e-5) if mse else math.inf, pytest.approx(ssim, abs=1e-5))
+
+
+def test_tokens_of_any_script(spark):
+    text = "Thats the éclairs Über-Cats, cats; and 漢字漢字 bus grass 12345s"
+    got = spark.createDataFrame([(text,)], "s string").select(T.tokens(F.col("s"), ["the", "and", "that"]).alias("w")).first().w
+    assert got == ["that", "éclair", "über", "cats", "漢字漢字", "bus", "gras", "12345"]
+
+
+def test_parallel_map_keeps_types(spark):
+    rows = spark.createDataFrame([(2**53 + 1, None), (None, "x")], "a long, s string")
+    got = E.parallel_map(rows, lambda r: {"a": r["a"], "n": None if r["s"] is None else len(r["s"])}, "a long, n int").collect()
+    assert sorted(map(tuple, got), key=str) == [(2**53 + 1, None), (None, 1)]
+
+
+def test_prefix_match_against_brute_force(spark):
+    r = random.Random(2)
+    rows = [(r.randint(0, 2), "".join(r.choice("ab") for _ in range(r.randint(0, 4))), k) for k in range(120)] + [(None, "a", 500), (1, None, 501)]
+    got = {x.a: (x.b, x.exact) for x in prefix_match(spark.createDataFrame(rows, "id int, q string, ord int")).collect()}
+    want = {}
+    for i, q, k in rows:
+        found = [(p != q, o) for j, p, o in rows if None not in (i, q, j, p) and i == j and o != k and (p.startswith(q) or q.startswith(p)) and (p and q or p == q)]
+        if found:
+            want[k] = (min(found)[1], int(min(found)[0]))
+    assert got == want
+
+
+def test_heads_and_routes(spark):
+    """Heads against plain gradient descent, and routes that beat any single expert."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(400, 4)) * [1, 5, 0.2, 1] + 3
+    y = np.stack((x[:, 0] > 3, x[:, 0] < 3.2, r.random(400) < 0.3), axis=1).astype(float)
+    frame = spark.createDataFrame([(k, a.tolist(), b.tolist()) for k, (a, b) in enumerate(zip(x, y))], "id long, x array<double>, y array<double>").repartition(3)
+    rows = frame.withColumns({"fold": (F.col("id") % 2).cast("int"), "inner": F.lit(0)})
+    w, mean, scale = fit_heads(rows, 4, 3, [lambda fold, inner: fold == 0], [0.01], 60)
+    even = x[::2]
+    assert np.allclose(mean[0], even.mean(0)) and np.allclose(scale[0], even.std(0), atol=1e-5)
+    b = np.hstack(((even - even.mean(0)) / even.std(0), np.ones((200, 1))))
+    plain = np.zeros((5, 3))
+    for _ in range(20_000):
+        p = 1 / (1 + np.exp(-b @ plain))
+        plain -= 0.3 * (b.T @ (p - y[::2]) / 200 + np.diag([0.01] * 4 + [0]) @ plain)
+    assert np.allclose(w[0], plain, atol=0.02)
+    got = route_cv(frame).collect()
+    assert len(got) == 400 and len({g.fold for g in got}) == 5
+    right = sum(y[g.id, g.route] for g in got)
+    assert right > 1.2 * y.sum(0).max() and right >= 0.95 * y.max(1).sum()
+    assert route_cv(frame.limit(0)).count() == 0
+
+
+def test_patchify_and_beside(spark):
+    r = np.random.default_rng(2)
+    image = r.random((3, 4, 6))
+    row = spark.createDataFrame([(image.ravel().tolist(),)], "a array<double>")
+    got = np.array(row.select(patchify(F.col("a"), 3, 4, 6, 2).alias("p")).first().p)
+    assert np.array_equal(got, image.reshape(3, 2, 2, 3, 2).transpose(1, 3, 2, 4, 0).reshape(6, 12))
+    both = row.select(beside(F.col("a").cast("array<float>"), F.col("a").cast("array<float>"), 4, 6, 6, 1).alias("b")).first().b
+    assert len(both) == 4 * 13 and both[6] is None and both[7] == both[0] == pytest.approx(image[0, 0, 0])
+
+
+def test_missing_cells(spark):
+    rows = spark.createDataFrame([(a, b, c) for a in range(3) for b in "xy" for c in (1, 2) if (a, b, c) not in ((1, "y", 2), (2, "x", 1))] + [(0, None, 1)], "a int, b string, c int")
+    assert sorted(map(tuple, missing_cells(rows, ["a", "b", "c"]).collect())) == [(1, "y", 2), (2, "x", 1)]
+    assert missing_cells(rows.limit(0), ["a", "b", "c"]).count() == 0
+
+
+def test_chunks_have_row_groups(spark, tmp_path):
+    manifest = {r.file: r for r in S_.write_chunks(spark.range(1_234).coalesce(2), f"{tmp_path}/c", 20, 7).collect()}
+    assert sum(r.num_rows for r in manifest.values()) == 1_234
+    for name, r in manifest.items():
+        meta = pq.ParquetFile(tmp_path / "c" / name).metadata
+        assert meta.num_rows == r.num_rows <= 140 and meta.num_row_groups == r.num_row_groups
+        assert all(meta.row_group(k).num_rows <= 20 for k in range(meta.num_row_groups))
+
+
+def test_rows_after_a_cursor(spark, tmp_path):
+    spark.range(500, numPartitions=3).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    order = [r.id for r in rows.select("id", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()]
+    for at in (0, 200, 499):
+        file, row = rows.where(f"id = {order[at]}").select("_metadata.file_name", "_metadata.row_index").first()
+        assert sorted(r.id for r in S_.rows_after(rows, file, row).collect()) == sorted(order[at + 1 :])
+
+
+def test_atomic_write_keeps_the_old_table(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    S_.write_atomic(spark.range(5), path)
+    with pytest.raises(Exception, match="on purpose"):
+        S_.write_atomic(spark.range(9).select(F.when(F.col("id") == 8, F.raise_error(F.lit("on purpose"))).otherwise(F.col("id")).alias("id")), path)
+    assert spark.read.parquet(path).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    S_.write_atomic(spark.read.parquet(path).select((F.col("id") + 1).alias("id")), path)  # reads what it replaces
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4, 5]
+    (tmp_path / "t").rename(tmp_path / "t.old")  # the driver has died between the two renames
+    S_.write_atomic(spark.range(2), path)
+    assert spark.read.parquet(path).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_json_document(spark, tmp_path):
+    import json
+
+    S_.write_json_document(spark.range(100).select("id", F.lit('a"b').alias("s")).repartition(4), f"{tmp_path}/d.json", "id", '{"n": 100, "rows": [', "]}")
+    S_.write_json_document(spark.range(0), f"{tmp_path}/e.json", "id")
+    got = json.loads((tmp_path / "d.json").read_text())
+    assert got["rows"] == [{"id": i, "s": 'a"b'} for i in range(100)] and json.loads((tmp_path / "e.json").read_text()) == []
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["d.json", "e.json"]
+
+
+def test_images_and_archives(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [b"a", None, b"\x00c"]), (2, []), (3, None)], "k int, images array<binary>")
+    got = S_.export_images(rows, "k", "images", f"{tmp_path}/im", ".bin").collect()
+    assert sorted((r.i, r.name) for r in got) == [(0, "1_0.bin"), (2, "1_2.bin")] and (tmp_path / "im/1_2.bin").read_bytes() == b"\x00c"
+    named = spark.createDataFrame([("1_0.bin",), ("1_0.bin",), ("no.bin",), (None,), ("1_2.bin",)], "path string")
+    listed = S_.archive(named, f"{tmp_path}/im", f"{tmp_path}/tar", 2).collect()
+    assert sorted((r.path, r.missing) for r in listed) == [("1_0.bin", False), ("1_2.bin", False), ("no.bin", True)]
+    members = {}
+    for p in (tmp_path / "tar").glob("*.tar"):
+        with tarfile.open(fileobj=io.BytesIO(p.read_bytes())) as tar:
+            members |= {m.name: tar.extractfile(m).read() for m in tar.getmembers()}
+    assert members == {"1_0.bin": b"a", "1_2.bin": b"\x00c"}
+    with pytest.raises(ValueError, match="mounted"):
+        S_.export_images(rows, "k", "images", "s3a://bucket/x", ".bin")
+
+
+def test_markdown_has_a_limit(spark):
+    assert S_.markdown(spark.range(2)).split("\n") == ["| id |", "| --- |", "| 0 |", "| 1 |"]
+    with pytest.raises(ValueError, match="more than 3"):
+        S_.markdown(spark.range(9), 3)
+
+
+def test_files_are_listed_and_cycled(spark, tmp_path):
+    for n in ("b.parquet", "a.parquet", "_x.parquet", "c.txt"):
+        (tmp_path / n).write_text("x")
+    files = S_.list_files(spark, str(tmp_path), ".parquet")
+    assert [f.rpartition("/")[2] for f in files] == ["a.parquet", "b.parquet"]
+    assert S_.cycled(["a", "b"], 5) == ["a", "b", "a", "b", "a"] and S_.cycled(["a", "b"], 1) == ["a"] and S_.cycled([], 3) == []
