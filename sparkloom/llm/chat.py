@@ -9,7 +9,12 @@ the smallest conv_id stays; those that an anti-join finds to be the prefix of a
 turn after turn. Only hashes move in the search for prefixes: the texts are shuffled once, for those that stay.
 
 Order is by turn, nulls first; turns with equal numbers are ordered by their hashes. A repeated row counts once. A null role reads `user`,
-a null text is empty. Rows with a null conv_id belong to no conversation and are left out.
+a null text is empty. Rows with a null conv_id belong to no conversation and are left out. Of other columns only conv_id, turn, role and text are read,
+so they may have any name.
+
+Conversations are compared by their hashes alone: two different prefixes of equal length are taken for one with a chance of about 2**-128 a pair. The
+turns of one conversation are numbered in one sorted, spilling task; only a rendered conversation stands as one array, so it has to fit in a
+task's memory, as its text, a single value, has to anyway.
 """
 
 from __future__ import annotations
@@ -20,7 +25,6 @@ from pyspark.sql import functions as F
 from .storage import cut
 
 
-
 def _clean(turns: DataFrame) -> DataFrame:
     role, text = F.coalesce(F.col("role"), F.lit("user")), F.coalesce(F.col("text"), F.lit(""))
     rows = turns.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", role.alias("role"), text.alias("text"))

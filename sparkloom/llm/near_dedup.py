@@ -4,12 +4,15 @@ Each document is read once for its set's size, a 128-bit hash of the set and Min
 share a band (four MinHash values of 32 bands) are candidates; a pair at the threshold is missed with a chance of 5e-8. Candidates are compared
 sixteen MinHash values (of eight bits) at a time: a pair is dropped when, after n values of which m agree, the posterior
 probability that its similarity reaches the threshold, with a uniform prior, is below TOLERANCE. What remains links nodes to groups,
-and inside of a group every pair is verified exactly by its shingle sets.
+and inside of a group every pair is decided exactly by its shingle sets.
 
-A large bucket or group is cut into blocks of bounded size and number of shingles, and every two blocks meet in a task of their own. Pairs never become rows: a task
-counts each node's verified links, weighted by copies, and hands on a spanning forest. Classes are the connected components of
-verified links. Nothing is broadcast or collected. The work inside of one group of texts that all differ grows with the square
-of its size, as does the number of links that it counts; copies cost nothing.
+A large bucket is cut into blocks of bounded size, and every two blocks meet in a task of their own. In a large group, every member's distance (1 less
+the similarity) to a pivot, the member closest to the group's consensus, is taken first and rounded down to a ring. Distances obey the triangle inequality: two members so
+close to the pivot that their distances together stay below the threshold's are linked, and two whose distances differ by more are not, so such rings are
+counted as a whole. Only rings that neither rule decides are cut into blocks of bounded size and number of shingles, and every two such blocks are compared in a task
+of their own. Pairs never become rows: a task counts each node's verified links, weighted by copies, and hands on a spanning forest. Classes are the connected components of
+verified links. Nothing is broadcast or collected. So a group of close copies takes work in proportion to its size; one whose members are all about as far from one
+another as the threshold allows takes work that grows with the square, as does the number of links that it may hold. Equal sets cost nothing.
 
 A text of fewer than five words has one shingle of all of them. Documents without words, also those with a null text, are never linked. Repeated rows are copies, and
 each gets its row of the result. With a null doc_id a row is linked like any other but never names a class that has an id; texts are looked up by a
@@ -38,6 +41,8 @@ STEP = 16  #: MinHash values compared at a time
 TOLERANCE = 1e-7
 BLOCK = 512  #: members of a bucket compared at a time
 VERIFIED, SHINGLES = 256, 2_000_000  #: members of a group, and their shingles, that are verified at a time, about
+RINGS = 20  #: of distances to a pivot up to the threshold's
+CONSENSUS = 16  #: MinHash values that a pivot is chosen by
 
 
 @lru_cache(4)
@@ -213,6 +218,62 @@ def _verified(threshold: Fraction):
     return run
 
 
+def _rings(threshold: Fraction):
+    """Of rows (component, node, copies, shingles, pivot, core: the pivot's shingles) the ring of each node, and whether it is linked with the pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for own, core in zip(batch.column("shingles"), batch.column("core")):
+                own, core = np.frombuffer(own.as_buffer(), np.uint64), np.frombuffer(core.as_buffer(), np.uint64)
+                both = len(np.intersect1d(own, core, assume_unique=True))
+                union = len(own) + len(core) - both
+                apart = RINGS * (union - both) * threshold.denominator
+                rows.append((apart // (union * (threshold.denominator - threshold.numerator)), both * threshold.denominator >= union * threshold.numerator))
+            columns = [batch.column(c) for c in ("component", "node", "copies", "pivot")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_())], ["component", "node", "copies", "pivot", "ring", "close"])
+
+    return run
+
+
+def _pivots(large: DataFrame, nodes: DataFrame) -> DataFrame:
+    """component and pivot: of each component the node that agrees best with its members' most frequent MinHash values."""
+    value = lambda k: F.expr("signature").substr(k * 4 + 1, F.lit(4))
+    rows = large.select("component", "node").join(nodes.select("node", "signature"), "node")
+    each = rows.select("component", "node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(CONSENSUS - 1)), value)).alias("at", "value"))
+    counts = each.groupBy("component", "at", "value").agg(F.count("*").alias("n"))
+    best = counts.groupBy("component", "at").agg(F.max(F.struct("n", "value")).alias("x")).groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("at", "x.value"))).alias("modes"))
+    agree = F.aggregate(F.sequence(F.lit(0), F.lit(CONSENSUS - 1)), F.lit(0), lambda n, k: n + (F.element_at("modes", k) == value(k)).cast("int"))
+    return rows.join(best, "component").select("component", "node", agree.alias("agree")).groupBy("component").agg(F.max_by("node", F.struct("agree", -F.col("node"))).alias("pivot"))
+
+
+def _decided(members: DataFrame, nodes: DataFrame, threshold: Fraction, made: list[DataFrame]) -> DataFrame:
+    """node, links and root of the nodes of components that are verified in blocks; members: component, node, copies, size, shingles_all and shingles."""
+    pivots = cut(_pivots(members, nodes), "pivots")
+    cores = pivots.join(members.select(F.col("node").alias("pivot"), F.col("shingles").alias("core")), "pivot")
+    near = members.select("component", "node", "copies", "shingles").join(cores, "component").select("component", "node", "copies", "shingles", "pivot", "core")
+    near = cut(near.mapInArrow(_rings(threshold), "component long, node long, copies long, pivot long, ring int, close boolean"), "rings")
+    made += [pivots, near]
+    rings = near.groupBy("component", "ring").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")).groupBy("component").agg(F.collect_list(F.struct("ring", "n", "copies")).alias("rings"))
+    rows = near.join(rings, "component")
+    own = F.col("ring")
+    surely = lambda r: own + r["ring"] + 2 <= RINGS
+    never = lambda r: F.abs(own - r["ring"]) - 1 >= RINGS
+    certain = F.aggregate("rings", F.lit(0).cast("long"), lambda n, r: n + F.when(surely(r), r["copies"]).otherwise(0)) - F.when(own + own + 2 <= RINGS, F.col("copies")).otherwise(0)
+    known = rows.select("node", certain.alias("links"), F.when(F.col("close"), F.col("pivot")).otherwise(F.col("node")).alias("root"))
+    open_ = rows.withColumn("rings", F.filter("rings", lambda r: ~surely(r) & ~never(r))).where("size(rings) > 0").select("node", "ring", "rings")
+    together = F.greatest(F.least(F.lit(VERIFIED), F.floor(F.col("size") * SHINGLES / F.col("shingles_all"))), F.lit(1))
+    blocks = lambda n: F.ceil(n / F.col("together"))
+    name = lambda ring, part: F.shiftleft(ring.cast("long"), 32) + part
+    rows = members.withColumn("together", together).join(open_, "node")
+    rows = rows.join(near.groupBy("component", "ring").agg(F.count("*").alias("mine")), ["component", "ring"])
+    rows = rows.withColumn("block", name(own, F.pmod(F.xxhash64("node", "component"), blocks(F.col("mine")))))
+    others = F.flatten(F.transform("rings", lambda r: F.transform(F.sequence(F.lit(0).cast("long"), blocks(r["n"]) - 1), lambda k: name(r["ring"], k))))
+    rows = rows.withColumn("other", F.explode(others)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    dealt = rows.select("component", "i", "j", "block", "node", "copies", "shingles").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return known.unionByName(dealt.mapInArrow(_verified(threshold), "node long, links long, root long"))
+
+
 def _with_shingles(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """The rows of wanted (row, print, ...) without these two, but with the shingles of their texts."""
     kinds = wanted.drop("row", "print").schema
@@ -245,9 +306,15 @@ def _classes(docs: DataFrame, threshold: Fraction, tolerance: float, key: str, t
     grouped = components(edges.distinct())
     sizes = cut(grouped.join(nodes.select("node", "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles_all")), "sizes")
     wanted = grouped.join(sizes, "component").join(nodes.select("node", F.col("first.row").alias("row"), "print", "copies"), "node")
-    members = _with_shingles(docs, wanted, key, text).dropDuplicates(["node"])
-    blocks = F.greatest(F.ceil(F.col("size") / VERIFIED), F.ceil(F.col("shingles_all") / SHINGLES))
-    verified = cut(_blocks(members, "component", blocks).select("component", "i", "j", "block", "node", "copies", "shingles").mapInArrow(_verified(threshold), "node long, links long, root long"), "verified")
+    members = cut(_with_shingles(docs, wanted, key, text).dropDuplicates(["node"]), "members")
+    whole = (F.col("size") <= VERIFIED) & (F.col("shingles_all") <= SHINGLES)
+    found = _blocks(members.where(whole), "component", F.lit(1)).select("component", "i", "j", "block", "node", "copies", "shingles").mapInArrow(_verified(threshold), "node long, links long, root long")
+    made = [members]
+    large = members.where(~whole)
+    if not large.isEmpty():
+        found = found.unionByName(_decided(large, nodes, threshold, made))
+    verified = cut(found, "verified")
+    discard(*made)
     classes = components(verified.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     joined = nodes.select("node", "print", "n_shingles", "first", "copies").join(links, "node", "left").join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -29,6 +30,8 @@ def row_mark(*columns: str | Column) -> Column:
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK = threading.Lock()
+_WRITING: list[str] = []  #: one entry for each write that is under way; the first is what the option was before
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -38,12 +41,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sparkloom-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    with _LOCK:  # writes of several threads share the option
+        _WRITING.append(spark.conf.get(_CLEANUP, "false") if not _WRITING else _WRITING[0])
+        spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        with _LOCK:
+            before = _WRITING.pop()
+            if not _WRITING:
+                spark.conf.set(_CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._sparkloom_path = path
     return table

@@ -5,7 +5,8 @@ other urls the automaton finds every term of the vocabulary in the url, A-Z lowe
 to it are no ASCII letters or digits. One strict hit blocks a url, as do `soft_needed` distinct soft terms.
 
 The operator works row by row without a shuffle, so hot hosts don't matter. A null url, or one without `://`, has an empty host
-and path; a null url has no hits and is allowed. Repeated rows give repeated rows; other columns of the input aren't read.
+and path; a null url has no hits and is allowed. Repeated rows give repeated rows; other columns of the input aren't read, so they may have any name. Urls are
+read whole, however long. Of two fitting rules of equal length the one with the longer host decides, then the later one in the list.
 """
 
 from __future__ import annotations
@@ -52,6 +53,17 @@ _TO_LOWER = str.maketrans(_UPPER, _LOWER)
 _WORD = frozenset(_LOWER + "0123456789")
 
 
+MOST_TERMS = 100_000
+
+
+def vocabulary_of(terms: DataFrame, soft_needed: int = 2) -> Vocabulary:
+    """The vocabulary in a table of term and strict (boolean). It goes to every worker, so more than MOST_TERMS are an error; empty and null terms are left out."""
+    rows = terms.where("term <> '' AND strict IS NOT NULL").select("term", "strict").distinct().limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"a vocabulary of more than {MOST_TERMS} terms")
+    return Vocabulary(*(tuple(sorted(r.term for r in rows if r.strict == kind)) for kind in (True, False)), soft_needed)
+
+
 @lru_cache(8)
 def _automaton(vocabulary: Vocabulary) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()

@@ -334,6 +334,33 @@ def test_url_empty(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_rows(spark):
+    """Repeated rows, very long urls, and rules of equal length."""
+    long = "http://a.net/" + "x/" * 300_000 + "casino"
+    frame = spark.createDataFrame([(1, long), (1, long), (2, "http://b.c.org/ab"), (None, "http://c.org/")], "page_id long, url string")
+    rules = [url_filter.Rule("block", "c.org", "/ab"), url_filter.Rule("allow", "b.c.org", "/"), url_filter.Rule("block", "b.c.org", "/")]
+    got = sorted(((r.page_id, r.rule, r.verdict, len(r.path)) for r in url_filter.filter_urls(frame, rules=rules).collect()), key=str)
+    assert got == sorted([(1, None, "block", 600_007)] * 2 + [(2, "b.c.org/", "block", 3), (None, None, "allow", 1)], key=str)
+
+
+def test_url_vocabulary_of_a_table(spark, monkeypatch):
+    terms = spark.createDataFrame([("Bad", True), ("Bad", True), ("meh", False), ("so-so", False), (None, True), ("", False), ("x", None)], "term string, strict boolean")
+    own = url_filter.vocabulary_of(terms)
+    assert own == url_filter.Vocabulary(("Bad",), ("meh", "so-so"))
+    hits = {u: url_filter.vocabulary_hits(u, own) for u in ("http://a/bad.bad", "http://a/badly", "http://a/meh-meh-so-so")}
+    assert list(hits.values()) == [(2, 0), (0, 0), (0, 2)]
+    monkeypatch.setattr(url_filter, "MOST_TERMS", 1)
+    with pytest.raises(ValueError, match="more than 1 terms"):
+        url_filter.vocabulary_of(terms)
+
+
+def test_chat_names_and_long_conversations(spark):
+    rows = [(1, k, "user", f"t{k}") for k in range(3_000)] + [(2, k, "user", f"t{k}") for k in range(2_999)] + [(3, 0, "user", "x" * 1_000_000)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' n_turns", "'x' k", "'x' a", "'x' p0", "'x' turns")
+    got = {r.conv_id: r for r in chat.render(frame).collect()}
+    assert set(got) == {1, 3} and got[1].n_turns == 3_000 and len(got[3].text) > 1_000_000
+
+
 # ---- near duplicates
 
 
@@ -435,6 +462,25 @@ def test_near_keeps_one_of_lost_and_repeated_ids(spark):
     assert sorted((r.doc_id, r.text) for r in kept.collect() if r.text == "x y") == [(5, "x y")]
 
 
+def test_near_large_groups(spark, monkeypatch):
+    """Groups of many blocks: close copies of one text, copies at about the threshold's distance from it, chains, long and short members, copies of members."""
+    monkeypatch.setattr(near_dedup, "VERIFIED", 8)
+    r, texts = random.Random(12), []
+    for g, (n, edits, words) in enumerate([(90, 1, 150), (60, 9, 180), (60, 4, 120), (40, 2, 60)]):
+        base = prose(words, 700 + g).split()
+        for k in range(n):
+            copy = list(base)
+            if g == 3:
+                copy = copy[k // 2 :] + prose(k // 2, 800).split()
+            for _ in range(r.randint(0, edits)):
+                copy[r.randrange(len(copy))] = "x" + str(r.random())[2:7]
+            if g == 0 and k % 9 == 0:
+                copy += prose(r.randint(1, 30), k).split()
+            texts += [" ".join(copy)] * (1 + (k % 13 == 0))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert Counter(map(tuple, near_dedup.near_classes(docs).collect())) == brute_near(docs.collect())
+
+
 def test_posterior_pruning_keeps_the_threshold():
     needed = near_dedup.least_matches()
     assert list(needed) == sorted(needed) and needed[-1] < 0.8 * 128
@@ -570,11 +616,11 @@ def passage_rows(spark):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
 
 
-@pytest.mark.parametrize("group", [2, 512])
-def test_removals_brute(spark, monkeypatch, group):
+@pytest.mark.parametrize("group, sort_all", [(2, False), (512, False), (512, True)])
+def test_removals_brute(spark, monkeypatch, group, sort_all):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
     docs = passage_rows(spark)
-    got = sorted(map(tuple, suffix_dedup.removals(docs).collect()), key=str)
+    got = sorted(map(tuple, suffix_dedup.removals(docs, sort_all=sort_all).collect()), key=str)
     assert got == brute_removals(docs.collect())
 
 
@@ -791,22 +837,86 @@ def test_toxicity_of_hot_ids_and_folds(spark):
 # ---- pipeline
 
 
+def words_of(text):
+    return (text or "").split()
+
+
+def brute_mix(rows):
+    """Rows (doc_id, source, text) as often as the mix takes them."""
+    sizes = Counter()
+    for _, s, text in rows:
+        sizes[s] += len(words_of(text))
+    target, want = brute_targets(sizes), Counter()
+    for s in sizes:
+        own = sorted((r for r in rows if r[1] == s), key=lambda r: (sha_order(r[0]), r[0] is not None, r[0] or 0, len(words_of(r[2]))))
+        quota, at = int(target[s]), 0
+        for i, _, text in own:
+            n = len(words_of(text))
+            if n:
+                taken = n * (quota // sizes[s]) + max(0, min(n, quota % sizes[s] - at))
+                want[i, s, text] += (2 * taken + n) // (2 * n)
+            at += n
+    return +want
+
+
+def check_stages(spark, docs, sf):
+    """Each stage against brute force on what the stage before has kept."""
+    import re
+
+    import sentencepiece
+
+    import corpus_pipeline
+
+    chains, train = [], toxicity.train
+    toxicity.train = lambda *a: chains.append(train(*a)) or chains[-1]
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            rows, after = docs.collect(), stage(spark, docs, sf)
+            got = after.collect()
+            if name.startswith("toxicity"):
+                chain = chains[0]
+                is_toxic = {t: bool(chain.weights) and plain_chain(chain, t)[-1] >= chain.threshold for t in {r.text for r in rows}}
+                assert Counter(map(str, got)) == Counter(str(r) for r in rows if not is_toxic[r.text])
+            elif name.startswith("exact"):
+                normal = [(r.doc_id, " ".join(("|" + (r.text or "") + "|").replace("\x1c", "?").split(" "))) for r in rows]
+                import re
+
+                normal = [(r.doc_id, re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")) for r in rows]
+                least = {t: min((i for i, x in normal if x == t and i is not None), default=None) for _, t in normal}
+                assert Counter((r.doc_id, re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")) for r in got) == Counter((i, t) for t, i in least.items())
+            elif name.startswith("n-gram"):
+                check_kept(docs, after)
+            elif name.startswith("mixing"):
+                assert Counter((r.doc_id, r.source, r.text) for r in got) == brute_mix([(r.doc_id, r.source, r.text) for r in rows])
+            else:
+                library = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+                digest = lambda x: sha256(x.encode()).hexdigest()
+                ids = [(r, library.encode(r.text or "")) for r in rows]
+                assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == Counter((r.doc_id, len(x), digest(",".join(map(str, x))), digest(library.decode(x))) for r, x in ids)
+                continue
+            assert after.columns == docs.columns
+            docs = spark.createDataFrame(got, after.schema).repartition(3)
+    finally:
+        toxicity.train = train
+
+
 def test_pipeline_stages(spark):
+    check_stages(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+
+
+def test_pipeline_stages_of_odd_rows(spark, odd, empty, tmp_path):
+    words = [(i, f"{'awful' if i % 4 == 0 else 'fine'} " + prose(30, 900 + i), "en", "s1", None, "k", "s", "n") for i in range(100, 180)]
+    docs = odd.unionByName(odd_ids(spark).selectExpr("doc_id", "text", "lang", "source", "cast(n_chars as long) n_chars", "'a' kept", "'b' size", "'c' node")).unionByName(spark.createDataFrame(words, DOCS))
+    labels(spark, [(i, 1, int(i % 4 == 0)) for i in range(100, 180)] + [(None, 1, 1), (6, None, 1)]).write.parquet(f"{tmp_path}/labels.parquet")
+    check_stages(spark, docs.repartition(4), str(tmp_path))
+    check_stages(spark, empty, str(tmp_path))
+
+
+def test_pipeline_runs(spark):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names = docs.columns
-    before = docs.count()
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        after = stage(spark, docs, SF)
-        rows = after.collect()
-        if k < 4:
-            assert after.columns == names
-            docs = spark.createDataFrame(rows, after.schema)
-        if k < 3:
-            assert 0 < len(rows) <= before
-            before = len(rows)
-    assert len(rows) == docs.count() and {"doc_id", "n_tokens", "ids_sha256"} <= set(after.columns)
+    got = corpus_pipeline.run(spark, SF)
+    assert got.count() > 0 and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_hash"} <= set(got.columns)
 
 
 def odd_ids(spark):
@@ -831,24 +941,8 @@ def test_pipeline_mixes_odd_ids(spark):
     import corpus_pipeline
 
     docs = odd_ids(spark)
-    rows = [(r.doc_id, r.source, len((r.text or "").split()), r.text) for r in docs.collect()]
-    sizes = Counter()
-    for _, s, n, _ in rows:
-        sizes[s] += n
-    target = brute_targets(sizes)
-    want = Counter()
-    for s in sizes:
-        own = sorted((r for r in rows if r[1] == s), key=lambda r: (sha_order(r[0]), r[0] is not None, r[0] or 0, r[2]))
-        ties = Counter((r[0], r[2]) for r in own if r[2])
-        assert max(ties.values()) == 1
-        quota, at = int(target[s]), 0
-        for i, _, n, text in own:
-            if n:
-                taken = n * (quota // sizes[s]) + max(0, min(n, quota % sizes[s] - at))
-                want[i, s, text] += (2 * taken + n) // (2 * n)
-            at += n
     got = Counter((r.doc_id, r.source, r.text) for r in corpus_pipeline.mix_sources(spark, docs, SF).collect())
-    assert got == +want and any(i is None for i, _, _ in got)
+    assert got == brute_mix([(r.doc_id, r.source, r.text) for r in docs.collect()]) and any(i is None for i, _, _ in got)
 
 
 def sha_order(doc_id):
