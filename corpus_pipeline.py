@@ -1,7 +1,10 @@
 """A corpus pipeline: five stages, each of which calls one operator of sparkloom.llm on all that the stage before has kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs. All but the
-last return the columns of documents.
+last return the columns of documents, whatever other columns there are; names that begin with two underscores are the stages' own.
+
+Every stage takes null ids and texts, one id with several texts, repeated rows, very long texts and empty tables. A row with a null text is never toxic, counts
+as empty in exact dedup, has no near copies, isn't taken by the mix (nor is any text without words), and would have no ids.
 """
 
 from __future__ import annotations
@@ -46,7 +49,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", encode_pieces),
 ]
 
-#: SQL can't express the classifier, so the pipeline is tested stage by stage against brute force.
+#: SQL can't express the classifier, so the pipeline is tested stage by stage against brute force (tests/llm/test_llm.py).
 ORACLE_SQL = None
 
 

@@ -23,18 +23,38 @@ def top_per_key(rows: DataFrame, keys: Sequence[str], order: Order, k: int, rank
 def running_total(rows: DataFrame, bucket: Column, order: Order, value: Column, out: str, keys: Sequence[str] = ()) -> DataFrame:
     """The sum of value over all rows before each row, as column out.
 
-    Rows fall into buckets that keep the order (a function of its leading column); sums run inside of a bucket and over the buckets' totals, so no
-    task gets all rows.
+    Rows fall into numbered buckets that keep the order (a function of its leading column); sums run inside of a bucket, over the totals of 4096 buckets, and over
+    those sums' totals. So no task gets all rows, and for a trillion rows in buckets of thousands none gets more than some hundred thousand totals.
     """
-    rows = rows.withColumn("__bucket", bucket).withColumn("__value", value)
-    totals = rows.groupBy(*keys, "__bucket").agg(F.sum("__value").alias("__total"))
-    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = totals.select(*keys, "__bucket", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__earlier"))
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__inside", F.coalesce(F.sum("__value").over(inside), F.lit(0)))
+    rows = rows.withColumn("__bucket", bucket.cast("long")).withColumn("__value", value)
+    totals = rows.groupBy(*keys, "__bucket").agg(F.sum("__value").alias("__total")).withColumn("__coarse", F.floor(F.col("__bucket") / 4096))
+    before = lambda *own: Window.partitionBy(*keys, *own).rowsBetween(Window.unboundedPreceding, -1)
+    sum_of = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    far = totals.groupBy(*keys, "__coarse").agg(F.sum("__total").alias("__all")).select(*keys, "__coarse", sum_of("__all", before().orderBy("__coarse")).alias("__far"))
+    near = totals.select(*keys, "__coarse", "__bucket", sum_of("__total", before("__coarse").orderBy("__bucket")).alias("__near"))
+    earlier = near.join(far, [*keys, "__coarse"]).select(*keys, "__bucket", (F.col("__near") + F.col("__far")).alias("__earlier"))
+    rows = rows.withColumn("__inside", sum_of("__value", before("__bucket").orderBy(*order)))
     return rows.join(earlier, [*keys, "__bucket"]).withColumn(out, F.col("__earlier") + F.col("__inside")).drop("__bucket", "__value", "__inside", "__earlier")
 
 
+def percentiles(rows: DataFrame, group: str, value: str, shares: Sequence[float]) -> DataFrame:
+    """group and one column p0, p1, ... for each of the shares: the exact percentile with linear interpolation; nulls don't count.
+
+    Equal values are counted first. Their running counts, in ranges cut at approximate quantiles, tell which values stand at the places that each share
+    falls between, so no group's values ever gather in one buffer.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    edges = rows.stat.approxQuantile(value, [i / 64 for i in range(1, 64)], 0.005)
+    bucket = F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda x: x <= F.col(value)))
+    placed = running_total(counts, bucket, [value], F.col("n"), "first", [group])
+    placed = placed.join(counts.groupBy(group).agg(F.sum("n").alias("all")), group)
+    place = lambda p: F.lit(p) * (F.col("all") - 1)
+    at = lambda k: F.max(F.when((F.col("first") <= k) & (k < F.col("first") + F.col("n")), F.col(value)))
+    ends = placed.groupBy(group).agg(F.first("all").alias("all"), *(at(f(place(p)).cast("long")).alias(f"{e}{k}") for k, p in enumerate(shares) for e, f in (("a", F.floor), ("b", F.ceil))))
+    part = lambda p: place(p) - F.floor(place(p))
+    return ends.select(group, *((F.col(f"a{k}") + (F.col(f"b{k}") - F.col(f"a{k}")) * part(p)).alias(f"p{k}") for k, p in enumerate(shares)))
+
+
 def base26(n: Column) -> Column:
     """0 is a, 25 is z, 26 is aa, 702 is aaa, and so on; a long has at most fourteen letters."""
     state = lambda k, s: F.struct(k.alias("k"), s.alias("s"))

@@ -287,3 +287,26 @@ def beside(a: Column, b: Column, height: int, width_a: int, width_b: int, gap: i
     none = F.array_repeat(F.lit(None).cast("float"), gap)
     row = lambda r: F.concat(F.slice(a, r * width_a + 1, F.lit(width_a)), none, F.slice(b, r * width_b + 1, F.lit(width_b)))
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), row))
+
+
+WEIGHTS = "WITH n AS (SELECT 'block.' || (vec_id // 3) || CASE vec_id % 3 WHEN 0 THEN '' WHEN 1 THEN '.lora_A' ELSE '.lora_B' END || '.weight' AS name, embedding AS w FROM embeddings)"
+_PART = lambda k: f"(SELECT replace(name, '.lora_{k}.', '.') AS name, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS pos FROM n WHERE contains(name, '.lora_{k}.'))"
+
+
+@query("join_lora_delta", WEIGHTS + f""", d AS (SELECT a.name, b.pos // 8 * 8 + a.pos % 8 AS pos, sum(CAST(b.x AS DOUBLE) * a.x) AS delta FROM {_PART("A")} a JOIN {_PART("B")} b ON a.name = b.name AND a.pos // 8 = b.pos % 8 GROUP BY 1, 2)
+SELECT d.name, CAST(d.pos AS INTEGER) AS pos, round(c.x + 2 * delta, 6) AS value FROM d JOIN (SELECT name, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS pos FROM n) c ON c.name = d.name AND c.pos = d.pos""")
+def join_lora_delta(t: Tables) -> DataFrame:
+    """Low-rank updates merged into the weights whose rewritten key they carry (here: three vectors in a row are a base and its two factors, all eight by eight)."""
+    kind = F.element_at(F.array(F.lit(""), F.lit(".lora_A"), F.lit(".lora_B")), (F.col("vec_id") % 3 + 1).cast("int"))
+    named = t.embeddings.select(F.concat(F.lit("block."), F.floor(F.col("vec_id") / 3).cast("string"), kind, F.lit(".weight")).alias("name"), F.col("embedding").cast("array<double>").alias("w"))
+    return merge_low_rank(named, 8, 8, 8, 2.0).select("name", F.posexplode("w").alias("pos", "value")).withColumn("value", F.round("value", 6))
+
+
+def merge_low_rank(weights: DataFrame, rows: int, columns: int, rank: int, scale: float) -> DataFrame:
+    """name and w of the base matrices (row by row) that have both factors, with scale * B A added. weights: name and w; a factor's name has .lora_A. or .lora_B. where its base has a dot."""
+    part = lambda k: weights.where(F.col("name").contains(f".lora_{k}.")).select(F.replace("name", F.lit(f".lora_{k}."), F.lit(".")).alias("name"), F.col("w").alias(k))
+    whole = lambda x: F.floor(x).cast("int")
+    cell = lambda x, p: x + scale * F.aggregate(F.sequence(F.lit(0), F.lit(rank - 1)), F.lit(0.0), lambda acc, k: acc + F.get("B", whole(p / columns) * rank + k) * F.get("A", k * columns + p % columns))
+    both = weights.join(part("A"), "name").join(part("B"), "name")
+    fits = (F.size("w") == rows * columns) & (F.size("A") == rank * columns) & (F.size("B") == rows * rank)
+    return both.where(fits).select("name", F.transform("w", cell).alias("w"))
