@@ -6,7 +6,9 @@ sixteen MinHash values (of eight bits) at a time: a pair is dropped when, after
 probability that its similarity reaches the threshold, with a uniform prior, is below TOLERANCE. What remains links nodes to groups,
 and inside of a group every pair is decided exactly by its shingle sets.
 
-A large bucket is cut into blocks of bounded size, and every two blocks meet in a task of their own. In a large group, every member's distance (1 less
+In a large bucket, members are first compared with its consensus, the most frequent value at each place. Numbers of values that differ obey the triangle inequality, so whoever differs from
+the consensus by little enough is a candidate for the closest member as well, and one link to it will do to bring the two together; only the others are compared one by one, in blocks of
+bounded size of which every two meet in a task of their own. In a large group, every member's distance (1 less
 the similarity) to a pivot, the member closest to the group's consensus, is taken first and rounded down to a ring. Distances obey the triangle inequality: two members so
 close to the pivot that their distances together stay below the threshold's are linked, and two whose distances differ by more are not, so such rings are
 counted as a whole. Only rings that neither rule decides are cut into blocks of bounded size and number of shingles, and every two such blocks are compared in a task
@@ -152,7 +154,7 @@ def _linked(threshold: Fraction, tolerance: float):
         needed = least_matches(threshold, tolerance)
         for table in _whole_groups(batches, "key"):
             node, block, i, j = (table.column(c).to_numpy() for c in ("node", "block", "i", "j"))
-            signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(node), HASHES).astype(np.uint8)
+            signatures = _signatures(table)
             bounds, edges, a, b, n = _bounds(table, "key"), [], [], [], 0
             for first, last in zip(bounds, bounds[1:]):
                 x, y = _pairs(first, last, block, i[first], j[first])
@@ -172,6 +174,48 @@ def _linked(threshold: Fraction, tolerance: float):
     return run
 
 
+def _signatures(table: pa.Table | pa.RecordBatch, column: str = "signature") -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint8)
+
+
+def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key and consensus, the most frequent MinHash value (eight bits) at each place, of rows (key, i, j, signature) sorted by key."""
+    for table in _whole_groups(batches, "key"):
+        values, bounds = _signatures(table), _bounds(table, "key")
+        modes = [bytes(np.bincount(column, minlength=256).argmax() for column in values[a:b].T) for a, b in zip(bounds, bounds[1:])]
+        yield pa.RecordBatch.from_arrays([table.column("key").combine_chunks().take(pa.array(bounds[:-1])), pa.array(modes, pa.binary())], ["key", "consensus"])
+
+
+def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        other = np.frombuffer(b"".join(batch.column("consensus").to_pylist()), np.uint8).reshape(-1, HASHES)
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("node"), pa.array((_signatures(batch) != other).sum(axis=1).astype(np.int32))], ["key", "node", "h"])
+
+
+def _large_buckets(hits: DataFrame, nodes: DataFrame, threshold: Fraction, tolerance: float, made: list[DataFrame]) -> DataFrame:
+    """Edges a, b that connect the members of each large bucket that may reach the threshold; hits: key, node, size and signature."""
+    most = HASHES - least_matches(threshold, tolerance)[-1]  # so many values of a candidate pair may differ
+    some = hits.where(F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("size") / BLOCK)) == 0)  # about a block's members
+    some = some.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "signature").repartition("key").sortWithinPartitions("key")
+    consensus = cut(some.mapInArrow(_consensus, "key long, consensus binary"), "consensus")
+    spread = cut(hits.select("key", "node", "signature").join(consensus, "key").mapInArrow(_differing, "key long, node long, h int"), "spread")
+    made += [consensus, spread]
+    alone = hits.select("key", "node").join(consensus, "key", "left_anti").withColumn("h", F.lit(HASHES))  # a hash may leave the sample of a bucket empty
+    spread = spread.unionByName(alone)
+    core = spread.groupBy("key").agg(F.min("h").alias("least"), F.min_by("node", F.struct("h", "node")).alias("core"))
+    rows = spread.join(core, "key").withColumn("out", F.col("h") > most - F.col("least"))
+    star = rows.where(~F.col("out") & (F.col("node") != F.col("core"))).select(F.col("node").alias("a"), F.col("core").alias("b"))
+    blocks = lambda n: F.ceil(F.count_if(n) / BLOCK).cast("int")
+    counts = rows.groupBy("key").agg(blocks(F.col("out")).alias("outer"), blocks(~F.col("out")).alias("inner")).where("outer > 0")
+    rows = rows.join(counts, "key")
+    part = lambda n: F.pmod(F.xxhash64("node", "key"), F.greatest(n, F.lit(1))).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("out"), part(F.col("outer"))).otherwise(F.col("outer") + part(F.col("inner"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("out"), F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)))
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(nodes.select("node", "signature"), "node")
+    dealt = rows.select("key", "i", "j", "block", "node", "signature").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return star.unionByName(dealt.mapInArrow(_linked(threshold, tolerance), "a long, b long"))
+
+
 def links_inside(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: Fraction) -> np.ndarray:
     """Which of the rows left are linked with which of the rows right, as a matrix of booleans."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -302,8 +346,12 @@ def _classes(docs: DataFrame, threshold: Fraction, tolerance: float, key: str, t
     bands = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), band)).alias("key"))
     shared = cut(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     hits = bands.join(shared, "key").join(nodes.select("node", "signature"), "node")
-    edges = _blocks(hits, "key", F.ceil(F.col("size") / BLOCK)).select("key", "i", "j", "block", "node", "signature").mapInArrow(_linked(threshold, tolerance), "a long, b long")
+    edges = _blocks(hits.where(F.col("size") <= BLOCK), "key", F.lit(1)).select("key", "i", "j", "block", "node", "signature").mapInArrow(_linked(threshold, tolerance), "a long, b long")
+    made: list[DataFrame] = []
+    if not shared.where(F.col("size") > BLOCK).isEmpty():
+        edges = edges.unionByName(_large_buckets(hits.where(F.col("size") > BLOCK), nodes, threshold, tolerance, made))
     grouped = components(edges.distinct())
+    discard(*made)
     sizes = cut(grouped.join(nodes.select("node", "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles_all")), "sizes")
     wanted = grouped.join(sizes, "component").join(nodes.select("node", F.col("first.row").alias("row"), "print", "copies"), "node")
     members = cut(_with_shingles(docs, wanted, key, text).dropDuplicates(["node"]), "members")
