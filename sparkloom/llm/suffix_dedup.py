@@ -4,8 +4,8 @@ A suffix array of the whole corpus would be one task's work, so texts are first
 of each window of LENGTH bytes, the 64-byte gram with the least hash (the last of equals). Equal windows have equal anchors, so a
 repeated window has an anchor whose gram occurs twice. For each such occurrence a context holds all windows with that anchor.
 Equal contexts are counted by a grouping; the different ones of an anchor form a group. A group of at most GROUP contexts is one
-small text, made of its contexts' parts with windows whose hashes repeat, and the suffix array of it, built by grouping suffixes on Lyndon prefixes, shows
-the windows that start twice: they are neighbours in it with LENGTH equal bytes. A larger group, as at the edges of a
+small text, and the suffix array of it, built by grouping suffixes on Lyndon prefixes, shows the windows that start twice: they are neighbours in it with LENGTH
+equal bytes. A larger group, as at the edges of a
 passage that very many texts share, is split: the windows of a context fall into four ranges, each keyed by the bytes that all windows of the range
 have in common, again and again, until groups are small or a range is a single window. So no task gets an unbounded group, and no
 window is left out.
@@ -143,41 +143,29 @@ def _contexts(held: DataFrame) -> DataFrame:
     return held.select("text_id", "copies", "raw", "hits").mapInArrow(run, "text_id binary, copies long, start int, lead int, key long, id string, context binary")
 
 
-def repeated_windows(group: list[int], contexts: list[bytes], counts: list[int], sort_all: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(group: list[int], contexts: list[bytes], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Which windows of contexts also start elsewhere in their group, context by context, and how many windows each has.
 
-    group: numbers the groups, whose different contexts stand together; counts: how often each context occurs; sort_all: sort whole contexts, not only the
-    parts whose windows' hashes repeat, which gives the same.
+    group: numbers the groups, whose different contexts stand together; counts: how often each context occurs. The suffix array of a group's contexts decides; in
+    a context that occurs repeatedly every window does.
     """
-    sizes = np.array([len(c) for c in contexts])
-    h = _hashes(np.frombuffer(b"".join(contexts), np.uint8), (128, 64, 8))
-    windows = np.maximum(sizes - LENGTH + 1, 0)
+    windows = np.array([len(c) - LENGTH + 1 for c in contexts])
     first = np.cumsum(windows) - windows
-    owner = np.repeat(np.arange(len(contexts)), windows)
-    at = (np.cumsum(sizes) - sizes - first)[owner] + np.arange(len(owner))
-    _, place, count = np.unique(h[at] ^ mix(np.array(group, np.uint64) + np.uint64(1))[owner], return_inverse=True, return_counts=True)
-    out = (np.array(counts) > 1)[owner]
-    may = (count[place] > 1) | out
-    if sort_all:
-        _, own, members = np.unique(group, return_inverse=True, return_counts=True)
-        may |= (members[own] > 1)[owner]
-    edge = np.flatnonzero(np.concatenate(([True], (may[1:] != may[:-1]) | (owner[1:] != owner[:-1]), [True]))) if len(may) else np.zeros(1, int)
-    parts: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-    for a, b, k in zip(edge[:-1].tolist(), edge[1:].tolist(), owner[edge[:-1]].tolist()):
-        if may[a]:
-            low = a - int(first[k])
-            parts.setdefault(group[k], {}).setdefault(contexts[k][low : low + b - a + LENGTH - 1], []).append((a, counts[k]))
-    for own in parts.values():
+    out = np.zeros(int(windows.sum()), bool)
+    groups: dict[int, dict[bytes, list[int]]] = {}
+    for k, (g, c) in enumerate(zip(group, contexts)):
+        groups.setdefault(g, {}).setdefault(c, []).append(k)
+    for own in groups.values():
         found = _repeats(list(own)) if len(own) > 1 else None
         start = 0
-        for part, where in own.items():
-            n = len(part) - LENGTH + 1
-            for a, c in where:
-                if len(where) > 1 or c > 1:
-                    out[a : a + n] = True
+        for context, where in own.items():
+            n = len(context) - LENGTH + 1
+            for k in where:
+                if len(where) > 1 or counts[k] > 1:
+                    out[first[k] : first[k] + n] = True
                 elif found is not None:
-                    out[a : a + n] |= found[start : start + n]
-            start += len(part) + 1
+                    out[first[k] : first[k] + n] = found[start : start + n]
+            start += len(context) + 1
     return out, windows
 
 
@@ -194,12 +182,12 @@ def _repeats(parts: list[bytes]) -> np.ndarray:
     return found
 
 
-def _sorted_groups(batches: Iterator[pa.RecordBatch], sort_all: bool = False) -> Iterator[pa.RecordBatch]:
+def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (key, id, context, count) sorted by key, the runs of repeated windows of each context that occurs once."""
     keys, ids, contexts, counts, group, held = [], [], [], [], [], 0
 
     def done() -> pa.RecordBatch:
-        out, windows = repeated_windows(group, contexts, counts, sort_all)
+        out, windows = repeated_windows(group, contexts, counts)
         owner = np.repeat(np.arange(len(windows)), windows)
         own = out & (np.array(counts) == 1)[owner]
         edge = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (owner[1:] != owner[:-1]), [True])))
@@ -223,7 +211,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], sort_all: bool = False) ->
         yield done()
 
 
-def _resolved(rows: DataFrame, width: int, least: int, made: list[DataFrame], sort_all: bool = False) -> DataFrame:
+def _resolved(rows: DataFrame, width: int, least: int, made: list[DataFrame]) -> DataFrame:
     """key, id, froms and tos of each context with repeated windows, of rows (key, id, context, lead, count), all of them different.
 
     lead: number of the context's first window, where those of a key are numbered alike from least to least + width - 1.
@@ -235,7 +223,7 @@ def _resolved(rows: DataFrame, width: int, least: int, made: list[DataFrame], so
     made.append(sizes)
     whole = rows.where("count > 1").select("key", "id", F.array(F.lit(0)).alias("froms"), F.array((F.length("context") - LENGTH).cast("int")).alias("tos"))
     small = rows.join(sizes.where(F.col("members").between(2, GROUP)), "key").select("key", "id", "context", "count")
-    found = small.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda batches: _sorted_groups(batches, sort_all), "key long, id string, froms array<int>, tos array<int>")
+    found = small.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_sorted_groups, "key long, id string, froms array<int>, tos array<int>")
     out = whole.unionByName(found)
     large = sizes.where(F.col("members") > GROUP)
     if width == 1 or large.isEmpty():
@@ -255,20 +243,20 @@ def _resolved(rows: DataFrame, width: int, least: int, made: list[DataFrame], so
     made.append(parts)
     fewer = parts.groupBy(F.col("new_key").alias("key"), F.col("new_id").alias("id")).agg(F.first("new").alias("context"), F.first("new_lead").cast("int").alias("lead"), F.sum("count").alias("count"))
     # Ranges of a key begin at different numbers, but all contexts of one key at the same: a range's number is part of the key.
-    deeper = _resolved_ranges(fewer, step, made, sort_all)
+    deeper = _resolved_ranges(fewer, step, made)
     back = parts.select("key", "id", "shift", F.col("new_key"), F.col("new_id")).join(deeper.select(F.col("key").alias("new_key"), F.col("id").alias("new_id"), "froms", "tos"), ["new_key", "new_id"])
     moved = lambda c: F.transform(c, lambda x: x + F.col("shift"))
     return out.unionByName(back.select("key", "id", moved("froms").alias("froms"), moved("tos").alias("tos")))
 
 
-def _resolved_ranges(rows: DataFrame, width: int, made: list[DataFrame], sort_all: bool) -> DataFrame:
+def _resolved_ranges(rows: DataFrame, width: int, made: list[DataFrame]) -> DataFrame:
     """_resolved for rows whose keys' ranges begin at different numbers: they are numbered anew from 0 by the key's smallest."""
     first = rows.groupBy("key").agg(F.min("lead").alias("least"))
-    return _resolved(rows.join(first, "key").select("key", "id", "context", (F.col("lead") - F.col("least")).alias("lead"), "count"), width, 0, made, sort_all)
+    return _resolved(rows.join(first, "key").select("key", "id", "context", (F.col("lead") - F.col("least")).alias("lead"), "count"), width, 0, made)
 
 
-def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", sort_all: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row. sort_all: leave all groups to the suffix array (slower, the same result)."""
+def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     scan = cut(_scan(docs, key, text), "scan")
     texts = cut(scan.groupBy("text_id").agg(F.min("row").alias("row"), F.count("*").alias("copies")), "texts")
     grams = scan.select("text_id", F.explode(F.arrays_zip(*_ANCHOR)).alias("x")).select("text_id", "x.*")
@@ -281,7 +269,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", sort_all:
     different = at.groupBy("key", "id").agg(F.first("context", ignorenulls=True).alias("context"), F.first("lead").alias("lead"), F.sum(F.least("copies", F.lit(2))).alias("count"))
     reach = LENGTH - GRAM
     made = [repeated, hits]
-    found = cut(_resolved(different, reach + 1, -reach, made, sort_all), "windows")
+    found = cut(_resolved(different, reach + 1, -reach, made), "windows")
     discard(*made)
     spans = at.where("copies = 1").select("text_id", "key", "id", "start").join(found, ["key", "id"])
     spans = spans.groupBy("text_id").agg(F.flatten(F.collect_list(F.transform(F.arrays_zip("froms", "tos"), lambda x: F.struct((F.col("start") + x["froms"]).alias("a"), (F.col("start") + x["tos"] + LENGTH).alias("b"))))).alias("spans"))
