@@ -3,9 +3,9 @@
 A suffix array of the whole corpus would be one task's work, so texts are first cut into places that can match. Every text is sampled at anchors:
 of each window of LENGTH bytes, the 64-byte gram with the least hash (the last of equals). Equal windows have equal anchors, so a
 repeated window has an anchor whose gram occurs twice. For each such occurrence a context holds all windows with that anchor.
-Equal contexts are counted by a grouping; the different ones of an anchor form a group. A group of at most GROUP contexts is one
-small text, and the suffix array of it, built by grouping suffixes on Lyndon prefixes, shows the windows that start twice: they are neighbours in it with LENGTH
-equal bytes. A larger group, as at the edges of a
+Equal contexts are counted by a grouping; the different ones of an anchor form a group. The contexts of a group of at most GROUP are one
+small text, without those that have no half of a context in common with another, and the suffix array of it, built by grouping suffixes on Lyndon prefixes, shows the
+windows that start twice: they are neighbours in it with LENGTH equal bytes. A larger group, as at the edges of a
 passage that very many texts share, is split: the windows of a context fall into four ranges, each keyed by the bytes that all windows of the range
 have in common, again and again, until groups are small or a range is a single window. So no task gets an unbounded group, and no
 window is left out.
@@ -18,6 +18,7 @@ text is scanned in pieces.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import md5, sha256
 
@@ -143,18 +144,36 @@ def _contexts(held: DataFrame) -> DataFrame:
     return held.select("text_id", "copies", "raw", "hits").mapInArrow(run, "text_id binary, copies long, start int, lead int, key long, id string, context binary")
 
 
-def repeated_windows(group: list[int], contexts: list[bytes], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def with_company(group: list[int], contexts: list[bytes], leads: list[int], width: int) -> list[bool]:
+    """Which contexts may share a window with another of their group; leads: the number, below width, of each one's first window.
+
+    Windows of equal number are aligned. One of the lower half of the numbers covers the bytes from the half's last number to the end of window 0, any other
+    those from the last number to the end of the upper half's first window. Contexts with a window in common have one of these two in common.
+    """
+    half = (width - 1) // 2
+    ends = [
+        ((g, 0, c[half - at : LENGTH - at]) if at <= half and at + len(c) >= LENGTH else None, (g, 1, c[width - 1 - at : half + 1 + LENGTH - at]) if at + len(c) >= half + 1 + LENGTH else None)
+        for g, c, at in zip(group, contexts, leads)
+    ]
+    known = Counter(x for pair in ends for x in pair if x)
+    return [any(x and known[x] > 1 for x in pair) for pair in ends]
+
+
+def repeated_windows(group: list[int], contexts: list[bytes], counts: list[int], leads: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Which windows of contexts also start elsewhere in their group, context by context, and how many windows each has.
 
-    group: numbers the groups, whose different contexts stand together; counts: how often each context occurs. The suffix array of a group's contexts decides; in
-    a context that occurs repeatedly every window does.
+    group: numbers the groups, whose different contexts stand together; counts: how often each context occurs; leads, width: as in with_company. The suffix array of
+    a group's contexts decides, but for those that can't share a window; in a context that occurs repeatedly every window does.
     """
     windows = np.array([len(c) - LENGTH + 1 for c in contexts])
     first = np.cumsum(windows) - windows
     out = np.zeros(int(windows.sum()), bool)
     groups: dict[int, dict[bytes, list[int]]] = {}
-    for k, (g, c) in enumerate(zip(group, contexts)):
-        groups.setdefault(g, {}).setdefault(c, []).append(k)
+    for k, (g, c, may) in enumerate(zip(group, contexts, with_company(group, contexts, leads, width))):
+        if may:
+            groups.setdefault(g, {}).setdefault(c, []).append(k)
+        elif counts[k] > 1:
+            out[first[k] : first[k] + windows[k]] = True
     for own in groups.values():
         found = _repeats(list(own)) if len(own) > 1 else None
         start = 0
@@ -182,12 +201,12 @@ def _repeats(parts: list[bytes]) -> np.ndarray:
     return found
 
 
-def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, id, context, count) sorted by key, the runs of repeated windows of each context that occurs once."""
-    keys, ids, contexts, counts, group, held = [], [], [], [], [], 0
+def _sorted_groups(batches: Iterator[pa.RecordBatch], width: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, id, context, count, lead) sorted by key, the runs of repeated windows of each context that occurs once."""
+    keys, ids, contexts, counts, leads, group, held = [], [], [], [], [], [], 0
 
     def done() -> pa.RecordBatch:
-        out, windows = repeated_windows(group, contexts, counts)
+        out, windows = repeated_windows(group, contexts, counts, leads, width)
         owner = np.repeat(np.arange(len(windows)), windows)
         own = out & (np.array(counts) == 1)[owner]
         edge = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (owner[1:] != owner[:-1]), [True])))
@@ -200,12 +219,12 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in with_any], pa.int64()), pa.array([ids[i] for i in with_any], pa.string()), *lists], ["key", "id", "froms", "tos"])
 
     for batch in batches:
-        for k, i, c, n in zip(*(batch.column(x).to_pylist() for x in ("key", "id", "context", "count"))):
+        for k, i, c, n, at in zip(*(batch.column(x).to_pylist() for x in ("key", "id", "context", "count", "lead"))):
             if keys and k != keys[-1] and held > 1 << 20:
                 yield done()
-                keys, ids, contexts, counts, group, held = [], [], [], [], [], 0
+                keys, ids, contexts, counts, leads, group, held = [], [], [], [], [], [], 0
             group.append(group[-1] + (k != keys[-1]) if keys else 0)
-            keys.append(k), ids.append(i), contexts.append(c), counts.append(n)
+            keys.append(k), ids.append(i), contexts.append(c), counts.append(n), leads.append(at - least)
             held += len(c)
     if keys:
         yield done()
@@ -222,8 +241,8 @@ def _resolved(rows: DataFrame, width: int, least: int, made: list[DataFrame]) ->
     sizes = cut(rows.groupBy("key").agg(F.count("*").alias("members")), "groups")
     made.append(sizes)
     whole = rows.where("count > 1").select("key", "id", F.array(F.lit(0)).alias("froms"), F.array((F.length("context") - LENGTH).cast("int")).alias("tos"))
-    small = rows.join(sizes.where(F.col("members").between(2, GROUP)), "key").select("key", "id", "context", "count")
-    found = small.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_sorted_groups, "key long, id string, froms array<int>, tos array<int>")
+    small = rows.join(sizes.where(F.col("members").between(2, GROUP)), "key").select("key", "id", "context", "count", "lead")
+    found = small.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda batches: _sorted_groups(batches, width, least), "key long, id string, froms array<int>, tos array<int>")
     out = whole.unionByName(found)
     large = sizes.where(F.col("members") > GROUP)
     if width == 1 or large.isEmpty():

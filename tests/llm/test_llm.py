@@ -624,6 +624,26 @@ def test_removals_brute(spark, monkeypatch, group):
     assert got == brute_removals(docs.collect())
 
 
+def test_contexts_without_company_share_nothing():
+    r = random.Random(7)
+    for _ in range(300):
+        width = r.choice([1, 2, 3, 35, 137])
+        core = bytes(r.choice(b"ab") for _ in range(suffix_dedup.LENGTH + width - 1))
+        group, contexts, leads = [], [], []
+        for _ in range(r.randint(1, 9)):
+            whole = bytearray(core)
+            for _ in range(r.randint(0, 2)):
+                whole[r.randrange(len(whole))] = r.choice(b"xy")
+            low = r.randrange(width)
+            high = r.randrange(low, width)
+            group.append(r.randrange(2)), contexts.append(bytes(whole[low : high + suffix_dedup.LENGTH])), leads.append(low)
+        may = suffix_dedup.with_company(group, contexts, leads, width)
+        for k, m in enumerate(may):
+            own = {(at, contexts[k][at - leads[k] : at - leads[k] + suffix_dedup.LENGTH]) for at in range(leads[k], leads[k] + len(contexts[k]) - suffix_dedup.LENGTH + 1)}
+            other = {(at, c[at - low : at - low + suffix_dedup.LENGTH]) for j, (g, c, low) in enumerate(zip(group, contexts, leads)) if j != k and g == group[k] for at in range(low, low + len(c) - suffix_dedup.LENGTH + 1)}
+            assert m or not own & other
+
+
 def test_removals_odd(odd, empty):
     assert sorted(map(tuple, suffix_dedup.removals(odd).collect()), key=str) == brute_removals(odd.collect())
     assert suffix_dedup.removals(empty).count() == 0
