@@ -158,6 +158,16 @@ def scan_hdfs_or_local(t: Tables) -> DataFrame:
     return rows.select("r_name", F.concat_ws("|", "_metadata.file_name", "r_regionkey").alias("file")).join(turns, "file").select("r_name", "k")
 
 
+@query("scan_hub", "SELECT c_custkey, 'train' AS split FROM customer WHERE c_acctbal >= 0")
+def scan_hub(t: Tables) -> DataFrame:
+    """A dataset with splits, of which the test split is read, else the training split, else the first by name. A hub's copy lies in a folder here (customers in credit and in debt), as there's no network."""
+    path = S.work_folder(t.spark)
+    for split, where in (("train", "c_acctbal >= 0"), ("debts", "c_acctbal < 0")):
+        t.customer.where(where).select("c_custkey").write.parquet(f"{path}/{split}")
+    split = S.choose_split(t.spark, path)
+    return t.spark.read.schema(t.customer.select("c_custkey").schema).parquet(f"{path}/{split}").withColumn("split", F.lit(split))
+
+
 @query("sink_parquet_chunks", "SELECT sum(num_rows)::BIGINT AS n, true AS bounded, true AS groups FROM (SELECT count(*) AS num_rows FROM customer)")
 def sink_parquet_chunks(t: Tables) -> DataFrame:
     """Files of ten row groups of ten rows at most, and what their manifest says."""

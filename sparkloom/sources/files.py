@@ -57,6 +57,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def choose_split(spark: SparkSession, path: str, wanted: Sequence[str] = ("test", "train")) -> str:
+    """The first of the wanted folders that a dataset has, else its first folder by name."""
+    fs, p = _hadoop(spark, path)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
+    if not names:
+        raise FileNotFoundError(f"{path} has no splits")
+    return next((n for n in wanted if n in names), names[0])
+
+
 def json_list(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The rows of a JSON array; a missing file has none."""
     return spark.read.json(path, schema=schema, multiLine=True) if exists(spark, path) else spark.createDataFrame([], schema)

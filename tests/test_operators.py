@@ -371,3 +371,13 @@ def test_files_are_listed_and_cycled(spark, tmp_path):
     files = S_.list_files(spark, str(tmp_path), ".parquet")
     assert [f.rpartition("/")[2] for f in files] == ["a.parquet", "b.parquet"]
     assert S_.cycled(["a", "b"], 5) == ["a", "b", "a", "b", "a"] and S_.cycled(["a", "b"], 1) == ["a"] and S_.cycled([], 3) == []
+
+
+def test_a_split_is_chosen(spark, tmp_path):
+    for names, want in ((("b", "a"), "a"), (("train", "a"), "train"), (("test", "train"), "test")):
+        root = tmp_path / want
+        for n in names:
+            (root / n).mkdir(parents=True)
+        assert S_.choose_split(spark, str(root)) == want
+    with pytest.raises(FileNotFoundError):
+        S_.choose_split(spark, str(tmp_path / "test" / "test"))
