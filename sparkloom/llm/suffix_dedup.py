@@ -144,8 +144,8 @@ def _contexts(held: DataFrame) -> DataFrame:
     return held.select("text_id", "copies", "raw", "hits").mapInArrow(run, "text_id binary, copies long, start int, lead int, key long, id string, context binary")
 
 
-def with_company(group: list[int], contexts: list[bytes], leads: list[int], width: int) -> list[bool]:
-    """Which contexts may share a window with another of their group; leads: the number, below width, of each one's first window.
+def with_company(group: list[int], contexts: list[bytes], leads: list[int], width: int) -> list[tuple[int, int]]:
+    """From and up to which window (not with it) each context may share windows with others of its group; leads: the number, below width, of its first window.
 
     Windows of equal number are aligned. One of the lower half of the numbers covers the bytes from the half's last number to the end of window 0, any other
     those from the last number to the end of the upper half's first window. Contexts with a window in common have one of these two in common.
@@ -156,7 +156,11 @@ def with_company(group: list[int], contexts: list[bytes], leads: list[int], widt
         for g, c, at in zip(group, contexts, leads)
     ]
     known = Counter(x for pair in ends for x in pair if x)
-    return [any(x and known[x] > 1 for x in pair) for pair in ends]
+    out = []
+    for c, at, (low, high) in zip(contexts, leads, ends):
+        n, middle = len(c) - LENGTH + 1, half + 1 - at
+        out.append((0 if low and known[low] > 1 else max(0, middle), n if high and known[high] > 1 else min(n, middle)))
+    return out
 
 
 def repeated_windows(group: list[int], contexts: list[bytes], counts: list[int], leads: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,22 +173,22 @@ def repeated_windows(group: list[int], contexts: list[bytes], counts: list[int],
     first = np.cumsum(windows) - windows
     out = np.zeros(int(windows.sum()), bool)
     groups: dict[int, dict[bytes, list[int]]] = {}
-    for k, (g, c, may) in enumerate(zip(group, contexts, with_company(group, contexts, leads, width))):
-        if may:
-            groups.setdefault(g, {}).setdefault(c, []).append(k)
-        elif counts[k] > 1:
+    for k, (g, c, (low, high)) in enumerate(zip(group, contexts, with_company(group, contexts, leads, width))):
+        if counts[k] > 1:
             out[first[k] : first[k] + windows[k]] = True
+        if low < high:
+            groups.setdefault(g, {}).setdefault(c[low : high - 1 + LENGTH], []).append(int(first[k]) + low)
     for own in groups.values():
         found = _repeats(list(own)) if len(own) > 1 else None
         start = 0
-        for context, where in own.items():
-            n = len(context) - LENGTH + 1
-            for k in where:
-                if len(where) > 1 or counts[k] > 1:
-                    out[first[k] : first[k] + n] = True
+        for part, where in own.items():
+            n = len(part) - LENGTH + 1
+            for at in where:
+                if len(where) > 1:
+                    out[at : at + n] = True
                 elif found is not None:
-                    out[first[k] : first[k] + n] = found[start : start + n]
-            start += len(context) + 1
+                    out[at : at + n] |= found[start : start + n]
+            start += len(part) + 1
     return out, windows
 
 
@@ -192,12 +196,14 @@ def _repeats(parts: list[bytes]) -> np.ndarray:
     """Where in the parts, joined by a byte that UTF-8 never has, a window starts that also starts elsewhere in them."""
     text = b"\xff".join(parts)
     found = np.zeros(len(text) + 1, bool)
+    whole = b"\xff".join(b"\1" * (len(p) - LENGTH + 1) + b"\0" * (LENGTH - 1) for p in parts)  # 1 where a window starts
     before, last = b"", -1
     for i in suffix_array(text):
-        own = text[i : i + LENGTH]
-        if own == before and len(own) == LENGTH and b"\xff" not in own:
-            found[last] = found[i] = True
-        before, last = own, i
+        if whole[i] == 1:
+            own = text[i : i + LENGTH]
+            if own == before:
+                found[last] = found[i] = True
+            before, last = own, i
     return found
 
 

@@ -638,10 +638,10 @@ def test_contexts_without_company_share_nothing():
             high = r.randrange(low, width)
             group.append(r.randrange(2)), contexts.append(bytes(whole[low : high + suffix_dedup.LENGTH])), leads.append(low)
         may = suffix_dedup.with_company(group, contexts, leads, width)
-        for k, m in enumerate(may):
-            own = {(at, contexts[k][at - leads[k] : at - leads[k] + suffix_dedup.LENGTH]) for at in range(leads[k], leads[k] + len(contexts[k]) - suffix_dedup.LENGTH + 1)}
+        for k, (low, high) in enumerate(may):
+            own = {(at, contexts[k][at - leads[k] : at - leads[k] + suffix_dedup.LENGTH]) for at in range(leads[k], leads[k] + len(contexts[k]) - suffix_dedup.LENGTH + 1) if not low <= at - leads[k] < high}
             other = {(at, c[at - low : at - low + suffix_dedup.LENGTH]) for j, (g, c, low) in enumerate(zip(group, contexts, leads)) if j != k and g == group[k] for at in range(low, low + len(c) - suffix_dedup.LENGTH + 1)}
-            assert m or not own & other
+            assert not own & other
 
 
 def test_removals_odd(odd, empty):
