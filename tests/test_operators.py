@@ -20,7 +20,7 @@ from sparkloom.operators import sampling as S
 from sparkloom.operators.packing import Limits, pack, pack_greedy
 from sparkloom.operators.joins import prefix_match
 from sparkloom.operators.routing import fit_heads, route_cv
-from sparkloom.operators.windows import base26, percentiles, running_total
+from sparkloom.operators.windows import base26, running_total
 from sparkloom.plans import QUERIES
 from sparkloom.plans.sequences import beside, missing_cells, patchify
 from sparkloom.sources import files as S_
@@ -69,16 +69,6 @@ def test_running_total_of_many_buckets(spark):
     assert all(r.before == r.id // 7 for r in rows.collect())
 
 
-def test_percentiles(spark):
-    r = np.random.default_rng(7)
-    v = {"a": np.round(r.normal(size=501), 1), "b": r.integers(-3, 3, 64).astype(float), "c": np.array([4.0])}
-    rows = spark.createDataFrame([(g, float(x)) for g, xs in v.items() for x in xs] + [("a", None), ("d", None)], "g string, v double").repartition(5)
-    got = {x.g: (x.p0, x.p1, x.p2, x.p3) for x in percentiles(rows, "g", "v", (0.0, 0.1, 0.77, 1.0)).collect()}
-    assert set(got) == set(v)
-    for g, xs in v.items():
-        assert got[g] == pytest.approx(tuple(np.percentile(xs, (0, 10, 77, 100))))
-
-
 @pytest.mark.parametrize("n", [0, 1, 30, 400])
 @pytest.mark.parametrize("limits", [Limits(100, 80, 120, 4, 30), Limits(60, 60, 60, 0, 0), Limits(100, 80, 120, 50, 100)])
 def test_packing(n, limits):
