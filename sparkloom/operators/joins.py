@@ -77,9 +77,9 @@ def prefix_match(rows: DataFrame) -> DataFrame:
     return best.where("b IS NOT NULL")
 
 
-def contiguous_shards(rows: DataFrame, key: str, shards: int, bucket: int = 4096) -> DataFrame:
-    """Shard from 0 of each row: sorted by an integer key, contiguous, sizes differing by one at most, larger ones first."""
-    ranked = running_total(rows, F.floor(F.col(key) / bucket), [key], F.lit(1), "__k")
+def contiguous_shards(rows: DataFrame, key: str, shards: int) -> DataFrame:
+    """Shard from 0 of each row: sorted by a unique key, contiguous, sizes differing by one at most, larger ones first."""
+    ranked = running_total(rows, [key], F.lit(1), "__k")
     n = rows.agg(F.count("*").alias("__n"))
     small, more = F.floor(F.col("__n") / shards), F.col("__n") % shards
     edge = more * (small + 1)

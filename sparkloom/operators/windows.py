@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import written
+
 Order = Sequence[Column | str]
 
 
@@ -20,19 +23,38 @@ def top_per_key(rows: DataFrame, keys: Sequence[str], order: Order, k: int, rank
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def running_total(rows: DataFrame, bucket: Column, order: Order, value: Column, out: str, keys: Sequence[str] = ()) -> DataFrame:
-    """The sum of value over all rows before each row, as column out.
+def running_total(rows: DataFrame, order: Order, value: Column, out: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The sum of value over all rows of the same keys before each row, as column out. The order should be total: rows that are equal in it stay in one task.
 
-    Rows fall into buckets that keep the order (a function of its leading column); sums run inside of a bucket and over the buckets' totals, so no
-    task gets all rows.
+    A prefix sum in parallel: rows are dealt into ranges of the order, and written with the number of their range, as bounds are drawn anew whenever
+    a plan runs again. Sums then run inside of each range, and over the ranges' totals, of which there are as many as partitions, whatever the keys' values are.
+    """
+    start = F.sum("__value").over(Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    ranged = rows.withColumn("__value", value).repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id())
+    ranged = written(ranged, "ranges")
+    totals = ranged.groupBy(*keys, "__range").agg(F.sum("__value").alias("__total"))
+    before = F.sum("__total").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{i}")) for i, c in enumerate((*keys, "__range"))]
+    earlier = totals.select(*(F.col(c).alias(f"__of_{i}") for i, c in enumerate((*keys, "__range"))), F.coalesce(before, F.lit(0)).alias("__earlier"))
+    inside = ranged.withColumn("__inside", F.coalesce(start, F.lit(0)))
+    return inside.join(earlier, functools.reduce(Column.__and__, same)).withColumn(out, F.col("__earlier") + F.col("__inside")).select(*rows.columns, out)
+
+
+def percentiles(rows: DataFrame, group: str, value: str, shares: Sequence[float]) -> DataFrame:
+    """group and a column p0, p1, ... for each of the shares: the exact percentile, linear between the two values that it falls between; nulls don't count.
+
+    Equal values are counted first; their running counts tell which values stand at the two places of each share. So what a task holds are ranges of
+    distinct values, and no group's values gather in one buffer. A group without values has no row.
     """
-    rows = rows.withColumn("__bucket", bucket).withColumn("__value", value)
-    totals = rows.groupBy(*keys, "__bucket").agg(F.sum("__value").alias("__total"))
-    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = totals.select(*keys, "__bucket", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__earlier"))
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__inside", F.coalesce(F.sum("__value").over(inside), F.lit(0)))
-    return rows.join(earlier, [*keys, "__bucket"]).withColumn(out, F.col("__earlier") + F.col("__inside")).drop("__bucket", "__value", "__inside", "__earlier")
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("__n"))
+    placed = running_total(counts, [value], F.col("__n"), "__first", [group])
+    sizes = placed.groupBy(F.col(group).alias("__of")).agg(F.sum("__n").alias("__all"))
+    placed = placed.join(sizes, F.col(group).eqNullSafe(F.col("__of")))
+    place = lambda p: F.lit(p) * (F.col("__all") - 1)
+    at = lambda k: F.max(F.when((F.col("__first") <= k) & (k < F.col("__first") + F.col("__n")), F.col(value)))
+    ends = placed.groupBy(group).agg(F.max("__all").alias("__all"), *(at(f(place(p)).cast("long")).alias(f"{e}{k}") for k, p in enumerate(shares) for e, f in (("a", F.floor), ("b", F.ceil))))
+    part = lambda p: place(p) - F.floor(place(p))
+    return ends.select(group, *((F.col(f"a{k}") + (F.col(f"b{k}") - F.col(f"a{k}")) * part(p)).alias(f"p{k}") for k, p in enumerate(shares)))
 
 
 def base26(n: Column) -> Column:

@@ -366,8 +366,8 @@ def fn_base26(t: Tables) -> DataFrame:
 
 @query("win_sequential_id", "SELECT o_orderkey, o_orderpriority || '_' || lpad(CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS VARCHAR), 6, '0') AS id FROM orders")
 def win_sequential_id(t: Tables) -> DataFrame:
-    """Running ids of each type. Numbers run in buckets of keys first, so a type's rows needn't meet in one task."""
-    rows = W.running_total(t.orders, F.floor(F.col("o_orderkey") / 4096), ["o_orderkey"], F.lit(1), "k", ["o_orderpriority"])
+    """Running ids of each type. Numbers run in ranges of keys first, so a type's rows needn't meet in one task."""
+    rows = W.running_total(t.orders.select("o_orderkey", "o_orderpriority"), ["o_orderkey"], F.lit(1), "k", ["o_orderpriority"])
     return rows.select("o_orderkey", F.concat(F.col("o_orderpriority"), F.lit("_"), F.lpad(F.col("k").cast("string"), 6, "0")).alias("id"))
 
 
@@ -379,7 +379,7 @@ def win_shard_slice(t: Tables) -> DataFrame:
 
 @query("win_prefix_lengths", "SELECT doc_id, CAST(sum(n_chars) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - n_chars AS BIGINT) AS char_start, CAST(sum(n_chars) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS char_end FROM documents")
 def win_prefix_lengths(t: Tables) -> DataFrame:
-    rows = W.running_total(t.documents.select("doc_id", "n_chars"), F.floor(F.col("doc_id") / 4096), ["doc_id"], F.col("n_chars"), "char_start")
+    rows = W.running_total(t.documents.select("doc_id", "n_chars"), ["doc_id"], F.col("n_chars"), "char_start")
     return rows.select("doc_id", "char_start", (F.col("char_start") + F.col("n_chars")).alias("char_end"))
 
 
@@ -524,7 +524,7 @@ def sample_hash_mod(t: Tables) -> DataFrame:
 @query("sample_hash_assign", f"WITH p AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier), c AS (SELECT c_custkey, {FOLD.format('c_name', 'n')} AS i FROM (SELECT c_custkey, c_name, n FROM customer, (SELECT count(*) AS n FROM supplier))) SELECT c_custkey, s_suppkey FROM c JOIN p USING (i)")
 def sample_hash_assign(t: Tables) -> DataFrame:
     """A member of a pool (here: of all suppliers) for each id by its hash."""
-    pool = W.running_total(t.supplier.select("s_suppkey"), F.floor(F.col("s_suppkey") / 4096), ["s_suppkey"], F.lit(1), "i")
+    pool = W.running_total(t.supplier.select("s_suppkey"), ["s_suppkey"], F.lit(1), "i")
     return t.customer.withColumn("i", S.sha256_mod(F.col("c_name"), t.supplier.count())).join(pool, "i").select("c_custkey", "s_suppkey")
 
 
@@ -551,8 +551,7 @@ def shuffle_global(t: Tables) -> DataFrame:
 def split_by_group(t: Tables) -> DataFrame:
     """Nine tenths of the groups in hash order train, and no group is in both. Ranks are two-level over ranges of hashes."""
     groups = t.orders.select("o_custkey").distinct().withColumn("h", S.hash_order("o_custkey"))
-    bucket = F.conv(F.substring("h", 1, 3), 16, 10).cast("int")
-    ranked = W.running_total(groups, bucket, ["h", "o_custkey"], F.lit(1), "k")
+    ranked = W.running_total(groups, ["h", "o_custkey"], F.lit(1), "k")
     n = groups.agg(F.floor(F.count("*") * 0.9).alias("cut"))
     sides = ranked.join(F.broadcast(n)).select("o_custkey", F.when(F.col("k") < F.col("cut"), "train").otherwise("val").alias("split"))
     return t.orders.join(sides, "o_custkey").select("o_orderkey", "split")
@@ -561,8 +560,8 @@ def split_by_group(t: Tables) -> DataFrame:
 @query("split_files_ranks", "SELECT nation_key, (k - 1) % 4 AS rank, ((k - 1) // 4) % 2 AS worker FROM (SELECT n_nationkey AS nation_key, row_number() OVER (ORDER BY md5('42|' || n_nationkey), n_nationkey) AS k FROM nation)")
 def split_files_ranks(t: Tables) -> DataFrame:
     """Files (here: nations) dealt in hash order to ranks and their workers; none is dropped."""
-    k = F.row_number().over(Window.orderBy(S.hash_order("n_nationkey"), "n_nationkey")) - 1
-    return t.nation.select(F.col("n_nationkey").alias("nation_key"), k.alias("k")).select("nation_key", (F.col("k") % 4).cast("long").alias("rank"), (F.floor(F.col("k") / 4) % 2).alias("worker"))
+    files = t.nation.select(F.col("n_nationkey").alias("nation_key")).withColumn("h", S.hash_order("nation_key"))
+    return W.running_total(files, ["h", "nation_key"], F.lit(1), "k").select("nation_key", (F.col("k") % 4).alias("rank"), (F.floor(F.col("k") / 4) % 2).alias("worker"))
 
 
 HEX8 = " + ".join(f"(strpos('0123456789abcdef', substr(md5('42|' || doc_id), {i}, 1)) - 1) * {16 ** (6 - i)}" for i in range(1, 7))

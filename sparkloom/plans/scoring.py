@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.windows import first_per_key
+from ..operators.windows import first_per_key, percentiles
 from ..operators.routing import route_cv
 from .registry import Tables, query
 
@@ -174,7 +174,9 @@ def agg_summary_sem(t: Tables) -> DataFrame:
 
 @query("agg_percentile_linear", "SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 6) AS p{int(p * 100)}" for p in (0.1, 0.5, 0.9)) + " FROM lineitem GROUP BY l_returnflag")
 def agg_percentile_linear(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_returnflag").agg(*(F.round(F.percentile("l_extendedprice", p), 6).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)))
+    shares = (0.1, 0.5, 0.9)
+    found = percentiles(t.lineitem, "l_returnflag", "l_extendedprice", shares)
+    return found.select("l_returnflag", *(F.round(f"p{k}", 6).alias(f"p{int(p * 100)}") for k, p in enumerate(shares)))
 
 
 @query("agg_nanmean", "SELECT event_type AS type, round(avg(CASE WHEN event_id % 7 <> 0 THEN value END), 6) AS mean FROM events GROUP BY 1")

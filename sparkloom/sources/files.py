@@ -29,6 +29,13 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, written as Parquet into a work folder and read back: computed once, with no lineage, and safe when executors are lost."""
+    path = f"{work_folder(rows.sparkSession)}-{name}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _hadoop(spark: SparkSession, path: str):
     """The file system of a path, and the path as its object."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

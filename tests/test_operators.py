@@ -20,10 +20,12 @@ from sparkloom.operators import sampling as S
 from sparkloom.operators.packing import Limits, pack, pack_greedy
 from sparkloom.operators.joins import prefix_match
 from sparkloom.operators.routing import fit_heads, route_cv
-from sparkloom.operators.windows import base26, running_total
+from sparkloom.operators import windows
+from sparkloom.operators.windows import base26, percentiles, running_total
 from sparkloom.plans import QUERIES
 from sparkloom.plans.sequences import beside, missing_cells, patchify
 from sparkloom.sources import files as S_
+from sparkloom.sources.files import written
 
 GOLDEN = [
     ("<answer> b </answer>", "B"), ("**Final Answer: C**", "C"), ("Answer: because it is left", "B"), ("I pick (D)", "D"), ("\\boxed{A}", "A"),
@@ -60,13 +62,44 @@ def test_sampling_ignores_partitions(spark):
 
 
 def test_running_total(spark):
-    rows = running_total(spark.range(1000), F.floor(F.col("id") / 64), ["id"], F.col("id"), "before")
+    rows = running_total(spark.range(1000), ["id"], F.col("id"), "before")
     assert all(r.before == r.id * (r.id - 1) // 2 for r in rows.collect())
 
 
-def test_running_total_of_many_buckets(spark):
-    rows = running_total(spark.range(9_000).select((F.col("id") * 7).alias("id")), F.col("id"), ["id"], F.lit(1), "before")  # a bucket for each, more than one coarse one
-    assert all(r.before == r.id // 7 for r in rows.collect())
+@pytest.mark.parametrize("falling", [False, True])
+def test_running_total_of_sparse_keys(spark, falling, monkeypatch):
+    """Ranges follow the rows, not the values: keys a million apart, strings and nulls among the groups, and no more ranges than partitions."""
+    made = []
+    monkeypatch.setattr(windows, "written", lambda rows, name: made.append(written(rows, name)) or made[-1])
+    rows = [(k * 1_000_003, None if k % 3 == 0 else f"g{k % 3}", k % 5) for k in range(9_000)]
+    got = {r.key: r.before for r in running_total(spark.createDataFrame(rows, "key long, g string, n int"), [F.desc("key") if falling else "key"], F.col("n"), "before", ["g"]).collect()}
+    for g in (None, "g1", "g2"):
+        total = 0
+        for key, _, n in sorted((r for r in rows if r[1] == g), reverse=falling):
+            assert got[key] == total
+            total += n
+    assert len(got) == 9_000 and made[0].select("__range").distinct().count() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_running_total_keeps_all_columns(spark):
+    """Several totals of one table beside each other, joined and summed again: every column stays (the optimizer once lost one where totals were joined to rows of the same lineage)."""
+    base = spark.range(500).select("id", (F.col("id") % 7).alias("g"), F.lit("x").alias("extra"))
+    for _ in range(3):
+        a = running_total(base, ["id"], F.lit(1), "k", ["g"])
+        b = running_total(a, ["id"], F.col("k"), "sums")
+        both = b.join(a.groupBy("g").agg(F.max("k").alias("last")), "g")
+        assert both.columns == ["g", "id", "extra", "k", "sums", "last"]
+        got = both.select("id", "extra", "k", "last").orderBy("id").collect()
+        assert [(r.id, r.extra, r.k, r.last) for r in got] == [(i, "x", i // 7, (499 - i % 7) // 7) for i in range(500)]
+
+
+@pytest.mark.parametrize("values", [[5.0], [1.0, 2.0], [1.0] * 50 + [9.0], list(range(200)), [None, 3.0, -1.0, 3.0, 8.0]])
+def test_percentiles(spark, values):
+    rows = spark.createDataFrame([(g, None if v is None else float(v)) for g in ("a", None) for v in values] + [("none", None)], "g string, v double")
+    shares = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    got = {r.g: r[1:] for r in percentiles(rows, "g", "v", shares).collect()}
+    want = np.percentile([v for v in values if v is not None], [100 * p for p in shares])
+    assert set(got) == {"a", None} and np.allclose(got["a"], want) and np.allclose(got[None], want)
 
 
 @pytest.mark.parametrize("n", [0, 1, 30, 400])
