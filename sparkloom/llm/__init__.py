@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, language_id, mixing, near_dedup, pieces, suffix_dedup, topk_search, toxicity, url_filter
+from . import chat, exact_dedup, importance, language_id, mixing, near_dedup, ngram_model, pieces, suffix_dedup, topk_search, toxicity, url_filter, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_importance": importance.op11_importance,
+        "op12_lm_scoring": ngram_model.op12_lm_scoring,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
@@ -31,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat_format": chat.ORACLE_SQL,
         "op5_url_filter": url_filter.ORACLE_SQL,
         "op7_topk_search": topk_search.ORACLE_SQL,
+        "op11_importance": importance.ORACLE_SQL,
     }

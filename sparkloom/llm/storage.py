@@ -64,6 +64,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def repeat_rows(rows: DataFrame, copies: str, index: str) -> DataFrame:
+    """Each row as often as its column copies says, numbered from 0 by the column index. Numbers come in blocks, so no array of them is long."""
+    block = 4096
+    shares = rows.withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / block)))).where(F.col(copies) > 0)
+    each = F.sequence(F.col("__share") * block, F.least((F.col("__share") + 1) * block, F.col(copies)) - 1)
+    return shares.withColumn(index, F.explode(each)).drop("__share", copies)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose text comes to about limit bytes each; a longer text makes a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
