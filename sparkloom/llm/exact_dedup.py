@@ -6,10 +6,12 @@ of two neighbours the left one is shifted by the right one's length, so no step
 
 Equal fingerprints make a group; its smallest doc_id leads. Every other member's normalised text is then compared with the leader's,
 chunk by chunk, in an ordinary join on leader and chunk number that is salted by the group's size. Members that differ
-form groups of their own in another round, until none differs. So equality never rests on a hash.
+form groups of their own in another round, until none differs. So whether two texts are equal never rests on the fingerprint.
 
-Rows that repeat both doc_id and text are one document, whose rows all count in group_size. A null doc_id can't be looked up: such
-rows count as equal by fingerprint alone, and lose against any id. An id with two texts is two documents. Empty texts are equal.
+Rows are known by a mark, 128 bits of a sha256 of id and unchanged text, never by the id: rows with null or repeated ids are compared like any other. Rows of one mark
+have one text; they travel once and count each. Every row of the input has a row in the result, and of each group one row is kept: that of the smallest doc_id, a null one
+only where no row has any, of the smallest mark where ids are equal. Empty and null texts are equal. A very long text is hashed in slices and compared in chunks; the
+text itself is all that has to fit. Only the id and the text are read, so other columns may have any name and type.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import cut, discard, slices
+from .storage import all_of, cut, discard, named, one_of_each, repeat_rows, row_mark, slices
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_315_423_911, 1_640_531_527)
@@ -81,79 +83,92 @@ def fingerprints(texts: list[bytes]) -> list[Fingerprint]:
     return out
 
 
-def _scan(docs: DataFrame, key: str, text: str) -> DataFrame:
-    kind = docs.schema[key].dataType.simpleString()
+def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(row_mark(key, text).alias("mark"), named(key).alias("doc_id"), named(text).cast("string").alias("text"))
+
+
+def _scan(rows: DataFrame) -> DataFrame:
+    """mark, doc_id, fingerprint, length and sha256 of each row's normalised text."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = [normalise(t) for t in part.column("text").to_pylist()]
                 prints = fingerprints(texts)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([f.packed for f in prints], pa.int64()), pa.array(list(map(len, texts)), pa.int64()), pa.array([sha256(t).hexdigest() for t in texts], pa.string())], ["doc_id", "print", "n_bytes", "text_sha256"])
+                columns = [part.column("mark"), part.column("doc_id"), pa.array([f.packed for f in prints], pa.int64()), pa.array(list(map(len, texts)), pa.int64()), pa.array([sha256(t).hexdigest() for t in texts], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["mark", "doc_id", "print", "n_bytes", "text_sha256"])
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, print long, n_bytes long, text_sha256 string")
+    return rows.mapInArrow(run, f"mark binary, doc_id {kind}, print long, n_bytes long, text_sha256 string")
 
 
-def _chunks(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
+def _chunks(rows: DataFrame, members: DataFrame) -> DataFrame:
     """The normalised texts of members, a row for each chunk. An empty text has one empty chunk."""
-    kind, leader = docs.schema[key].dataType.simpleString(), members.schema["leader"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = [normalise(t) for t in part.column("text").to_pylist()]
-                same = [f.packed == p and f.length == n for f, p, n in zip(fingerprints(texts), part.column("print").to_pylist(), part.column("n_bytes").to_pylist())]
-                rows = [(i, at // COMPARED, t[at : at + COMPARED]) for i, t in enumerate(texts) if same[i] for at in range(0, max(1, len(t)), COMPARED)]
-                took = part.select(["doc_id", "leader", "n_docs"]).take(pa.array([r[0] for r in rows], pa.int64()))
-                yield pa.RecordBatch.from_arrays([*took.columns, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["doc_id", "leader", "n_docs", "chunk_no", "chunk"])
-
-    wanted = members.select("doc_id", "print", "n_bytes", "leader", "n_docs")
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).join(wanted.hint("shuffle_hash"), "doc_id")
-    return rows.mapInArrow(run, f"doc_id {kind}, leader {leader}, n_docs long, chunk_no long, chunk binary")
-
-
-def _differing(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
-    """The doc_id, print and n_bytes of the members that aren't equal to their leader."""
-    chunks = cut(_chunks(docs, members, key, text), "chunks")  # made once, read from both sides
-    shares = F.ceil(F.col("n_docs") / GROUP_SLICE).cast("long")
-    leaders = chunks.where(F.col("doc_id") == F.col("leader.doc_id")).select("leader", "chunk_no", F.col("chunk").alias("leading"), F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"))
-    others = chunks.where(F.col("doc_id") != F.col("leader.doc_id")).withColumn("share", F.pmod(F.xxhash64("doc_id"), shares))
-    bad = others.join(leaders, ["leader", "chunk_no", "share"], "left").where(~F.col("chunk").eqNullSafe(F.col("leading"))).select("doc_id", "leader").distinct()
-    found = cut(members.join(bad, ["doc_id", "leader"], "left_semi").select("doc_id", "print", "n_bytes", "text_sha256", "n_rows"), "differing")
+                found = [(i, at // COMPARED, t[at : at + COMPARED]) for i, t in enumerate(texts) for at in range(0, max(1, len(t)), COMPARED)]
+                took = part.select(["mark", "leader", "n_marks"]).take(pa.array([r[0] for r in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*took.columns, pa.array([r[1] for r in found], pa.int64()), pa.array([r[2] for r in found], pa.binary())], ["mark", "leader", "n_marks", "chunk_no", "chunk"])
+
+    wanted = members.select("mark", F.col("leader.mark").alias("leader"), "n_marks")
+    return rows.select("mark", "text").join(wanted.hint("shuffle_hash"), "mark").mapInArrow(run, "mark binary, leader binary, n_marks long, chunk_no long, chunk binary")
+
+
+def _differing(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """The members whose text isn't their leader's."""
+    chunks = cut(_chunks(rows, members), "chunks")  # made once, read from both sides
+    shares = F.ceil(F.col("n_marks") / GROUP_SLICE).cast("long")
+    leaders = chunks.where(F.col("mark") == F.col("leader")).groupBy("leader", "chunk_no", "n_marks").agg(F.first("chunk").alias("leading"))
+    leaders = leaders.select("leader", "chunk_no", "leading", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"))
+    others = chunks.where(F.col("mark") != F.col("leader")).withColumn("share", F.pmod(F.xxhash64("mark"), shares))
+    bad = others.join(leaders, ["leader", "chunk_no", "share"], "left").where(~F.col("chunk").eqNullSafe(F.col("leading"))).select("mark").distinct()
+    found = cut(members.select("mark", "doc_id", "print", "n_bytes", "text_sha256", "n_rows").join(bad, "mark", "left_semi"), "differing")
     discard(chunks)
     return found
 
 
-def exact_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, keep_id (doc_id of the one that stays), group_size, kept and text_sha256 of every document."""
-    left = cut(_scan(docs, key, text).groupBy("doc_id", "print", "n_bytes").agg(F.first("text_sha256").alias("text_sha256"), F.count("*").alias("n_rows")), "prints")
+def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """mark, doc_id, leader (lost, doc_id, mark), group_size, text_sha256 and n_rows of each mark."""
+    rows = _marked(docs, key, text)
+    once = [F.first(c).alias(c) for c in ("doc_id", "print", "n_bytes", "text_sha256")]
+    left = cut(_scan(rows).groupBy("mark").agg(*once, F.count("*").alias("n_rows")), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "mark")).alias("leader")
+    group = lambda of: of.groupBy("print", "n_bytes").agg(first, F.sum("n_rows").alias("group_size"), F.count("*").alias("n_marks"))
     done = None
     while True:
-        groups = cut(left.groupBy("print", "n_bytes").agg(F.min("doc_id").alias("leader"), F.sum("n_rows").alias("group_size"), F.count("*").alias("n_docs")), "groups")
-        members = left.join(groups.where("n_docs > 1"), ["print", "n_bytes"]).withColumn("leader", F.struct(F.col("leader").alias("doc_id"), "print", "n_bytes"))  # an id can lead several groups
-        bad = _differing(docs, members, key, text)
+        groups = cut(group(left), "groups")
+        members = left.join(groups.where("n_marks > 1"), ["print", "n_bytes"])
+        bad = _differing(rows, members)
         again = not bad.isEmpty()
         if again:
-            left = left.join(bad.select("doc_id", "print", "n_bytes"), ["doc_id", "print", "n_bytes"], "left_anti")
-            groups = left.groupBy("print", "n_bytes").agg(F.min("doc_id").alias("leader"), F.sum("n_rows").alias("group_size"))
-        part = left.join(groups.select("print", "n_bytes", "leader", "group_size"), ["print", "n_bytes"])
-        part = part.select("doc_id", F.col("leader").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("leader")).alias("kept"), "text_sha256", "n_rows")
+            left = left.join(bad.select("mark"), "mark", "left_anti")
+            groups = group(left)
+        part = left.join(groups, ["print", "n_bytes"]).select("mark", "doc_id", "leader", "group_size", "text_sha256", "n_rows")
         done = part if done is None else done.unionByName(part)
         if not again:
-            return done.drop("n_rows")
+            return done
         left = bad
 
 
+def exact_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, keep_id (doc_id of the one that stays), group_size, kept and text_sha256 of every row."""
+    rows = repeat_rows(_classes(docs, key, text), "n_rows", "nth")
+    kept = (F.col("mark") == F.col("leader.mark")) & (F.col("nth") == 0)
+    return rows.select("doc_id", F.col("leader.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
+
+
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """One row of each document that stays, with the columns of docs. A document is a doc_id, null or not, and a normalised text."""
-    normal = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    mark = lambda sha: F.concat(sha, F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("null")))
-    stays = exact_classes(docs).where("kept").select(mark(F.col("text_sha256")).alias("__mark"))
-    rows = docs.withColumn("__mark", mark(F.sha2(normal.cast("binary"), 256))).join(stays.hint("shuffle_hash"), "__mark", "left_semi")
-    order = [c for c in docs.columns if c not in ("doc_id", "text")] + ["text"]
-    one = F.row_number().over(Window.partitionBy("__mark").orderBy(*order))
-    return rows.withColumn("__one", one).where("__one = 1").select(*docs.columns)
+    """One row of each group of equal texts, with the columns of docs."""
+    stays = cut(_classes(docs, "doc_id", "text").where(F.col("mark") == F.col("leader.mark")).select(F.col("mark").alias("__mark"), "n_rows"), "stays")
+    rows = docs.withColumn("__mark", row_mark("doc_id", "text"))
+    of = lambda which: rows.join(stays.where(which).select("__mark").hint("shuffle_hash"), "__mark", "left_semi")
+    alone = of("n_rows = 1").select(*all_of(docs))
+    if stays.where("n_rows > 1").isEmpty():
+        return alone
+    return alone.unionByName(one_of_each(of("n_rows > 1"), "__mark", docs.columns))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

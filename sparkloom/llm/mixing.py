@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import cut, row_mark
+from .storage import all_of, cut, row_mark
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -139,7 +139,7 @@ def repeat_documents(docs: DataFrame) -> DataFrame:
     if not alike.isEmpty():
         some = alike.hint("shuffle_hash")
         rows = rows.join(some, "__mark", "left_anti").unionByName(rows.join(some, "__mark", "left_semi").dropDuplicates(["__mark"]))
-    return rows.join(copies.hint("shuffle_hash"), "__mark").orderBy("__slot", "__mark").select(*docs.columns)
+    return rows.join(copies.hint("shuffle_hash"), "__mark").orderBy("__slot", "__mark").select(*all_of(docs))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

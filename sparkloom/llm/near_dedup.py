@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .shingles import HASHES, minhashes, mix, shingle_sets
-from .storage import cut, discard, row_mark, slices
+from .storage import all_of, cut, discard, one_of_each, row_mark, slices
 
 THRESHOLD = Fraction(4, 5)
 ROWS = 4  #: MinHash values of a band
@@ -389,10 +389,9 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     marked = docs.withColumn("__row", row_mark("doc_id", "text"))
     kept = marked.join(stay.unionByName(wordless).select(F.col("row").alias("__row")).hint("shuffle_hash"), "__row", "left_semi")
     if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    one = F.row_number().over(Window.partitionBy("__row").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text"))))
-    several = kept.join(repeated.hint("shuffle_hash"), "__row", "left_semi").withColumn("__one", one).where("__one = 1")
-    return kept.join(repeated.hint("shuffle_hash"), "__row", "left_anti").select(*docs.columns).unionByName(several.select(*docs.columns))
+        return kept.select(*all_of(docs))
+    several = one_of_each(kept.join(repeated.hint("shuffle_hash"), "__row", "left_semi"), "__row", docs.columns)
+    return kept.join(repeated.hint("shuffle_hash"), "__row", "left_anti").select(*all_of(docs)).unionByName(several)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,9 +22,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"/tmp/sparkloom-{spark.sparkContext.applicationId}"
 
 
+def named(column: str) -> Column:
+    """A column by its name, whatever characters are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def all_of(rows: DataFrame) -> list[Column]:
+    return [named(c) for c in rows.columns]
+
+
+def one_of_each(rows: DataFrame, mark: str, columns: list[str]) -> DataFrame:
+    """The given columns of one row for each mark: the least by a hash of those columns, which may have any type."""
+    row = F.min_by(F.struct(*map(named, columns)), row_mark(*columns)).alias("__least")
+    return rows.groupBy(mark).agg(row).select(*(F.col("__least").getField(c).alias(c) for c in columns))
+
+
 def row_mark(*columns: str | Column) -> Column:
     """16 bytes of a hash of columns each of which can be null: what names a row where its id can't."""
-    text = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string").cast("binary")
+    text = lambda c: (named(c) if isinstance(c, str) else c).cast("string").cast("binary")
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.sha2(text(c), 256)), F.lit("null"))
     return F.unhex(F.substring(F.sha2(F.concat(*map(part, columns)).cast("binary"), 256), 1, 32))
 

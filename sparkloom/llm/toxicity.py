@@ -29,9 +29,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from .shingles import lower_bytes, mix, words_of
-from .storage import cut, discard, slices
+from .storage import all_of, cut, discard, slices
 
 SAMPLE = 8_000  #: labelled texts to learn from
 SELECTED = 512  #: features of each category
@@ -244,23 +245,24 @@ def judge(docs: DataFrame, chain: Chain, text: str = "text", threshold: float |
     new = [*(f"p_{c}" for c in CATEGORIES), "is_toxic"]
     docs = docs.drop(*new)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + "".join(f", {c} double" for c in new[:-1]) + ", is_toxic boolean"
-    names = docs.columns
+    names = [f"c{k}" for k in range(len(docs.columns))]  # any name goes through Arrow by its place
+    at = docs.columns.index(text)
+    schema = StructType([*(StructField(n, f.dataType) for n, f in zip(names, docs.schema)), *(StructField(c, DoubleType()) for c in new[:-1]), StructField("is_toxic", BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, names[at]):
                 p = np.zeros((part.num_rows, len(CATEGORIES)))
                 if shared.value.weights:
-                    p = shared.value.predict(part.column(text).to_pylist())
+                    p = shared.value.predict(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(np.ascontiguousarray(x)) for x in p.T), pa.array(p[:, -1] >= threshold)], [*names, *new])
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns, *new)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't toxic, with the columns of docs."""
-    return judge(docs, train(docs, labels)).where(~F.col("is_toxic")).select(*docs.columns)
+    return judge(docs, train(docs, labels)).where(~F.col("is_toxic")).select(*all_of(docs))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

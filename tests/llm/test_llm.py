@@ -1,6 +1,7 @@
 """The operators of sparkloom.llm: SQL twins, brute force on small tables, and odd inputs."""
 
 import random
+import re
 from collections import Counter, defaultdict
 from hashlib import sha256
 
@@ -150,8 +151,6 @@ def test_fingerprints_compose():
 
 
 def brute_copies(rows):
-    import re
-
     groups = defaultdict(list)
     for r in rows:
         groups[re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")].append(r.doc_id)
@@ -168,25 +167,73 @@ def test_exact_odd(odd, empty):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.kept)
 
 
-def test_exact_survives_collisions(odd, monkeypatch):
-    monkeypatch.setattr(exact_dedup.Fingerprint, "packed", property(lambda self: self.length % 3))
-    rows = odd.where("doc_id IS NOT NULL")
-    monkeypatch.setattr(exact_dedup, "_scan", _weak_scan)
-    monkeypatch.setattr(exact_dedup, "_chunks", _weak_chunks)
+def check_exact(rows):
+    """Groups, sizes and the one kept row of each, and the rows that a filter keeps, against plain Python."""
+    found = rows.collect()
     got = exact_dedup.exact_classes(rows).collect()
-    assert {(r.doc_id, r.keep_id, r.text_sha256) for r in got} == {(a, b, d) for a, b, _, d in brute_copies(rows.collect())}
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == Counter(each_copy(found))
+    assert sum(r.kept for r in got) == len({r.text_sha256 for r in got}) and all(r.doc_id == r.keep_id for r in got if r.kept)
+    kept = exact_dedup.keep_documents(rows)
+    assert kept.columns == rows.columns
+    plain = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    assert Counter((r.doc_id, sha256(plain(r.text).encode()).hexdigest()) for r in kept.collect()) == Counter((r.doc_id, r.text_sha256) for r in got if r.kept)
+
+
+def each_copy(rows):
+    of = {(i, digest): (i, least, n, digest) for i, least, n, digest in brute_copies(rows)}
+    return [of[r.doc_id, sha256(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "").encode()).hexdigest()] for r in rows]
+
+
+@pytest.mark.parametrize("ids", [(1, 2), (None, None), (1, 1), (1, None), (None, 1)])
+def test_exact_keeps_texts_that_collide(spark, ids):
+    """Two texts with one fingerprint under the bases and primes in use."""
+    texts = ["nlmnlomnlllmllmnlomlnn", "lommolnlonnmoonlolnolm"]
+    assert len({f.packed for f in exact_dedup.fingerprints([t.encode() for t in texts])}) == 1
+    rows = [*zip(ids, texts), (ids[0], texts[0]), (7, texts[1]), (None, texts[0])]
+    check_exact(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in zip(ids, texts)], "doc_id long, text string, lang string, source string, n_chars int")
+    assert sorted(r.text for r in corpus_pipeline.remove_copies(spark, docs, SF).collect()) == sorted(texts)
 
 
-def _normal(text="text"):
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
+def test_exact_survives_collisions(spark, odd, monkeypatch):
+    """All texts of a length modulo three share a fingerprint, so members differ in many rounds; ids are null, repeated and shared."""
+    monkeypatch.setattr(exact_dedup, "fingerprints", lambda texts: [exact_dedup.Fingerprint(len(t), (0, len(t) % 3)) for t in texts])
+    scan = exact_dedup._scan
+    monkeypatch.setattr(exact_dedup, "_scan", lambda rows: scan(rows).withColumn("n_bytes", F.lit(0).cast("long")))
+    monkeypatch.setattr(exact_dedup, "COMPARED", 7)
+    texts = ["ab", "ba", "abc", "cab", "a b", "a  b", "", None, "x" * 30, "x" * 29 + "y", "y" + "x" * 29]
+    rows = [(i, t) for n, t in enumerate(texts) for i in (n, n % 3, None, None)]
+    check_exact(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
 
 
-def _weak_scan(docs, key, text):
-    return docs.select("doc_id", F.lit(1).cast("long").alias("print"), F.lit(1).cast("long").alias("n_bytes"), F.sha2(_normal(), 256).alias("text_sha256"))
+ODD_NAMES = ["a.b", "c`d", "`", "e f", "ü.`x", "__mark2"]
 
 
-def _weak_chunks(docs, members, key, text):
-    return docs.select("doc_id", _normal().cast("binary").alias("chunk")).distinct().join(members.select("doc_id", "leader", "n_docs"), "doc_id").withColumn("chunk_no", F.lit(0).cast("long"))
+def odd_columns(docs):
+    """docs with columns whose names need quotes, and of types that have no order."""
+    for k, name in enumerate(ODD_NAMES):
+        docs = docs.withColumn(name, F.lit(k))
+    return docs.withColumn("m.p", F.create_map(F.lit("k"), F.col("n_chars"))).withColumn("st", F.struct(F.lit(1).alias("x.y"), F.array(F.create_map(F.lit(1), F.lit(2))).alias("z`")))
+
+
+def test_pipeline_stages_with_any_columns(spark, tmp_path):
+    """Every stage but the last gives back the columns of documents, whatever their names and types, and the rows that it gives without them."""
+    import corpus_pipeline
+
+    docs = odd_ids(spark).unionByName(spark.createDataFrame([(i, f"{'awful' if i % 2 else 'fine'} " + prose(30, 700 + i), "en", "s1", i) for i in range(100, 140)], "doc_id long, text string, lang string, source string, n_chars int"))
+    labels(spark, [(i, 1, i % 2) for i in range(100, 140)]).write.parquet(f"{tmp_path}/labels.parquet")
+    wide = odd_columns(docs)
+    wide = wide.unionByName(wide.where("doc_id = 4"))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, wide, str(tmp_path))
+        rows = got.collect()
+        assert rows, name
+        if not name.startswith("SentencePiece"):
+            assert got.schema.simpleString() == wide.schema.simpleString(), name
+            assert all(r["m.p"] == {"k": r.n_chars} and r["st"]["x.y"] == 1 for r in rows), name
+            assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in stage(spark, wide.select(*(f"`{c}`" for c in docs.columns)), str(tmp_path)).collect()) or name.startswith("mixing")
 
 
 # ---- mixing
