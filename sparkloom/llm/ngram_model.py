@@ -48,8 +48,12 @@ _U = np.uint64
 
 
 def tokens(text: str | None) -> Iterator[list[bytes]]:
-    yield from split_words((text or "").encode("utf-8", "surrogatepass"), _LOWER)
-    yield [END]
+    last: list[bytes] = []
+    for words in split_words((text or "").encode("utf-8", "surrogatepass"), _LOWER):
+        if last:
+            yield last
+        last = words
+    yield [*last, END]
 
 
 class _Hashes(dict):
@@ -152,9 +156,8 @@ def _pair_hashes(text: str | None, hashes: _Hashes) -> Iterator[np.ndarray]:
     last = hashes[START]
     for words in tokens(text):
         own = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-        if len(own):
-            yield pairs(np.concatenate((np.array([last], np.uint64), own[:-1])), own)
-            last = own[-1]
+        yield pairs(np.concatenate((np.array([last], np.uint64), own[:-1])), own)
+        last = own[-1]
 
 
 def count_pairs(texts: DataFrame, shards: int) -> DataFrame:
@@ -236,16 +239,24 @@ def _probed(asked: pa.Table, shard: pa.Table, shards: int) -> pa.Table:
     return pa.table({"block": asked.column("block").to_numpy()[some], "pair": asked.column("pair").to_numpy()[some], "level": level[some]})
 
 
+class _Places(dict):
+    """Where the count of a word stands; 0 is any word that training doesn't have."""
+
+    def __missing__(self, word: bytes) -> int:
+        return 0
+
+
 class _Answers:
-    """What a block has been told: counts of words, and levels of pairs where no filter is at hand."""
+    """What a block has been told: counts of words, and levels of pairs where no filter is at hand. The last place stands for the start of a text."""
 
     def __init__(self, answers: pa.Table, filter: Filter | None) -> None:
-        is_word = answers.column("word").is_valid()
-        words, told = answers.filter(is_word), answers.filter(answers.column("word").is_null())
+        words, told = answers.filter(answers.column("word").is_valid()), answers.filter(answers.column("word").is_null())
         names = words.column("word").to_pylist()
-        self.at = {w: i + 1 for i, w in enumerate(names)}  # 0 is any word that training doesn't have
-        self.count = np.concatenate(([0], words.column("value").to_numpy())).astype(np.int64)
-        self.hash = np.array([0, *map(_Hashes().__getitem__, names)], np.uint64)
+        self.at = _Places({w: i + 1 for i, w in enumerate(names)})
+        count = words.column("value").to_numpy()
+        starts = count[names.index(END)] if END in self.at else 0  # each text that was learned from has one start and one end
+        self.count = np.concatenate(([0], count, [starts])).astype(np.int64)
+        self.hash = np.array([0, *map(_Hashes().__getitem__, [*names, START])], np.uint64)
         self.filter = filter
         if filter is None:
             pair, level = told.column("pair").to_numpy().view(np.uint64), told.column("value").to_numpy()
@@ -261,36 +272,51 @@ class _Answers:
         return np.where(self.pair[at] == pair, self.level[at], 0)
 
 
+class _Sums:
+    """Sums over the tokens of each text of a block, for many texts at once."""
+
+    def __init__(self, told: _Answers, texts: int, total: int, distinct: int) -> None:
+        self.told, self.base_of, self.least = told, (told.count + 0.1) / (total + 0.1 * (distinct + 1)), np.array([0, *LEVELS])
+        self.n, self.known = np.zeros(texts, np.int64), np.zeros(texts, np.int64)
+        self.base, self.score = np.zeros(texts), np.zeros(texts)
+        self.held: list[tuple[int, np.ndarray]] = []
+        self.tokens, self.last = 0, (-1, 0)  # the last text, and the place of its last token
+
+    def add(self, text: int, words: list[bytes]) -> None:
+        self.held.append((text, np.fromiter(map(self.told.at.__getitem__, words), np.int64, len(words))))
+        self.tokens += len(words)
+        if self.tokens > BATCH:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.tokens:
+            return
+        told, at = self.told, np.concatenate([x for _, x in self.held])
+        text = np.repeat([t for t, _ in self.held], [len(x) for _, x in self.held])
+        before = np.concatenate(([self.last[1]], at[:-1]))
+        before[np.concatenate(([text[0] != self.last[0]], text[1:] != text[:-1]))] = len(told.count) - 1
+        self.held, self.tokens, self.last = [], 0, (int(text[-1]), int(at[-1]))
+        count, history = told.count[at], told.count[before]
+        base = self.base_of[at]
+        probability = base.copy()
+        ask = np.flatnonzero((history > 0) & (count > 0))
+        seen = history[ask]
+        both = np.minimum(self.least[told.levels(pairs(told.hash[before[ask]], told.hash[at[ask]]))], np.minimum(seen, count[ask]))
+        probability[ask] += MOST * seen / (seen + PRIOR) * (both / seen - probability[ask])
+        first, size = int(text[0]), int(text[-1] - text[0]) + 1
+        own = slice(first, first + size)
+        for sums, values in ((self.n, None), (self.known, count > 0), (self.base, np.log10(base)), (self.score, np.log10(probability))):
+            sums[own] += np.bincount(text - first, values, size).astype(sums.dtype)
+
+
 def _scores(rows: pa.Table, told: _Answers, total: int, distinct: int) -> pa.Table:
-    base_of = (told.count + 0.1) / (total + 0.1 * (distinct + 1))
-    log_base = np.log10(base_of)
-    least = np.array([0, *LEVELS])
-    starts = told.count[told.at[END]] if END in told.at else 0  # each text that was learned from has one start and one end
-    start_hash = _U(_Hashes()[START])
-    out = []
-    for text in rows.column("text"):
-        n = known = 0
-        base = score = 0.0
-        last, last_hash, last_count = -1, start_hash, starts
+    sums = _Sums(told, rows.num_rows, total, distinct)
+    for k, text in enumerate(rows.column("text")):
         for words in tokens(text.as_py()):
-            at = np.fromiter((told.at.get(w, 0) for w in words), np.int64, len(words))
-            if not len(at):
-                continue
-            count, own = told.count[at], told.hash[at]
-            history = np.concatenate(([last_count], count[:-1]))
-            probability = base_of[at]
-            ask = np.flatnonzero((history > 0) & (count > 0))
-            if len(ask):
-                level = told.levels(pairs(np.concatenate((np.array([last_hash], np.uint64), own[:-1]))[ask], own[ask]))
-                both = np.minimum(least[level], np.minimum(history[ask], count[ask]))
-                weight = MOST * history[ask] / (history[ask] + PRIOR)
-                probability[ask] += weight * (both / history[ask] - probability[ask])
-            n, known = n + len(at), known + int((count > 0).sum())
-            base, score = base + float(log_base[at].sum()), score + float(np.log10(probability).sum())
-            last_hash, last_count = own[-1], count[-1]
-        out.append((n, known, base, score))
-    columns = [[r[k] for r in out] for k in range(4)]
-    return pa.table({"doc_id": rows.column("doc_id"), "copies": rows.column("copies"), "n_tokens": pa.array(columns[0], pa.int64()), "n_known": pa.array(columns[1], pa.int64()), "train_tokens": pa.array([total] * len(out), pa.int64()), "base_score": pa.array(columns[2], pa.float64()), "score": pa.array(columns[3], pa.float64())})
+            sums.add(k, words)
+    sums.flush()
+    found = [("n_tokens", sums.n), ("n_known", sums.known), ("train_tokens", np.full(rows.num_rows, total)), ("base_score", sums.base), ("score", sums.score)]
+    return pa.table({"doc_id": rows.column("doc_id"), "copies": rows.column("copies"), **{n: pa.array(x) for n, x in found}})
 
 
 def score(docs: DataFrame, learned: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
