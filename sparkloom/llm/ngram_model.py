@@ -38,9 +38,9 @@ PROBES = 5  #: bits that a pair and level sets
 MOST, PRIOR = 0.3, 5.0  #: the weight of pairs, at most, and the count of a history at which it is half of that
 SHARD = 1 << 20  #: pairs of a shard, about, repeats between batches counted
 LIMIT = 1 << 27  #: bytes of a filter that is broadcast
-BLOCK = 1 << 25  #: bytes of text of a block, about
-BATCH = 1 << 20  #: tokens whose pairs are counted together
-WORDS = 1 << 18  #: distinct words held while counting
+BLOCK = 1 << 24  #: bytes of text of a block, about
+BATCH = 1 << 18  #: tokens whose pairs are counted or scored together
+WORDS = 1 << 17  #: distinct words held while counting
 END, START = b"", b" "  #: no word is empty or has a space
 
 _LOWER = bytes(range(256)).lower().translate(bytes(32 if 9 <= b <= 13 else b for b in range(256)))
