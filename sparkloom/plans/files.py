@@ -171,8 +171,11 @@ def scan_hub(t: Tables) -> DataFrame:
 @query("sink_parquet_chunks", "SELECT sum(num_rows)::BIGINT AS n, true AS bounded, true AS groups FROM (SELECT count(*) AS num_rows FROM customer)")
 def sink_parquet_chunks(t: Tables) -> DataFrame:
     """Files of ten row groups of ten rows at most, and what their manifest says."""
-    manifest = S.write_chunks(t.customer, S.work_folder(t.spark), 10, 10)
-    return manifest.agg(F.sum("num_rows").alias("n"), (F.max("num_rows") <= 100).alias("bounded"), F.bool_and((F.col("num_row_groups") - 1) * 10 < F.col("num_rows")).alias("groups"))
+    path = S.work_folder(t.spark)
+    S.write_chunks(t.customer, path, 10, 10)
+    manifest = t.spark.read.json(f"{path}-info/parquet_info.json", schema="file string, num_row_groups long, num_rows long, largest_group long", multiLine=True)
+    whole = (F.max("largest_group") <= 10) & (F.max("num_row_groups") <= 10) & F.bool_and(F.col("num_row_groups") == F.ceil(F.col("num_rows") / 10))
+    return manifest.agg(F.sum("num_rows").alias("n"), (F.max("num_rows") <= 100).alias("bounded"), whole.alias("groups"))
 
 
 @query("sink_jsonl", ALL)

@@ -6,39 +6,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.geometry import curriculum
 from ..operators import external as E
-from ..sources.files import work_folder
+from ..sources.files import work_folder, write_chunks
 from ..streaming import resume as R
+from ..streaming.cursors import PLACE
+from ..streaming.steps import STORE, last_cursors, numbered, settings
 from .registry import Tables, query
 
 
 @query("st_infinite_epochs", "SELECT event_id, CAST(e AS INTEGER) AS epoch, e * 1000000 + event_id AS cursor FROM events, (SELECT unnest(generate_series(0, 1)) AS e)")
 def st_infinite_epochs(t: Tables) -> DataFrame:
-    """Two epochs of all events, with a cursor in each."""
-    return R.epochs(t.events.select("event_id"), 2, F.col("epoch") * 1000000 + F.col("event_id"))
+    """Two epochs of all events by three workers that go round their files, from a stream that stops amid files and is started again until it has nothing more; with a cursor in each epoch."""
+    rows = _rounds(t, t.events.select("event_id"), "event_id long", workers=3, epochs=2)
+    return rows.select("event_id", F.col("epoch").cast("int").alias("epoch"), (F.col("epoch") * 1000000 + F.col("event_id")).alias("cursor"))
 
 
-def _landed(t: Tables, where: str, path: str) -> None:
-    t.events.where(where).select("event_id", "user_id", "event_type", "value").coalesce(1).write.mode("append").parquet(path)
+def _rounds(t: Tables, rows: DataFrame, schema: str, workers: int, epochs: int) -> DataFrame:
+    """All that a stream of cursors over the rows gives, with a bit over half of them for each worker a run."""
+    base = work_folder(t.spark)
+    write_chunks(rows, f"{base}/in", 1_000, 10)
+    stream = R.cursor_stream(t.spark, f"{base}/in", f"{base}/progress", workers=workers, rows=rows.count() * epochs // 2 + 7, epochs=epochs)
+    while R.drain(stream, f"{base}/out", f"{base}/checkpoint"):
+        pass
+    return t.spark.read.schema(f"{schema}, {PLACE}").parquet(f"{base}/out")
 
 
 @query("st_cursor_resume", "SELECT event_id, user_id FROM events")
 def st_cursor_resume(t: Tables) -> DataFrame:
-    """A file stream is drained twice; the second time it reads only what has come since. Events land in two parts, split in the middle of their ids."""
-    low, high = t.events.agg(F.min("event_id"), F.max("event_id")).first()
+    """One epoch by two workers, each stopped inside of a row group and resumed there: no row twice, none lost."""
+    return _rounds(t, t.events.select("event_id", "user_id"), "event_id long, user_id long", workers=2, epochs=1).select("event_id", "user_id")
+
+
+def _halves(t: Tables, rows: DataFrame, order: str, use) -> str:
+    """Land the rows in two parts, split in the middle of their order, and hand the stream of the folder to use(stream, out, checkpoint) after each; gives the folder that use has written to."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
     middle = ((low or 0) + (high or 0)) // 2
     base = work_folder(t.spark)
-    for where in (f"event_id < {middle}", f"event_id >= {middle} OR event_id IS NULL"):
-        _landed(t, where, f"{base}/in")
-        stream = R.file_stream(t.spark, f"{base}/in", "event_id long, user_id long, event_type string, value double")
-        R.drain(stream.select("event_id", "user_id"), f"{base}/out", f"{base}/checkpoint")
-    return t.spark.read.schema("event_id long, user_id long").parquet(f"{base}/out")
+    for where in (F.col(order) < middle, (F.col(order) >= middle) | F.col(order).isNull()):
+        rows.where(where).write.mode("append").parquet(f"{base}/in")
+        use(R.file_stream(t.spark, f"{base}/in", rows.schema, 1_000), f"{base}/out", f"{base}/checkpoint")
+    return f"{base}/out"
 
 
 @query("st_cursor_state", "SELECT event_type AS dataset, user_id % 4 AS worker, max(event_id) AS cursor FROM events GROUP BY 1, 2")
 def st_cursor_state(t: Tables) -> DataFrame:
-    """The last cursor of each dataset and worker."""
-    return t.events.groupBy(F.col("event_type").alias("dataset"), (F.col("user_id") % 4).alias("worker")).agg(F.max_by("event_id", "ts").alias("cursor"))
+    """The last cursor of each dataset and worker, kept in the state store of a stream that is stopped and started again."""
+    rows = t.events.select(F.col("event_type").alias("dataset"), (F.col("user_id") % 4).alias("worker"), F.col("event_id").alias("cursor"))
+    with settings(t.spark, STORE):
+        out = _halves(t, rows, "cursor", lambda stream, *to: R.drain(last_cursors(stream, ["dataset", "worker"], "cursor"), *to))
+    moved = t.spark.read.schema("dataset string, worker long, cursor long").parquet(out)
+    return moved.groupBy("dataset", "worker").agg(F.max("cursor").alias("cursor"))
 
 
 LOG = "WITH l AS (SELECT user_id AS id, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN ' ' ELSE event_type END AS result FROM events)"
@@ -50,8 +68,9 @@ def _log(t: Tables) -> DataFrame:
 
 @query("st_checkpoint_upsert", LOG + " SELECT id, seq, result FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS n FROM l WHERE trim(result) <> '') WHERE n = 1")
 def st_checkpoint_upsert(t: Tables) -> DataFrame:
-    """Results by id, the last that isn't blank."""
-    return R.latest(_log(t), "id", ["seq"], "result").select("id", "seq", "result")
+    """Results by id, the last that isn't blank, brought in by a stream's micro-batches."""
+    out = _halves(t, _log(t), "seq", lambda stream, *to: R.upsert(stream, *to, "id", ["seq"], "result"))
+    return R.upserted(t.spark, out, "id long, seq long, result string", "id", ["seq"], "result").select("id", "seq", "result")
 
 
 @query("st_append_log_cache", LOG + " SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT id FROM l WHERE trim(result) <> '')")
@@ -87,13 +106,11 @@ def st_patch_column(t: Tables) -> DataFrame:
 
 @query("st_step_counter", "SELECT user_id, event_id, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (k - 10) / 40.0::DOUBLE)), 6) AS p FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)")
 def st_step_counter(t: Tables) -> DataFrame:
-    """Each worker's own step drives its curriculum."""
-    from pyspark.sql import Window
-
-    from ..functions.geometry import curriculum
-
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    return t.events.select("user_id", "event_id", k.alias("k")).select("user_id", "event_id", F.round(curriculum(F.col("k"), 10.0, 50.0), 6).alias("p"))
+    """Each worker's own step drives its curriculum. Steps are counted in the state store of a stream that is stopped and started again."""
+    with settings(t.spark, STORE):
+        out = _halves(t, t.events.select("user_id", "event_id"), "event_id", lambda stream, *to: R.drain(numbered(stream, "user_id", ["event_id"]), *to))
+    steps = t.spark.read.schema("user_id long, event_id long, step long").parquet(out)
+    return steps.select("user_id", "event_id", F.round(curriculum(F.col("step"), 10.0, 50.0), 6).alias("p"))
 
 
 # ---- extension surface ------------------------------------------------------------------------------------------------------
@@ -150,7 +167,7 @@ def udf_retry_cascade(t: Tables) -> DataFrame:
 
 def _waits(row: dict) -> dict:
     waits: list[float] = []
-    fails = iter([True] * row["id"] + [False])
+    fails = iter([True] * row["failures"] + [False])
 
     def call(prompt: str) -> str:
         if next(fails):
@@ -158,13 +175,13 @@ def _waits(row: dict) -> dict:
         return prompt
 
     reply, _ = E.with_retries(call, "ready", tries=7, sleep=waits.append)
-    return {"failures": row["id"], "waited": sum(waits), "reply": reply}
+    return {"s_suppkey": row["s_suppkey"], "failures": row["failures"], "waited": sum(waits), "reply": reply}
 
 
-@query("udf_backoff", "SELECT k AS failures, coalesce((SELECT sum(least(pow(2, i), 10)) FROM (SELECT unnest(generate_series(0, 5)) AS i) WHERE i < k), 0)::DOUBLE AS waited, CASE WHEN k < 7 THEN 'ready' END AS reply FROM (SELECT unnest(generate_series(0, 7)) AS k)")
+@query("udf_backoff", "SELECT s_suppkey, k AS failures, coalesce((SELECT sum(least(pow(2, i), 10)) FROM (SELECT unnest(generate_series(0, 5)) AS i) WHERE i < k), 0)::DOUBLE AS waited, CASE WHEN k < 7 THEN 'ready' END AS reply FROM (SELECT s_suppkey, s_suppkey % 8 AS k FROM supplier)")
 def udf_backoff(t: Tables) -> DataFrame:
-    """A call that fails so many times, tried up to seven times: how many seconds it waits in all, and what it gives (the waits are noted, not slept)."""
-    return E.parallel_map(t.spark.range(8), _waits, "failures long, waited double, reply string")
+    """For each supplier a call that fails some times first, tried up to seven times: how many seconds it waits in all, and what it gives (the waits are noted, not slept)."""
+    return E.parallel_map(t.supplier.select("s_suppkey", (F.col("s_suppkey") % 8).alias("failures")), _waits, "s_suppkey long, failures long, waited double, reply string")
 
 
 @query("udtf_questions", "SELECT c_custkey, kind, n FROM (SELECT c_custkey, 'counting' AS kind, c_nationkey AS n FROM customer UNION ALL SELECT c_custkey, 'distance', CAST(floor(c_acctbal) AS INTEGER) FROM customer WHERE c_acctbal > 0)")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.bootstrap import bootstrap_intervals, interval
 from ..operators.windows import first_per_key, percentiles
 from ..operators.routing import route_cv
 from .registry import Tables, query
@@ -279,14 +280,14 @@ def _bootstrap_sql(rows: str, seed: int) -> str:
 QUANTILES = ((0.025, "low"), (0.5, "median"), (0.975, "high"))
 
 
-@query("agg_bootstrap_ci", _bootstrap_sql(R, 42).format("SELECT type, accuracy, id FROM m"))
-def agg_bootstrap_ci(t: Tables) -> DataFrame:
+@query("agg_bootstrap_poisson", _bootstrap_sql(R, 42).format("SELECT type, accuracy, id FROM m"))
+def agg_bootstrap_poisson(t: Tables) -> DataFrame:
     """Percentile interval of the accuracy by a Poisson bootstrap: each row draws its own weight for every resample from a hash, so resamples
     need no index into the rows, and only sums by type and resample are shuffled. Resamples by type and overall."""
-    return bootstrap(merged(t), "type", "accuracy", "id", DRAWS)
+    return poisson_bootstrap(merged(t), "type", "accuracy", "id", DRAWS)
 
 
-def bootstrap(rows: DataFrame, group: str, value: str, key: str, draws: int, seed: int = 42) -> DataFrame:
+def poisson_bootstrap(rows: DataFrame, group: str, value: str, key: str, draws: int, seed: int = 42) -> DataFrame:
     hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col(key).cast("string")).cast("binary"))
     u = F.conv(F.substring(hashed, 1, 7), 16, 10).cast("double") / float(1 << 28)
     drawn = rows.select(F.col(group).alias("group"), key, F.col(value).alias("x"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b")).withColumn("u", u)
@@ -297,9 +298,18 @@ def bootstrap(rows: DataFrame, group: str, value: str, key: str, draws: int, see
     return means.groupBy("group").agg(*(F.round(F.percentile("mean", p), 6).alias(n) for p, n in QUANTILES))
 
 
-@query("udaf_bootstrap", _bootstrap_sql(R, 7).format("SELECT type, accuracy, id FROM m WHERE predicted IS NOT NULL"))
+@query("agg_bootstrap_ci", None)
+def agg_bootstrap_ci(t: Tables) -> DataFrame:
+    """Accuracy, and its percentile interval over ten thousand resamples of the rows, by type and overall."""
+    return bootstrap_intervals(merged(t), "type", "accuracy").select("group", "n", *(F.round(c, 6).alias(c) for c in ("mean", "low", "median", "high")))
+
+
+@query("udaf_bootstrap", None)
 def udaf_bootstrap(t: Tables) -> DataFrame:
-    return bootstrap(merged(t).where("predicted IS NOT NULL"), "type", "accuracy", "id", DRAWS, 7)
+    """The interval as an aggregate beside others, over parsed answers counted by value; by type."""
+    counts = merged(t).where("predicted IS NOT NULL").groupBy("type", "accuracy").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
+    by = counts.groupBy("type").agg(F.sum("n").alias("n"), F.max("last").alias("last"), interval(F.collect_list(F.struct(F.col("accuracy").alias("value"), "n"))).alias("i"))
+    return by.select("type", "n", "last", *(F.round(F.col("i")[c], 6).alias(c) for c in ("mean", "low", "high")))
 
 
 @query("agg_uplift", R + ", a AS (SELECT shard, avg(accuracy) AS acc FROM r GROUP BY shard) SELECT a.shard, round((a.acc - b.acc) * 100, 6) AS points FROM a JOIN a b ON b.shard = 0 WHERE a.shard <> 0")

@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import masks as M
 from ..operators.packing import pack_greedy
 from ..operators.windows import gaps
 from .curation import SPANS, spans
@@ -84,34 +85,32 @@ k AS (SELECT o, s, f, unnest(generate_series(1, n)) AS j FROM s)"""
 
 
 def _splits(t: Tables) -> DataFrame:
-    """Order o, number s, tokens n and kind f (A causal, N full, R noise) of each split (here: a line of an order)."""
+    """Order o, number s, tokens n and kind f (A causal, N full, R noise) of each split (here: a line of an order), with its place among the order's tokens."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return t.lineitem.select(F.col("l_orderkey").alias("o"), F.row_number().over(w).alias("s"), (F.col("l_quantity").cast("long") % 3 + 1).alias("n"), F.col("l_returnflag").alias("f"))
+    lines = t.lineitem.select(F.col("l_orderkey").alias("o"), F.row_number().over(w).alias("s"), (F.col("l_quantity").cast("long") % 3 + 1).alias("n"), F.col("l_returnflag").alias("f"))
+    return M.placed(lines, "o", "s", "n")
 
 
 VISIBLE = "a.o = b.o AND ((b.s = a.s AND (a.f <> 'A' OR b.j <= a.j)) OR (b.s < a.s AND b.f <> 'R'))"
+PLACES = TOKENS + ", p AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY s, j) - 1 AS pos FROM k)"
 
 
-@query("arr_attn_mask", TOKENS + f" SELECT a.o, count(*) AS n_pairs FROM k a JOIN k b ON {VISIBLE} GROUP BY a.o")
+@query("arr_attn_mask", PLACES + f""" SELECT a.o, min(a.pos) AS q_from, max(a.pos) + 1 AS q_to, min(b.pos) AS k_from, max(b.pos) + 1 AS k_to, a.s = b.s AND b.f = 'A' AS causal, count(*) AS n_pairs
+    FROM p a JOIN p b ON {VISIBLE} GROUP BY a.o, b.s, b.f, a.s = b.s""")
 def arr_attn_mask(t: Tables) -> DataFrame:
-    """How many pairs of tokens see one another: causal or full inside of a split; earlier splits are seen unless they are noise. Pairs are counted split by split, by formula."""
-    return _pairs(_splits(t)).groupBy("o").agg(F.sum("pairs").alias("n_pairs"))
+    """The tokens that see one another, as rectangles with their number of pairs: causal or full inside of a split; earlier splits are seen unless they are noise. The twin expands all pairs."""
+    relation = M.visible(_splits(t), "o", F.col("f") == "A", F.col("f") == "R")
+    return relation.withColumn("n_pairs", M.pair_count(*map(F.col, (*M.EDGES, "causal"))))
 
 
-def _pairs(splits: DataFrame) -> DataFrame:
-    """The splits with pairs, the number of tokens that each split's tokens see."""
-    earlier = Window.partitionBy("o").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.coalesce(F.sum(F.when(F.col("f") != "R", F.col("n"))).over(earlier), F.lit(0))
-    own = F.when(F.col("f") == "A", F.shiftright(F.col("n") * (F.col("n") + 1), 1)).otherwise(F.col("n") * F.col("n"))
-    return splits.withColumn("pairs", F.col("n") * seen + own)
-
-
-@query("arr_mask_apply", TOKENS + f" SELECT a.o, count(*) AS n_pairs FROM k a JOIN k b ON {VISIBLE} AND NOT (a.s >= 4 AND b.s <= 2 AND b.j = 2 AND NOT b.f = 'N') GROUP BY a.o")
+@query("arr_mask_apply", PLACES + f" SELECT a.o, a.pos AS q, count(*) AS n_keys, CAST(sum(b.pos) AS BIGINT) AS key_sum FROM p a JOIN p b ON {VISIBLE} AND NOT (a.s >= 4 AND b.s <= 2 AND b.j = 2 AND NOT b.f = 'N') GROUP BY 1, 2")
 def arr_mask_apply(t: Tables) -> DataFrame:
-    """The same relation where reflecting splits (from the fourth) don't see dropped tokens of the views (the second of splits 1 and 2), unless the bridge (full splits) shows them again."""
-    splits = _pairs(_splits(t))
-    dropped = F.count_if((F.col("s") <= 2) & (F.col("n") >= 2) & (F.col("f") == "A"))  # of noise nothing is seen anyway
-    return splits.groupBy("o").agg((F.sum("pairs") - F.coalesce(F.sum(F.when(F.col("s") >= 4, F.col("n"))), F.lit(0)) * dropped).alias("n_pairs"))
+    """The same relation where reflecting splits (from the fourth) don't see dropped tokens of the views (the second of splits 1 and 2), unless the bridge (full splits) shows them again: what
+    each token sees, from the rectangles that are left."""
+    splits = _splits(t)
+    relation = M.visible(splits, "o", F.col("f") == "A", F.col("f") == "R")
+    dropped = splits.where("s <= 2 AND n >= 2").select("o", (F.col("start") + 1).alias("start"), (F.col("start") + 2).alias("end"))
+    return M.by_query(M.without(relation, "o", splits.where("s >= 4"), dropped, splits.where("f = 'N'")), "o")
 
 
 GRID = "WITH g AS (SELECT p_partkey, p_size % 6 + 1 AS h, p_size % 5 + 2 AS w FROM part), c AS (SELECT p_partkey, h, w, i, unnest(generate_series(0, w - 1)) AS j FROM (SELECT p_partkey, h, w, unnest(generate_series(0, h - 1)) AS i FROM g))"

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -113,10 +114,31 @@ def tree(spark: SparkSession, root: str, names: Sequence[str], marker: str) -> D
 
 
 def write_chunks(rows: DataFrame, path: str, rows_per_group: int, groups_per_file: int) -> DataFrame:
-    """Parquet files of at most so many row groups of at most so many rows, and their manifest: file, num_row_groups and num_rows. Both limits are the writer's, so rows aren't moved."""
+    """Parquet files of at most so many row groups of at most so many rows, and their manifest: file, num_row_groups, num_rows and largest_group. Both limits are the writer's, so rows aren't moved.
+
+    The manifest is what the written footers say, and stands in `<path>-info/parquet_info.json` as well, an array with an object for each file.
+    """
     rows.write.option("maxRecordsPerFile", rows_per_group * groups_per_file).option("parquet.block.row.count.limit", rows_per_group).parquet(path)
-    counted = rows.sparkSession.read.schema(rows.schema).parquet(path).select(F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.count("*").alias("num_rows"))
-    return counted.select("file", F.ceil(F.col("num_rows") / rows_per_group).alias("num_row_groups"), "num_rows")
+    groups = written(row_groups(rows.sparkSession, path), "footers")
+    manifest = groups.groupBy("file").agg(F.count("*").alias("num_row_groups"), F.sum("num_rows").alias("num_rows"), F.max("num_rows").alias("largest_group"))
+    write_json_document(manifest, f"{path}-info/parquet_info.json", "file")
+    return manifest
+
+
+def row_groups(spark: SparkSession, path: str) -> DataFrame:
+    """file, row_group, num_rows and bytes of every row group of a folder's Parquet files, from their footers. Tasks take the files from Spark's reader, so any store will do; a file must be below 2 GB."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("path"), batch.column("content")):
+                meta = pq.read_metadata(pa.BufferReader(content.as_buffer()))
+                found = [meta.row_group(g) for g in range(meta.num_row_groups)]
+                name = file.as_py().rsplit("/", 1)[-1]
+                columns = [pa.array([name] * len(found)), pa.array(range(len(found)), pa.int32()), pa.array([g.num_rows for g in found], pa.int64()), pa.array([g.total_byte_size for g in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["file", "row_group", "num_rows", "bytes"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInArrow(run, "file string, row_group int, num_rows long, bytes long")
 
 
 def rows_after(rows: DataFrame, file: str, row: int) -> DataFrame:

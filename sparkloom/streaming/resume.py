@@ -8,11 +8,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.windows import first_per_key
+from .cursors import Cursors
 
 
-def drain(source: DataFrame, sink: str, checkpoint: str) -> None:
-    """Append all that a stream has at hand to a Parquet table. With the same checkpoint a later call goes on where this one ended."""
-    source.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+def drain(source: DataFrame, sink: str, checkpoint: str) -> int:
+    """Append all that a stream has at hand to a Parquet table. With the same checkpoint a later call goes on where this one ended. A stream of cursors has one batch at hand.
+
+    Gives the number of rows read.
+    """
+    run = source.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return sum(p["numInputRows"] for p in run.recentProgress)
+
+
+def upsert(source: DataFrame, table: str, checkpoint: str, key: str, order: Sequence[str], result: str) -> None:
+    """Bring all that a stream has at hand into a table of results by key, which upserted() reads.
+
+    Each micro-batch writes the last row that isn't blank of each of its keys into a folder of its own number, and replaces that folder should the batch run again: so a
+    batch that is replayed, because the driver died before it was logged as done, changes nothing. Blank answers are never written, so their keys stay pending.
+    """
+
+    def write(rows: DataFrame, number: int) -> None:
+        latest(rows, key, order, result).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def upserted(spark: SparkSession, table: str, schema: str, key: str, order: Sequence[str], result: str) -> DataFrame:
+    """The last result of each key over all batches."""
+    return latest(spark.read.schema(schema).parquet(f"{table}/batch=*"), key, order, result)
 
 
 def latest(log: DataFrame, key: str, order: Sequence[str], result: str) -> DataFrame:
@@ -28,6 +52,12 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def cursor_stream(spark: SparkSession, path: str, progress: str, **options: int) -> DataFrame:
+    """The rows of a folder's Parquet files as a stream with a cursor for each worker; see cursors.py for the options."""
+    spark.dataSource.register(Cursors)
+    return spark.readStream.format("cursors").options(progress=progress, **options).load(path)
+
+
 def epochs(rows: DataFrame, n: int, cursor: Column) -> DataFrame:
     """The rows of n epochs one behind the other, with the epoch and a cursor in each."""
     return rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("cursor", cursor)

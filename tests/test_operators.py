@@ -1,6 +1,7 @@
 """Golden cases and invariants of operators that queries can't show."""
 
 import io
+import json
 import math
 import random
 import re
@@ -8,6 +9,7 @@ import tarfile
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +18,9 @@ from sparkloom.functions import geometry as G
 from sparkloom.functions import metrics as M
 from sparkloom.functions import text as T
 from sparkloom.operators import external as E
+from sparkloom.operators import masks
 from sparkloom.operators import sampling as S
+from sparkloom.operators.bootstrap import bootstrap_intervals, interval, resampled_means
 from sparkloom.operators.packing import Limits, pack, pack_greedy
 from sparkloom.operators.joins import prefix_match
 from sparkloom.operators.routing import fit_heads, route_cv
@@ -26,6 +30,9 @@ from sparkloom.plans import QUERIES
 from sparkloom.plans.sequences import beside, missing_cells, patchify
 from sparkloom.sources import files as S_
 from sparkloom.sources.files import written
+from sparkloom.streaming.cursors import Lane
+from sparkloom.streaming.resume import cursor_stream, drain, file_stream, pending, upsert, upserted
+from sparkloom.streaming.steps import STORE, last_cursors, numbered, settings
 
 GOLDEN = [
     ("<answer> b </answer>", "B"), ("**Final Answer: C**", "C"), ("Answer: because it is left", "B"), ("I pick (D)", "D"), ("\\boxed{A}", "A"),
@@ -404,3 +411,168 @@ def test_a_split_is_chosen(spark, tmp_path):
         assert S_.choose_split(spark, str(root)) == want
     with pytest.raises(FileNotFoundError):
         S_.choose_split(spark, str(tmp_path / "test" / "test"))
+
+
+# ---- bootstrap
+
+
+def test_bootstrap_of_an_accuracy(spark):
+    """Ten thousand resamples of right and wrong answers are binomial: quantiles, mean and spread against the distribution itself."""
+    rows = spark.createDataFrame([("a", float(k % 10 < 3)) for k in range(400)] + [("b", 1.0)] * 7 + [("b", None), (None, 0.5)], "g string, x double")
+    got = {r["group"]: r for r in bootstrap_intervals(rows, "g", "x").collect()}
+    assert set(got) == {"a", "b", None, "overall"} and got["b"][1:] == (7, 1.0, 1.0, 1.0, 1.0) and got[None][1:] == (1, 0.5, 0.5, 0.5, 0.5)
+    chance = lambda k: math.comb(400, k) * 0.3**k * 0.7 ** (400 - k)
+    upto = np.cumsum([chance(k) for k in range(401)])
+    for name, p in (("low", 0.025), ("median", 0.5), ("high", 0.975)):
+        assert abs(got["a"][name] - np.searchsorted(upto, p) / 400) <= 1 / 400
+    assert got["overall"].n == 408 and got["overall"]["mean"] == pytest.approx((120 + 7 + 0.5) / 408)
+
+
+@pytest.mark.parametrize("block, chunk", [(4_096, 1_000), (7, 300), (1, 64)])
+def test_resamples_in_blocks(spark, block, chunk):
+    """However values are dealt out, every resample has n rows (values of one are all one), the right mean and spread, and comes again on other partitions."""
+    values = [float(k * k % 97) for k in range(60)]
+    counts = spark.createDataFrame([("v", v, n + 1) for n, v in enumerate(sorted(set(values)))] + [("same", 1.0, 10**12)], "group string, value double, n long")
+    runs = [{(r.group, r.draw): r["mean"] for r in resampled_means(counts.repartition(n), 900, 5, block, chunk).collect()} for n in (1, 5)]
+    assert runs[0] == pytest.approx(runs[1]) and len(runs[0]) == 1_800
+    assert all(m == pytest.approx(1) for (g, _), m in runs[0].items() if g == "same")
+    rows = np.repeat([r.value for r in counts.collect() if r.group == "v"], [r.n for r in counts.collect() if r.group == "v"])
+    means = np.array([m for (g, _), m in runs[0].items() if g == "v"])
+    error = rows.std() / math.sqrt(len(rows))
+    assert abs(means.mean() - rows.mean()) < 5 * error / 30 and 0.85 < means.std() / error < 1.15
+
+
+def test_interval_beside_other_aggregates(spark):
+    rows = spark.createDataFrame([("a", float(k % 4), k) for k in range(200)] + [("b", None, 1), ("c", 2.0, 5)], "g string, x double, y int")
+    counts = rows.groupBy("g", "x").agg(F.count("x").alias("n"), F.sum("y").alias("y"))
+    got = {r.g: r for r in counts.groupBy("g").agg(F.sum("y").alias("y"), interval(F.collect_list(F.struct(F.col("x").alias("value"), "n"))).alias("i")).collect()}
+    assert got["a"].y == 19_900 and got["b"].i is None and tuple(got["c"].i) == (2.0, 2.0, 2.0)
+    r = np.random.default_rng(0)
+    plain = np.array([r.choice(np.arange(200) % 4, 200).mean() for _ in range(4_000)])
+    assert got["a"].i["mean"] == 1.5 and abs(got["a"].i.low - np.percentile(plain, 2.5)) < 0.03 and abs(got["a"].i.high - np.percentile(plain, 97.5)) < 0.03
+
+
+# ---- masks
+
+
+def plain_mask(splits, hidden=(), queries=(), shown=()):
+    """The pairs of one sample token by token, as the matrix would have them."""
+    place = [(s, j) for s, (n, _) in enumerate(splits) for j in range(n)]
+    inside = lambda x, of: any(a <= x < b for a, b in of)
+    out = set()
+    for q, (s, _) in enumerate(place):
+        for k, (r, _) in enumerate(place):
+            seen = k <= q if s == r and splits[s][1] == "causal" else s == r or (r < s and splits[r][1] != "noise")
+            if seen and not (inside(q, queries) and inside(k, hidden) and not inside(k, shown)):
+                out.add((q, k))
+    return out
+
+
+def test_masks_against_plain_python(spark):
+    r = random.Random(4)
+    samples = {i: [(r.randint(0, 6), r.choice(["causal", "full", "noise"])) for _ in range(r.randint(0, 7))] for i in range(40)}
+    some = lambda: {i: [(a, a + r.randint(0, 5)) for a in (r.randint(0, 20) for _ in range(r.choice([0, 1, 3])))] for i in samples}
+    hidden, queries, shown = some(), some(), some()
+    table = lambda of: spark.createDataFrame([(i, a, b) for i, x in of.items() for a, b in x], "i int, start int, end int")
+    rows = [(i, s, n, f) for i, splits in samples.items() for s, (n, f) in enumerate(splits)]
+    splits = masks.placed(spark.createDataFrame(rows, "i int, s int, n int, f string"), "i", "s", "n")
+    whole = masks.visible(splits, "i", F.col("f") == "causal", F.col("f") == "noise")
+    for relation, more in ((whole, ({}, {}, {})), (masks.without(whole, "i", table(queries), table(hidden), table(shown)), (hidden, queries, shown)), (masks.without(whole, "i", table(queries), table(hidden)), (hidden, queries, {}))):
+        got = {i: [] for i in samples}
+        for x in relation.withColumn("n", masks.pair_count(*map(F.col, (*masks.EDGES, "causal")))).collect():
+            pairs = [(q, k) for q in range(x.q_from, x.q_to) for k in range(x.k_from, x.k_to) if not x.causal or k <= q]
+            assert len(pairs) == x.n > 0
+            got[x.i] += pairs
+        for i in samples:
+            assert len(got[i]) == len(set(got[i])) and set(got[i]) == plain_mask(samples[i], *(m.get(i, ()) for m in more))
+        seen = {(x.i, x.q): (x.n_keys, x.key_sum) for x in masks.by_query(relation, "i").where("n_keys > 0").collect()}
+        assert seen == {(i, q): (len(ks), sum(ks)) for i in samples for q in {q for q, _ in got[i]} for ks in [[k for p, k in got[i] if p == q]]}
+
+
+# ---- streams that resume
+
+
+@pytest.mark.parametrize("lost", [False, True])
+def test_cursor_stream_goes_on_inside_of_files(spark, tmp_path, lost):
+    """Three workers over five files of several row groups, two rounds, in batches that end anywhere; also when the note beside the checkpoint is lost, or a batch runs again."""
+    files = {f"{k}.parquet": list(range(100 * k, 100 * k + 11 + 7 * k)) for k in range(5)}
+    (tmp_path / "in").mkdir()
+    for name, ids in files.items():
+        pq.write_table(pa.table({"id": ids, "text": [f"t{i}" for i in ids]}), tmp_path / "in" / name, row_group_size=4)
+    stream = cursor_stream(spark, str(tmp_path / "in"), str(tmp_path / "progress"), workers=3, rows=17, epochs=2)
+    runs, batches = 0, []
+    while batches[-2:] != [0, 0]:  # the replayed batch counts none, as the sink has it
+        batches.append(drain(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint")))
+        runs += 1
+        if lost and runs == 2:
+            (tmp_path / "progress" / "cursors.json").unlink()
+        if lost and runs == 3:  # as if the driver had died before the batch was logged as done: it runs again, and the sink keeps one
+            newest = max((tmp_path / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+            newest.unlink()
+            for extra in (tmp_path / "checkpoint" / "commits").glob(".*.crc"):
+                extra.unlink()
+        assert runs < 30
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.epoch, r.id) for r in got) == sorted((e, i) for ids in files.values() for e in range(2) for i in ids) and len(batches) > 3
+    for r in got:
+        k = int(r.file.split(".")[0])
+        assert r.worker == k % 3 and r.text == f"t{r.id}" and files[r.file][4 * r.row_group + r.row] == r.id
+
+
+def test_lanes():
+    lane = Lane([("a", 0, 3), ("a", 1, 0), ("b", 0, 2)])
+    assert [lane.place(lane.cursor(p)) for p in range(23)] == list(range(23))
+    assert lane.pieces(2, 9) == [(0, "a", 0, 2, 3), (0, "b", 0, 0, 2), (1, "a", 0, 0, 3), (1, "b", 0, 0, 1)]
+    assert Lane([]).pieces(0, 0) == [] and Lane([]).place(Lane([]).cursor(0)) == 0
+    with pytest.raises(ValueError, match="isn't there"):
+        lane.place({"epoch": 0, "file": "gone", "group": 0, "row": 0})
+
+
+def test_steps_survive_a_restart(spark, tmp_path):
+    """Steps of a stream that is stopped and started again are those of one batch over all rows; so are the last cursors."""
+    parts = [[(w, e) for e in range(30 * k, 30 * k + 30) for w in (e % 3, None)] for k in range(3)]
+    with settings(spark, STORE):
+        for rows in parts:
+            spark.createDataFrame(rows, "worker long, event long").write.mode("append").parquet(str(tmp_path / "in"))
+            stream = file_stream(spark, str(tmp_path / "in"), "worker long, event long", 100)
+            drain(numbered(stream, "worker", ["event"]), str(tmp_path / "steps"), str(tmp_path / "c1"))
+            drain(last_cursors(stream, ["worker"], "event"), str(tmp_path / "cursors"), str(tmp_path / "c2"))
+    want = Counter()
+    for w, e in sorted((r for p in parts for r in p), key=lambda r: r[1]):
+        want[w] += 1
+        want[w, e] = want[w]
+    got = spark.read.parquet(str(tmp_path / "steps")).collect()
+    assert len(got) == 180 and all(want[r.worker, r.event] == r.step for r in got)
+    moved = spark.read.parquet(str(tmp_path / "cursors")).collect()
+    assert sorted((str(r.worker), r.event) for r in moved) == sorted((str(w), max(e for v, e in p if v == w)) for p in parts for w in (0, 1, 2, None))
+
+
+def test_upserts_are_idempotent(spark, tmp_path):
+    """A batch that is replayed changes nothing, a later result replaces an earlier one, and blank answers stay pending."""
+    schema = "id long, seq long, result string"
+    batches = [[(1, 1, "a"), (2, 2, " "), (3, 3, "c"), (1, 4, "b")], [(2, 5, ""), (3, 6, None), (4, 7, "d")], [(3, 8, "e"), (5, 9, None)]]
+    table, checkpoint = str(tmp_path / "table"), tmp_path / "checkpoint"
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for again in (False, True):
+            if again:
+                for name in (f"{k}", f".{k}.crc"):
+                    (checkpoint / "commits" / name).unlink(missing_ok=True)
+            upsert(file_stream(spark, str(tmp_path / "in"), schema, 100), table, str(checkpoint), "id", ["seq"], "result")
+            got = {r.id: r.result for r in upserted(spark, table, schema, "id", ["seq"], "result").collect()}
+            seen = [r for rows in batches[: k + 1] for r in rows if (r[2] or "").strip()]
+            assert got == {i: max((s, t) for j, s, t in seen if j == i)[1] for i in {r[0] for r in seen}}
+    ids = spark.range(1, 7)
+    assert {r.id for r in pending(ids, upserted(spark, table, schema, "id", ["seq"], "result"), "id").collect()} == {2, 5, 6}
+
+
+@pytest.mark.parametrize("n, per_group, per_file", [(0, 3, 2), (1, 3, 2), (25, 3, 2), (24, 4, 3), (100, 7, 1)])
+def test_manifest_says_what_footers_say(spark, tmp_path, n, per_group, per_file):
+    path = str(tmp_path / "t")
+    manifest = {r.file: r for r in S_.write_chunks(spark.range(n).coalesce(1), path, per_group, per_file).collect()}
+    files = {p.name: pq.ParquetFile(p).metadata for p in (tmp_path / "t").glob("*.parquet")}
+    plain = {name: [m.row_group(g).num_rows for g in range(m.num_row_groups)] for name, m in files.items()}
+    assert {f: (r.num_row_groups, r.num_rows, r.largest_group) for f, r in manifest.items()} == {f: (len(g), sum(g), max(g)) for f, g in plain.items() if g}
+    assert all(len(g) <= per_file and all(x == per_group for x in g[:-1]) for g in plain.values()) and sum(map(sum, plain.values())) == n
+    stated = json.loads((tmp_path / "t-info" / "parquet_info.json").read_text())
+    assert {x["file"]: x["num_row_groups"] for x in stated} == {f: r.num_row_groups for f, r in manifest.items()}
