@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources import files as S
+from ..sources.json_documents import json_rows
 from .registry import Tables, query
 
 NATION = StructType().add("n_nationkey", "integer").add("n_name", "string").add("n_regionkey", "integer")
@@ -21,14 +22,15 @@ def _orders(t: Tables) -> DataFrame:
 def scan_json_list(t: Tables) -> DataFrame:
     path, rows = S.work_folder(t.spark), _orders(t)
     S.write_json_document(rows, path + "/list.json", "o_orderkey")
-    return S.json_list(t.spark, path + "/list.json", rows.schema).unionByName(S.json_list(t.spark, path + "/missing", rows.schema))
+    found = json_rows(t.spark, path + "/list.json", rows.schema).unionByName(json_rows(t.spark, path + "/missing", rows.schema))
+    return found.select(*rows.columns)
 
 
 @query("scan_json_results", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS pos FROM orders")
 def scan_json_results(t: Tables) -> DataFrame:
     path, rows = S.work_folder(t.spark) + "/results.json", _orders(t)
     S.write_json_document(rows, path, "o_orderkey", '{"results": [', "]}")
-    return S.json_results(t.spark, path, rows.schema).select("o_orderkey", "pos")
+    return json_rows(t.spark, path, rows.schema, "results").select("o_orderkey", F.col("pos").cast("int").alias("pos"))
 
 
 @query("scan_jsonl", ALL)

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparkloom.functions import geometry as G
 from sparkloom.functions import metrics as M
@@ -30,6 +31,7 @@ from sparkloom.plans import QUERIES
 from sparkloom.plans.sequences import beside, missing_cells, patchify
 from sparkloom.sources import files as S_
 from sparkloom.sources.files import written
+from sparkloom.sources.json_documents import json_rows
 from sparkloom.streaming.cursors import Lane
 from sparkloom.streaming.resume import cursor_stream, drain, file_stream, pending, upsert, upserted
 from sparkloom.streaming.steps import STORE, last_cursors, numbered, settings
@@ -576,3 +578,48 @@ def test_manifest_says_what_footers_say(spark, tmp_path, n, per_group, per_file)
     assert all(len(g) <= per_file and all(x == per_group for x in g[:-1]) for g in plain.values()) and sum(map(sum, plain.values())) == n
     stated = json.loads((tmp_path / "t-info" / "parquet_info.json").read_text())
     assert {x["file"]: x["num_row_groups"] for x in stated} == {f: r.num_row_groups for f, r in manifest.items()}
+
+
+# ---- JSON documents in parallel
+
+
+TRICKY = ["plain", 'a "quoted" one', "back\\slash", "\\\\", 'ends in \\"', "}{][,", '"}, {"id": 9}', "\n\t", "é漢🙂 }", "", 'x\\\\"]}']
+
+
+@pytest.mark.parametrize("split", [211, 1 << 20])
+def test_json_documents_in_many_splits(spark, tmp_path, monkeypatch, split):
+    """Arrays and objects with the array under a key, with strings of brackets and escapes, nested arrays, other arrays before and behind, cut anywhere."""
+    r = random.Random(split)
+    rows = lambda n: [{"id": i, "s": r.choice(TRICKY) * r.randint(0, 3), "list": [{"k": j, "t": r.choice(TRICKY)} for j in range(r.randint(0, 3))]} for i in range(n)]
+    documents = {
+        "list.json": rows(50), "short.json": rows(1), "none.json": [], "nulls.json": [None, *rows(3), None],
+        "object.json": {"about": {"results": [1, 2], "x": "results"}, "other": [{"id": -1}, [["}"]]], "results": rows(40), "behind": [{"id": -2, "results": [3]}], "n": 5},
+        "empty.json": {"results": [], "more": [[1]]}, "lacks.json": {"rows": rows(4)}, "scalar.json": {"results": 3},
+    }
+    for k, (name, d) in enumerate(documents.items()):
+        text = json.dumps(d, ensure_ascii=k % 2 == 0, indent=[None, 1, None][k % 3], separators=[None, (",", ":")][k % 2])
+        (tmp_path / name).write_text(["", " \n"][k % 2] + text + ["", "\n"][k // 2 % 2], encoding="utf-8")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for c in before:
+        spark.conf.set(c, str(split))
+    try:
+        schema = StructType.fromDDL("id long, s string, list array<struct<k: long, t: string>>")
+        got = {name: [] for name in documents}
+        for x in json_rows(spark, str(tmp_path), schema).collect():
+            got[x.file].append((x.pos, x.id, x.s, x.list and [tuple(y) for y in x.list]))
+        if split < 1_000:
+            assert spark.read.text(str(tmp_path / "list.json"), lineSep="}").rdd.getNumPartitions() > 15
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    for name, d in documents.items():
+        wanted = d if isinstance(d, list) else d.get("results", [])
+        wanted = wanted if isinstance(wanted, list) else []
+        assert sorted(got[name]) == [(i, x["id"], x["s"], [tuple(y.values()) for y in x["list"]]) if x else (i, None, None, None) for i, x in enumerate(wanted)], name
+    assert json_rows(spark, str(tmp_path / "missing.json"), schema).collect() == []
+
+
+def test_json_document_that_breaks_off(spark, tmp_path):
+    (tmp_path / "cut.json").write_text(json.dumps([{"id": i} for i in range(50)])[:-30])
+    got = sorted(r.id for r in json_rows(spark, str(tmp_path / "cut.json"), StructType.fromDDL("id long")).collect())
+    assert got == list(range(len(got))) and len(got) >= 46
