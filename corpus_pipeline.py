@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import exact_dedup, mixing, near_dedup, pieces, toxicity
-from sparkloom.llm.storage import cut
+from sparkloom.llm.storage import cut, discard
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = cut(docs, f"stage{k + 1}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        kept = cut(stage(spark, docs, sf_dir), f"stage{k + 1}")
+        if k:
+            discard(docs)  # the stage before, which nothing reads any more
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import written
+
 
 def _words(text: str | None) -> list[str]:
     return re.findall(r"\w+", (text or "").lower())
@@ -41,6 +43,7 @@ def text_metrics(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     and underscores; they aren't stemmed. All but ROUGE-L comes from one table of grams: counts meet in a join, document frequencies are counted over all references by
     a grouped aggregation, so the corpus' vocabulary never gathers in one place. Keys are taken to be unique.
     """
+    pairs = written(pairs, "pairs")  # read for the scores, the grams and their number
     schema = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
 
     def longest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

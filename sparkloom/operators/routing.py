@@ -1,8 +1,8 @@
 """Routing by logistic heads, cross-validated, fitted on all rows by passes that only sum.
 
-A head says for one expert how likely it is right for an item's features. Features are standardised by the training folds. Heads of all folds, experts and
-weight decays are fitted side by side: a pass sums every head's gradient in Arrow batches, and each step goes along the gradient through the inverse of a fixed
-bound of the Hessian, so it never overshoots. Only sums of fixed size reach the driver.
+A head says for one expert how likely it is right for an item's features. Features are standardised by the rows that a head learns from. Heads of all benchmarks, folds, decays and experts are
+fitted side by side by Newton steps on a table of features that is written once: the first step needs the Gram matrices of the features, which also give mean and scale; each later step is
+a pass that sums gradients and Hessians in Arrow batches. Tasks' sums are of fixed size and meet in a few tasks before they reach the driver.
 """
 
 from __future__ import annotations
@@ -14,22 +14,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import written
 
-def _sums(rows: DataFrame, of: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
-    """The sum over all batches of an array that of() makes of features, truth, fold and inner fold."""
+MERGERS = 8  #: tasks that add up the others' sums
+STEPS = 6  #: Newton steps, the first of which comes with the Gram matrices
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+Mask = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+"""Which rows, by benchmark, fold and inner fold, a set of heads learns from."""
+
+
+def _sums(rows: DataFrame, of: Callable[..., np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """The sum over all batches of an array of the given shape that of() makes of features, truth, benchmark, fold and inner fold."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
         for batch in batches:
             if batch.num_rows:
                 wide = [np.array(batch.column(c).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1) for c in ("x", "y")]
-                total += of(*wide, *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "inner"))).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], ["at", "v"])
+                part = of(*wide, *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("bench", "fold", "inner")))
+                total = part if total is None else np.add(total, part, out=total)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()] if total is not None else [], pa.binary())], ["v"])
 
-    got = rows.select("x", "y", "fold", "inner").mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
-    out = np.zeros(size)
-    out[got["at"].to_numpy()] = got["v"].to_numpy()
-    return out
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for v in batch.column("v"):
+                total = np.frombuffer(v.as_buffer()).copy() if total is None else np.add(total, np.frombuffer(v.as_buffer()), out=total)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()] if total is not None else [], pa.binary())], ["v"])
+
+    parts = rows.select("x", "y", "bench", "fold", "inner").mapInArrow(partial, "v binary").repartition(MERGERS).mapInArrow(added, "v binary")
+    found = parts.coalesce(1).mapInArrow(added, "v binary").first()
+    return np.frombuffer(bytes(found.v)).reshape(shape) if found else np.zeros(shape)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -40,76 +55,96 @@ def _bordered(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.hstack(((x - mean) / scale, np.ones((len(x), 1))))
 
 
-def fit_heads(rows: DataFrame, d: int, experts: int, masks: Sequence[Callable[[np.ndarray, np.ndarray], np.ndarray]], decays: Sequence[float], steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights (mask, feature and 1, expert) of logistic heads, and each mask's mean and scale. masks: which rows (by fold and inner fold) each set learns from; decays: its L2 penalty."""
-    m = len(masks)
-    moments = _sums(rows, lambda x, y, fold, inner: np.stack([np.vstack((np.hstack((x[u].sum(0), u.sum())), np.pad((x[u] ** 2).sum(0), (0, 1)))) for u in (f(fold, inner) for f in masks)]), m * 2 * (d + 1)).reshape(m, 2, d + 1)
-    n = np.maximum(moments[:, 0, d], 1)
-    mean = moments[:, 0, :d] / n[:, None]
-    scale = np.sqrt(np.maximum(moments[:, 1, :d] / n[:, None] - mean**2, 0)) + 1e-6
+def fit_heads(rows: DataFrame, d: int, experts: int, masks: Sequence[Mask], decays: Sequence[float], steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights (mask, feature and 1, expert) of logistic heads, and each mask's mean and scale. decays: the L2 penalty of each mask."""
+    m, size = len(masks), d + 1
 
-    def gram(x, y, fold, inner):
-        return np.stack([(b := _bordered(x[u], mean[k], scale[k])).T @ b for k, u in enumerate(f(fold, inner) for f in masks)])
+    def gram(x, y, bench, fold, inner):
+        out = np.zeros((m, size, size + experts))
+        for k, f in enumerate(masks):
+            u = f(bench, fold, inner)
+            b = np.hstack((x[u], np.ones((int(u.sum()), 1))))
+            out[k] = b.T @ np.hstack((b, y[u] - 0.5))
+        return out
 
-    bound = _sums(rows, gram, m * (d + 1) ** 2).reshape(m, d + 1, d + 1) / (4 * n[:, None, None])
-    penalty = np.eye(d + 1) * np.array(decays)[:, None, None]
+    first = _sums(rows, gram, (m, size, size + experts))
+    n = np.maximum(first[:, d, d], 1)
+    mean = first[:, d, :d] / n[:, None]
+    scale = np.sqrt(np.maximum(np.diagonal(first[:, :d, :d], axis1=1, axis2=2) / n[:, None] - mean**2, 0)) + 1e-6
+    turn = np.zeros((m, size, size))  # (x, 1) @ turn is standardised
+    turn[:, range(d), range(d)] = 1 / scale
+    turn[:, d, :d], turn[:, d, d] = -mean / scale, 1
+    penalty = np.eye(size) * np.array(decays)[:, None, None]
     penalty[:, d, d] = 1e-9  # the intercept is free
-    inverse = np.linalg.inv(bound + penalty)
-    w = ahead = np.zeros((m, d + 1, experts))
+    straight = turn.transpose(0, 2, 1) @ first[:, :, :size] @ turn / (4 * n[:, None, None])
+    w = np.linalg.solve(straight + penalty, turn.transpose(0, 2, 1) @ first[:, :, size:] / n[:, None, None])
 
-    for step in range(steps):
+    for _ in range(steps - 1):
 
-        def gradient(x, y, fold, inner):
-            out = np.zeros((m, d + 1, experts))
+        def slopes(x, y, bench, fold, inner, w=w):
+            out = np.zeros((m, experts, size, size + 1))
             for k, f in enumerate(masks):
-                u = f(fold, inner)
+                u = f(bench, fold, inner)
                 b = _bordered(x[u], mean[k], scale[k])
-                out[k] = b.T @ (_sigmoid(b @ ahead[k]) - y[u])
+                p = _sigmoid(b @ w[k])
+                for e in range(experts):
+                    out[k, e, :, :size] = b.T @ (b * (p[:, e] * (1 - p[:, e]))[:, None])
+                    out[k, e, :, size] = b.T @ (p[:, e] - y[u, e])
             return out
 
-        g = _sums(rows, gradient, m * (d + 1) * experts).reshape(m, d + 1, experts) / n[:, None, None] + penalty @ ahead
-        new = ahead - inverse @ g
-        ahead = new + step / (step + 3) * (new - w)
-        w = new
+        found = _sums(rows, slopes, (m, experts, size, size + 1)) / n[:, None, None, None]
+        down = found[..., size] + np.einsum("kij,kje->kei", penalty, w)
+        w = w - np.linalg.solve(found[..., :size] + penalty[:, None], down[..., None])[..., 0].transpose(0, 2, 1)
     return w, mean, scale
 
 
-def route_cv(rows: DataFrame, folds: int = 5, inner: int = 5, decays: Sequence[float] = (1e-4, 1e-3, 1e-2), steps: int = 12) -> DataFrame:
-    """id, fold and route of every row: the expert whose head, fitted without the row's fold, is the most sure; the first of equals.
+def route_cv(rows: DataFrame, folds: int = 5, inner: int = 5, decays: Sequence[float] = (1e-4, 1e-3, 1e-2), pooled_decay: float = 1e-3, steps: int = STEPS, most: int = 64) -> DataFrame:
+    """id, bench, fold, route and pooled of every row: the expert whose head, fitted without the row's fold, is the most sure, the first of equals; by heads of the row's benchmark, and of all.
 
-    rows: id, x (features) and y (1 or 0 for each expert), arrays of one length each. The decay of each fold is the one whose heads, fitted on all but one inner
-    fold of the others, route that inner fold best. Folds are dealt by a hash of the id.
+    rows: id, bench (optional: what benchmark an item is of), x (features) and y (1 or 0 for each expert), arrays of one length each. The decay of a benchmark and fold is the one whose heads,
+    fitted on all but one inner fold of the others, route that inner fold best; pooled heads have one decay. Folds are dealt by a hash of the id. More than `most` benchmarks are an error.
     """
     deal = lambda salt, n: F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(salt)), F.lit(n)).cast("int")
-    rows = rows.select("id", F.col("x").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"), deal("fold", folds).alias("fold"), deal("inner", inner).alias("inner"))
-    first = rows.agg(F.max(F.size("x")), F.max(F.size("y"))).first()
-    if not first[0]:
-        return rows.select("id", "fold", F.lit(0).alias("route"))
-    d, experts = int(first[0]), int(first[1])
-    tried = [(f, c) for f in range(folds) for c in decays]
-    masks = [lambda fold, own, f=f: (fold != f) & (own != 0) for f, _ in tried]
-    w, mean, scale = fit_heads(rows, d, experts, masks, [c for _, c in tried], steps)
-
-    def right(x, y, fold, own):
-        out = np.zeros(len(tried))
-        for k, (f, _) in enumerate(tried):
-            u = np.flatnonzero((fold != f) & (own == 0))
-            route = (_bordered(x[u], mean[k], scale[k]) @ w[k]).argmax(axis=1) if len(u) else u
-            out[k] = y[u, route].sum()
+    name = F.col("bench").cast("string") if "bench" in rows.columns else F.lit("")
+    rows = written(rows.select("id", name.alias("name"), F.col("x").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"), deal("fold", folds).alias("fold"), deal("inner", inner).alias("inner")), "features")
+    sizes = rows.groupBy("name").agg(F.max(F.size("x")).alias("d"), F.max(F.size("y")).alias("experts")).limit(most + 1).collect()
+    if not sizes:
+        return rows.select("id", F.col("name").alias("bench"), "fold", F.lit(0).alias("route"), F.lit(0).alias("pooled"))
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} benchmarks")
+    names, d, experts = sorted((r.name for r in sizes), key=lambda x: (x is None, x)), max(r.d for r in sizes), max(r.experts for r in sizes)
+    number = F.coalesce(*(F.when(F.col("name").eqNullSafe(F.lit(x)), F.lit(b)) for b, x in enumerate(names)))
+    rows = rows.withColumn("bench", number)
+
+    sets = [(b, f, c) for b in range(len(names)) for f in range(folds) for c in decays]
+    tried: list[Mask] = [lambda bench, fold, own, b=b, f=f: (bench == b) & (fold != f) & (own != 0) for b, f, _ in sets]
+    whole: list[Mask] = [lambda bench, fold, own, b=b, f=f: (bench == b) & (fold != f) for b, f, _ in sets]
+    every: list[Mask] = [lambda bench, fold, own, f=f: fold != f for f in range(folds)]
+    w, mean, scale = fit_heads(rows, d, experts, [*tried, *whole, *every], [c for _, _, c in sets] * 2 + [pooled_decay] * folds, steps)
+
+    def right(x, y, bench, fold, own):
+        out = np.zeros(len(sets))
+        for k, (b, f, _) in enumerate(sets):
+            u = np.flatnonzero((bench == b) & (fold != f) & (own == 0))
+            out[k] = y[u, (_bordered(x[u], mean[k], scale[k]) @ w[k]).argmax(axis=1)].sum() if len(u) else 0
         return out
 
-    score = _sums(rows, right, len(tried)).reshape(folds, len(decays))
-    best = [decays[k] for k in score.argmax(axis=1)]
-    w, mean, scale = fit_heads(rows, d, experts, [lambda fold, own, f=f: fold != f for f in range(folds)], best, steps)
+    best = _sums(rows, right, (len(sets),)).reshape(len(names), folds, len(decays)).argmax(axis=2)
+    chosen = {(b, f): len(sets) + (b * folds + f) * len(decays) + int(best[b, f]) for b in range(len(names)) for f in range(folds)}
+    used = {k: (w[k], mean[k], scale[k]) for k in [*chosen.values(), *range(2 * len(sets), len(w))]}
     kind = rows.schema["id"].dataType.simpleString()
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array(batch.column("x").flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, d)
-            fold, out = batch.column("fold").to_numpy(), np.zeros(batch.num_rows, np.int32)
+            fold, bench = batch.column("fold").to_numpy(), batch.column("bench").to_numpy()
+            own, pooled = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int32)
+            best = lambda u, k: (_bordered(x[u], *used[k][1:]) @ used[k][0]).argmax(axis=1)
             for f in range(folds):
-                u = fold == f
-                out[u] = (_bordered(x[u], mean[f], scale[f]) @ w[f]).argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fold"), pa.array(out)], ["id", "fold", "route"])
+                pooled[fold == f] = best(fold == f, 2 * len(sets) + f)
+                for b in range(len(names)):
+                    u = (fold == f) & (bench == b)
+                    own[u] = best(u, chosen[b, f])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("name"), batch.column("fold"), pa.array(own), pa.array(pooled)], ["id", "bench", "fold", "route", "pooled"])
 
-    return rows.select("id", "fold", "x").mapInArrow(route, f"id {kind}, fold int, route int")
+    return rows.select("id", "name", "fold", "bench", "x").mapInArrow(route, f"id {kind}, bench string, fold int, route int, pooled int")

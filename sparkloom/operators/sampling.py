@@ -30,8 +30,12 @@ def sha256_mod(text: Column, n: int) -> Column:
 
 
 def stratified_fill(rows: DataFrame, group: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n div k rows of each of k groups, then the rest of n from what is left, in hash order."""
-    k = F.broadcast(rows.agg(F.countDistinct(group).alias("__k")))
-    w = Window.partitionBy(group).orderBy(hash_order(key, seed), key)
-    ranked = rows.join(k).withColumn("__late", (F.row_number().over(w) > F.floor(F.lit(n) / F.col("__k"))).cast("int"))
-    return ranked.orderBy("__late", hash_order(key, seed), key).limit(n).drop("__k", "__late")
+    """n div k rows of each of k groups, then the rest of n from what is left, in hash order; the key is unique.
+
+    Both parts are limits known beforehand, so tasks drop what can't be among the first before anything moves: the fill is among the first n of all, as at most as many of these are taken already
+    as rows are.
+    """
+    k = max(1, rows.agg(F.countDistinct(group)).first()[0])
+    early = sample_per_group(rows, [group], key, n // k, seed).withColumn("__late", F.lit(0))
+    rest = sample_n(rows, key, n, seed).join(early.select(key), key, "left_anti").withColumn("__late", F.lit(1))
+    return early.unionByName(rest).orderBy("__late", hash_order(key, seed), key).limit(n).drop("__late")

@@ -66,11 +66,11 @@ def base26(n: Column) -> Column:
 
 
 def suffix_duplicates(rows: DataFrame, key: str, order: Order, out: str = "new_id") -> DataFrame:
-    """Ids made unique: the duplicates of a key get _a, _b, ... in order; keys that occur once stay."""
-    w = Window.partitionBy(key)
-    numbered = rows.withColumn("__n", F.count("*").over(w)).withColumn("__k", F.row_number().over(w.orderBy(*order)) - 1)
+    """Ids made unique: the duplicates of a key get _a, _b, ... in order; keys that occur once stay. A key that very many rows have is numbered in several ranges."""
+    sizes = rows.groupBy(F.col(key).alias("__of")).agg(F.count("*").alias("__n"))
+    numbered = running_total(rows, order, F.lit(1), "__k", [key]).join(sizes, F.col(key).eqNullSafe(F.col("__of")))
     name = F.col(key).cast("string")
-    return numbered.withColumn(out, F.when(F.col("__n") == 1, name).otherwise(F.concat(name, F.lit("_"), base26(F.col("__k"))))).drop("__n", "__k")
+    return numbered.withColumn(out, F.when(F.col("__n") == 1, name).otherwise(F.concat(name, F.lit("_"), base26(F.col("__k"))))).drop("__n", "__k", "__of")
 
 
 def gaps(intervals: DataFrame, keys: Sequence[str], start: str, end: str, total: str) -> DataFrame:

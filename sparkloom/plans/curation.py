@@ -356,7 +356,7 @@ BASE26 = "CASE " + " ".join(f"WHEN {{0}} < {_NTH[n]} THEN {_LETTERS(n)}" for n i
 
 @query("win_dup_suffix", f"WITH n AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events) SELECT event_id, CASE WHEN n = 1 THEN CAST(user_id AS VARCHAR) ELSE user_id || '_' || {BASE26.format('k')} END AS new_id FROM n")
 def win_dup_suffix(t: Tables) -> DataFrame:
-    return W.suffix_duplicates(t.events, "user_id", ["event_id"]).select("event_id", "new_id")
+    return W.suffix_duplicates(t.events.select("event_id", "user_id"), "user_id", ["event_id"]).select("event_id", "new_id")
 
 
 @query("fn_base26", f"SELECT p_partkey, {BASE26.format('p_partkey')} AS name FROM part")

@@ -473,12 +473,14 @@ def set_union_all(t: Tables) -> DataFrame:
 
 @query("dec_router_cv", None)
 def dec_router_cv(t: Tables) -> DataFrame:
-    """Routing by feature vectors, cross-validated with logistic heads: of each fold how many rows there are, how many the route, the best single expert and any expert get right. An
-    expert (here: each label) is right for its own label."""
-    labels = [r[0] for r in t.embeddings.select("label").distinct().orderBy("label").limit(1_000).collect()]
-    y = F.transform(F.array(*map(F.lit, labels)), lambda x: (x == F.col("label")).cast("double"))
-    rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), y.alias("y"))
+    """Routing by feature vectors, cross-validated with logistic heads: of each benchmark and fold how many rows there are, how many the route, the pooled route, the best single expert and any
+    expert get right. An expert (here: each label) is right for its own label; vectors of even and odd ids are two benchmarks. More than a thousand experts are an error."""
+    labels = [r[0] for r in t.embeddings.select("label").distinct().orderBy("label").limit(1_001).collect()]
+    if len(labels) > 1_000:
+        raise ValueError("more than 1000 experts")
+    y = F.transform(F.array(*map(F.lit, labels)), lambda x: x.eqNullSafe(F.col("label")).cast("double"))
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 2).alias("bench"), F.col("embedding").alias("x"), y.alias("y"))
     found = route_cv(rows).join(rows.select("id", "y"), "id")
-    right = F.get("y", F.col("route")).cast("long")
+    right = lambda c: F.sum(F.get("y", F.col(c)).cast("long"))
     singles = F.greatest(*(F.sum(F.get("y", F.lit(k))) for k in range(len(labels))), F.lit(0.0)).cast("long")
-    return found.groupBy("fold").agg(F.count("*").alias("n"), F.sum(right).alias("correct"), singles.alias("best_single"), F.sum(F.array_max("y")).cast("long").alias("oracle"))
+    return found.groupBy("bench", "fold").agg(F.count("*").alias("n"), right("route").alias("correct"), right("pooled").alias("pooled"), singles.alias("best_single"), F.sum(F.array_max("y")).cast("long").alias("oracle"))

@@ -296,13 +296,13 @@ def test_prefix_match_against_brute_force(spark):
 
 
 def test_heads_and_routes(spark):
-    """Heads against plain gradient descent, and routes that beat any single expert."""
+    """Heads against plain gradient descent, routes that beat any single expert, and pooled heads that know of other benchmarks."""
     r = np.random.default_rng(1)
     x = r.normal(size=(400, 4)) * [1, 5, 0.2, 1] + 3
     y = np.stack((x[:, 0] > 3, x[:, 0] < 3.2, r.random(400) < 0.3), axis=1).astype(float)
     frame = spark.createDataFrame([(k, a.tolist(), b.tolist()) for k, (a, b) in enumerate(zip(x, y))], "id long, x array<double>, y array<double>").repartition(3)
-    rows = frame.withColumns({"fold": (F.col("id") % 2).cast("int"), "inner": F.lit(0)})
-    w, mean, scale = fit_heads(rows, 4, 3, [lambda fold, inner: fold == 0], [0.01], 60)
+    rows = frame.withColumns({"fold": (F.col("id") % 2).cast("int"), "inner": F.lit(0), "bench": F.lit(0)})
+    w, mean, scale = fit_heads(rows, 4, 3, [lambda bench, fold, inner: fold == 0], [0.01])
     even = x[::2]
     assert np.allclose(mean[0], even.mean(0)) and np.allclose(scale[0], even.std(0), atol=1e-5)
     b = np.hstack(((even - even.mean(0)) / even.std(0), np.ones((200, 1))))
@@ -312,10 +312,17 @@ def test_heads_and_routes(spark):
         plain -= 0.3 * (b.T @ (p - y[::2]) / 200 + np.diag([0.01] * 4 + [0]) @ plain)
     assert np.allclose(w[0], plain, atol=0.02)
     got = route_cv(frame).collect()
-    assert len(got) == 400 and len({g.fold for g in got}) == 5
+    assert len(got) == 400 and len({g.fold for g in got}) == 5 and {g.bench for g in got} == {""}
     right = sum(y[g.id, g.route] for g in got)
     assert right > 1.2 * y.sum(0).max() and right >= 0.95 * y.max(1).sum()
+    small = frame.withColumn("bench", F.when(F.col("id") < 370, "large").when(F.col("id") < 395, "small"))
+    got = route_cv(small).collect()
+    assert {g.bench for g in got} == {"large", "small", None} and len(got) == 400
+    few = [g for g in got if g.bench != "large"]
+    assert sum(y[g.id, g.pooled] for g in few) >= sum(y[g.id, g.route] for g in few) and sum(y[g.id, g.pooled] for g in got) >= 0.95 * y.max(1).sum()
     assert route_cv(frame.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="more than 2"):
+        route_cv(frame.withColumn("bench", F.col("id") % 5), most=2)
 
 
 def test_patchify_and_beside(spark):
