@@ -56,9 +56,30 @@ def _hashes(data: np.ndarray, lengths: tuple[int, ...]) -> np.ndarray:
     return mix(out) if n else np.zeros(0, np.uint64)
 
 
-def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Place and hash of the anchors of texts that stand one behind the other and end at ends, and the first and last window of each."""
+def _periodic(data: np.ndarray, place: np.ndarray, h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Which anchors are needed, and the stretches in which a text only repeats itself, from where to where.
+
+    In a stretch of period p each window is also the one p bytes before or behind, so all of it is covered. The windows of its first two periods stand for the others, which have
+    the same bytes. Such a stretch shows in anchors of one gram that follow each other at one distance; its bytes are compared before anything is left out.
+    """
+    need, found = np.ones(len(place), bool), []
+    step = np.diff(place)
+    step = np.where((h[1:] == h[:-1]) & (first[1:] == last[:-1] + 1), step, 0)
+    edge = np.flatnonzero(np.concatenate(([True], step[1:] != step[:-1], [True]))) if len(step) else np.zeros(0, np.int64)
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        p = int(step[a])
+        if p and b - a >= 8:
+            begin, end = int(first[a + 1]), int(last[b - 1]) + LENGTH  # without the anchors at both ends, whose windows may reach beyond
+            if np.array_equal(data[begin : end - p], data[begin + p : end]):
+                need[a + 1 : b] = first[a + 1 : b] < begin + 2 * p
+                found.append((begin, end))
+    return need, found
+
+
+def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place and hash of the anchors of texts that stand one behind the other and end at ends, the first and last window of each, and the stretches that repeat themselves (from and to)."""
     found: list[tuple[np.ndarray, ...]] = []
+    stretches: list[tuple[int, int]] = []
     span = LENGTH - GRAM + 1
     for first in range(0, max(0, len(data) - LENGTH + 1), _CHUNK):
         part = data[first : first + _CHUNK + LENGTH - 1]
@@ -77,12 +98,15 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             place = (low - (m & low)).astype(np.int64)
             edge = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True])))
             place = place[edge[:-1]]
-            found.append((place + first, h[place], starts[edge[:-1]], starts[edge[1:] - 1]))
+            some = place + first, h[place], starts[edge[:-1]], starts[edge[1:] - 1]
+            need, more = _periodic(data, *some)
+            found.append(tuple(x[need] for x in some))
+            stretches += more
     if not found:
-        return (np.zeros(0, np.int64),) * 4
+        return (*(np.zeros(0, np.int64),) * 4, np.zeros((0, 2), np.int64))
     place, h, starts, lasts = (np.concatenate(x) for x in zip(*found))  # an anchor's windows stand together, perhaps in two chunks
     edge = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True])))
-    return place[edge[:-1]], h[edge[:-1]].view(np.int64), starts[edge[:-1]], lasts[edge[1:] - 1]
+    return place[edge[:-1]], h[edge[:-1]].view(np.int64), starts[edge[:-1]], lasts[edge[1:] - 1], np.array(stretches, np.int64).reshape(-1, 2)
 
 
 def _raw(text: str | None) -> bytes:
@@ -101,21 +125,24 @@ def _scan(docs: DataFrame, key: str, text: str) -> DataFrame:
                 raw = [_raw(t) for t in part.column("text").to_pylist()]
                 sizes = np.fromiter(map(len, raw), np.int64, len(raw))
                 ends = np.cumsum(sizes)
-                place, h, *windows = anchors(np.frombuffer(b"".join(raw), np.uint8), ends)
+                place, h, *windows, stretches = anchors(np.frombuffer(b"".join(raw), np.uint8), ends)
                 offsets = np.searchsorted(place, np.concatenate(([0], ends)))
                 own = [x - np.repeat(ends - sizes, np.diff(offsets)) for x in (place, *windows)]
+                of = np.searchsorted(ends, stretches[:, 0], "right")
+                stretches -= (ends - sizes)[of][:, None]
+                runs = pa.ListArray.from_arrays(pa.array(2 * np.searchsorted(of, np.arange(len(raw) + 1)), pa.int32()), pa.array(stretches.ravel(), pa.int32()))
                 digests = [sha256(t).digest() for t in raw]
                 lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), x) for x in (*(pa.array(x, pa.int32()) for x in own), pa.array(h, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array([d[:16] for d in digests], pa.binary()), pa.array([d.hex() for d in digests], pa.string()), pa.array(sizes), *lists], ["doc_id", "row", "text_id", "text_sha256", "n_bytes", *_ANCHOR])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array([d[:16] for d in digests], pa.binary()), pa.array([d.hex() for d in digests], pa.string()), pa.array(sizes), *lists, runs], ["doc_id", "row", "text_id", "text_sha256", "n_bytes", *_ANCHOR, "runs"])
 
     rows = docs.select(F.col(key).alias("doc_id"), row_mark(key, text).alias("row"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, row binary, text_id binary, text_sha256 string, n_bytes long, place array<int>, first array<int>, last array<int>, gram array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, row binary, text_id binary, text_sha256 string, n_bytes long, place array<int>, first array<int>, last array<int>, gram array<long>, runs array<int>")
 
 
 def _held(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """The bytes of the texts in wanted (row, text_id, copies, hits)."""
+    """The bytes of the texts in wanted (row, text_id, copies, hits, runs)."""
     rows = docs.select(row_mark(key, text).alias("row"), F.col(text).cast("string").alias("text")).join(wanted.hint("shuffle_hash"), "row")
-    return rows.select("text_id", "copies", "hits", F.coalesce("text", F.lit("")).cast("binary").alias("raw")).dropDuplicates(["text_id"])
+    return rows.select("text_id", "copies", "hits", "runs", F.coalesce("text", F.lit("")).cast("binary").alias("raw")).dropDuplicates(["text_id"])
 
 
 def _contexts(held: DataFrame) -> DataFrame:
@@ -283,7 +310,7 @@ def _resolved_ranges(rows: DataFrame, width: int, made: list[DataFrame]) -> Data
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     scan = cut(_scan(docs, key, text), "scan")
-    texts = cut(scan.groupBy("text_id").agg(F.min("row").alias("row"), F.count("*").alias("copies")), "texts")
+    texts = cut(scan.groupBy("text_id").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.first("runs").alias("runs")), "texts")
     grams = scan.select("text_id", F.explode(F.arrays_zip(*_ANCHOR)).alias("x")).select("text_id", "x.*")
     where = F.xxhash64("text_id", "place")  # copies of a text say the same
     repeated = cut(grams.groupBy("gram").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").select("gram"), "grams")
@@ -308,11 +335,14 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 spans = batch.column("spans")[i].values
                 np.add.at(cover, spans.field("a").to_numpy(), 1)
                 np.add.at(cover, spans.field("b").to_numpy(), -1)
+                runs = batch.column("runs")[i].values.to_numpy()
+                np.add.at(cover, runs[::2], 1)
+                np.add.at(cover, runs[1::2], -1)
                 gone = np.cumsum(cover[:-1]) > 0
                 rows.append((batch.column("text_id")[i].as_py(), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) > 0).sum()), sha256(raw[~gone].tobytes()).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.string()))], ["text_id", "n_removed", "n_spans", "kept_sha256"])
 
-    stripped = held.select("text_id", "raw").join(spans, "text_id").mapInArrow(strip, "text_id binary, n_removed long, n_spans long, kept_sha256 string")
+    stripped = held.select("text_id", "raw", "runs").join(spans, "text_id").mapInArrow(strip, "text_id binary, n_removed long, n_spans long, kept_sha256 string")
     info = cut(texts.select("text_id", "copies").join(stripped, "text_id", "left"), "removed")
     discard(held, at, found, texts)
     every = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)

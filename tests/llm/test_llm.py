@@ -671,6 +671,26 @@ def test_removals_brute(spark, monkeypatch, group):
     assert got == brute_removals(docs.collect())
 
 
+def test_removals_of_periodic_texts(spark, monkeypatch):
+    """Stretches of many periods, alone, between other words, broken by a byte, and their single windows in other texts; also where a stretch goes over the edges of pieces."""
+    monkeypatch.setattr(suffix_dedup, "_CHUNK", 3_000)
+    r = random.Random(8)
+    unit = lambda p: "".join(r.choices("abcdefgh ", k=p))
+    texts = ["x" * 5_000, "x" * 200, "y" * 200, "y" * 201, prose(50, 1) + "y" * 900 + prose(50, 2), "z" * 700 + "!" + "z" * 700, ("ab" * 2_000)[:3_777], "ab" * 110, "ba" * 100, "", None]
+    for p in (2, 3, 7, 63, 64, 65, 100, 136, 137, 138, 150, 199, 200, 260):
+        u = unit(p)
+        texts += [prose(r.randint(0, 40), p) + (u * 4_000)[: r.randint(6, 14) * max(p, 200)] + prose(r.randint(0, 40), p + 1), (u * 300)[3:203]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert sorted(map(tuple, suffix_dedup.removals(docs).collect()), key=str) == brute_removals(docs.collect())
+
+
+@pytest.mark.parametrize("unit", [b"a", b"ab", b"0123456789" * 9])
+def test_periodic_texts_have_few_anchors(unit):
+    data = np.frombuffer((unit * (1 << 22))[: 1 << 22], np.uint8)
+    place, *_, stretches = suffix_dedup.anchors(data, np.array([len(data)]))
+    assert len(place) < 400 and (stretches[:, 1] - stretches[:, 0]).sum() > 0.9 * len(data)
+
+
 def test_contexts_without_company_share_nothing():
     r = random.Random(7)
     for _ in range(300):
