@@ -37,9 +37,11 @@ BITS = 12  #: of the filter, for each pair and level
 PROBES = 5  #: bits that a pair and level sets
 MOST, PRIOR = 0.3, 5.0  #: the weight of pairs, at most, and the count of a history at which it is half of that
 SHARD = 1 << 20  #: pairs of a shard, about, repeats between batches counted
+SHARDS = 2  #: shards that a task builds, about
 LIMIT = 1 << 27  #: bytes of a filter that is broadcast
 BLOCK = 1 << 24  #: bytes of text of a block, about
-BATCH = 1 << 18  #: tokens whose pairs are counted or scored together
+COUNTED = 1 << 19  #: tokens whose pairs are counted together
+BATCH = 1 << 18  #: tokens scored together
 WORDS = 1 << 17  #: distinct words held while counting
 END, START = b"", b" "  #: no word is empty or has a space
 
@@ -56,13 +58,17 @@ def tokens(text: str | None) -> Iterator[list[bytes]]:
     yield [*last, END]
 
 
+def _hash(word: bytes) -> int:
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+
+
 class _Hashes(dict):
-    """64-bit hashes of words, each made once."""
+    """Hashes of words, each made once."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > WORDS:
             self.clear()
-        self[word] = out = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        self[word] = out = _hash(word)
         return out
 
 
@@ -132,7 +138,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """word and c of every token; the end is an empty word."""
+    """word, c and hash of every token; the end is an empty word."""
 
     def table(counts: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
@@ -149,7 +155,13 @@ def count_words(texts: DataFrame) -> DataFrame:
                             counts = Counter()
         yield table(counts)
 
-    return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = np.fromiter(map(_hash, batch.column("word").to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes.view(np.int64))], ["word", "c", "hash"])
+
+    counts = texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return counts.mapInArrow(named, "word binary, c long, hash long")
 
 
 def _pair_hashes(text: str | None, hashes: _Hashes) -> Iterator[np.ndarray]:
@@ -175,7 +187,7 @@ def count_pairs(texts: DataFrame, shards: int) -> DataFrame:
                     for own in _pair_hashes(text, hashes):
                         found.append(own)
                         n += len(own)
-                        if n > BATCH:
+                        if n > COUNTED:
                             yield table(found)
                             found, n = [], 0
         if found:
@@ -185,18 +197,29 @@ def count_pairs(texts: DataFrame, shards: int) -> DataFrame:
 
 
 def build_filter(texts: DataFrame, shards: int) -> DataFrame:
-    """shard, size (in words of 64 bits) and the words of each shard that has pairs."""
+    """shard, size (in words of 64 bits) and the words of each shard that has pairs. A task builds the few shards that are dealt to it; nothing is sorted on the way."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        shard = rows.column("shard")[0].as_py()
-        pair, at = np.unique(rows.column("pair").to_numpy().view(np.uint64), return_inverse=True)
-        count = np.bincount(at, rows.column("c").to_numpy()).astype(np.int64)
-        size = -(-int(levels(count).sum()) * BITS // 64)
-        built = Filter(shards, {shard: size})
-        built.add(pair, count)
-        return pa.table({"shard": pa.array([shard], pa.int32()), "size": pa.array([size], pa.int64()), "words": pa.array([built.words.tobytes()], pa.binary())})
-
-    return count_pairs(texts, shards).groupBy("shard").applyInArrow(run, "shard int, size long, words binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(batch.column("pair").to_numpy().view(np.uint64), batch.column("c").to_numpy()) for batch in batches]
+        if not held:
+            return
+        pair, c = (np.concatenate(x) for x in zip(*held))
+        del held
+        order = np.argsort(pair)
+        pair, c = pair[order], c[order]
+        del order
+        first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+        pair, count = pair[first], np.add.reduceat(c, first, dtype=np.int64)
+        own = (pair % _U(shards)).astype(np.int32)
+        for shard in np.unique(own).tolist():
+            mine = own == shard
+            size = -(-int(levels(count[mine]).sum()) * BITS // 64)
+            built = Filter(shards, {shard: size})
+            built.add(pair[mine], count[mine])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([size], pa.int64()), pa.array([built.words.tobytes()], pa.binary())], ["shard", "size", "words"])
+
+    dealt = count_pairs(texts, shards).repartition(-(-shards // SHARDS), "shard")
+    return dealt.mapInArrow(run, "shard int, size long, words binary")
 
 
 def _dealt(rows: DataFrame, blocks: int) -> DataFrame:
@@ -256,10 +279,10 @@ class _Answers:
         count = words.column("value").to_numpy()
         starts = count[names.index(END)] if END in self.at else 0  # each text that was learned from has one start and one end
         self.count = np.concatenate(([0], count, [starts])).astype(np.int64)
-        self.hash = np.array([0, *map(_Hashes().__getitem__, [*names, START])], np.uint64)
+        self.hash = np.concatenate((np.zeros(1, np.uint64), words.column("key").to_numpy().view(np.uint64), np.array([_hash(START)], np.uint64)))
         self.filter = filter
         if filter is None:
-            pair, level = told.column("pair").to_numpy().view(np.uint64), told.column("value").to_numpy()
+            pair, level = told.column("key").to_numpy().view(np.uint64), told.column("value").to_numpy()
             order = np.argsort(pair)
             self.pair, self.level = pair[order], level[order]
 
@@ -331,7 +354,7 @@ def score(docs: DataFrame, learned: DataFrame, key: str = "doc_id", text: str =
     blocks = max(1, -(-rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // BLOCK))
     dealt = _dealt(rows, blocks)
     asked = dealt.groupBy("block").applyInArrow(_words_of, "block long, word binary")
-    answers = asked.join(counts.hint("shuffle_merge"), "word").select("block", "word", F.lit(None).cast("long").alias("pair"), F.col("c").alias("value"))
+    answers = asked.join(counts.hint("shuffle_merge"), "word").select("block", "word", F.col("hash").alias("key"), F.col("c").alias("value"))
     sent = None
     if held <= limit:
         parts = {r["shard"]: (r["size"], bytes(r["words"])) for r in filters.toLocalIterator()}
@@ -340,7 +363,7 @@ def score(docs: DataFrame, learned: DataFrame, key: str = "doc_id", text: str =
     else:
         wanted = dealt.groupBy("block").applyInArrow(lambda rows: _pairs_of(rows, shards), "block long, shard int, pair long")
         found = wanted.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(lambda a, b: _probed(a, b, shards), "block long, pair long, level long")
-        answers = answers.unionByName(found.select("block", F.lit(None).cast("binary").alias("word"), "pair", F.col("level").alias("value")))
+        answers = answers.unionByName(found.select("block", F.lit(None).cast("binary").alias("word"), F.col("pair").alias("key"), F.col("level").alias("value")))
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         return _scores(rows, _Answers(answers, Filter(*sent.value) if sent else None), total, distinct)

@@ -126,7 +126,7 @@ def plain_scores(rows, learned):
 @pytest.mark.parametrize("limit", [ngram_model.LIMIT, 0])
 def test_scores_against_plain_python(spark, monkeypatch, limit):
     """By the broadcast filter and by asking its shards, with many shards and blocks: base exactly, the model but for false answers of the filter."""
-    for name, value in (("SHARD", 500), ("BLOCK", 4_000), ("BATCH", 90), ("WORDS", 40)):
+    for name, value in (("SHARD", 500), ("BLOCK", 4_000), ("BATCH", 90), ("COUNTED", 70), ("WORDS", 40)):
         monkeypatch.setattr(ngram_model, name, value)
     r = random.Random(3)
     vocabulary = [prose(1, k) for k in range(80)]
