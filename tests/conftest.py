@@ -39,7 +39,8 @@ def plain(value):
     if value is None or value != value:
         return None
     if isinstance(value, float):
-        return round(value, 6) + 0.0
+        value = round(value, 6) + 0.0
+        return int(value) if value.is_integer() else value  # whole numbers beside nulls are floats in one of the frames
     if hasattr(value, "item"):
         return plain(value.item())
     return value
