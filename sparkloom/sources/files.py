@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -141,10 +141,25 @@ def row_groups(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "file string, row_group int, num_rows long, bytes long")
 
 
+def file_order(name: Column) -> Column:
+    """What to sort names of files by, so that their numbers count as numbers: Spark's -c1000 comes behind its -c999."""
+    padded = F.regexp_replace(name, r"(\d+)", "0" * 19 + "$1")
+    return F.concat(F.regexp_replace(padded, r"0*(\d{20,})(?!\d)", "$1"), F.lit("\0"), name)
+
+
+def row_at(manifest: DataFrame, n: int) -> tuple[str, int]:
+    """The cursor of the n-th row (from 0) of chunks that were written in an order: its file, and its number in it."""
+    before = F.sum("num_rows").over(Window.orderBy(file_order(F.col("file"))).rowsBetween(Window.unboundedPreceding, -1))
+    placed = manifest.select("file", "num_rows", F.coalesce(before, F.lit(0)).alias("before"))
+    file, first = placed.where((F.col("before") <= n) & (n < F.col("before") + F.col("num_rows"))).select("file", "before").first()
+    return file, n - first
+
+
 def rows_after(rows: DataFrame, file: str, row: int) -> DataFrame:
-    """The rows of a Parquet table behind a cursor, a file's name and the number of a row in it; files go by name. Row groups before it are skipped within a task."""
-    name, at = F.col("_metadata.file_name"), F.col("_metadata.row_index")
-    return rows.where((name > file) | ((name == file) & (at > row)))
+    """The rows of a Parquet table behind a cursor, a file's name and the number of a row in it; files go by name, and numbers in names by value. Files and row groups before it are skipped."""
+    name, at = file_order(F.col("_metadata.file_name")), F.col("_metadata.row_index")
+    here = file_order(F.lit(file))
+    return rows.where((name >= here) & ((name > here) | (at > row)))
 
 
 def write_by_status(rows: DataFrame, path: str, category: str, status: str) -> None:
