@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources import files as S
-from ..sources.json_documents import json_rows
+from ..sources.json_documents import json_head, json_rows
 from .registry import Tables, query
 
 NATION = StructType().add("n_nationkey", "integer").add("n_name", "string").add("n_regionkey", "integer")
@@ -194,11 +194,12 @@ def sink_jsonl(t: Tables) -> DataFrame:
 
 @query("sink_json_document", "SELECT count(*) AS total, count(*) AS results, sum(o_orderkey)::BIGINT AS keys FROM orders")
 def sink_json_document(t: Tables) -> DataFrame:
-    """Metrics and rows in one JSON document, read back."""
+    """Metrics and rows in one JSON document, read back by many tasks."""
     path, rows = S.work_folder(t.spark) + "/document.json", _orders(t)
     S.write_json_document(rows, path, "o_orderkey", f'{{"metrics": {{"total": {rows.count()}}}, "results": [', "]}")
-    got = t.spark.read.json(path, schema=f"metrics struct<total: bigint>, results array<{rows.schema.simpleString()}>", multiLine=True)
-    return got.select("metrics.total", F.size("results").cast("long").alias("results"), F.aggregate("results", F.lit(0).cast("long"), lambda a, r: a + r["o_orderkey"]).alias("keys"))
+    metrics = json_head(t.spark, path, StructType.fromDDL("metrics struct<total: bigint>")).select("metrics.total")
+    found = json_rows(t.spark, path, rows.schema).agg(F.count("*").alias("results"), F.sum("o_orderkey").alias("keys"))
+    return metrics.crossJoin(found)
 
 
 @query("sink_csv", ALL)

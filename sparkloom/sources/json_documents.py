@@ -61,6 +61,7 @@ class _Walk:
         self.parts: list[str] = []
         self.n = -1 if ours and depth >= level else None  # -1: the row that an earlier split has begun
         self.opened: bool | None = None
+        self.at = 0  # where the rows' array opens in the text that has it
 
     def feed(self, text: str) -> Iterator[tuple[int, str, bool]]:
         """The parts of rows that end here: number in this split, text, and that the row ends with it."""
@@ -78,6 +79,7 @@ class _Walk:
                     self.opened = self.ours
                     if self.ours:
                         self.n, since = 0, m.end()
+                        self.at = since
             elif c in _CLOSE:
                 self.depth -= 1
                 if self.ours and self.depth == self.level - 1:
@@ -140,6 +142,31 @@ def json_rows(spark: SparkSession, path: str, row: StructType, key: str = "resul
     return rows.select(F.element_at(F.split("file", "/"), -1).alias("file"), "pos", F.from_json("text", row).alias("r")).select("file", "pos", "r.*")
 
 
+def json_head(spark: SparkSession, path: str, schema: StructType, key: str = "results") -> DataFrame:
+    """The fields that stand before the array under the key, of each document at path that is an object with one: only that head, which must end in the first split, is put together, however many rows follow."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walks: dict[Split, _Walk] = {}
+        heads: dict[Split, list[str]] = {}
+        found: list[tuple[str, str]] = []
+        for split, text in _by_split(batches):
+            if split not in walks:
+                walks[split], heads[split] = _Walk(False, 0, False, 2, key), []
+            walk = walks[split]
+            if walk.at:
+                continue
+            for _ in walk.feed(text):
+                pass
+            heads[split].append(text[: walk.at] if walk.at else text)
+            if walk.at:
+                found.append((split[0], "".join(heads[split]) + "]}"))
+                heads[split] = []
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], ["file", "text"])
+
+    heads = _pieces(spark, path).where("start = 0").mapInArrow(cut, "file string, text string")
+    return heads.select(F.element_at(F.split("file", "/"), -1).alias("file"), F.from_json(F.ltrim(F.col("text"), F.lit("\ufeff")), schema).alias("r")).select("file", "r.*")
+
+
 def _table(rows: list[tuple[str, int, int, str, bool]]) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [[]] * 5
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))], ["file", "start", "n", "text", "ends"])

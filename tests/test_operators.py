@@ -31,7 +31,7 @@ from sparkloom.plans import QUERIES
 from sparkloom.plans.sequences import beside, missing_cells, patchify
 from sparkloom.sources import files as S_
 from sparkloom.sources.files import written
-from sparkloom.sources.json_documents import json_rows
+from sparkloom.sources.json_documents import json_head, json_rows
 from sparkloom.streaming.cursors import Lane
 from sparkloom.streaming.resume import cursor_stream, drain, file_stream, pending, upsert, upserted
 from sparkloom.streaming.steps import STORE, last_cursors, numbered, settings
@@ -647,6 +647,38 @@ def test_json_documents_in_many_splits(spark, tmp_path, monkeypatch, split):
     assert json_rows(spark, str(tmp_path / "missing.json"), schema).collect() == []
 
 
+@pytest.mark.parametrize("split", [211, 1 << 20])
+def test_json_head(spark, tmp_path, split):
+    """What stands before the rows: with strings of brackets, a result that isn't the array, an empty array; documents without the array have none."""
+    head = {"metrics": {"total": 7, "per": {"results": [1], "t": '}"results": ['}}, "note": 'a "}{][,'}
+    documents = {"a.json": head | {"results": [{"id": i, "s": "}{"} for i in range(300)], "behind": 1}, "b.json": {"results": [], **head}, "c.json": head | {"results": []}, "d.json": [{"results": [1]}], "e.json": head}
+    for name, d in documents.items():
+        (tmp_path / name).write_text(json.dumps(d))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for c in before:
+        spark.conf.set(c, str(split))
+    try:
+        got = json_head(spark, str(tmp_path), StructType.fromDDL("metrics struct<total: long, per: struct<t: string>>, note string")).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert {r.file: (r.metrics and (r.metrics.total, r.metrics.per.t), r.note) for r in got} == {"a.json": ((7, head["metrics"]["per"]["t"]), head["note"]), "b.json": (None, None), "c.json": ((7, head["metrics"]["per"]["t"]), head["note"])}
+
+
+def test_document_is_read_back_by_many_tasks(spark, tmp_path):
+    """No task gets the whole document: none of the plans reads it as one row."""
+    pq.write_table(pa.table({"o_orderkey": range(2_000), "o_orderpriority": ["}"] * 2_000, "o_totalprice": [1.5] * 2_000}), tmp_path / "orders.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = QUERIES["sink_json_document"](spark, str(tmp_path))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan text" in plan and "FileScan json" not in plan
+        assert tuple(got.first()) == (2_000, 2_000, sum(range(2_000)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_json_document_that_breaks_off(spark, tmp_path):
     (tmp_path / "cut.json").write_text(json.dumps([{"id": i} for i in range(50)])[:-30])
     got = sorted(r.id for r in json_rows(spark, str(tmp_path / "cut.json"), StructType.fromDDL("id long")).collect())
