@@ -80,8 +80,25 @@ def set_hash(s: np.ndarray) -> bytes:
     return s.sum(dtype=np.uint64).tobytes() + np.bitwise_xor.reduce(mix(s)).tobytes()
 
 
+def _signature_bytes(values: np.ndarray) -> np.ndarray:
+    each = values.astype("<u4").view(np.uint8).reshape(-1, HASHES, 4)
+    return np.concatenate((each[:, :, 0], each[:, :, 1:].reshape(-1, 3 * HASHES)), axis=1)
+
+
+def _low(first: int = HASHES) -> Column:
+    """The low bytes of the first MinHash values."""
+    return F.substring("signature", 1, first).alias("signature")
+
+
+def _band(b: Column) -> Column:
+    return F.xxhash64(b, F.col("signature").substr(b * ROWS + 1, F.lit(ROWS)), F.col("signature").substr(b * (3 * ROWS) + HASHES + 1, F.lit(3 * ROWS)))
+
+
 def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row (a hash of id and text), print (of the set, null without shingles), n_shingles and signature of every row."""
+    """doc_id, row (a hash of id and text), print (of the set, null without shingles), n_shingles and signature of every row.
+
+    A signature is the low bytes of all MinHash values, by which sets are compared, and then the other three bytes of each, which only bands need.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +106,7 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text").to_pylist())
                 some = [s for s in sets if len(s)]
-                values = iter(minhashes(some)) if some else iter(())
+                values = iter(_signature_bytes(minhashes(some))) if some else iter(())
                 rows = [(set_hash(s), next(values).tobytes()) if len(s) else (None, None) for s in sets]
                 columns = pa.array([r[0] for r in rows], pa.binary()), pa.array(list(map(len, sets)), pa.int64()), pa.array([r[1] for r in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), *columns], ["doc_id", "row", "print", "n_shingles", "signature"])
@@ -175,7 +192,7 @@ def _linked(threshold: Fraction, tolerance: float):
 
 
 def _signatures(table: pa.Table | pa.RecordBatch, column: str = "signature") -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(column).to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint8)
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), np.uint8).reshape(-1, HASHES)
 
 
 def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +209,8 @@ def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("node"), pa.array((_signatures(batch) != other).sum(axis=1).astype(np.int32))], ["key", "node", "h"])
 
 
-def _large_buckets(hits: DataFrame, nodes: DataFrame, threshold: Fraction, tolerance: float, made: list[DataFrame]) -> DataFrame:
-    """Edges a, b that connect the members of each large bucket that may reach the threshold; hits: key, node, size and signature."""
+def _large_buckets(hits: DataFrame, threshold: Fraction, tolerance: float, made: list[DataFrame]) -> DataFrame:
+    """Edges a, b that connect the members of each large bucket that may reach the threshold; hits: a written table of key, node, size and signature (low bytes)."""
     most = HASHES - least_matches(threshold, tolerance)[-1]  # so many values of a candidate pair may differ
     some = hits.where(F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("size") / BLOCK)) == 0)  # about a block's members
     some = some.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "signature").repartition("key").sortWithinPartitions("key")
@@ -211,7 +228,7 @@ def _large_buckets(hits: DataFrame, nodes: DataFrame, threshold: Fraction, toler
     part = lambda n: F.pmod(F.xxhash64("node", "key"), F.greatest(n, F.lit(1))).cast("int")
     rows = rows.withColumn("block", F.when(F.col("out"), part(F.col("outer"))).otherwise(F.col("outer") + part(F.col("inner"))))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("out"), F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)))
-    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(nodes.select("node", "signature"), "node")
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(hits.select("key", "node", "signature"), ["key", "node"])
     dealt = rows.select("key", "i", "j", "block", "node", "signature").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return star.unionByName(dealt.mapInArrow(_linked(threshold, tolerance), "a long, b long"))
 
@@ -281,9 +298,9 @@ def _rings(threshold: Fraction):
 
 
 def _pivots(large: DataFrame, nodes: DataFrame) -> DataFrame:
-    """component and pivot: of each component the node that agrees best with its members' most frequent MinHash values."""
-    value = lambda k: F.expr("signature").substr(k * 4 + 1, F.lit(4))
-    rows = large.select("component", "node").join(nodes.select("node", "signature"), "node")
+    """component and pivot: of each component the node that agrees best with its members' most frequent MinHash values (eight bits)."""
+    value = lambda k: F.col("signature").substr(k + 1, F.lit(1))
+    rows = large.select("component", "node").join(nodes.select("node", _low(CONSENSUS)), "node")
     each = rows.select("component", "node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(CONSENSUS - 1)), value)).alias("at", "value"))
     counts = each.groupBy("component", "at", "value").agg(F.count("*").alias("n"))
     best = counts.groupBy("component", "at").agg(F.max(F.struct("n", "value")).alias("x")).groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("at", "x.value"))).alias("modes"))
@@ -342,14 +359,15 @@ def _classes(docs: DataFrame, threshold: Fraction, tolerance: float, key: str, t
     sets = rows.where("print IS NOT NULL").groupBy("print", "n_shingles").agg(first, F.count("*").alias("copies"), F.first("signature").alias("signature"))
     nodes = cut(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")  # a number of its own for each set, once the table is written
     n_bands = HASHES // ROWS
-    band = lambda b: F.xxhash64(b, F.expr("signature").substr(b * (4 * ROWS) + 1, F.lit(4 * ROWS)))
-    bands = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), band)).alias("key"))
+    bands = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), _band)).alias("key"))
     shared = cut(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    hits = bands.join(shared, "key").join(nodes.select("node", "signature"), "node")
-    edges = _blocks(hits.where(F.col("size") <= BLOCK), "key", F.lit(1)).select("key", "i", "j", "block", "node", "signature").mapInArrow(_linked(threshold, tolerance), "a long, b long")
-    made: list[DataFrame] = []
+    hits = cut(bands.join(shared, "key"), "hits")  # small beside the bands and signatures, and read for either kind of bucket
+    signed = lambda rows: rows.join(nodes.select("node", _low()), "node")
+    edges = _blocks(signed(hits.where(F.col("size") <= BLOCK)), "key", F.lit(1)).select("key", "i", "j", "block", "node", "signature").mapInArrow(_linked(threshold, tolerance), "a long, b long")
+    made = [hits]
     if not shared.where(F.col("size") > BLOCK).isEmpty():
-        edges = edges.unionByName(_large_buckets(hits.where(F.col("size") > BLOCK), nodes, threshold, tolerance, made))
+        made.append(cut(signed(hits.where(F.col("size") > BLOCK)), "large"))
+        edges = edges.unionByName(_large_buckets(made[-1], threshold, tolerance, made))
     grouped = components(edges.distinct())
     discard(*made)
     sizes = cut(grouped.join(nodes.select("node", "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles_all")), "sizes")

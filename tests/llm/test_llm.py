@@ -528,6 +528,28 @@ def test_near_large_groups(spark, monkeypatch):
     assert Counter(map(tuple, near_dedup.near_classes(docs).collect())) == brute_near(docs.collect())
 
 
+def shuffled(spark, work, name):
+    """Bytes that the jobs of some work write for shuffles."""
+    context = spark.sparkContext
+    context.setJobGroup(name, name)
+    work()
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    stages = {k for job in tracker.getJobIdsForGroup(name) for k in tracker.getJobInfo(job).stageIds}
+    context.setJobGroup("", "")
+    return sum(store.lastStageAttempt(k).shuffleWriteBytes() for k in stages)
+
+
+def test_near_large_buckets_move_little(spark, monkeypatch, request):
+    """Members of large buckets are looked up once, and only what is compared of their signatures moves."""
+    docs = near_rows(spark).localCheckpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with tables that are too large for it
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    large = shuffled(spark, lambda: near_dedup.near_classes(docs).collect(), "large")
+    assert large < 8_000 * docs.count()  # 6,900; with whole signatures, and a look-up for each use, 10,000
+
+
 def test_posterior_pruning_keeps_the_threshold():
     needed = near_dedup.least_matches()
     assert list(needed) == sorted(needed) and needed[-1] < 0.8 * 128
