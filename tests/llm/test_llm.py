@@ -1065,3 +1065,16 @@ def test_mix_takes_each_repeated_row(spark):
     taken = sorted(((2 * r.taken + r.size) // (2 * r.size) for r in mixing.mix(docs).collect() if r.doc_id == 1), reverse=True)
     got = Counter(r.n for r in mixing.repeat_documents(docs).collect() if r.doc_id == 1)
     assert [got[n] for n in range(3)] == taken
+
+
+def test_suffix_array_of_alike_texts():
+    """Texts that occur twice or oftener with few changes, as groups of contexts do."""
+    r = random.Random(21)
+    for _ in range(300):
+        base = bytes(r.choices(b"abc \xc3", k=r.randint(0, 40)))
+        parts = [bytearray(base) for _ in range(r.randint(1, 4))]
+        for part in parts:
+            for _ in range(r.randint(0, 2) if part else 0):
+                part[r.randrange(len(part))] = r.choice(b"abc ")
+        text = b"\xff".join(map(bytes, parts))
+        assert suffix_sort.suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
