@@ -134,7 +134,7 @@ def row_groups(spark: SparkSession, path: str) -> DataFrame:
                 meta = pq.read_metadata(pa.BufferReader(content.as_buffer()))
                 found = [meta.row_group(g) for g in range(meta.num_row_groups)]
                 name = file.as_py().rsplit("/", 1)[-1]
-                columns = [pa.array([name] * len(found)), pa.array(range(len(found)), pa.int32()), pa.array([g.num_rows for g in found], pa.int64()), pa.array([g.total_byte_size for g in found], pa.int64())]
+                columns = [pa.array([name] * len(found), pa.string()), pa.array(range(len(found)), pa.int32()), pa.array([g.num_rows for g in found], pa.int64()), pa.array([g.total_byte_size for g in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["file", "row_group", "num_rows", "bytes"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)

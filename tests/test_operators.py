@@ -8,6 +8,7 @@ import re
 import tarfile
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -27,7 +28,7 @@ from sparkloom.operators.joins import prefix_match
 from sparkloom.operators.routing import fit_heads, route_cv
 from sparkloom.operators import windows
 from sparkloom.operators.windows import base26, percentiles, running_total
-from sparkloom.plans import QUERIES
+from sparkloom.plans import ORACLES, QUERIES
 from sparkloom.plans.sequences import beside, missing_cells, patchify
 from sparkloom.sources import files as S_
 from sparkloom.sources.files import written
@@ -36,6 +37,8 @@ from sparkloom.streaming.cursors import Lane
 from sparkloom.streaming.resume import cursor_stream, drain, file_stream, pending, upsert, upserted
 from sparkloom.streaming.steps import STORE, last_cursors, numbered, settings
 
+from .conftest import rows_of
+
 GOLDEN = [
     ("<answer> b </answer>", "B"), ("**Final Answer: C**", "C"), ("Answer: because it is left", "B"), ("I pick (D)", "D"), ("\\boxed{A}", "A"),
     ("B is wrong, so C", "C"), ("A chair is visible", "A"), ("none", None), (None, None),
@@ -608,6 +611,35 @@ def test_manifest_says_what_footers_say(spark, tmp_path, n, per_group, per_file)
     assert {x["file"]: x["num_row_groups"] for x in stated} == {f: r.num_row_groups for f, r in manifest.items()}
 
 
+def test_footers_of_a_file_without_rows(spark, tmp_path):
+    """A file without row groups, read by the same task as others, gives no row and no error; its column of names had another type than theirs."""
+    rows = pa.table({"id": pa.array(range(3), pa.int64())})
+    for name in "abc":
+        with pq.ParquetWriter(tmp_path / f"{name}.parquet", rows.schema) as file:
+            if name == "b":
+                file.write_table(rows, row_group_size=2)
+    with settings(spark, {"spark.sql.files.minPartitionNum": "1"}):
+        rows = S_.row_groups(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() == 1
+        assert sorted((r.file, r.row_group, r.num_rows) for r in rows.collect()) == [("b.parquet", 0, 2), ("b.parquet", 1, 1)]
+
+
+@pytest.mark.parametrize("name", ["sink_parquet_chunks"])
+def test_first_split_without_a_row_group(spark, tmp_path, name):
+    """Of a table in one row group that is read in several splits the first has no rows; Spark writes a file without row groups for it."""
+    n = 40_000
+    pq.write_table(pa.table({"c_custkey": range(n)}), tmp_path / "customer.parquet", row_group_size=n)
+    pq.write_table(pa.table({"event_id": range(n), "user_id": [7 * k % 1_009 for k in range(n)]}), tmp_path / "events.parquet", row_group_size=n)
+    with settings(spark, {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "3"}):
+        table = spark.read.parquet(f"{tmp_path}/customer.parquet" if name.startswith("sink") else f"{tmp_path}/events.parquet")
+        assert not table.rdd.glom().first()
+        got = rows_of(QUERIES[name](spark, str(tmp_path)).toPandas())
+    con = duckdb.connect()
+    for t in ("customer", "events"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+    assert got == rows_of(con.sql(ORACLES[name]).df())
+
+
 # ---- JSON documents in parallel
 
 
