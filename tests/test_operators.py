@@ -624,7 +624,7 @@ def test_footers_of_a_file_without_rows(spark, tmp_path):
         assert sorted((r.file, r.row_group, r.num_rows) for r in rows.collect()) == [("b.parquet", 0, 2), ("b.parquet", 1, 1)]
 
 
-@pytest.mark.parametrize("name", ["sink_parquet_chunks", "st_cursor_resume"])
+@pytest.mark.parametrize("name", ["sink_parquet_chunks", "st_cursor_resume", "st_infinite_epochs"])
 def test_first_split_without_a_row_group(spark, tmp_path, name):
     """Of a table in one row group that is read in several splits the first has no rows; Spark writes a file without row groups for it."""
     n = 40_000
