@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.geometry import curriculum
 from ..operators import external as E
-from ..sources.files import work_folder, write_chunks
+from ..sources.files import row_groups, work_folder, write_chunks, written
 from ..streaming import resume as R
-from ..streaming.cursors import PLACE
 from ..streaming.steps import STORE, last_cursors, numbered, settings
 from .registry import Tables, query
 
@@ -23,13 +22,13 @@ def st_infinite_epochs(t: Tables) -> DataFrame:
 
 
 def _rounds(t: Tables, rows: DataFrame, schema: str, workers: int, epochs: int) -> DataFrame:
-    """All that a stream of cursors over the rows gives, with a bit over half of them for each worker a run."""
+    """All that a stream over the written rows gives, each worker going round its files, with a bit over half of them for each worker a run."""
     base = work_folder(t.spark)
     write_chunks(rows, f"{base}/in", 1_000, 10)
-    stream = R.cursor_stream(t.spark, f"{base}/in", f"{base}/progress", workers=workers, rows=rows.count() * epochs // 2 + 7, epochs=epochs)
-    while R.drain(stream, f"{base}/out", f"{base}/checkpoint"):
+    lanes = written(R.lanes(row_groups(t.spark, f"{base}/in"), workers), "lanes")
+    while R.advance(lanes, f"{base}/in", schema, f"{base}/out", f"{base}/checkpoint", rows.count() * epochs // 2 + 7, epochs):
         pass
-    return t.spark.read.schema(f"{schema}, {PLACE}").parquet(f"{base}/out")
+    return R.advanced(t.spark, f"{base}/out", schema)
 
 
 @query("st_cursor_resume", "SELECT event_id, user_id FROM events")

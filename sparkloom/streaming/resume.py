@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.windows import first_per_key
-from .cursors import Cursors
+from .cursors import PLACE, Cursors
 
 
 def drain(source: DataFrame, sink: str, checkpoint: str) -> int:
@@ -58,6 +58,50 @@ def cursor_stream(spark: SparkSession, path: str, progress: str, **options: int)
     return spark.readStream.format("cursors").options(progress=progress, **options).load(path)
 
 
+def lanes(groups: DataFrame, workers: int) -> DataFrame:
+    """What each worker reads: the row groups (file, row_group, num_rows) with their worker, the number of their first row in the file (first) and in all that the worker reads (start), and how much that is (size).
+
+    The files, by name, are dealt to the workers in turn.
+    """
+    some = groups.where("num_rows > 0").select("file", "row_group", "num_rows", F.pmod(F.dense_rank().over(Window.orderBy("file")) - 1, F.lit(workers)).alias("worker"))
+    before = lambda key: F.coalesce(F.sum("num_rows").over(Window.partitionBy(key).orderBy("file", "row_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return some.select("*", before("file").alias("first"), before("worker").alias("start"), F.sum("num_rows").over(Window.partitionBy("worker")).alias("size"))
+
+
+def advance(lanes: DataFrame, path: str, schema: str, sink: str, checkpoint: str, rows: int, epochs: int) -> int:
+    """Bring the next rows of each worker, up to so many, into a table that advanced() reads; gives the number of row groups they are from, 0 if all epochs are over.
+
+    A worker reads its lane over and over. Where it stands is a number of rows since its start: Spark's own source of numbers counts these up, and its offset in the checkpoint is every worker's cursor, so a
+    batch may begin and end anywhere inside of a row group, and a later call goes on there. All files are read by Spark, so any store will do; those before and behind the batch's are skipped.
+    Each batch writes a folder of its own number, and replaces it should it run again.
+    """
+    spark, found = lanes.sparkSession, []
+
+    def write(places: DataFrame, number: int) -> None:
+        low, high = places.agg(F.min("value"), F.max("value")).first()
+        from_, to = F.floor(F.lit(low) / F.col("size")), F.least(F.floor(F.lit(high) / F.col("size")), F.lit(epochs - 1))
+        turns = lanes.withColumn("epoch", F.explode(F.when(from_ <= to, F.sequence(from_, to))))
+        begin = F.col("epoch") * F.col("size") + F.col("start")
+        ends = F.greatest(F.lit(low) - begin, F.lit(0)).alias("least"), F.least(F.lit(high) + 1 - begin, F.col("num_rows")).alias("end")
+        pieces = turns.select("worker", "epoch", "file", "row_group", "first", *ends).where(F.col("least") < F.col("end"))
+        n, *files = pieces.agg(F.count("*"), F.min("file"), F.max("file")).first()
+        own = spark.read.schema(schema).parquet(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("__at"))
+        joined = own.where(F.col("file").between(*map(F.lit, files))).join(pieces, "file").withColumn("row", F.col("__at") - F.col("first"))
+        taken = joined.where((F.col("row") >= F.col("least")) & (F.col("row") < F.col("end")))
+        place = [F.col(c).cast(kind).alias(c) for c, kind in map(str.split, PLACE.split(", "))]
+        taken.select(*spark.read.schema(schema).parquet(path).columns, *place).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        found.append(n)
+
+    source = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows).load()
+    source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return sum(found)
+
+
+def advanced(spark: SparkSession, sink: str, schema: str) -> DataFrame:
+    """The rows of all batches, each with its worker, epoch, file, row group and row."""
+    return spark.read.schema(f"{schema}, {PLACE}").parquet(f"{sink}/batch=*")
+
+
 def epochs(rows: DataFrame, n: int, cursor: Column) -> DataFrame:
     """The rows of n epochs one behind the other, with the epoch and a cursor in each."""
     return rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("cursor", cursor)

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import tarfile
+import uuid
 from collections import Counter
 
 import duckdb
@@ -34,6 +35,7 @@ from sparkloom.sources import files as S_
 from sparkloom.sources.files import written
 from sparkloom.sources.json_documents import json_head, json_rows
 from sparkloom.streaming.cursors import Lane
+from sparkloom.streaming import resume as R_
 from sparkloom.streaming.resume import cursor_stream, drain, file_stream, pending, upsert, upserted
 from sparkloom.streaming.steps import STORE, last_cursors, numbered, settings
 
@@ -640,6 +642,48 @@ def test_first_split_without_a_row_group(spark, tmp_path, name):
     assert got == rows_of(con.sql(ORACLES[name]).df())
 
 
+@pytest.mark.parametrize("name", ["st_cursor_resume"])
+@pytest.mark.parametrize("n", [0, 2_503])
+def test_rounds_in_a_store_that_only_spark_reads(spark, tmp_path, monkeypatch, name, n):
+    """With work folders in a store that Python can't open the streams give all rows; their source read by pyarrow, which failed."""
+    for folder in ("tables", "shared"):
+        (tmp_path / folder).mkdir()
+    pq.write_table(pa.table({"event_id": pa.array(range(n), pa.int64()), "user_id": pa.array([7 * k % 1_009 for k in range(n)], pa.int64())}), tmp_path / "tables" / "events.parquet")
+    store = f"store{uuid.uuid4().hex}"
+    link = f"fs.viewfs.mounttable.{store}.link./shared"
+    spark.sparkContext._jsc.hadoopConfiguration().set(link, f"file://{tmp_path}/shared")
+    folder = lambda _: f"viewfs://{store}/shared/{uuid.uuid4().hex}"
+    monkeypatch.setattr(S_, "work_folder", folder)
+    monkeypatch.setattr("sparkloom.plans.resuming.work_folder", folder)
+    try:
+        got = rows_of(QUERIES[name](spark, f"{tmp_path}/tables").toPandas())
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().unset(link)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/tables/events.parquet')")
+    assert got == rows_of(con.sql(ORACLES[name]).df()) and len(got[1]) >= n
+
+
+def test_workers_go_on_inside_of_row_groups(spark, tmp_path):
+    """Three workers over five files of several row groups and one without, two rounds, in batches that end anywhere; also when a batch runs again. Each row comes from the place that it names."""
+    files = {f"{k}.parquet": list(range(100 * k, 100 * k + 11 + 7 * k)) for k in range(5)}
+    (tmp_path / "in").mkdir()
+    for name, ids in (files | {"none.parquet": []}).items():
+        pq.write_table(pa.table({"id": pa.array(ids, pa.int64())}), tmp_path / "in" / name, row_group_size=4)
+    lanes = R_.lanes(S_.row_groups(spark, str(tmp_path / "in")), 3)
+    step = lambda: R_.advance(lanes, str(tmp_path / "in"), "id long", str(tmp_path / "out"), str(tmp_path / "checkpoint"), 17, 2)
+    counts = [step(), step()]
+    newest = max((tmp_path / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for again in (newest, newest.with_name(f".{newest.name}.crc")):  # as if the driver had died before the batch was logged as done
+        again.unlink(missing_ok=True)
+    while counts[-1]:
+        counts.append(step())
+    got = R_.advanced(spark, str(tmp_path / "out"), "id long").collect()
+    assert sorted((r.epoch, r.id) for r in got) == sorted((e, i) for ids in files.values() for e in range(2) for i in ids) and len(counts) > 3
+    for r in got:
+        assert r.worker == int(r.file[0]) % 3 and files[r.file][4 * r.row_group + r.row] == r.id
+
+
 # ---- JSON documents in parallel
 
 
