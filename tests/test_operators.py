@@ -642,7 +642,7 @@ def test_first_split_without_a_row_group(spark, tmp_path, name):
     assert got == rows_of(con.sql(ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", ["st_cursor_resume"])
+@pytest.mark.parametrize("name", ["st_cursor_resume", "st_infinite_epochs"])
 @pytest.mark.parametrize("n", [0, 2_503])
 def test_rounds_in_a_store_that_only_spark_reads(spark, tmp_path, monkeypatch, name, n):
     """With work folders in a store that Python can't open the streams give all rows; their source read by pyarrow, which failed."""
