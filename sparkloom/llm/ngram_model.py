@@ -161,11 +161,19 @@ def _pair_hashes(text: str | None, hashes: _Hashes) -> Iterator[np.ndarray]:
 
 
 def count_pairs(texts: DataFrame, shards: int) -> DataFrame:
-    """shard, pair and c; a pair can have several rows, from different batches."""
+    """shard, and pairs (64 bits each) with their counts c (32 bits each), packed: a batch gives one row for each shard. A pair can be in several rows, from different batches."""
+
+    def packed(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+        ends = np.append(starts, len(values)) * values.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
 
     def table(found: list[np.ndarray]) -> pa.RecordBatch:
         pair, c = np.unique(np.concatenate(found), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array((pair % _U(shards)).astype(np.int32)), pa.array(pair.view(np.int64)), pa.array(c.astype(np.int32))], ["shard", "pair", "c"])
+        shard = (pair % _U(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int32)  # numpy sorts 16 bits by radix
+        order = np.argsort(shard, kind="stable")
+        shard = shard[order].astype(np.int32)
+        starts = np.flatnonzero(np.diff(shard, prepend=-1))
+        return pa.RecordBatch.from_arrays([pa.array(shard[starts]), packed(pair[order], starts), packed(c.astype(np.int32)[order], starts)], ["shard", "pairs", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, found, n = _Hashes(), [], 0
@@ -181,16 +189,19 @@ def count_pairs(texts: DataFrame, shards: int) -> DataFrame:
         if found:
             yield table(found)
 
-    return texts.select("text").mapInArrow(run, "shard int, pair long, c int")
+    return texts.select("text").mapInArrow(run, "shard int, pairs binary, c binary")
 
 
 def build_filter(texts: DataFrame, shards: int) -> DataFrame:
     """shard, size (in words of 64 bits) and the words of each shard that has pairs."""
 
+    def unpacked(rows: pa.Table, column: str, kind: type) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows.column(column)])
+
     def run(rows: pa.Table) -> pa.Table:
         shard = rows.column("shard")[0].as_py()
-        pair, at = np.unique(rows.column("pair").to_numpy().view(np.uint64), return_inverse=True)
-        count = np.bincount(at, rows.column("c").to_numpy()).astype(np.int64)
+        pair, at = np.unique(unpacked(rows, "pairs", np.uint64), return_inverse=True)
+        count = np.bincount(at, unpacked(rows, "c", np.int32)).astype(np.int64)
         size = -(-int(levels(count).sum()) * BITS // 64)
         built = Filter(shards, {shard: size})
         built.add(pair, count)

@@ -145,6 +145,18 @@ def test_scores_against_plain_python(spark, monkeypatch, limit):
     assert apart < len(want) / 2 and sum(x[4] for x in got.values()) == pytest.approx(sum(x[4] for x in want.values()), rel=0.02)
 
 
+@pytest.mark.parametrize("shards", [3, 70_000])
+def test_pairs_travel_packed(spark, shards):
+    """A batch sends one row for each shard, not one for each pair, and the rows hold every pair with its count."""
+    texts = [f"a b w{k % 50} w{k % 7} a b" for k in range(200)]
+    hashes = ngram_model._Hashes()
+    plain = Counter(int(x) for t in texts for own in ngram_model._pair_hashes(t, hashes) for x in own)
+    rows = ngram_model.count_pairs(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), shards).collect()
+    got = [(r.shard, int(p), int(c)) for r in rows for p, c in zip(np.frombuffer(r.pairs, np.uint64), np.frombuffer(r.c, np.int32), strict=True)]
+    assert {p: c for _, p, c in got} == plain and len(got) == len(plain) and all(p % shards == s for s, p, _ in got)
+    assert len(rows) == len({r.shard for r in rows}) <= min(shards, len(plain))
+
+
 def test_filter_levels():
     r = np.random.default_rng(1)
     pair, count = r.integers(0, 1 << 63, 20_000).astype(np.uint64), r.zipf(1.6, 20_000).clip(max=10**6)
