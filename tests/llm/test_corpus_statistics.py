@@ -157,6 +157,12 @@ def test_pairs_travel_packed(spark, shards):
     assert len(rows) == len({r.shard for r in rows}) <= min(shards, len(plain))
 
 
+def test_word_hashes_agree():
+    words_ = [b"a", "é漢".encode(), ngram_model.END, ngram_model.START, b"x" * 1_000]
+    hashes = ngram_model._Hashes()
+    assert ngram_model.word_hashes(words_).tolist() == [hashes[w] for w in words_] and not len(ngram_model.word_hashes([]))
+
+
 def test_filter_levels():
     r = np.random.default_rng(1)
     pair, count = r.integers(0, 1 << 63, 20_000).astype(np.uint64), r.zipf(1.6, 20_000).clip(max=10**6)
