@@ -684,6 +684,29 @@ def test_workers_go_on_inside_of_row_groups(spark, tmp_path):
         assert r.worker == int(r.file[0]) % 3 and files[r.file][4 * r.row_group + r.row] == r.id
 
 
+@pytest.mark.parametrize("name, epochs", [("st_cursor_resume", 1), ("st_infinite_epochs", 2)])
+@pytest.mark.parametrize("n, sizes", [(1_000, None), (25_000, None), (100_000, None), (48_000, [12_000] * 4)])
+def test_rounds_leave_much_to_later_runs(spark, tmp_path, monkeypatch, name, epochs, n, sizes):
+    """Every worker is stopped twice inside of row groups, with much left, also in small tables and where one has few rows; before, the first run brought all of 100,000 rows."""
+    rows = pa.table({"event_id": pa.array(range(n), pa.int64()), "user_id": pa.array([7 * k % 1_009 for k in range(n)], pa.int64())})
+    (tmp_path / "events.parquet").mkdir()
+    for k, size in enumerate(sizes or [n]):  # files of 12,000 rows become chunks of 10,000 and of 2,000
+        pq.write_table(rows.slice(k * size, size), tmp_path / f"events.parquet/{k}.parquet")
+    read, sinks = R_.advanced, []
+    monkeypatch.setattr(R_, "advanced", lambda spark, sink, schema: sinks.append((sink, schema)) or read(spark, sink, schema))
+    with settings(spark, {"spark.sql.files.openCostInBytes": str(1 << 27)} if sizes else {}):
+        got = QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted((getattr(r, "epoch", 0), r.event_id) for r in got) == [(e, i) for e in range(epochs) for i in range(n)]
+    batches = read(spark, *sinks[0]).withColumn("batch", F.regexp_extract("_metadata.file_path", r"batch=(\d+)", 1).cast("int")).collect()
+    for worker in range(2 if name == "st_cursor_resume" else 3):
+        own = [r for r in batches if r.worker == worker]
+        counts = Counter(r.batch for r in own)
+        assert len(counts) >= 3 and counts[0] < 0.6 * len(own), (worker, counts)
+        for k in range(2):
+            last = max((r.epoch, r.file, r.row_group, r.row) for r in own if r.batch == k)
+            assert min((r.epoch, r.file, r.row_group, r.row) for r in own if r.batch == k + 1) == (*last[:3], last[3] + 1)
+
+
 # ---- JSON documents in parallel
 
 
